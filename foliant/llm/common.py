@@ -45,10 +45,10 @@ def fold_case(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def restrict(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
-    """Semi or anti join on one long key; ids are broadcast only when a count shows that they fit in BROADCAST_IDS."""
+def restrict(df: DataFrame, ids: DataFrame, keys: list[str], how: str = "left_semi") -> DataFrame:
+    """Semi or anti join; ids are broadcast only when a count shows that they fit in BROADCAST_IDS."""
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, key, how)
+    return df.join(F.broadcast(ids) if small else ids, keys, how)
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

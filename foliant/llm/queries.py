@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import WORD, table
+from foliant.llm.common import table
 from foliant.llm.exact_dedup import exact_dedup
 from foliant.llm.mixing import mix, word_count
+from foliant.llm.piece_bpe import encode_digests
 from foliant.llm.sharding import shard
+from foliant.llm.token_cache import count_tokens
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +23,27 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", own["source_size"].alias("source_size"), own["target"].alias("target"), F.col("taken").cast("long").alias("taken"), own["source"].alias("source"), "times")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4: tokens of every text, over 1024 flagged. The cache is new for each run, so every distinct text is encoded."""
+    import public_tokenizers
+
+    counts = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: groups of texts equal but for the case of A-Z; the largest doc_id stays."""
     out = exact_dedup(table(spark, sf_dir, "documents"), keep="max")
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7: ids and decoded text of every document, as digests."""
+    import public_tokenizers
+
+    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+
+
 def op10_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: 40 shards of near equal bytes."""
     docs = table(spark, sf_dir, "documents")
@@ -37,7 +54,9 @@ def op10_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
+    "op4_token_counts": op4_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_piece_bpe": op7_piece_bpe,
     "op10_ring_sharding": op10_ring_sharding,
 }
 

@@ -40,13 +40,13 @@ def fill(cells: list[tuple[int, int, int]], walk: list[list[int]], room: list[in
     out = []
     for rank, cell, w in sorted(cells, key=lambda c: (-c[0], c[1])):
         done = 0
-        for s in walk[cell]:
-            if done == w:
-                break
-            if (take := min(room[s], w - done)) > 0:
-                room[s] -= take
-                out.append((rank, cell, done, done + take, s))
-                done += take
+        # The row at a part's end may reach over it by half its size, less than `over`; room for that is kept at first.
+        for over in (1 << rank >> 1, 0):
+            for s in walk[cell]:
+                if done < w and (take := min(room[s] - over, w - done)) > 0:
+                    room[s] -= take
+                    out.append((rank, cell, done, done + take, s))
+                    done += take
         if done < w:
             room[walk[cell][0]] -= w - done
             out.append((rank, cell, done, w, walk[cell][0]))
