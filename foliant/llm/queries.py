@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import table
 from foliant.llm.exact_dedup import exact_dedup
+from foliant.llm.language_id import held_out, predict, train
 from foliant.llm.mixing import mix, word_count
 from foliant.llm.piece_bpe import encode_digests
 from foliant.llm.sharding import shard
@@ -31,6 +32,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5: languages learned from the rows that are not held out, predicted for all."""
+    docs = table(spark, sf_dir, "documents")
+    profiles = train(docs.filter(~held_out()))
+    return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), profiles).drop("text")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: groups of texts equal but for the case of A-Z; the largest doc_id stays."""
     out = exact_dedup(table(spark, sf_dir, "documents"), keep="max")
@@ -55,6 +63,7 @@ def op10_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op4_token_counts": op4_token_counts,
+    "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_piece_bpe": op7_piece_bpe,
     "op10_ring_sharding": op10_ring_sharding,
