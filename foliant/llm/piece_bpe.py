@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Units (words) whose ids a Python worker remembers; beyond that it starts anew.
@@ -160,7 +161,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: st
     bounded by its own text. Columns named ids_col or decoded_col are replaced. An empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c not in (ids_col, decoded_col)]
-    schema = docs.select(*kept).schema.add(ids_col, "array<int>").add(decoded_col, "string")
+    schema = docs.select(*kept).schema.add(ids_col, T.ArrayType(T.IntegerType())).add(decoded_col, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ids, texts in encoded(batches, model_file, text_col):

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import table
 from foliant.llm.exact_dedup import exact_dedup
+from foliant.llm.html_text import extract
 from foliant.llm.language_id import held_out, predict, train
 from foliant.llm.mixing import mix, word_count
 from foliant.llm.piece_bpe import encode_digests
+from foliant.llm.quality import quality
 from foliant.llm.sharding import shard
 from foliant.llm.token_cache import count_tokens
 
@@ -52,6 +54,17 @@ def op7_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8: main text of every page."""
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9: base rules, then robust outliers by language and source."""
+    out = quality(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
 def op10_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: 40 shards of near equal bytes."""
     docs = table(spark, sf_dir, "documents")
@@ -66,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_piece_bpe": op7_piece_bpe,
+    "op8_html_text": op8_html_text,
+    "op9_quality": op9_quality,
     "op10_ring_sharding": op10_ring_sharding,
 }
 
