@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.plans.lineage import cut, shared_dir
+
+__all__ = ["BROADCAST_IDS", "WORD", "cut", "fold_case", "restrict", "shared_dir", "spans", "table", "text_bytes"]
+
 #: Words of all contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -23,23 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = getattr(shared_dir, "own", None) or f"file://{tempfile.mkdtemp(prefix='foliant-')}"
-        shared_dir.own = at
-    return at.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: a lineage cut that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold_case(text: Column) -> Column:
     """Lower-case A-Z only. lower() is the same, and faster, where a text is ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -92,6 +92,45 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def placed(docs: DataFrame, sources: Column, size: Column, id_col: str, seed: int) -> DataFrame:
+    """docs with _sources (sorted, distinct; the source null where there is none), _size, and the seeded hash of the id as _bin and _sub."""
+    member = F.array_sort(F.array_distinct(F.when(F.size(F.coalesce(sources, F.array())) == 0, F.array(F.lit(None).cast("string"))).otherwise(sources)))
+    spot = F.xxhash64(F.lit(seed), F.col(id_col))
+    at = {"_bin": F.shiftrightunsigned(spot, 52).cast("int"), "_sub": F.shiftrightunsigned(F.shiftleft(spot, 12), 52).cast("int")}
+    return docs.withColumns({"_sources": member, "_size": F.coalesce(size, F.lit(0)).cast("long"), **at})
+
+
+def plan_mix(rows: DataFrame, weights: dict | None, budget: int | None, repeats: int, most_patterns: int) -> tuple[DataFrame, Column]:
+    """A table by _sources, small enough to broadcast, and the column that gives from it how many times a placed row is taken."""
+    patterns = rows.groupBy("_sources").agg(F.sum("_size").alias("words")).limit(most_patterns + 1).collect()
+    if len(patterns) > most_patterns:
+        raise ValueError(f"over {most_patterns} membership patterns; raise most_patterns if the driver can hold them")
+    patterns.sort(key=lambda r: [(s is None, s or "") for s in r["_sources"]])
+    names = sorted({s for r in patterns for s in r["_sources"]}, key=lambda s: (s is None, s or ""))
+    index = {s: i for i, s in enumerate(names)}
+    own = [sum(r.words for r in patterns if s in r["_sources"]) for s in names]
+    share = [(weights.get(s, 0) if weights is not None else i % 3 + 1) for i, s in enumerate(names)]
+    total = sum(r.words for r in patterns) if budget is None else budget
+    target = water_fill(own, share, total, repeats) if any(share) else [0.0] * len(names)
+    flow = route([r.words for r in patterns], [[index[s] for s in r["_sources"]] for r in patterns], [round(t) for t in target], repeats)
+    plan = []
+    for k, r in enumerate(patterns):
+        parts = [(names[s], f) for s in range(len(names)) if (f := flow.get((k, s), 0))]
+        whole, rest = divmod(sum(f for _, f in parts), r.words) if r.words else (0, 0)
+        plan.append((list(r["_sources"]), whole, rest, [(s, own[index[s]], float(target[index[s]])) for s in r["_sources"]], parts))
+    schema = "_sources array<string>, whole int, rest long, targets array<struct<source:string,source_size:long,target:double>>, routed array<struct<source:string,words:long>>"
+    cuts = rows.sparkSession.createDataFrame(plan, schema)
+    taken, rest = F.lit(False), cuts.filter("rest > 0").select("_sources", "rest")
+    for k in range(ROUNDS):
+        # What a round leaves over is less than the next document; the next round fills it with smaller ones.
+        rest = cut(refine(rows.join(F.broadcast(cuts), "_sources").filter(~taken).select("_sources", "_bin", "_sub", "_size"), rest), "rest")
+        cuts = cuts.join(F.broadcast(rest.select("_sources", *(F.col(c).alias(f"{c}{k}") for c in ("most", "end", "sub_end")))), "_sources", "left")
+        here = (F.col("_bin") < F.col(f"end{k}")) | ((F.col("_bin") == F.col(f"end{k}")) & (F.col("_sub") <= F.col(f"sub_end{k}")))
+        taken = taken | F.coalesce((F.col("_size") <= F.col(f"most{k}")) & here, F.lit(False))
+        rest = rest.select("_sources", F.col("left").alias("rest"))
+    return cut(cuts, "plan"), F.col("whole") + taken.cast("int")
+
+
 def mix(docs: DataFrame, sources: Column, size: Column, id_col: str = "doc_id", weights: dict | None = None, budget: int | None = None, repeats: int = 3, seed: int = 17, most_patterns: int = 100_000) -> DataFrame:
     """Mix documents so that each source's words come near its share of the budget.
 
@@ -105,53 +144,32 @@ def mix(docs: DataFrame, sources: Column, size: Column, id_col: str = "doc_id",
     seeded hash lies below a threshold, found by histograms of BINS bins, so no pattern's rows are sorted or gathered in one task;
     ROUNDS - 1 further rounds fill what is left with smaller documents. The sum never exceeds the flow.
 
-    Returns a row for each input row: id_col, sources, size, times (int), taken = times * size (long), and plan(source, source_size,
-    target, taken) as the array column `targets` of its sources. Rows that repeat an id are all taken alike. Null ids hash as one id.
-    An empty table gives an empty result; zero-size documents are taken once when their pattern is used at all.
+    Returns a row for each input row: id_col, sources, size, times (int), taken = times * size (long), `targets` (source, source_size and target
+    of each of its sources) and `routed` (words of the row's pattern that go to each source). Rows that repeat an id are all taken alike.
+    Null ids hash as one id. An empty table gives an empty result; documents of no words follow the whole passes of their pattern.
     """
-    member = F.array_sort(F.array_distinct(F.when(F.size(F.coalesce(sources, F.array())) == 0, F.array(F.lit(None).cast("string"))).otherwise(sources)))
-    rows = docs.select(F.col(id_col), member.alias("sources"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
-    spot = F.xxhash64(F.lit(seed), F.col(id_col))
-    rows = cut(rows.withColumns({"bin": F.shiftrightunsigned(spot, 52).cast("int"), "sub": F.shiftrightunsigned(F.shiftleft(spot, 12), 52).cast("int")}), "sizes")
-    patterns = rows.groupBy("sources").agg(F.sum("size").alias("words")).limit(most_patterns + 1).collect()
-    if len(patterns) > most_patterns:
-        raise ValueError(f"over {most_patterns} membership patterns; raise most_patterns if the driver can hold them")
-    patterns.sort(key=lambda r: [(s is None, s or "") for s in r.sources])
-    names = sorted({s for r in patterns for s in r.sources}, key=lambda s: (s is None, s or ""))
-    index = {s: i for i, s in enumerate(names)}
-    own = [sum(r.words for r in patterns if s in r.sources) for s in names]
-    share = [(weights.get(s, 0) if weights is not None else i % 3 + 1) for i, s in enumerate(names)]
-    total = sum(r.words for r in patterns) if budget is None else budget
-    target = water_fill(own, share, total, repeats) if any(share) else [0.0] * len(names)
-    flow = route([r.words for r in patterns], [[index[s] for s in r.sources] for r in patterns], [round(t) for t in target], repeats)
-    spark = docs.sparkSession
-    got = [sum(f for (p, _), f in flow.items() if p == k) for k in range(len(patterns))]
-    routed = [[(names[s], float(f)) for s in range(len(names)) if (f := flow.get((k, s), 0))] for k in range(len(patterns))]
-    plan = []
-    for r, words, parts in zip(patterns, got, routed, strict=True):
-        whole, rest = divmod(words, r.words) if r.words else (0, 0)
-        plan.append((list(r.sources), whole, rest, [(s, own[index[s]], float(target[index[s]])) for s in r.sources], parts))
-    schema = "sources array<string>, whole int, rest long, targets array<struct<source:string,source_size:long,target:double>>, routed array<struct<source:string,words:double>>"
-    plan = spark.createDataFrame(plan, schema)
-    cuts, taken, rest = plan, F.lit(False), plan.filter("rest > 0").select("sources", "rest")
-    for k in range(ROUNDS):
-        # What a round leaves over is less than the next document; the next round fills it with smaller ones.
-        rest = cut(refine(rows.join(F.broadcast(cuts), "sources").filter(~taken).select("sources", "bin", "sub", "size"), rest), "rest")
-        cuts = cuts.join(F.broadcast(rest.select("sources", *(F.col(c).alias(f"{c}{k}") for c in ("most", "end", "sub_end")))), "sources", "left")
-        taken = taken | F.coalesce((F.col("size") <= F.col(f"most{k}")) & ((F.col("bin") < F.col(f"end{k}")) | ((F.col("bin") == F.col(f"end{k}")) & (F.col("sub") <= F.col(f"sub_end{k}")))), F.lit(False))
-        rest = rest.select("sources", F.col("left").alias("rest"))
-    times = F.col("whole") + taken.cast("int")
-    return rows.join(F.broadcast(cuts), "sources").select(id_col, "sources", "size", times.alias("times"), (times * F.col("size")).alias("taken"), "targets", "routed")
+    rows = cut(placed(docs.select(F.col(id_col).alias("_id"), sources.alias("_of"), size.alias("_words")), F.col("_of"), F.col("_words"), "_id", seed).drop("_of", "_words"), "sizes")
+    cuts, times = plan_mix(rows, weights, budget, repeats, most_patterns)
+    out = rows.join(F.broadcast(cuts), "_sources").withColumn("_times", times)
+    return out.select(F.col("_id").alias(id_col), F.col("_sources").alias("sources"), F.col("_size").alias("size"), F.col("_times").alias("times"), (F.col("_times") * F.col("_size")).alias("taken"), "targets", "routed")
+
+
+def mixed_rows(docs: DataFrame, sources: Column, size: Column, id_col: str = "doc_id", weights: dict | None = None, budget: int | None = None, repeats: int = 3, seed: int = 17, most_patterns: int = 100_000) -> DataFrame:
+    """The rows of docs, all columns, each as many times as mix() takes it. The plan is broadcast, texts are not shuffled."""
+    narrow = cut(placed(docs, sources, size, id_col, seed).select("_sources", "_size", "_bin", "_sub"), "sizes")
+    cuts, times = plan_mix(narrow, weights, budget, repeats, most_patterns)
+    out = placed(docs, sources, size, id_col, seed).join(F.broadcast(cuts), "_sources").withColumn("_times", times).filter("_times > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def refine(rows: DataFrame, rest: DataFrame) -> DataFrame:
     """(sources, most, end, sub_end, left): of the rows of at most `rest` = `most` words, in the order of bin and sub, those that
     fit into `rest` end with sub-bin sub_end of bin `end`; `left` words are left. Two histograms of BINS bins a pattern find it."""
-    fits = rows.join(F.broadcast(rest), "sources").filter(F.col("size") <= F.col("rest"))
-    before = F.sum("w").over(Window.partitionBy("sources").orderBy("b")) - F.col("w")
-    bins = fits.groupBy("sources", "rest", F.col("bin").alias("b")).agg(F.sum("size").alias("w")).withColumn("left", F.col("rest") - before)
-    ends = bins.filter("left >= 0").groupBy("sources", "rest").agg(F.max_by(F.struct("b", "left"), "b").alias("at")).select("sources", F.col("rest").alias("most"), F.col("at.b").alias("end"), "at.left")
-    inner = rows.join(F.broadcast(ends), "sources").filter("size <= most AND bin = end")
-    subs = inner.groupBy("sources", F.col("sub").alias("b"), "left").agg(F.sum("size").alias("w")).withColumn("left", F.col("left") - before - F.col("w"))
-    last = subs.filter("left >= 0").groupBy("sources").agg(F.max_by(F.struct("b", "left"), "b").alias("at")).select("sources", F.col("at.b").alias("sub_end"), F.col("at.left").alias("sub_left"))
-    return ends.join(F.broadcast(last), "sources", "left").select("sources", "most", "end", F.coalesce("sub_end", F.lit(-1)).alias("sub_end"), F.coalesce("sub_left", "left").alias("left"))
+    fits = rows.join(F.broadcast(rest), "_sources").filter(F.col("_size") <= F.col("rest"))
+    before = F.sum("w").over(Window.partitionBy("_sources").orderBy("b")) - F.col("w")
+    bins = fits.groupBy("_sources", "rest", F.col("_bin").alias("b")).agg(F.sum("_size").alias("w")).withColumn("left", F.col("rest") - before)
+    ends = bins.filter("left >= 0").groupBy("_sources", "rest").agg(F.max_by(F.struct("b", "left"), "b").alias("at")).select("_sources", F.col("rest").alias("most"), F.col("at.b").alias("end"), "at.left")
+    inner = rows.join(F.broadcast(ends), "_sources").filter("_size <= most AND _bin = end")
+    subs = inner.groupBy("_sources", F.col("_sub").alias("b"), "left").agg(F.sum("_size").alias("w")).withColumn("left", F.col("left") - before - F.col("w"))
+    last = subs.filter("left >= 0").groupBy("_sources").agg(F.max_by(F.struct("b", "left"), "b").alias("at")).select("_sources", F.col("at.b").alias("sub_end"), F.col("at.left").alias("sub_left"))
+    return ends.join(F.broadcast(last), "_sources", "left").select("_sources", "most", "end", F.coalesce("sub_end", F.lit(-1)).alias("sub_end"), F.coalesce("sub_left", "left").alias("left"))

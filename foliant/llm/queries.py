@@ -12,12 +12,18 @@ from foliant.llm.exact_dedup import exact_dedup
 from foliant.llm.html_text import extract
 from foliant.llm.language_id import held_out, predict, train
 from foliant.llm.mixing import mix, word_count
+from foliant.llm.ngram_join import ngram_components
 from foliant.llm.piece_bpe import encode_digests
 from foliant.llm.quality import quality
 from foliant.llm.sharding import shard
 from foliant.llm.token_cache import count_tokens
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1: classes of documents by Jaccard similarity of 5-word tokens."""
+    return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: all documents, mixed to targets by source."""
     docs = table(spark, sf_dir, "documents")
@@ -73,7 +79,15 @@ def op10_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_source_mix": op2_source_mix,
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
@@ -82,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
     "op10_ring_sharding": op10_ring_sharding,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {
