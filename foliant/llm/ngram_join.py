@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, restrict, spans, text_bytes
+from foliant.llm.common import BROADCAST_IDS, cut, restrict, spans, text_bytes
 from foliant.llm.words import mixed, windows, words
 from foliant.operators.components import connected_components
 
@@ -18,6 +18,8 @@ from foliant.operators.components import connected_components
 CHUNK, BLOCK = 1 << 22, 1 << 20
 #: Pairs of hashes whose minima a document is grouped by.
 SLOTS = 2
+#: Tokens below it are a quarter of all.
+QUARTER = np.uint64(1 << 62)
 #: A token that occurs LOCAL times in a window of WINDOW_TOKENS tokens is reported; one with reports of FREQUENT comes late in the order.
 #: Any order is right; this one keeps common tokens out of prefixes. At most ORDERED tokens, the most frequent, are ordered so (8 MB each).
 WINDOW_TOKENS, LOCAL, FREQUENT, ORDERED = 1 << 22, 3, 12, 1_000_000
@@ -85,16 +87,22 @@ def set_rows(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def token_rows(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, tokens) of each (id, text); tokens as sorted 64-bit integers."""
+def token_rows(docs: DataFrame, size: int, part: bool = False) -> DataFrame:
+    """docs with tokens, the sorted distinct tokens as 64-bit integers, instead of text.
+
+    part: only tokens of the first quarter of the hash space, of each 32 bits (an eighth of the bytes).
+    """
+    kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, at, token in token_sets(batch.column("text"), size):
-                blobs = [token[at[k] : at[k + 1]].tobytes() for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(np.diff(at).astype(np.int64)), pa.array(blobs, pa.binary())], ["id", "n", "tokens"])
+                lists = [token[at[k] : at[k + 1]] for k in range(j - i)]
+                if part:
+                    lists = [((x[: np.searchsorted(x, QUARTER)]) >> np.uint64(30)).astype(np.uint32) for x in lists]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in kept), pa.array([x.tobytes() for x in lists], pa.binary())], [*kept, "tokens"])
 
-    return docs.mapInArrow(run, "id long, n long, tokens binary")
+    return docs.select(*kept, "text").mapInArrow(run, docs.select(*kept).schema.add("tokens", "binary"))
 
 
 def clusters(sets: list[np.ndarray]) -> np.ndarray:
@@ -148,9 +156,9 @@ def grouped(sets: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     members = reduce_union([sets.select(F.lit(s).alias("slot"), F.col(f"a{s}").alias("key"), "id", "n") for s in range(SLOTS)])
     several = members.groupBy("slot", "key").agg(F.count("*").alias("c")).filter("c > 1").select("slot", "key")
     members = cut(blocked(members.join(several, ["slot", "key"]), ["slot", "key"], "id", "n"), "members")
-    tokens = cut(token_rows(restrict(docs, members.select("id").distinct(), ["id"]), size).drop("n"), "tokens")
     # Many small groups share a task's call; a large one's block is alone in it.
-    dealt = members.join(tokens, "id").withColumn("page", page("slot", "key", "block", count=pages(members)))
+    placed = members.select("id", "slot", "key", "block", page("slot", "key", "block", count=pages(members)).alias("page"))
+    dealt = token_rows(attach(docs, placed), size)
 
     def link(table: pa.Table) -> pa.Table:
         a: list[int] = []
@@ -167,7 +175,13 @@ def grouped(sets: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                 b += ids[found[tied]].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.select("page", "slot", "key", "block", "id", "tokens").groupBy("page").applyInArrow(link, "a long, b long")
+    return dealt.groupBy("page").applyInArrow(link, "a long, b long")
+
+
+def attach(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with their documents' text. Broadcast only when a count shows that they are few, so that texts needn't be shuffled."""
+    small = rows.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4
+    return docs.join(F.broadcast(rows) if small else rows, "id")
 
 
 def reduce_union(frames: list[DataFrame]) -> DataFrame:
@@ -261,52 +275,82 @@ def group_pairs(matrix: DataFrame) -> DataFrame:
 def opened(pairs: DataFrame, member: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """Links (a, b) between groups: the smaller group's sets are queries to the blocks of the larger one.
 
-    A block's token union bounds what a query can share with any of its sets; only blocks that reach 0.8 of the query are opened,
-    and a query's first link to a block is enough, as a group's sets are linked already.
+    First an eighth of each set's bytes bounds what a query shares with a block's union, then with its sets: the tokens of a quarter of the
+    hash space are compared, all others could be shared. What is left is opened with all tokens and compared exactly. A query's
+    first link to a block is enough, as a group's sets are linked already.
     """
     weight = cut(member.groupBy("gid").agg(F.sum("n").alias("w")), "weights")
     sized = pairs.join(weight.withColumnsRenamed({"gid": "g", "w": "wg"}), "g").join(weight.withColumnsRenamed({"gid": "h", "w": "wh"}), "h")
     less = (F.col("wg") < F.col("wh")) | ((F.col("wg") == F.col("wh")) & (F.col("g") < F.col("h")))
     asks = cut(sized.select(F.when(less, F.col("g")).otherwise(F.col("h")).alias("q"), F.when(less, F.col("h")).otherwise(F.col("g")).alias("gid")), "asks")
-    involved = asks.select("gid").union(asks.select("q")).distinct()
-    ids = cut(member.join(involved, "gid"), "involved")
-    tokens = cut(token_rows(restrict(docs, ids.select("id").distinct(), ["id"]), size).drop("n"), "tokens")
-    sets = blocked(ids.join(asks.select("gid").distinct(), "gid", "left_semi"), ["gid"], "id", "n")
-    queries = asks.join(ids.withColumnsRenamed({"gid": "q"}), "q").select("gid", "id", "n")
-    queries = blocked(queries, ["gid"], "id", "n").withColumnRenamed("block", "ask")
-    sets, queries = cut(sets.select("gid", "block", "id", "n"), "sets"), cut(queries.select("gid", "ask", "id", "n"), "queries")
-    sides = sets.select("gid", "block").distinct().join(queries.select("gid", "ask").distinct(), "gid")
-    left, right = sets.join(sides, ["gid", "block"]), queries.join(sides, ["gid", "ask"])
-    count = max(pages(left), pages(right))
-    left = left.join(tokens, "id").select(page("gid", "block", "ask", count=count).alias("page"), "gid", "block", "ask", "id", "tokens")
-    right = right.join(tokens, "id").select(page("gid", "block", "ask", count=count).alias("at_page"), *(F.col(c).alias(f"at_{c}") for c in ("gid", "block", "ask", "id", "tokens")))
-
-    def look(key: tuple, sets: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    sets = cut(member.join(asks.select("gid").distinct(), "gid", "left_semi").select("gid", "id", "n"), "sets")
+    queries = cut(asks.join(member.withColumnRenamed("gid", "q"), "q").select("gid", "id", "n"), "queries")
+    left = cut(meet(sets, queries, docs, size, bounded, "gid long, id long", part=True).distinct(), "qualified")
+    queries = cut(queries.join(left, ["gid", "id"], "left_semi"), "queries")
+    sets = cut(sets.join(left.select("gid").distinct(), "gid", "left_semi"), "sets")
+    return meet(sets, queries, docs, size, linked, "a long, b long")
+
+
+def meet(sets: DataFrame, queries: DataFrame, docs: DataFrame, size: int, look: Callable, schema: str, part: bool = False) -> DataFrame:
+    """look(sets, queries) for each block of a group's sets and block of its queries, both (gid, id, n) with their tokens."""
+    sets, queries = cut(blocked(sets, ["gid"], "id", "n"), "blocks"), cut(blocked(queries, ["gid"], "id", "n").withColumnRenamed("block", "ask"), "asking")
+    sides = cut(sets.select("gid", "block").distinct().join(queries.select("gid", "ask").distinct(), "gid"), "sides")
+    count = max(pages(sets), pages(queries))
+    left = attach(docs, sets.join(sides, ["gid", "block"]).withColumn("page", page("gid", "block", "ask", count=count)))
+    right = attach(docs, queries.join(sides, ["gid", "ask"]).withColumn("page", page("gid", "block", "ask", count=count)))
+    names = {c: f"at_{c}" for c in ("gid", "block", "ask", "id", "n", "page", "tokens")}
+    left, right = token_rows(left, size, part), token_rows(right, size, part).withColumnsRenamed(names)
+
+    def run(key: tuple, sets: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         of = {k: g for k, g in sets.groupby(["gid", "block", "ask"], sort=False)}
         for k, asked in queries.groupby(["at_gid", "at_block", "at_ask"], sort=False):
-            group = of.get(k)
-            if group is None:
-                continue
-            ids, lists = group["id"].to_numpy(), [np.frombuffer(x, np.uint64) for x in group["tokens"]]
-            n = np.array([len(x) for x in lists])
-            flat, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), n)
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            for q, blob in zip(asked["at_id"], asked["at_tokens"], strict=True):
-                tokens = np.frombuffer(blob, np.uint64)
-                lo, hi = np.searchsorted(flat, tokens, "left"), np.searchsorted(flat, tokens, "right")
-                if (hi > lo).sum() < need(len(tokens)):
-                    continue  # bounded by the union: no set of this block is similar
-                shared = hi - lo
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(shared)[:-1]]), shared) + np.arange(shared.sum())
-                both = np.bincount(owner[at], minlength=len(n))
-                hit = np.flatnonzero(similar(both, n, len(tokens)) & (both > 0))
-                if len(hit):
-                    out.append((q, ids[hit[0]]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return left.groupBy("page").cogroup(right.groupBy("at_page")).applyInPandas(look, "a long, b long")
+            if k in of:
+                out += look(of[k], asked)
+        return pd.DataFrame(out, columns=["x", "y"], dtype="int64").set_axis([c.split(" ")[0] for c in schema.split(", ")], axis=1)
+
+    return left.groupBy("page").cogroup(right.groupBy("at_page")).applyInPandas(run, schema)
+
+
+def overlaps(lists: list[np.ndarray]) -> Callable[[np.ndarray], tuple[int, np.ndarray]]:
+    """A function of a query's tokens: how many of them the lists' union holds, and how many each list does."""
+    n = np.array([len(x) for x in lists])
+    flat, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), n)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+
+    def count(tokens: np.ndarray) -> tuple[int, np.ndarray]:
+        lo, hi = np.searchsorted(flat, tokens, "left"), np.searchsorted(flat, tokens, "right")
+        shared = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(shared)[:-1]]), shared) + np.arange(shared.sum())
+        return int((shared > 0).sum()), np.bincount(owner[at], minlength=len(n))
+
+    return count
+
+
+def bounded(sets: pd.DataFrame, asked: pd.DataFrame) -> list[tuple[int, int]]:
+    """(gid, query) of the queries that some set of the block may be similar to, by their parts."""
+    lists = [np.frombuffer(x, np.uint32) for x in sets["tokens"]]
+    n, held = sets["n"].to_numpy(), np.array([len(x) for x in lists])
+    count, out = overlaps(lists), []
+    for gid, q, m, blob in zip(asked["at_gid"], asked["at_id"], asked["at_n"], asked["at_tokens"], strict=True):
+        tokens = np.frombuffer(blob, np.uint32)
+        union, both = count(tokens)
+        if union + m - len(tokens) >= need(m) and similar(np.minimum(both + np.minimum(n - held, m - len(tokens)), np.minimum(n, m)), n, m).any():
+            out.append((gid, q))
+    return out
+
+
+def linked(sets: pd.DataFrame, asked: pd.DataFrame) -> list[tuple[int, int]]:
+    """(query, set) links, one for each query at most. The union is looked at first: a block below the bound isn't opened."""
+    lists = [np.frombuffer(x, np.uint64) for x in sets["tokens"]]
+    n, ids = sets["n"].to_numpy(), sets["id"].to_numpy()
+    count, out = overlaps(lists), []
+    for q, m, blob in zip(asked["at_id"], asked["at_n"], asked["at_tokens"], strict=True):
+        union, both = count(np.frombuffer(blob, np.uint64))
+        if union >= need(m) and len(hit := np.flatnonzero(similar(both, n, m) & (both > 0))):
+            out.append((q, ids[hit[0]]))
+    return out
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
