@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +39,16 @@ def assign_threads(mails: DataFrame) -> DataFrame:
     return out.select("doc_id", thread_key(seed).alias("thread_id"), place.cast("int").alias("position"))
 
 
+def tagged(kind: str) -> Callable[[Column], Column]:
+    return lambda a: F.struct(F.lit(kind).alias("kind"), F.trim(a).alias("raw"))
+
+
 def communication_pairs(mails: DataFrame, scope: str, as_of_year: int) -> DataFrame:
     """(scope, sender_name, sender_email, recipient_name, recipient_email, relationship_type, message_count, earliest, latest).
 
     mails: scope and from_name, from_email, to, cc, bcc (lists divided by commas) and date, as strings. A recount: reruns agree.
     """
-    parts = F.flatten(F.array(*(F.transform(F.split(F.coalesce(F.col(k), F.lit("")), r"\s*,\s*"), lambda a, k=k: F.struct(F.lit(k).alias("kind"), F.trim(a).alias("raw"))) for k in ("to", "cc", "bcc"))))
+    parts = F.flatten(F.array(*(F.transform(F.split(F.coalesce(F.col(k), F.lit("")), r"\s*,\s*"), tagged(k)) for k in ("to", "cc", "bcc"))))
     rows = mails.filter(F.coalesce("from_email", F.lit("")) != "").select(scope, F.coalesce("from_name", F.lit("")).alias("sender_name"), F.col("from_email").alias("sender_email"), document_date(F.col("date"), as_of_year).alias("at"), F.explode(F.filter(parts, lambda p: p["raw"] != "")).alias("p"))
     who = address(F.col("p.raw"))
     rows = rows.select(scope, "sender_name", "sender_email", who["name"].alias("recipient_name"), F.when(who["email"] == "", F.col("p.raw")).otherwise(who["email"]).alias("recipient_email"), F.col("p.kind").alias("relationship_type"), "at")
