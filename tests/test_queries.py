@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from foliant.plans import commerce, documents, intake, monitoring, relations  # noqa: F401
+from foliant.plans import commerce, documents, evaluation, intake, monitoring, relations  # noqa: F401
 from foliant.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
