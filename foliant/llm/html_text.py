@@ -28,7 +28,7 @@ CLOSES = {
 }
 #: Words in a class, id or role that mark what is not the article.
 HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
+    "ad ads adv advert adverts advertisement advertising banner alert breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
     "disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion reactions "
     "related recommended replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )

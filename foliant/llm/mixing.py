@@ -158,8 +158,10 @@ def mixed_rows(docs: DataFrame, sources: Column, size: Column, id_col: str = "do
     """The rows of docs, all columns, each as many times as mix() takes it. The plan is broadcast, texts are not shuffled."""
     narrow = cut(placed(docs, sources, size, id_col, seed).select("_sources", "_size", "_bin", "_sub"), "sizes")
     cuts, times = plan_mix(narrow, weights, budget, repeats, most_patterns)
-    out = placed(docs, sources, size, id_col, seed).join(F.broadcast(cuts), "_sources").withColumn("_times", times).filter("_times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    # The row's own columns travel as one, so that none can clash with the plan's.
+    rows = placed(docs, sources, size, id_col, seed).select(F.struct(*docs.columns).alias("_row"), "_sources", "_size", "_bin", "_sub")
+    out = rows.join(F.broadcast(cuts), "_sources").select("_row", times.alias("_times")).filter("_times > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 def refine(rows: DataFrame, rest: DataFrame) -> DataFrame:

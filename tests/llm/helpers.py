@@ -4,7 +4,7 @@ import re
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, run int, id int, tokens string, shard int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, run int, id int, tokens string, shard int, targets string, rest int, whole int, end0 int, _times int"
 
 
 def words(text):
@@ -13,7 +13,7 @@ def words(text):
 
 def frame(spark, rows):
     """documents with columns that clash with names that operators use inside."""
-    return spark.createDataFrame([(i, t, lang, source, len(t or ""), "x", 1, 2, "y", 3) for i, t, lang, source in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, source, len(t or ""), "x", 1, 2, "y", 3, "z", 4, 5, 6, 7) for i, t, lang, source in rows], SCHEMA)
 
 
 BASE = " ".join(f"w{k}" for k in range(120))
