@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.operators.components import connected_components
@@ -222,9 +221,3 @@ def completed(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
     ends = edges.select(F.col("src").alias(key)).union(edges.select(F.col("dst").alias(key))).distinct()
     return nodes.select(key).union(ends.join(nodes, key, "left_anti")).distinct()
 
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
