@@ -225,3 +225,33 @@ def settings_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defaults of a registry under the rows that override them."""
     over = load(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.max("s_name").alias("v"))
     return load(spark, sf_dir, "nation").join(over, "n_nationkey", "left").select("n_nationkey", F.coalesce("v", "n_name").alias("value"), F.col("v").isNotNull().alias("overridden"))
+
+
+@query("rank_list", "SELECT s_suppkey, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier")
+def rank_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks by score within a scope, from 1."""
+    w = Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")
+    return load(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.row_number().over(w).cast("long").alias("rank"))
+
+
+@query("first_occurrence", "SELECT l_partkey, l_suppkey, l_returnflag, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1")
+def first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of the edges with one source, target and relation, in the order of arrival."""
+    edges = load(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber")
+    return first_by(edges, ["l_partkey", "l_suppkey", "l_returnflag"], [F.col("l_orderkey"), F.col("l_linenumber")])
+
+
+@query("array_containment", "SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS priorities FROM orders GROUP BY 1 HAVING list_contains(list(DISTINCT o_orderpriority), '1-URGENT')")
+def array_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose list of values holds one."""
+    sets = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("priorities"))
+    return sets.filter(F.array_contains("priorities", "1-URGENT"))
+
+
+@query("match_union", "SELECT p_partkey AS id, max(score) AS score, max(method) AS method FROM (SELECT p_partkey, 100 AS score, 'exact' AS method FROM part WHERE p_size = 10 UNION ALL SELECT p_partkey, 85, 'fuzzy' FROM part WHERE p_size BETWEEN 8 AND 12) GROUP BY 1 HAVING count(*) >= 1")
+def match_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of two methods in one table, the better score of each id."""
+    part = load(spark, sf_dir, "part")
+    kind = lambda c, score, name: part.filter(c).select(F.col("p_partkey").alias("id"), F.lit(score).alias("score"), F.lit(name).alias("method"))
+    both = kind("p_size = 10", 100, "exact").unionByName(kind("p_size BETWEEN 8 AND 12", 85, "fuzzy"))
+    return both.groupBy("id").agg(F.max("score").alias("score"), F.max("method").alias("method"))
