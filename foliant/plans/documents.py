@@ -10,7 +10,7 @@ from foliant.operators.filters import file_type, question_tier
 from foliant.operators.near_dup import duplicate_clusters, near_duplicates
 from foliant.operators.rows import best_per_cluster, first_by, flag_first, merge_hits
 from foliant.operators.vectors import blended, cosine, dense_top_k, max_sim, ranked, ranking_metrics, relevance, upper_median
-from foliant.registry import load, query
+from foliant.registry import load, load_spread, query
 
 STRIP = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 QUALITY = rf"""
@@ -36,7 +36,7 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four quality scores of each text, with words as tokens."""
     tokens = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     scores = chunk_quality(F.col("text"), tokens)
-    return load(spark, sf_dir, "documents").select("doc_id", *(scores[k].alias(k) for k in ("coherence", "information_density", "completeness", "length_score")))
+    return load_spread(spark, sf_dir, "documents").select("doc_id", *(scores[k].alias(k) for k in ("coherence", "information_density", "completeness", "length_score")))
 
 
 @query("corpus_stats", "SELECT count(*) AS documents, coalesce(sum(n_chars), 0)::BIGINT AS chars, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs FROM documents")
@@ -48,7 +48,7 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ocr_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrected texts and the number of corrections; look-around patterns have no oracle, tests hold it against Python's re."""
     text, n = ocr_corrected(F.col("text"))
-    return load(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("corrected_sha256"), n.cast("long").alias("corrections"))
+    return load_spread(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("corrected_sha256"), n.cast("long").alias("corrections"))
 
 
 @query("html_tags_stripped", r"SELECT page_id, sha256(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS text_sha256 FROM pages")
@@ -78,7 +78,7 @@ PII_SQL = r"""SELECT doc_id, len(regexp_extract_all(text, '\b\d{3}-\d{2}-\d{4}\b
 @query("pii_counts", PII_SQL)
 def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = pii_counts(F.col("text"))
-    return load(spark, sf_dir, "documents").select("doc_id", *(counts[k].alias(k) for k in ("ssn", "phone", "email", "dob")))
+    return load_spread(spark, sf_dir, "documents").select("doc_id", *(counts[k].alias(k) for k in ("ssn", "phone", "email", "dob")))
 
 
 @query("sanitised_messages", r"""WITH t AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '"[^"]*"', '[REDACTED]', 'g'), '''[^'']*''', '[REDACTED]', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '[SSN]', 'g'),
@@ -135,7 +135,7 @@ def url_file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("near_duplicate_clusters")
 def near_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates within each source, clustered; MinHash candidates are verified, tests hold it against brute force."""
-    matches = near_duplicates(load(spark, sf_dir, "documents"), "doc_id", "text", ["source"])
+    matches = near_duplicates(load_spread(spark, sf_dir, "documents"), "doc_id", "text", ["source"])
     return duplicate_clusters(matches.drop("source"))
 
 

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from foliant.operators.chunks import chunk
 from foliant.operators.mail import assign_threads
-from foliant.registry import load, query
+from foliant.registry import load, load_spread, query
 from foliant.streaming.jobs import hourly, once, run_all, stream
 
 
 @query("document_chunks")
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all documents; tests hold the chunker against its rules."""
-    out = chunk(load(spark, sf_dir, "documents"))
+    out = chunk(load_spread(spark, sf_dir, "documents"))
     return out.select("doc_id", "chunk_index", "section", "token_count", F.sha2("text", 256).alias("text_sha256"))
 
 

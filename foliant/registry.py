@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.plans.lineage import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -25,3 +27,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def load_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that costs far more than its scan: one of fewer partitions than cores, as a single small file is, is dealt out first."""
+    return spread(load(spark, sf_dir, name))
