@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foliant.plans.lineage import cut, shared_dir
 
-__all__ = ["BROADCAST_IDS", "WORD", "cut", "fold_case", "restrict", "shared_dir", "spans", "table", "text_bytes"]
+__all__ = ["BROADCAST_IDS", "WORD", "cut", "fold_case", "give_back", "restrict", "shared_dir", "small_batches", "spans", "table", "text_bytes"]
 
 #: Words of all contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +20,8 @@ LOWER = UPPER.lower()
 
 #: Ids that a size-checked broadcast may hold (8 MB of longs).
 BROADCAST_IDS = 1_000_000
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +39,14 @@ def restrict(df: DataFrame, ids: DataFrame, keys: list[str], how: str = "left_se
     return df.join(F.broadcast(ids) if small else ids, keys, how)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches at BATCH_ROWS rows unless it chose a size: texts are long, and a batch is held several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 offsets of its rows, without copies; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -55,3 +67,12 @@ def spans(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
         out.append((i, min(j, n)))
         i = out[-1][1]
     return out
+
+
+def give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches; what Arrow's pool holds of batches gone by is given back, so that idle workers stay small."""
+    for n, batch in enumerate(batches):
+        yield batch
+        if n % 8 == 7:
+            pa.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()

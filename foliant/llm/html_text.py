@@ -11,6 +11,8 @@ from math import log
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from foliant.llm.common import give_back, small_batches
+
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button datalist head title".split())
@@ -231,10 +233,10 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", ch
     schema = pages.select(*kept).schema.add(text_col, "string").add(chars_col, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in give_back(batches):
             for i in range(0, max(1, batch.num_rows), 256):
                 part = batch.slice(i, 256)
                 texts = [main_text(x.as_py()) for x in part.column(html_col)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*kept, text_col, chars_col])
 
-    return pages.select(*kept, html_col).mapInArrow(run, schema)
+    return small_batches(pages.select(*kept, html_col)).mapInArrow(run, schema)

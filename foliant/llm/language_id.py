@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, spans, text_bytes
+from foliant.llm.common import cut, give_back, small_batches, spans, text_bytes
 
 #: Letter classes: 0 is the gap between words, then a-z, the letters U+00DF to U+00FF, and buckets that all other letters share by hash.
 LATIN = [*range(ord("a"), ord("z") + 1), *(c for c in range(0xDF, 0x100) if c != 0xF7)]
@@ -21,7 +21,7 @@ LETTERS = 1 + len(LATIN) + OTHER
 GRAMS = LETTERS**3
 #: Dimensions of the vectors, and trigrams whose vectors a worker holds: the most frequent ones of the training rows.
 DIMENSIONS, VOCABULARY = 1024, 12_288
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 TABLE: list[np.ndarray] = []
 
 
@@ -91,7 +91,7 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", s
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in give_back(batches):
             langs = np.array(batch.column("lang").to_pylist(), object)
             for i, j, row, gram, _ in trigrams(batch.column("text")):
                 names, index = np.unique(langs[i:j].astype(str), return_inverse=True)
@@ -110,7 +110,7 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", s
             (gram,) = counts.nonzero()
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.astype(np.int32)), pa.array(counts[gram])], ["lang", "gram", "n"])
 
-    counts = labelled.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = small_batches(labelled).mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = cut(counts, "grams")
     langs = sorted(r.lang for r in counts.select("lang").distinct().limit(most_langs + 1).collect())
     if len(langs) > most_langs:
@@ -149,9 +149,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_co
             held.extend([place, gram_vectors(p.grams, p.seed), (p.prototypes[:-1] / np.maximum(norms, 1e-12)).T, p.prototypes[-1]])
         place, vectors, unit, centre = held
         width = len(p.grams)
-        for batch in batches:
-            langs: list[str] = []
-            scores: list[np.ndarray] = []
+        for batch in give_back(batches):
             for i, j, row, gram, letters in trigrams(batch.column(text_col)):
                 best, score = np.zeros(j - i, np.int64), np.zeros(j - i)
                 if p.langs and width:
@@ -166,13 +164,13 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_co
                         cosine = bundle @ unit / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-12)
                         best[k : k + m], score[k : k + m] = cosine.argmax(1), cosine.max(1)
                 und = ~letters if p.langs else np.ones(j - i, bool)
-                langs += ["und" if u else p.langs[b] for u, b in zip(und, best, strict=True)]
-                scores.append(np.where(und, 0.0, np.clip(score, 0, 1)))
-            out = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(langs, pa.string()), pa.array(out, pa.float64())], [*kept, lang_col, score_col])
+                langs = ["und" if u else p.langs[b] for u, b in zip(und, best, strict=True)]
+                score = np.where(und, 0.0, np.clip(score, 0, 1))
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*kept, lang_col, score_col])
 
     source = docs.select(*kept)
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -10,19 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import BROADCAST_IDS, cut, restrict, spans, text_bytes
+from foliant.llm.common import BROADCAST_IDS, cut, give_back, restrict, small_batches, spans, text_bytes
 from foliant.llm.words import mixed, windows, words
 from foliant.operators.components import connected_components
 
 #: Bytes of text, and tokens, that a Python worker holds at once.
-CHUNK, BLOCK = 1 << 22, 1 << 20
+CHUNK, BLOCK = 1 << 20, 1 << 20
 #: Pairs of hashes whose minima a document is grouped by.
 SLOTS = 2
 #: Tokens below it are a quarter of all.
 QUARTER = np.uint64(1 << 62)
 #: A token that occurs LOCAL times in a window of WINDOW_TOKENS tokens is reported; one with reports of FREQUENT comes late in the order.
 #: Any order is right; this one keeps common tokens out of prefixes. At most ORDERED tokens, the most frequent, are ordered so (8 MB each).
-WINDOW_TOKENS, LOCAL, FREQUENT, ORDERED = 1 << 22, 3, 12, 1_000_000
+WINDOW_TOKENS, LOCAL, FREQUENT, ORDERED = 1 << 21, 2, 8, 1_000_000
 
 
 def need(n: np.ndarray | int) -> np.ndarray | int:
@@ -64,7 +64,7 @@ def set_rows(docs: DataFrame, size: int) -> DataFrame:
             none = pa.nulls(len(token), pa.int64())
             return pa.RecordBatch.from_arrays([none] * (4 + SLOTS) + [pa.array(token.view(np.int64)), pa.array(count.astype(np.int64))], names)
 
-        for batch in batches:
+        for batch in give_back(batches):
             for i, j, at, token in token_sets(batch.column("text"), size):
                 n = np.diff(at)
                 some, start = np.flatnonzero(n), at[:-1][n > 0]
@@ -84,7 +84,7 @@ def set_rows(docs: DataFrame, size: int) -> DataFrame:
                     yield reports()
         yield reports()
 
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return small_batches(docs).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def token_rows(docs: DataFrame, size: int, part: bool = False) -> DataFrame:
@@ -95,14 +95,14 @@ def token_rows(docs: DataFrame, size: int, part: bool = False) -> DataFrame:
     kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in give_back(batches):
             for i, j, at, token in token_sets(batch.column("text"), size):
                 lists = [token[at[k] : at[k + 1]] for k in range(j - i)]
                 if part:
                     lists = [((x[: np.searchsorted(x, QUARTER)]) >> np.uint64(30)).astype(np.uint32) for x in lists]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in kept), pa.array([x.tobytes() for x in lists], pa.binary())], [*kept, "tokens"])
 
-    return docs.select(*kept, "text").mapInArrow(run, docs.select(*kept).schema.add("tokens", "binary"))
+    return small_batches(docs.select(*kept, "text")).mapInArrow(run, docs.select(*kept).schema.add("tokens", "binary"))
 
 
 def clusters(sets: list[np.ndarray]) -> np.ndarray:
@@ -210,7 +210,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, rank = order.value
-        for batch in batches:
+        for batch in give_back(batches):
             for i, j, at, token in token_sets(batch.column("text"), size):
                 n = np.diff(at)
                 place = np.zeros(len(token), np.int32)
@@ -226,7 +226,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, size: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(ends, pa.array(token[inside].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(n.astype(np.int64)), lists], ["id", "n", "prefix"])
 
-    return docs.mapInArrow(run, "id long, n long, prefix array<long>")
+    return small_batches(docs).mapInArrow(run, "id long, n long, prefix array<long>")
 
 
 def contested(rows: DataFrame) -> DataFrame:

@@ -12,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from foliant.llm.common import give_back, small_batches
+
 SPACE = "▁"
 #: Units (words) whose ids a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 200_000
 
 
 class PieceBPE:
@@ -146,7 +148,7 @@ def model(model_file: str) -> PieceBPE:
 def encoded(batches: Iterator[pa.RecordBatch], model_file: str, text_col: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[str]]]:
     """Each batch with the ids and the decoded text of its rows."""
     bpe = model(model_file)
-    for batch in batches:
+    for batch in give_back(batches):
         texts = batch.column(text_col)
         for i in range(0, max(1, len(texts)), 512):
             part = batch.slice(i, 512)
@@ -169,7 +171,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: st
             flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, flat), pa.array(texts, pa.string())], [*kept, ids_col, decoded_col])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return small_batches(docs.select(*kept)).mapInArrow(run, schema)
 
 
 def encode_digests(docs: DataFrame, model_file: str, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -187,4 +189,4 @@ def encode_digests(docs: DataFrame, model_file: str, keys: list[str], text_col:
 
     columns: Callable = docs.select(*keys).schema.add
     schema = columns("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return docs.select(*keys, text_col).mapInArrow(run, schema)
+    return small_batches(docs.select(*keys, text_col)).mapInArrow(run, schema)

@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import cut, spans, text_bytes
+from foliant.llm.common import cut, give_back, small_batches, spans, text_bytes
 from foliant.llm.words import windows, words
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 
 def text_stats(docs: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
@@ -70,7 +70,7 @@ def text_stats(docs: DataFrame, keys: Sequence[str], text_col: str = "text") ->
         return [np.diff(w.first), chars, signs, np.bincount(owner[later], minlength=n), again, np.bincount(owner, minlength=n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in give_back(batches):
             data, offsets = text_bytes(batch.column(text_col))
             parts = [stats(data, offsets[i : j + 1]) for i, j in spans(offsets, CHUNK)]
             columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts, strict=True)] or [pa.array([], pa.int64())] * len(STATS)
@@ -79,7 +79,7 @@ def text_stats(docs: DataFrame, keys: Sequence[str], text_col: str = "text") ->
     schema = docs.select(*keys).schema
     for name in STATS:
         schema = schema.add(name, "long")
-    return docs.select(*keys, text_col).mapInArrow(run, schema)
+    return small_batches(docs.select(*keys, text_col)).mapInArrow(run, schema)
 
 
 def line_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import cut, restrict, shared_dir, spans, text_bytes
+from foliant.llm.common import cut, give_back, restrict, shared_dir, small_batches, spans, text_bytes
 
 ENTRY = T.StructType([T.StructField("version", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 #: Bytes of text that are handed to the tokenizer at once.
@@ -82,7 +82,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, cache_path: str | None =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = load(tokenizer_file)
-        for batch in batches:
+        for batch in give_back(batches):
             digests, column = batch.column("digest"), batch.column("text")
             counts: list[int] = []
             for i, j in spans(text_bytes(column)[1], BATCH_BYTES):
@@ -90,7 +90,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, cache_path: str | None =
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(counts), pa.string()), digests.cast(pa.binary()), pa.array(counts, pa.int64())], ["version", "digest", "n_tokens"])
 
     # A repeated row (or null ids) may be encoded twice; the counts agree.
-    todo.select("digest", "text").mapInArrow(encode, ENTRY).write.mode("append").parquet(path)
+    small_batches(todo.select("digest", "text")).mapInArrow(encode, ENTRY).write.mode("append").parquet(path)
     new = read_cache(spark, path).filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     known = cache.select("digest", F.lit(True).alias("cached"))
     counts = new.join(known, "digest", "left").select("digest", "n_tokens", F.coalesce("cached", F.lit(False)).alias("cached"))
