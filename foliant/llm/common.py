@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.plans.lineage import cut, shared_dir
+from foliant.plans.lineage import cut, shared_dir, spread
 
 __all__ = ["BROADCAST_IDS", "WORD", "cut", "fold_case", "give_back", "restrict", "shared_dir", "small_batches", "spans", "table", "text_bytes"]
 
@@ -25,7 +25,8 @@ BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer partitions than cores is dealt out first."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def fold_case(text: Column) -> Column:
@@ -33,9 +34,9 @@ def fold_case(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def restrict(df: DataFrame, ids: DataFrame, keys: list[str], how: str = "left_semi") -> DataFrame:
-    """Semi or anti join; ids are broadcast only when a count shows that they fit in BROADCAST_IDS."""
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+def restrict(df: DataFrame, ids: DataFrame, keys: list[str], how: str = "left_semi", most: int = BROADCAST_IDS) -> DataFrame:
+    """Semi or anti join; ids are broadcast only when a count shows that there are `most` of them at most."""
+    small = ids.limit(most + 1).count() <= most
     return df.join(F.broadcast(ids) if small else ids, keys, how)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, fold_case
+from foliant.llm.common import BROADCAST_IDS, cut, fold_case, restrict
 
 KEY = ["sha", "bytes", "check"]
 
@@ -66,14 +66,15 @@ def up(fan_in: int) -> Column:
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """The rows of docs, all columns, that exact_dedup() keeps: one of each group of equal texts."""
-    stays = cut(exact_dedup(docs, id_col, text_col, keep).filter("first").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")), "stays")
-    keyed = docs.withColumns({"_id": F.col(id_col), "_sha": F.sha2(fold_case(F.coalesce(F.col(text_col), F.lit(""))), 256)})
-    found = keyed.join(stays.withColumnsRenamed({"_id": "_stay", "_sha": "_stay_sha"}), (F.col("_id").eqNullSafe(F.col("_stay"))) & (F.col("_sha") == F.col("_stay_sha")), "left_semi")
-    # Only repeated rows, the same id and text, are left; those few go through a distinct.
-    again = cut(found.groupBy("_id", "_sha").count().filter("count > 1").select("_id", "_sha"), "repeated")
+    key = F.unhex(F.md5(F.concat_ws(":", F.col("_id").cast("string"), F.col("_sha"))))
+    rows = exact_dedup(docs, id_col, text_col, keep).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "first").withColumn("_key", key)
+    keys = cut(rows.groupBy("_key").agg(F.bool_or("first").alias("stays"), F.count("*").alias("n")), "keys")
+    keyed = docs.withColumns({"_id": F.col(id_col), "_sha": F.sha2(fold_case(F.coalesce(F.col(text_col), F.lit(""))), 256)}).withColumn("_key", key).drop("_id", "_sha")
+    # Rows that go are told by their keys, which are few enough to broadcast unless much of the input is copies; texts stay where they are.
+    found = restrict(keyed, keys.filter("NOT stays").select("_key"), ["_key"], "left_anti", BROADCAST_IDS // 4)
+    # Only repeated rows, the same id and text, are left; those go through a distinct.
+    again = keys.filter("stays AND n > 1").select("_key")
     if again.isEmpty():
-        return found.drop("_id", "_sha")
-    on = (F.col("_id").eqNullSafe(F.col("_again"))) & (F.col("_sha") == F.col("_again_sha"))
-    again = again.withColumnsRenamed({"_id": "_again", "_sha": "_again_sha"})
-    once = found.join(again, on, "left_anti")
-    return once.unionByName(found.join(again, on, "left_semi").dropDuplicates(["_id", "_sha"])).drop("_id", "_sha")
+        return found.drop("_key")
+    once = found.join(again, "_key", "left_anti")
+    return once.unionByName(found.join(again, "_key", "left_semi").dropDuplicates(["_key"])).drop("_key")
