@@ -11,6 +11,7 @@ from foliant.llm.common import table
 from foliant.llm.exact_dedup import exact_dedup
 from foliant.llm.html_text import extract
 from foliant.llm.language_id import held_out, predict, train
+from foliant.llm.license_scan import license_scan
 from foliant.llm.mixing import mix, word_count
 from foliant.llm.ngram_join import ngram_components
 from foliant.llm.piece_bpe import encode_digests
@@ -32,6 +33,11 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", own["source_size"].alias("source_size"), own["target"].alias("target"), F.col("taken").cast("long").alias("taken"), own["source"].alias("source"), "times")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3: license texts and notices in all documents."""
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: tokens of every text, over 1024 flagged. The cache is new for each run, so every distinct text is encoded."""
     import public_tokenizers
@@ -89,6 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_source_mix": op2_source_mix,
+    "op3_license_scan": op3_license_scan,
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
