@@ -55,7 +55,7 @@ class PieceBPE:
         self.breaks = "\n" not in "".join(self.id)
         # Marks that no piece has just after a letter: a word's letters and what follows can be encoded apart.
         self.marks = "".join(c for c in ".,;:!?" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in self.id))
-        self.tail = re.compile(rf"(.*[^\W\d_])([{re.escape(self.marks)}].*)", re.S) if self.marks else re.compile(r"(?!)(.)(.)")
+        self.border = re.compile(rf"(?<=[^\W\d_])(?=[{re.escape(self.marks)}])") if self.marks else re.compile(r"(?!)")
 
     def merge(self, text: str) -> list[int]:
         """The definition, for a few pieces' text: merge the neighbours of best score, leftmost first."""
@@ -84,12 +84,18 @@ class PieceBPE:
         return ok
 
     def unit(self, text: str) -> bytes:
-        """Ids of one unit, as 16-bit integers."""
-        if m := self.tail.fullmatch(text):
-            word = self.known.get(m[1])
-            if word is None:
-                word = self.known[m[1]] = self.unit(m[1])
-            return word + self.unit(m[2])
+        """Ids of one unit, as 16-bit integers: those of its parts between letters and marks, of which each is encoded once."""
+        parts = self.border.split(text)
+        if len(parts) == 1:
+            return self.part(text)
+        known = self.known
+        for p in parts:
+            if p not in known:
+                known[p] = self.part(p)
+        return b"".join(map(known.__getitem__, parts))
+
+    def part(self, text: str) -> bytes:
+        """Ids of a text without a mark just after a letter, as 16-bit integers."""
         n = len(text)
         last, size = [-1] * n, [1] * n
         pairs = self.pairs
