@@ -20,8 +20,8 @@ LOWER = UPPER.lower()
 
 #: Ids that a size-checked broadcast may hold (8 MB of longs).
 BROADCAST_IDS = 1_000_000
-#: Rows of an Arrow batch of texts.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch of texts: whichever is reached first ends it, so that only a longer text makes a larger batch.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +41,14 @@ def restrict(df: DataFrame, ids: DataFrame, keys: list[str], how: str = "left_se
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, with its session's Arrow batches at BATCH_ROWS rows unless it chose a size: texts are long, and a batch is held several times over."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(name) == "10000":
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    """df, with its session's Arrow batches bounded by BATCH unless it chose bounds: texts are long, and a batch is held several times over.
+
+    Spark reads these settings when a plan runs, so they stay set.
+    """
+    conf = df.sparkSession.conf
+    for name, (default, ours) in BATCH.items():
+        if conf.get(name) == default:
+            conf.set(name, ours)
     return df
 
 

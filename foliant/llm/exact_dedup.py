@@ -65,16 +65,19 @@ def up(fan_in: int) -> Column:
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of docs, all columns, that exact_dedup() keeps: one of each group of equal texts."""
-    key = F.unhex(F.md5(F.concat_ws(":", F.col("_id").cast("string"), F.col("_sha"))))
-    rows = exact_dedup(docs, id_col, text_col, keep).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "first").withColumn("_key", key)
-    keys = cut(rows.groupBy("_key").agg(F.bool_or("first").alias("stays"), F.count("*").alias("n")), "keys")
-    keyed = docs.withColumns({"_id": F.col(id_col), "_sha": F.sha2(fold_case(F.coalesce(F.col(text_col), F.lit(""))), 256)}).withColumn("_key", key).drop("_id", "_sha")
+    """The rows of docs, all columns, that exact_dedup() keeps: one of each group of equal texts. Columns of any name pass through."""
+
+    def key(of: Column, sha: Column) -> Column:
+        return F.unhex(F.md5(F.concat_ws(":", of.cast("string"), sha)))
+
+    rows = exact_dedup(docs, id_col, text_col, keep).select(key(F.col(id_col), F.col("text_sha256")).alias("key"), "first")
+    keys = cut(rows.groupBy("key").agg(F.bool_or("first").alias("stays"), F.count("*").alias("n")), "keys")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), key(F.col(id_col), F.sha2(fold_case(F.coalesce(F.col(text_col), F.lit(""))), 256)).alias("key"))
     # Rows that go are told by their keys, which are few enough to broadcast unless much of the input is copies; texts stay where they are.
-    found = restrict(keyed, keys.filter("NOT stays").select("_key"), ["_key"], "left_anti", BROADCAST_IDS // 4)
+    found = restrict(keyed, keys.filter("NOT stays").select("key"), ["key"], "left_anti", BROADCAST_IDS // 4)
     # Only repeated rows, the same id and text, are left; those go through a distinct.
-    again = keys.filter("stays AND n > 1").select("_key")
+    again = keys.filter("stays AND n > 1").select("key")
     if again.isEmpty():
-        return found.drop("_key")
-    once = found.join(again, "_key", "left_anti")
-    return once.unionByName(found.join(again, "_key", "left_semi").dropDuplicates(["_key"])).drop("_key")
+        return found.select("row.*")
+    once = found.join(again, "key", "left_anti")
+    return once.unionByName(found.join(again, "key", "left_semi").dropDuplicates(["key"])).select("row.*")

@@ -13,36 +13,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import cut, give_back, small_batches, spans, text_bytes
-
-#: Letter classes: 0 is the gap between words, then a-z, the letters U+00DF to U+00FF, and buckets that all other letters share by hash.
-LATIN = [*range(ord("a"), ord("z") + 1), *(c for c in range(0xDF, 0x100) if c != 0xF7)]
-OTHER = 37
-LETTERS = 1 + len(LATIN) + OTHER
-GRAMS = LETTERS**3
-#: Dimensions of the vectors, and trigrams whose vectors a worker holds: the most frequent ones of the training rows.
-DIMENSIONS, VOCABULARY = 1024, 12_288
-CHUNK = 1 << 19
+from foliant.llm.words import mixed
+
+#: Dimensions of the vectors.
+DIMENSIONS = 1024
+#: Bits of a letter (a code point; 0 is the gap between words) in a trigram, trigrams whose vectors a worker holds at once, and rows bundled together.
+BITS, SLICE, ROWS = 21, 4096, 128
+#: Bytes of text, and distinct trigrams with their counts, that a worker holds.
+CHUNK, HELD = 1 << 19, 1 << 18
+#: Weights are whole numbers of this unit, so that sums don't depend on their order.
+UNIT = 1 << 24
 TABLE: list[np.ndarray] = []
 
 
 def letter_table() -> np.ndarray:
-    """Class of every code point; 0 for all that are no letters."""
+    """The lower-case letter of every code point; 0 for all that are no letters."""
     if not TABLE:
-        table = np.zeros(0x110000, np.uint8)
-        place = {c: 1 + i for i, c in enumerate(LATIN)}
+        table = np.zeros(0x110000, np.int32)
         for c in range(0x110000):
             ch = chr(c)
             if ch.isalpha():
-                low = ch.lower()
-                low = unicodedata.normalize("NFC", low)[:1]
-                table[c] = place.get(ord(low)) or 1 + len(LATIN) + ord(low) * 2654435761 % 2**32 % OTHER
+                table[c] = ord(unicodedata.normalize("NFC", ch.lower())[0])
         TABLE.append(table)
     return TABLE[0]
 
 
 def trigrams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(from row, to row, row of each trigram, trigram, rows with a letter). Runs of other characters are one gap; words have gaps at both ends."""
-    data, offsets = text_bytes(column)
+    _, offsets = text_bytes(column)
     table = letter_table()
     for i, j in spans(offsets, CHUNK):
         texts = column.slice(i, j - i).to_pylist()
@@ -55,122 +53,142 @@ def trigrams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         letters = np.bincount(row[code > 0], minlength=len(texts) + 1)[: len(texts)] > 0
         keep = np.append(True, (code[1:] > 0) | (code[:-1] > 0) | (row[1:] != row[:-1]))
         code, row = code[keep], row[keep]
-        gram = (code[:-2] * LETTERS + code[1:-1]) * LETTERS + code[2:]
+        gram = (code[:-2] << 2 * BITS) | (code[1:-1] << BITS) | code[2:]
         one = (code[1:-1] > 0) & (row[:-2] == row[1:-1])
         yield i, j, row[1:-1][one], gram[one], letters
 
 
+def letter_vectors(letters: np.ndarray, seed: int) -> np.ndarray:
+    """The random sign vector of each letter, drawn from its code point and the seed."""
+    start = np.frombuffer(hashlib.sha256(f"letters {seed}".encode()).digest()[:8], np.uint64)
+    word = np.arange(DIMENSIONS // 64, dtype=np.uint64)
+    drawn = mixed(mixed(letters.astype(np.uint64)[:, None] + start) + word + np.uint64(1))
+    return (np.unpackbits(drawn.view(np.uint8), axis=1).view(np.int8) << 1) - np.int8(1)
+
+
+def gram_vectors(grams: np.ndarray, seed: int) -> np.ndarray:
+    """Bind: the product of the letters' vectors, those of the first and second letter permuted (rolled) by 2 and 1."""
+    parts = [grams >> 2 * BITS, grams >> BITS & (1 << BITS) - 1, grams & (1 << BITS) - 1]
+    letters, at = np.unique(np.concatenate(parts), return_inverse=True)
+    vectors, (a, b, c) = letter_vectors(letters, seed), np.split(at, 3)
+    return np.roll(vectors, 2, 1)[a] * np.roll(vectors, 1, 1)[b] * vectors[c]
+
+
 @dataclass
 class Profiles:
-    """Prototypes by language; small: VOCABULARY vectors are made anew from the seed in each worker."""
+    """Prototypes by language, 4 KB each, and their mean as the last row; trigrams' vectors are made from the seed where they are needed."""
 
     langs: list[str]
-    grams: np.ndarray
     prototypes: np.ndarray
     seed: int
 
 
-def gram_vectors(grams: np.ndarray, seed: int) -> np.ndarray:
-    """Bind: the product of the letters' random sign vectors, those of the first and second letter permuted (rolled) by 2 and 1."""
-    digest = hashlib.sha256(f"letters {seed}".encode()).digest()
-    letter = np.random.default_rng(int.from_bytes(digest[:8], "big")).integers(0, 2, (LETTERS, DIMENSIONS), np.int8) * 2 - 1
-    a, b, c = grams // (LETTERS * LETTERS), grams // LETTERS % LETTERS, grams % LETTERS
-    return (np.roll(letter, 2, 1)[a] * np.roll(letter, 1, 1)[b] * letter[c]).astype(np.float32)
+def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", seed: int = 11, most_langs: int = 10_000) -> Profiles:
+    """Prototypes from all trigrams of all rows of labelled with a language.
 
-
-def damp(counts: np.ndarray) -> np.ndarray:
-    return np.sqrt(counts, dtype=np.float32)
-
-
-def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", seed: int = 11, most_langs: int = 1000) -> Profiles:
-    """Prototypes from all rows of labelled with a language: trigram counts are added up by Spark, at most GRAMS for each language,
-    and the driver gets those of VOCABULARY trigrams. A language's prototype bundles its trigrams' vectors by the root of their share,
-    less the mean of all prototypes. Rows without a language or text are passed over.
+    Spark adds up the counts by language and trigram. A language's prototype bundles the vectors of all its trigrams by the root of their share;
+    these bundles are sums as well, and only DIMENSIONS numbers a language reach the driver, which takes the mean of all prototypes off each.
+    Rows without a language or text are passed over. Over most_langs languages are an error: there are fewer than 8,000 in the world.
     """
     labelled = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
+    def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        gram, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+        return gram, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+    def flush(sums: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        for lang in list(sums):
+            gram, n = merge(sums.pop(lang))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[str, list] = {}
         for batch in give_back(batches):
-            langs = np.array(batch.column("lang").to_pylist(), object)
+            langs = batch.column("lang").dictionary_encode()
+            names, index = langs.dictionary.to_pylist(), langs.indices.to_numpy()
             for i, j, row, gram, _ in trigrams(batch.column("text")):
-                names, index = np.unique(langs[i:j].astype(str), return_inverse=True)
-                which = index[row]
-                for k, name in enumerate(names):
-                    if name not in sums:
-                        sums[name] = np.zeros(GRAMS, np.int64)
-                    sums[name] += np.bincount(gram[which == k], minlength=GRAMS)
-                if len(sums) > 8:
-                    yield from flush(sums)
+                which = index[i:j][row]
+                for k in np.unique(which):
+                    sums.setdefault(names[k], []).append(np.unique(gram[which == k], return_counts=True))
+                if sum(len(g) for parts in sums.values() for g, _ in parts) > 2 * HELD:
+                    sums = {lang: [merge(parts)] for lang, parts in sums.items()}
+                    if sum(len(parts[0][0]) for parts in sums.values()) > HELD:
+                        yield from flush(sums)
         yield from flush(sums)
 
-    def flush(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for name in list(sums):
-            counts = sums.pop(name)
-            (gram,) = counts.nonzero()
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.astype(np.int32)), pa.array(counts[gram])], ["lang", "gram", "n"])
-
-    counts = small_batches(labelled).mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column("lang").dictionary_encode()
+            index, gram = langs.indices.to_numpy(), batch.column("gram").to_numpy()
+            weight = np.rint(np.sqrt(batch.column("share").to_numpy()) * UNIT)
+            total = np.zeros((len(langs.dictionary), DIMENSIONS))
+            for k in range(0, len(gram), SLICE):
+                vectors = gram_vectors(gram[k : k + SLICE], seed).astype(np.float64)
+                for m in np.unique(index[k : k + SLICE]):
+                    own = index[k : k + SLICE] == m
+                    total[m] += weight[k : k + SLICE][own] @ vectors[own]
+            names = np.repeat(langs.dictionary.to_pylist(), DIMENSIONS)
+            at = np.tile(np.arange(DIMENSIONS, dtype=np.int32), len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.string()), pa.array(at), pa.array(total.ravel().astype(np.int64))], ["lang", "at", "value"])
+
+    counts = small_batches(labelled).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = cut(counts, "grams")
-    langs = sorted(r.lang for r in counts.select("lang").distinct().limit(most_langs + 1).collect())
-    if len(langs) > most_langs:
+    whole = counts.groupBy("lang").agg(F.sum("n").alias("all")).limit(most_langs + 1)
+    if whole.count() > most_langs:
         raise ValueError(f"over {most_langs} languages")
-    frequent = counts.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(VOCABULARY)
-    got = counts.join(F.broadcast(frequent), "gram").select("lang", "gram", "n").toPandas()
-    grams = np.sort(got.gram.unique()).astype(np.int64) if len(got) else np.zeros(0, np.int64)
-    matrix = np.zeros((len(langs), len(grams)), np.float32)
-    if len(got):
-        np.add.at(matrix, (np.searchsorted(langs, got.lang), np.searchsorted(grams, got.gram)), got.n)
-    share = damp(matrix / np.maximum(matrix.sum(1, keepdims=True), 1))
-    prototypes = share @ gram_vectors(grams, seed) if len(grams) else np.zeros((len(langs), DIMENSIONS), np.float32)
-    centre = prototypes.mean(0) if len(langs) > 1 else np.zeros(DIMENSIONS, np.float32)
-    return Profiles(langs, grams, np.vstack([prototypes - centre, centre[None]]) if len(langs) else np.zeros((1, DIMENSIONS), np.float32), seed)
+    shares = counts.join(F.broadcast(whole), "lang").select("lang", "gram", (F.col("n") / F.col("all")).alias("share"))
+    sums = shares.mapInArrow(bundle, "lang string, at int, value long").groupBy("lang", "at").agg(F.sum("value").alias("value"))
+    found = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("v")).select("lang", "v.value").collect()
+    found.sort(key=lambda r: r.lang)
+    prototypes = np.array([r.value for r in found], np.float64).reshape(len(found), DIMENSIONS) / UNIT
+    centre = prototypes.mean(0) if len(found) > 1 else np.zeros(DIMENSIONS)
+    return Profiles([r.lang for r in found], np.vstack([prototypes - centre, centre[None]]).astype(np.float32), seed)
+
+
+def bundles(row: np.ndarray, gram: np.ndarray, rows: int, seed: int) -> np.ndarray:
+    """The vector of each text: its trigrams' vectors, bundled by the root of their share of the text."""
+    out = np.zeros((rows, DIMENSIONS), np.float32)
+    distinct, at = np.unique(gram, return_inverse=True)
+    total = np.maximum(np.bincount(row, minlength=rows), 1).astype(np.float32)
+    for k in range(0, len(distinct), SLICE):
+        here = distinct[k : k + SLICE]
+        inside = slice(None) if len(distinct) <= SLICE else (at >= k) & (at < k + SLICE)
+        counts = np.bincount(row[inside] * len(here) + at[inside] - k, minlength=rows * len(here)).reshape(rows, len(here))
+        out += np.sqrt(counts / total[:, None], dtype=np.float32) @ gram_vectors(here, seed).astype(np.float32)
+    return out
 
 
 def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """All columns of docs and the language whose prototype has the largest cosine with the document's vector, and that cosine, 0 at least.
 
     A document's vector bundles the vectors of its trigrams by the roots of their shares, less the prototypes' mean. Null text, text without
-    a letter, or no learned language give `und` and 0. A document without any learned trigram gets the first language and 0.
-    Ties go to the first language in code point order. Columns named lang_col or score_col are replaced. Nothing is shuffled.
+    a letter, or no learned language give `und` and 0. Letters that no language has give a vector that is nearly at right angles to all prototypes,
+    so a score near 0. Ties go to the first language in code point order. Columns named lang_col or score_col are replaced. Repeated rows get equal
+    results. Nothing is shuffled; a text of any length is worked on whole, by SLICE distinct trigrams at a time.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(profiles)
     kept = [c for c in docs.columns if c not in (lang_col, score_col)]
     schema = docs.select(*kept).schema.add(lang_col, "string").add(score_col, "double")
-    held: list = []
+    norms = np.linalg.norm(profiles.prototypes[:-1], axis=1, keepdims=True)
+    langs, unit, centre, seed = profiles.langs, (profiles.prototypes[:-1] / np.maximum(norms, 1e-12)).T, profiles.prototypes[-1], profiles.seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = model.value
-        if not held:
-            place = np.full(GRAMS, -1, np.int32)
-            place[p.grams] = np.arange(len(p.grams))
-            norms = np.linalg.norm(p.prototypes[:-1], axis=1, keepdims=True)
-            held.extend([place, gram_vectors(p.grams, p.seed), (p.prototypes[:-1] / np.maximum(norms, 1e-12)).T, p.prototypes[-1]])
-        place, vectors, unit, centre = held
-        width = len(p.grams)
         for batch in give_back(batches):
             for i, j, row, gram, letters in trigrams(batch.column(text_col)):
                 best, score = np.zeros(j - i, np.int64), np.zeros(j - i)
-                if p.langs and width:
-                    at = place[gram]
-                    row, at = row[at >= 0], at[at >= 0].astype(np.int64)
-                    for k in range(0, j - i, 128):
-                        m = min(128, j - i - k)
-                        lo, hi = np.searchsorted(row, (k, k + m))
-                        counts = np.bincount((row[lo:hi] - k) * width + at[lo:hi], minlength=m * width).reshape(m, width)
-                        total = counts.sum(1, keepdims=True)
-                        bundle = damp(counts / np.maximum(total, 1)) @ vectors - centre * (total > 0)
-                        cosine = bundle @ unit / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-12)
-                        best[k : k + m], score[k : k + m] = cosine.argmax(1), cosine.max(1)
-                und = ~letters if p.langs else np.ones(j - i, bool)
-                langs = ["und" if u else p.langs[b] for u, b in zip(und, best, strict=True)]
+                for k in range(0, j - i if langs else 0, ROWS):
+                    m = min(ROWS, j - i - k)
+                    lo, hi = np.searchsorted(row, (k, k + m))
+                    vector = bundles(row[lo:hi] - k, gram[lo:hi], m, seed)
+                    vector -= centre * (np.abs(vector).sum(1, keepdims=True) > 0)
+                    cosine = vector @ unit / np.maximum(np.linalg.norm(vector, axis=1, keepdims=True), 1e-12)
+                    best[k : k + m], score[k : k + m] = cosine.argmax(1), cosine.max(1)
+                und = ~letters if langs else np.ones(j - i, bool)
+                found = ["und" if u else langs[b] for u, b in zip(und, best, strict=True)]
                 score = np.where(und, 0.0, np.clip(score, 0, 1))
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*kept, lang_col, score_col])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(found, pa.string()), pa.array(score, pa.float64())], [*kept, lang_col, score_col])
 
-    source = docs.select(*kept)
-    return small_batches(source).mapInArrow(run, schema)
+    return small_batches(docs.select(*kept)).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -15,8 +15,10 @@ from pyspark.sql import types as T
 from foliant.llm.common import give_back, small_batches
 
 SPACE = "▁"
-#: Units (words) whose ids a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 200_000
+#: Bytes of units (words) with their ids, and pairs, that a Python worker remembers while it works on a partition; beyond that it starts anew.
+REMEMBERED, PAIRS = 16 << 20, 120_000
+#: Bytes that a remembered unit takes beside its characters.
+ENTRY = 200
 
 
 class PieceBPE:
@@ -52,6 +54,7 @@ class PieceBPE:
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.breaks = "\n" not in "".join(self.id)
         # Marks that no piece has just after a letter: a word's letters and what follows can be encoded apart.
         self.marks = "".join(c for c in ".,;:!?" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in self.id))
@@ -78,7 +81,7 @@ class PieceBPE:
             return ok
         key = a << 16 | b
         if (ok := self.pairs.get(key)) is None:
-            if len(self.pairs) > 2 * REMEMBERED:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             ok = self.pairs[key] = self.merge(self.piece[a] + self.piece[b]) == [a, b]
         return ok
@@ -88,11 +91,8 @@ class PieceBPE:
         parts = self.border.split(text)
         if len(parts) == 1:
             return self.part(text)
-        known = self.known
-        for p in parts:
-            if p not in known:
-                known[p] = self.part(p)
-        return b"".join(map(known.__getitem__, parts))
+        own = {p: self.part(p) for p in set(parts)}
+        return b"".join(map(own.__getitem__, parts))
 
     def part(self, text: str) -> bytes:
         """Ids of a text without a mark just after a letter, as 16-bit integers."""
@@ -125,15 +125,21 @@ class PieceBPE:
         else:
             units = (SPACE + text.replace(" ", f" {SPACE}").replace("\n", " \n ")).split(" ")
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
         try:
             return b"".join(map(known.__getitem__, units))
         except KeyError:
             for u in units:
                 if u not in known:
                     known[u] = self.unit(u)
-            return b"".join(map(known.__getitem__, units))
+                    self.held += ENTRY + 4 * len(u)
+            out = b"".join(map(known.__getitem__, units))
+            if self.held > REMEMBERED:
+                self.forget()
+            return out
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
 
     def decode(self, ids: list[int]) -> str:
         out = b"".join(map(self.surface.__getitem__, ids))
@@ -160,6 +166,8 @@ def encoded(batches: Iterator[pa.RecordBatch], model_file: str, text_col: str) -
             part = batch.slice(i, 512)
             ids = [np.frombuffer(bpe.encode(t.as_py() or ""), np.uint16) for t in part.column(text_col)]
             yield part, ids, [bpe.decode(x.tolist()) for x in ids]
+    bpe.forget()
+    bpe.pairs.clear()
 
 
 def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
