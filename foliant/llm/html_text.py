@@ -18,6 +18,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button datalist head title".split())
 CHROME = frozenset("nav footer aside form dialog menu".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are part of a text rather than a frame around blocks.
+LEAVES = HEADINGS | frozenset("blockquote caption center dd details dir dl dt figcaption figure hr li menu ol p pre summary table tbody td tfoot th thead tr ul address".split())
 #: A start tag ends an open element of these kinds, up to the nearest element of the second list.
 CLOSES = {
     **{t: (("p",), ("button", "td", "th", "caption", "object")) for t in BLOCK},
@@ -28,12 +31,15 @@ CLOSES = {
     **{t: (("tbody", "thead", "tfoot", "tr", "td", "th", "p"), ("table",)) for t in ("tbody", "thead", "tfoot")},
     "option": (("option",), ("select",)),
 }
-#: Words in a class, id or role that mark what is not the article.
+# Words of class, id and role tokens. A token of the first kind marks what is not the article, one of the third kind alone what is;
+# words of the second kind go with either.
 HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner alert breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
+    "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
     "disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion reactions "
     "related recommended replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+NEUTRAL = frozenset("area bar block bottom box button buttons col container footer-links form global group header holder icons inner item items left level links list main menu module outer page panel right row section site slot text thread title top unit wrap wrapper".split())
+OWN = frozenset("article articles blog body content entry post posts story".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|textarea|title|template|noscript|iframe|svg|select|button)\b[^>]*>.*?(?:</\1\s*>|$)"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|$)|<[a-zA-Z][^>]*$",
@@ -41,9 +47,20 @@ TOKEN = re.compile(
 )
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 GONE = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
-PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: An element that a hint would take out stays if it has this share of the page's characters or more.
-MOST = 0.6
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+
+
+def hinted(attributes: str) -> bool:
+    """Is the element named as something other than the article? Each token of class, id and role is looked at whole: all its words must be known."""
+    marked = own = False
+    for m in NAMES.finditer(attributes):
+        for token in (m[1] or m[2] or m[3] or "").split():
+            parts = [w.lower() for w in PART.findall(token) if not w.isdigit()]
+            if parts and all(w in OWN or w in NEUTRAL for w in parts) and any(w in OWN for w in parts):
+                own = True
+            elif any(w in HINTS for w in parts) and all(w in HINTS or w in NEUTRAL or w in OWN for w in parts):
+                marked = True
+    return marked and not own
 
 
 class Node:
@@ -54,7 +71,7 @@ class Node:
         self.hints = self.gone = False
         if attributes and len(attributes) > 3:
             self.gone = bool(GONE.search(attributes))
-            self.hints = any(w.lower() in HINTS for m in NAMES.finditer(attributes) for w in PART.findall(m[1] or m[2] or m[3] or ""))
+            self.hints = tag not in ("html", "body", "main", "article") and hinted(attributes)
 
 
 def parse(html: str) -> Node:
@@ -137,19 +154,15 @@ def densities(nodes: list[Node]) -> None:
         n.total = sum(x.density for x in n.items if type(x) is Node)
 
 
-def clean(root: Node) -> Node:
-    """The body without elements that are never the article."""
+def visible(root: Node) -> Node:
+    """The body without elements that show no text, and without those that HTML itself sets apart from the content by their kind."""
     body = next((n for n in in_order(root) if n.tag == "body"), root)
-    nodes = measure(body)
-    most = MOST * max(body.chars, 1)
-    drop = set()
-    for n in nodes[1:]:
-        inside = n.tag == "header" and enclosing(n, "article") is None and n.chars < most
-        hinted = n.hints and n.chars < most and n.tag not in ("main", "html")
-        if n.tag in HIDDEN or n.tag in CHROME or n.gone or inside or hinted:
-            drop.add(id(n))
-    for n in nodes:
-        n.items = [x for x in n.items if id(x) not in drop]
+    todo = [(body, False)]
+    while todo:
+        n, inside = todo.pop()
+        inside = inside or n.tag == "article"
+        n.items = [x for x in n.items if type(x) is str or not (x.tag in HIDDEN or x.tag in CHROME or x.gone or x.tag == "header" and not inside)]
+        todo += [(x, inside) for x in n.items if type(x) is Node]
     return body
 
 
@@ -163,8 +176,8 @@ def enclosing(n: Node, *tags: str) -> Node | None:
     return found
 
 
-def blocks(roots: list[Node]) -> list[str]:
-    """Texts of blocks in page order, white space as one space, without empty ones."""
+def blocks(roots: list, apart: set[int]) -> list[str]:
+    """Texts of blocks in page order, white space as one space, without empty ones. None among roots ends a block; nodes of apart are left out."""
     out, text = [], []
 
     def flush() -> None:
@@ -179,6 +192,8 @@ def blocks(roots: list[Node]) -> list[str]:
             flush()
         elif type(x) is str:
             text.append(x)
+        elif id(x) in apart:
+            continue
         elif x.tag in ("br", "td", "th"):
             text.append(" ")
             todo += reversed(x.items)
@@ -192,35 +207,74 @@ def blocks(roots: list[Node]) -> list[str]:
     return out
 
 
+def container(n: Node, body: Node) -> Node:
+    """The element around n that holds blocks: a paragraph, a table cell, a heading or inline element stands for what it is part of."""
+    while n is not body and (n.tag not in BLOCK or n.tag in LEAVES):
+        n = n.parent
+    return n
+
+
+def set_apart(nodes: list[Node], body: Node) -> set[int]:
+    """Nodes in an element that is named as something other than the article."""
+    apart: set[int] = set()
+    for n in nodes:
+        if n.hints or (n is not body and id(n.parent) in apart):
+            apart.add(id(n))
+    return apart
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the article joined by a blank line; empty for null, for pages without text, and where all is boilerplate.
 
-    The node of largest density sum is the core. The least density on its path to the body is the threshold: the core's siblings that hold
-    blocks, reach the threshold and have few links belong to the text too. An article element around the core is taken whole.
+    Every node of the body gets a composite text density and the sum of its children's. The node of the largest sum is the core, or the element that
+    holds the blocks around it; nodes named as something else (HINTS) come into question only if no other has text. The least density
+    on the core's path to the body is the threshold. The core is taken whole. Of what lies beside its path stay, up to the article element
+    around it or else the body, headings, nodes that reach the threshold with less than half of their text in links and, within an article element,
+    nodes without links, however short. From all that is taken go frames under the threshold with half of their text in links or more, and nodes
+    named as something else.
     """
     if not html:
         return ""
-    body = clean(parse(html))
+    body = visible(parse(html))
     nodes = measure(body)
-    densities(nodes)
     if not body.chars:
         return ""
-    core = max(nodes, key=lambda n: n.total)
+    densities(nodes)
+    apart = set_apart(nodes, body)
+    core = max((n for n in nodes if id(n) not in apart), key=lambda n: n.total, default=body)
     if core.total <= 0:
-        core = body
-    if (whole := enclosing(core, "article")) is not None:
-        return "\n\n".join(blocks([whole]))
-    path, threshold = core, core.density
-    while path is not body and path.parent is not None:
-        path = path.parent
-        threshold = min(threshold, path.density)
-    # A core of inline elements stands for the block around it.
-    while core is not body and core.tag not in BLOCK:
-        core = core.parent
-    if core is body or core.parent is None:
-        return "\n\n".join(blocks([core]))
-    roots = [x for x in core.parent.items if type(x) is Node and (x is core or re.fullmatch("h[1-6]", x.tag) or x.tag in BLOCK and x.density >= threshold and x.link_chars * 2 < x.chars)]
-    return "\n\n".join(blocks(roots))
+        # Text without elements of its own: the node of most characters.
+        core = max((n for n in nodes if id(n) not in apart), key=lambda n: n.density)
+    core = container(core, body)
+    if not any(own(core, apart)):
+        apart, core = set(), container(max(nodes, key=lambda n: (n.total, n.density)), body)
+    path = [core]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
+    threshold = min(n.density for n in path)
+    on_path = {id(n) for n in path}
+    apart |= {id(n) for n in nodes if n.tag in BLOCK and n.tag not in LEAVES and id(n) not in on_path and n.density < threshold and 0 < n.chars <= n.link_chars * 2}
+    region = enclosing(core, "article") or body
+    roots: list = []
+    todo: list = [region]
+    while todo:
+        n = todo.pop()
+        if type(n) is str:
+            roots.append(n)
+        elif n is core:
+            roots.append(n)
+        elif id(n) in on_path:
+            todo += [None, *reversed(n.items), None]
+        elif n is None or id(n) not in apart and (n.tag in HEADINGS or n.density >= threshold and n.link_chars * 2 < n.chars or region is not body and not n.link_chars):
+            roots.append(n)
+    return "\n\n".join(blocks(roots, apart))
+
+
+def own(n: Node, apart: set[int]) -> Iterator[str]:
+    """The texts in n that hold a character and lie in no node of apart."""
+    for x in in_order(n):
+        if id(x) not in apart:
+            yield from (t for t in x.items if type(t) is str and t.strip())
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
