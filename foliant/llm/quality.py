@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from math import lgamma, log
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from foliant.llm.common import cut, give_back, small_batches, spans, text_bytes
 from foliant.llm.words import windows, words
@@ -109,71 +109,163 @@ def chi2_quantile(p: float, k: int) -> float:
     return lo
 
 
-def mahalanobis(rows: DataFrame, model: DataFrame, by: list[str], dims: list[str]) -> DataFrame:
-    """Squared distance of each row from its group's centre, column d2; model: by, centre, inverse (row by row)."""
-    k = len(dims)
-    diff = [F.col(d) - F.col("centre")[i] for i, d in enumerate(dims)]
-    terms = [diff[i] * diff[j] * F.col("inverse")[i * k + j] for i in range(k) for j in range(k)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return rows.join(F.broadcast(model), by).withColumn("d2", total)
+#: Grid units to one unit of a statistic, and of a product in a starting shape; buckets to a doubling of a squared distance.
+GRID, FINE, OCTAVE = 256, 1 << 20, 32
+#: Starting shapes, and groups whose estimates (720 bytes each) may be broadcast.
+STARTS, FEW_GROUPS = 3, 20_000
+
 
+def beside(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with a table of one row a group, which is broadcast only where a count shows that it is small."""
+    return rows.join(F.broadcast(small) if small.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else small, keys)
 
-def mcd_outliers(rows: DataFrame, by: list[str], dims: dict[str, Column], floor: Sequence[float], quantile: float = 0.99999, share: float = 0.75, steps: int = 4, most_groups: int = 100_000) -> DataFrame:
-    """All columns of rows, d2 (squared robust distance) and outlier (boolean): a minimum-covariance-determinant estimate for each group.
 
-    Deterministic concentration steps over all rows: from coordinate medians and median deviations, each step keeps the rows of a group with the
-    smallest distances (`share` of them), and takes their mean and covariance. Each is one aggregation by group, so a group of any size is
-    added up in parts; only a mean and a matrix for each group reach the driver, which inverts them (an error above `most_groups`). The last
-    estimate is scaled for consistency and a row is an outlier if its distance is beyond the chi-squared quantile.
+def placed(rows: DataFrame, by: Sequence[str], least: int) -> DataFrame:
+    """(by, judge, teaches): the group whose estimate judges the rows of each value of `by`, and the groups whose estimates they are part of.
 
-    dims: transformed statistics, no nulls. floor: a standard deviation of each that is added to the covariance, so that a statistic which is
-    constant in most rows doesn't reject the others. `by` columns must not be null (fill them in). Groups with fewer than 5 rows for each
-    dimension reject nothing. An empty table gives an empty result.
+    A group is a value of the first columns of `by`, at first of all of them. One of fewer than `least` rows is judged by the next wider one, at last by all rows.
     """
-    names, k = list(dims), len(dims)
-    spark = rows.sparkSession
-    rows = rows.withColumns(dims)
-    ridge = np.diag(np.square(np.asarray(floor, float)))
-
-    def model(found: list, scale: float) -> DataFrame:
-        out = []
-        for r in found:
-            mean = np.array([r[f"m{i}"] for i in range(k)], float)
-            cov = np.zeros((k, k))
-            for i in range(k):
-                for j in range(i + 1):
-                    cov[i, j] = cov[j, i] = r[f"s{i}_{j}"] / r.n - mean[i] * mean[j]
-            out.append((*(r[b] for b in by), mean.tolist(), np.linalg.inv(cov * scale + ridge).ravel().tolist(), int(r.n)))
-        schema = rows.select(*by).schema.add("centre", T.ArrayType(T.DoubleType())).add("inverse", T.ArrayType(T.DoubleType())).add("n", "long")
-        return spark.createDataFrame(out, schema)
-
-    middle = rows.groupBy(*by).agg(*(F.percentile_approx(d, 0.5, 1000).alias(f"m{i}") for i, d in enumerate(names)), F.count("*").alias("n")).limit(most_groups + 1)
-    middle = cut(middle, "medians")
-    if middle.count() > most_groups:
-        raise ValueError(f"over {most_groups} groups")
-    dev = rows.join(F.broadcast(middle), by).groupBy(*by).agg(*(F.percentile_approx(F.abs(F.col(d) - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i, d in enumerate(names)))
-    start = middle.join(dev, by).collect()
-    first = []
-    for r in start:
-        wide = np.diag([max(1.4826 * r[f"d{i}"], 0.0) ** 2 for i in range(k)]) + ridge
-        first.append((*(r[b] for b in by), [float(r[f"m{i}"]) for i in range(k)], np.linalg.inv(wide).ravel().tolist(), int(r.n)))
-    now = spark.createDataFrame(first, rows.select(*by).schema.add("centre", T.ArrayType(T.DoubleType())).add("inverse", T.ArrayType(T.DoubleType())).add("n", "long"))
-    sums = [F.sum("_w").alias("n"), *((F.sum(F.col("_w") * F.col(d)) / F.sum("_w")).alias(f"m{i}") for i, d in enumerate(names))]
-    sums += [F.sum(F.col("_w") * F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i in range(k) for j in range(i + 1)]
+    fine = cut(rows.groupBy(*by).agg(F.count("*").alias("n")), "groups")
+    keys = [F.to_json(F.struct(F.lit(k).alias("wider"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in by[: len(by) - k]))) for k in range(len(by) + 1)]
+    out = fine.withColumns({f"key{k}": key for k, key in enumerate(keys)})
+    for k in range(1, len(by) + 1):
+        out = out.join(out.groupBy(f"key{k}").agg(F.sum("n").alias(f"n{k}")), f"key{k}")
+    judge = F.col(f"key{len(by)}")
+    for k in reversed(range(len(by))):
+        judge = F.when((F.col("n") if k == 0 else F.col(f"n{k}")) >= least, F.col(f"key{k}")).otherwise(judge)
+    out = cut(out.withColumn("judge", judge), "placed")
+    used = out.select("judge").distinct()
+    teaches = []
+    for k in range(len(by) + 1):
+        out = out.join(used.select(F.col("judge").alias(f"key{k}"), F.lit(True).alias(f"used{k}")), f"key{k}", "left")
+        teaches.append(F.when(F.col(f"used{k}"), F.col(f"key{k}")))
+    return out.select(*by, "judge", F.array_compact(F.array(*teaches)).alias("teaches"))
+
+
+def distance(names: list[str], start: int = 0) -> Column:
+    """Squared distance of a row from a group's centre; the group's columns hold `centre` and `inverse` (lower triangle) of each start in turn."""
+    k = len(names)
+    off = [F.col(d) - F.col("centre")[start * k + i] for i, d in enumerate(names)]
+    at, terms = start * k * (k + 1) // 2, []
+    for i in range(k):
+        for j in range(i + 1):
+            terms.append(off[i] * off[j] * F.col("inverse")[at] * F.lit(1.0 if i == j else 2.0))
+            at += 1
+    total = terms[0]
+    for t in terms[1:]:
+        total = total + t
+    return F.greatest(total, F.lit(0.0))
+
+
+def lower(m: np.ndarray) -> list[float]:
+    return m[np.tril_indices(len(m))].tolist()
+
+
+def full(sums: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros((k, k))
+    out[np.tril_indices(k)] = sums
+    return out + np.tril(out, -1).T
+
+
+def starting_model(members: DataFrame, names: list[str], floor: np.ndarray) -> DataFrame:
+    """(g, n, centre, inverse) with STARTS shapes around the medians: of the median deviations, of spatial signs and of bounded (tanh) deviations."""
+    k = len(names)
+    middle = cut(members.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile(d, 0.5).alias(f"m{i}") for i, d in enumerate(names))), "medians")
+    far = [F.abs(F.col(d) - F.col(f"m{i}")) for i, d in enumerate(names)]
+    wide = beside(members, middle, ["g"]).groupBy("g").agg(*(F.percentile(x, 0.5).alias(f"d{i}") for i, x in enumerate(far)))
+    middle = cut(middle.join(wide, "g"), "deviations")
+    z = [(F.col(d) - F.col(f"m{i}")) / F.greatest(1.4826 * F.col(f"d{i}"), F.lit(float(floor[i]))) for i, d in enumerate(names)]
+    scaled = beside(members, middle.select("g", *(f"{c}{i}" for c in "md" for i in range(k))), ["g"]).select("g", *(x.alias(f"z{i}") for i, x in enumerate(z)))
+    norm = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, k)), F.col("z0") * F.col("z0")))
+    scaled = scaled.withColumn("norm", F.greatest(norm, F.lit(1e-12)))
+    ways = {"u": lambda i: F.col(f"z{i}") / F.col("norm"), "t": lambda i: F.tanh(f"z{i}")}
+    sums = [F.sum(F.round(f(i) * f(j) * FINE).cast("long")).alias(f"{w}{i}_{j}") for w, f in ways.items() for i in range(k) for j in range(i + 1)]
+    found = middle.join(scaled.groupBy("g").agg(*sums), "g")
+
+    def shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for r in pdf.to_dict("records"):
+                centre = [r[f"m{i}"] for i in range(k)]
+                scale = np.array([max(1.4826 * r[f"d{i}"], floor[i]) for i in range(k)])
+                inverse = lower(np.diag(1 / scale**2))
+                for w in ways:
+                    shape = full(np.array([r[f"{w}{i}_{j}"] for i in range(k) for j in range(i + 1)], float), k) / FINE / r["n"]
+                    shape += np.eye(k) * 0.01 * max(np.trace(shape) / k, 1e-6)
+                    inverse += lower(np.linalg.inv(shape * np.outer(scale, scale)))
+                out.append((r["g"], r["n"], centre * STARTS, inverse))
+            yield pd.DataFrame(out, columns=["g", "n", "centre", "inverse"])
+
+    return found.mapInPandas(shapes, "g string, n long, centre array<double>, inverse array<double>")
+
+
+def mcd_model(members: DataFrame, names: list[str], floor: np.ndarray, share: float, steps: int) -> DataFrame:
+    """(g, n, centre, inverse, det, start): of each group the estimate of least determinant, from whole-number columns `names` of members."""
+    k = len(names)
     # Consistency of the covariance of the `share` most central rows of a normal distribution.
-    q = chi2_quantile(share, k)
-    scale = share / chi2_share(q, k + 2)
+    scale = share / chi2_share(chi2_quantile(share, k), k + 2)
+    now = cut(starting_model(members, names, floor), "start")
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+
+    def estimates(last: bool) -> Callable:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                out = []
+                for r in pdf.to_dict("records"):
+                    found = []
+                    for s in range(STARTS):
+                        h = r[f"h{s}"]
+                        mean = np.array([r[f"m{s}_{i}"] for i in range(k)], float) / h
+                        cov = full(np.array([r[f"s{s}_{i}_{j}"] for i, j in pairs], float) / h, k) - np.outer(mean, mean)
+                        cov = cov * scale + np.diag(floor**2)
+                        found.append((float(np.linalg.slogdet(cov)[1]), s, mean.tolist(), lower(np.linalg.inv(cov))))
+                    if last:
+                        found = [min(found)]
+                    out.append((r["g"], r["n"], sum((f[2] for f in found), []), sum((f[3] for f in found), []), found[0][0], found[0][1]))
+                yield pd.DataFrame(out, columns=["g", "n", "centre", "inverse", "det", "start"])
+
+        return run
+
+    bucket = [F.floor(F.log2(distance(names, s) + 1e-9) * OCTAVE).cast("int").alias(f"b{s}") for s in range(STARTS)]
     for step in range(steps):
-        far = mahalanobis(rows, now, by, names)
-        limit = far.groupBy(*by).agg(F.percentile_approx("d2", share, 1000).alias("_limit"))
-        near = far.join(F.broadcast(limit), by).withColumn("_w", (F.col("d2") <= F.col("_limit")).cast("double"))
-        found = near.groupBy(*by).agg(*sums).collect()
-        now = model(found, scale)
-    out = mahalanobis(rows, now, by, names)
-    enough = F.col("n") >= 5 * k * share
-    return out.withColumn("outlier", enough & (F.col("d2") > F.lit(chi2_quantile(quantile, k)))).drop("centre", "inverse", "n", *names)
+        seen = beside(members, now.select("g", "n", "centre", "inverse"), ["g"]).select("g", "n", *names, *bucket)
+        bins = seen.select("g", "n", F.posexplode(F.array(*(f"b{s}" for s in range(STARTS)))).alias("s", "b")).groupBy("g", "n", "s", "b").agg(F.count("*").alias("c"))
+        upto = F.sum("c").over(Window.partitionBy("g", "s").orderBy("b"))
+        limits = bins.withColumn("upto", upto).filter(F.col("upto") >= F.ceil(F.col("n") * share)).groupBy("g").agg(*(F.min(F.when(F.col("s") == s, F.col("b"))).alias(f"l{s}") for s in range(STARTS)))
+        near = beside(seen, cut(limits, "limits"), ["g"])
+        sums = []
+        for s in range(STARTS):
+            inside = F.col(f"b{s}") <= F.col(f"l{s}")
+            sums.append(F.sum(inside.cast("long")).alias(f"h{s}"))
+            sums += [F.sum(F.when(inside, F.col(d)).otherwise(0)).alias(f"m{s}_{i}") for i, d in enumerate(names)]
+            sums += [F.sum(F.when(inside, F.col(names[i]) * F.col(names[j])).otherwise(0)).alias(f"s{s}_{i}_{j}") for i, j in pairs]
+        now = cut(near.groupBy("g", "n").agg(*sums).mapInPandas(estimates(step == steps - 1), "g string, n long, centre array<double>, inverse array<double>, det double, start int"), "estimates")
+    return now
+
+
+def mcd_outliers(rows: DataFrame, by: Sequence[str], dims: dict[str, Column], floor: Sequence[float], quantile: float = 0.99999, share: float = 0.75, steps: int = 5) -> DataFrame:
+    """All columns of rows, d2 (squared robust distance) and outlier (boolean), by minimum-covariance-determinant estimates of groups.
+
+    From each of STARTS deterministic shapes around the medians, `steps` concentration steps over all rows keep the `share` of a group's rows with the
+    smallest distances and take their mean and covariance; the estimate of least determinant is the group's, scaled for consistency. A
+    row is an outlier if its distance is beyond the chi-squared quantile.
+
+    A step is two aggregations by group, a histogram of the distances and the sums, so a group of any size is added up in parts, and no group's rows
+    or estimates reach the driver. Statistics are taken as whole multiples of 1 / GRID, whose sums are exact: the estimates don't depend on the partitions.
+    Medians keep a count for each distinct multiple, so dims should be bounded.
+
+    by: columns from wide to narrow. A group of fewer than 5 rows for each dimension is judged by the estimate of the next wider one, at last by that of
+    all rows; if these are too few, nothing is rejected. dims: transformed statistics without nulls. floor: a standard deviation of each that is added
+    to the covariance, so that a statistic which is constant in most rows doesn't reject the others. Ties count as near. An empty table gives an empty result.
+    """
+    names, least = [f"_q{i}" for i in range(len(dims))], 5 * len(dims)
+    wide = np.asarray(floor, float) * GRID
+    grid = rows.withColumns({q: F.round(x * GRID).cast("long") for q, x in zip(names, dims.values(), strict=True)})
+    known = beside(grid, cut(placed(grid, by, least), "judges"), list(by))
+    members = cut(known.select(F.explode("teaches").alias("g"), *names), "members")
+    model = mcd_model(members, names, wide, share, steps).select(F.col("g").alias("judge"), F.col("n").alias("_n"), "centre", "inverse")
+    out = beside(known, model, ["judge"]).withColumn("d2", distance(names))
+    return out.withColumn("outlier", (F.col("_n") >= least) & (F.col("d2") > F.lit(chi2_quantile(quantile, len(names))))).select(*rows.columns, "d2", "outlier")
 
 
 def chi2_share(x: float, k: int) -> float:
@@ -189,8 +281,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", sou
     """Base rules, then robust outliers for each language and source.
 
     A document fails the base rules with under `least_words` words or over `most_repeat` % of its words in repeated windows. The others are judged by
-    the minimum-covariance-determinant estimate of their language and source (nulls form a group of their own) on: log of the words, mean
-    characters of a word, root of symbols a word, share of repeated lines, share of repeated words.
+    the minimum-covariance-determinant estimate of their language and source (nulls form a group of their own), or of their language or all documents
+    where these are few (see mcd_outliers()), on: log of the words, mean characters of a word (64 at most), root of symbols a word (16 at most), share of
+    repeated lines, share of repeated words.
 
     Returns id_col, the STATS, base_failed, d2 (null if base_failed), outlier and kept, a row for each input row.
     Null and empty texts fail. Repeated rows count each. An empty table gives an empty result.
@@ -201,8 +294,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", sou
     stats = cut(stats.withColumn("base_failed", failed), "stats")
     dims = {
         "_x0": F.log1p("n_words"),
-        "_x1": F.col("word_chars") / F.col("n_words"),
-        "_x2": F.sqrt(F.col("n_symbols") / F.col("n_words")),
+        "_x1": F.least(F.col("word_chars") / F.col("n_words"), F.lit(64.0)),
+        "_x2": F.least(F.sqrt(F.col("n_symbols") / F.col("n_words")), F.lit(16.0)),
         "_x3": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "_x4": F.col("n_repeat_words") / F.col("n_words"),
     }
