@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.plans.lineage import cut
+
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first n rows of each group in a total order (DISTINCT ON); Spark prunes groups before the shuffle."""
@@ -81,18 +83,50 @@ def purge(tables: Mapping[str, DataFrame], key: str, gone: DataFrame, keep: Sequ
     return {name: t if name in keep else t.join(gone.select(key).distinct(), key, "left_anti") for name, t in tables.items()}
 
 
-def thread_depth(messages: DataFrame, key: str, parent: str, most: int = 64) -> DataFrame:
-    """(key, root, depth) of reply chains: a loop of joins over the messages whose chain goes on."""
-    from foliant.plans.lineage import cut
+def thread_depth(messages: DataFrame, key: str, parent: str) -> DataFrame:
+    """(id, root, depth) of messages with one row a key: the end of each reply chain of any length, by doubling pointers.
 
+    A chain ends at a message without a parent (depth 0), or at a parent that isn't there, which is the root then. Each round every open message jumps to
+    where its parent's pointer leads, so a chain of n takes log2(n) rounds, each one join of the open messages. A round closes the nearest open message
+    of any chain, so what is open when a round closes none lies on or above a cycle; those messages get no row.
+    """
     links = messages.select(F.col(key).alias("id"), F.col(parent).alias("up"))
-    known = links.select("id").distinct()
-    roots = links.join(known.withColumnRenamed("id", "up"), "up", "left_anti").select("id", F.coalesce("up", "id").alias("root"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"))
-    done, front = roots, roots
-    for _ in range(most):
-        nexts = links.join(front.select(F.col("id").alias("up"), "root", "depth"), "up").select("id", "root", (F.col("depth") + 1).alias("depth"))
-        nexts = cut(nexts, "depth")
-        if nexts.isEmpty():
+    known = links.select(F.col("id").alias("up"), F.lit(True).alias("there"))
+    start = links.join(known, "up", "left")
+    start = start.select("id", F.when(F.col("up").isNull(), F.col("id")).otherwise(F.col("up")).alias("to"), F.col("up").isNotNull().cast("int").alias("depth"), (F.col("up").isNull() | F.col("there").isNull()).alias("closed"))
+    state, left = cut(start, "pointers"), None
+    while (now := state.filter("NOT closed").count()) and now != left:
+        left = now
+        ahead = state.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"), F.col("closed").alias("ends"))
+        jumped = state.filter("NOT closed").join(ahead, "to").select("id", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("closed"))
+        state = cut(state.filter("closed").unionByName(jumped), "pointers")
+    return state.filter("closed").select("id", F.col("to").alias("root"), "depth")
+
+
+def order_statistics(rows: DataFrame, group: str, value: str, ranks: Mapping[str, Column], bins: int = 4096, most_rounds: int = 60) -> DataFrame:
+    """(group, n, a column for each rank): the values at the given ranks, from 0, of each group's sorted non-null doubles; ranks are functions of n.
+
+    No group is sorted or gathered: each round counts `bins` equal bins of the range that is left for a rank and goes on with the one that holds it, until
+    its values are equal. A round is one aggregation by group and bin over the rows still in question. `group` must not be null.
+    """
+    data = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    total = cut(data.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "totals")
+    seek = total.select("g", "lo", "hi", F.explode(F.create_map(*(x for name, rank in ranks.items() for x in (F.lit(name), rank.cast("long"))))).alias("name", "rank"))
+    found: DataFrame | None = None
+    for _ in range(most_rounds):
+        seek = cut(seek, "seek")
+        done = seek.filter("lo = hi").select("g", "name", F.col("lo").alias("v"))
+        found = done if found is None else found.unionByName(done)
+        seek = seek.filter("lo < hi")
+        if seek.isEmpty():
             break
-        done, front = done.unionByName(nexts), nexts
-    return done
+        inside = data.join(F.broadcast(seek), "g").filter("v BETWEEN lo AND hi")
+        spot = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
+        counts = inside.groupBy("g", "name", "rank", spot.alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        before = F.sum("c").over(Window.partitionBy("g", "name").orderBy("bin")) - F.col("c")
+        counts = counts.withColumn("before", before).filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("c")))
+        seek = counts.select("g", "lo", "hi", "name", (F.col("rank") - F.col("before")).alias("rank"))
+    else:
+        raise RuntimeError(f"ranks are not found in {most_rounds} rounds")
+    wide = found.groupBy("g").agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks))
+    return total.select("g", "n").join(wide, "g").withColumnRenamed("g", group)

@@ -54,11 +54,11 @@ def communication_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).agg(F.countDistinct("sender").alias("senders"), F.countDistinct("recipient").alias("recipients"), F.sum("message_count").alias("messages"), F.max("message_count").alias("most"))
 
 
-@query("matrix_cells", f"WITH {PAIRS} SELECT sender, coalesce(sum(message_count) FILTER (recipient = 0), 0)::BIGINT AS n0, coalesce(sum(message_count) FILTER (recipient = 1), 0)::BIGINT AS n1, coalesce(sum(message_count) FILTER (recipient = 2), 0)::BIGINT AS n2 FROM pairs GROUP BY 1")
+@query("matrix_cells", f"WITH {PAIRS}, a AS (SELECT s.sender, r.recipient, coalesce(sum(message_count), 0)::BIGINT AS n FROM (SELECT DISTINCT sender FROM pairs) s CROSS JOIN (SELECT DISTINCT recipient FROM pairs) r LEFT JOIN pairs p ON p.sender = s.sender AND p.recipient = r.recipient GROUP BY 1, 2) SELECT sender, list(n ORDER BY recipient) AS cells FROM a GROUP BY 1")
 def matrix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sender by recipient, as a client draws it (three columns of it)."""
-    cells = pairs(spark, sf_dir).groupBy("sender").pivot("recipient", [0, 1, 2]).sum("message_count")
-    return cells.select("sender", *(F.coalesce(F.col(str(k)), F.lit(0)).cast("long").alias(f"n{k}") for k in range(3)))
+    """Sender by recipient, as a client draws it: a row for each sender, with a cell for each recipient in order."""
+    wide = pairs(spark, sf_dir).groupBy("sender").pivot("recipient").sum("message_count")
+    return wide.select("sender", F.array(*(F.coalesce(F.col(c), F.lit(0)).cast("long") for c in wide.columns[1:])).alias("cells"))
 
 
 @query(

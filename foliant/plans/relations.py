@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.functions.names import block_keys, canonical, different_people, first_last, folded, garbage_category, garbage_name, normal_name, token_sort_ratio, without_title
+from foliant.functions.names import block_keys, canonical, different_people, first_last, folded, fuzzy_pairs, garbage_category, garbage_name, normal_name, without_title
 from foliant.operators.components import connected_components
 from foliant.operators.graphs import betweenness, co_occurrence, degree, label_communities, merged_nodes, neighbours, page_rank, reporting_chain, shortest_paths, two_tiers
 from foliant.plans.commerce import PAIRS, pairs
@@ -103,11 +103,14 @@ def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_tiers(found.select(F.col("community").cast("string").alias("id"), "members"))
 
 
-@query("graph_components", f"""WITH RECURSIVE {PAIRS}, e AS (SELECT least(sender, recipient) AS a, greatest(sender, recipient) AS b, sum(message_count) AS n FROM pairs WHERE sender <> recipient AND (sender + recipient) % 4 = 0 GROUP BY 1, 2),
-  l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT a AS node, a AS seen FROM l UNION SELECT w.node, l.b FROM w JOIN l ON l.a = w.seen) SELECT node, min(seen) AS component FROM w GROUP BY 1""")
+@query("graph_components", """WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey || ' ' || p_brand AS b FROM lineitem JOIN part ON p_partkey = l_partkey), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  w AS (SELECT a AS node, a AS seen FROM l UNION SELECT w.node, l.b FROM w JOIN l ON l.a = w.seen) SELECT node, min(seen) AS component FROM w GROUP BY 1""")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = pairs(spark, sf_dir).filter("sender <> recipient AND (sender + recipient) % 4 = 0")
-    return connected_components(edges, "sender", "recipient")
+    """Parts and their suppliers' brand desks (a supplier has one for each brand) as a graph, which falls apart at least by brands."""
+    part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    lines = load(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct().join(part, "l_partkey")
+    edges = lines.select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey", F.lit(" "), "p_brand").alias("b"))
+    return connected_components(edges, "a", "b")
 
 
 @query("co_purchase", "SELECT a, b, count(*) AS weight FROM (SELECT DISTINCT l_orderkey, l_suppkey AS a FROM lineitem) x JOIN (SELECT DISTINCT l_orderkey, l_suppkey AS b FROM lineitem) y USING (l_orderkey) WHERE a < b GROUP BY 1, 2")
@@ -173,15 +176,26 @@ def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").groupBy(F.lower("p_brand").alias("key")).agg(F.count("*").alias("n"), canonical(name).alias("canonical"))
 
 
+WORDS_SQL = "list_sort(list_filter(regexp_split_to_array(lower(trim(p_name)), '\\s+'), lambda x: x <> ''))"
+
+
 @query("fuzzy_matches")
 def fuzzy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names that share a blocking key and are 85 % alike or more, guarded against different first names; tests use brute force."""
+    """Part names that are 85 % alike or more by their sorted words, guarded against different first names; tests compare all pairs by brute force."""
     cleaned = first_last(without_title(normal_name(F.col("p_name"))))
-    names = load(spark, sf_dir, "part").select(cleaned.alias("name")).distinct().withColumn("kind", F.lit("person"))
-    keyed = names.select("name", F.explode(block_keys(F.col("name"), F.col("kind"))).alias("key"))
-    found = keyed.withColumnRenamed("name", "a").join(keyed.withColumnRenamed("name", "b"), "key").filter("a < b").select("a", "b").distinct()
-    scored = found.withColumn("score", token_sort_ratio("a", "b")).filter("score >= 85")
-    return scored.filter(~different_people("a", "b")).select("a", "b", F.round("score", 6).alias("score"))
+    found = fuzzy_pairs(load(spark, sf_dir, "part").select(cleaned.alias("name")), "name")
+    return found.filter(~different_people(F.col("a"), F.col("b"))).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query("name_blocks", f"""WITH w AS (SELECT p_partkey, {WORDS_SQL} AS w, regexp_split_to_array(lower(trim(p_name)), '\\s+') AS o FROM part),
+  l AS (SELECT *, list_filter(o, lambda x: length(x) = list_max(list_transform(o, lambda y: length(y))))[1] AS longest FROM w),
+  r AS (SELECT *, regexp_replace(longest, '[aeiou]', '', 'g') AS bones, CASE WHEN list_position(o, longest) = 1 THEN o[2] ELSE o[1] END AS second FROM l),
+  k AS (SELECT p_partkey, unnest([CASE WHEN len(list_filter(w, lambda x: length(x) >= 2)) > 0 THEN 'starts=' || array_to_string(list_sort(list_transform(list_filter(w, lambda x: length(x) >= 2), lambda x: x[1:3]))[1:3], ' ') END,
+    CASE WHEN length(longest) >= 3 THEN 'longest=' || longest[1:4] END, CASE WHEN length(bones) >= 3 THEN 'bones=' || bones[1:4] END, CASE WHEN length(second) >= 3 THEN 'second=' || second[1:4] END]) AS key FROM r)
+  SELECT key, count(*) AS n FROM k WHERE key IS NOT NULL GROUP BY 1""")
+def name_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many names share each rough key."""
+    return load(spark, sf_dir, "part").select(F.explode(block_keys(F.col("p_name"), F.lit("person"))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
 @query("garbage_categories", "SELECT category, tier, count(*) AS n FROM (SELECT CASE p_partkey % 6 WHEN 0 THEN 'email-persons' WHEN 1 THEN 'bare-suffixes' WHEN 2 THEN 'numeric-only' WHEN 3 THEN 'org-as-person' WHEN 4 THEN 'short-persons' END AS category, CASE WHEN p_partkey % 6 = 3 THEN 2 WHEN p_partkey % 6 < 5 THEN 1 END AS tier FROM part) WHERE category IS NOT NULL GROUP BY 1, 2")

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.functions.names import block_keys, canonical, different_people, first_last, garbage_name, indel_ratio, normal_name, token_sort_ratio, without_title
+from foliant.functions.names import block_keys, canonical, different_people, first_last, fuzzy_pairs, garbage_name, likeness, normal_name, token_sort_ratio, without_title
 from foliant.functions.text import addresses, chunk_quality, citations, document_date, ocr_corrected, pii_counts, sanitised, subject_key
 from foliant.operators.chunks import line_diff, pack, portable, redacted, sections, still_there, text_blocks
 from foliant.operators.components import connected_components
@@ -81,7 +81,7 @@ def test_names(spark):
     assert strings(spark, first_last(F.col("s")), ["Doe, Jane", "10 Main, X", "Jane"]) == ["Jane Doe", "10 Main, X", "Jane"]
     df = spark.createDataFrame([("jane roe",), ("JANE ROE",), ("Jane Roe",), ("J Roe",)], "s string")
     assert df.select(canonical(F.col("s"))).first()[0] == "Jane Roe"
-    assert strings(spark, block_keys(F.col("s"), F.lit("person")), ["Jeffrey Smith", "", "a"]) == [["sp:jef|smi", "lt:jeff", "cs:jffr", "s2:smit"], ["__empty__"], ["__fallback__"]]
+    assert strings(spark, block_keys(F.col("s"), F.lit("person")), ["Jeffrey Smith", "", "a"]) == [["starts=jef smi", "longest=jeff", "bones=jffr", "second=smit"], ["short"], ["short"]]
 
 
 def brute_indel(a, b):
@@ -96,12 +96,49 @@ def brute_indel(a, b):
 
 def test_fuzzy(spark):
     rng = random.Random(1)
-    for _ in range(300):
-        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(12))) for _ in range(2))
-        assert indel_ratio(a, b) == pytest.approx(brute_indel(a, b))
-    df = spark.createDataFrame([("Jane Roe", "roe  JANE"), ("Amy Stone", "Jeffrey Stone"), ("Jon Stone", "John Stone")], "a string, b string")
-    got = df.select(token_sort_ratio("a", "b").alias("s"), different_people("a", "b").alias("d")).collect()
-    assert [r.d for r in got] == [False, True, False] and got[0].s == 100
+    pairs = [tuple("".join(rng.choice("abc é\U0001f600") for _ in range(rng.randrange(12))) for _ in range(2)) for _ in range(300)] + [("x" * 3000, "xy" * 1500), (None, "a")]
+    got = spark.createDataFrame(pairs, "a string, b string").repartition(1).select("a", "b", likeness("a", "b").alias("s")).collect()
+    for r in got:
+        want = 200 * 1500 / 6000 if r.a and len(r.a) > 999 else brute_indel(r.a or "", r.b or "")
+        assert r.s == pytest.approx(want)
+    df = spark.createDataFrame([("Jane Roe", "roe  JANE"), ("Amy Stone", "Jeffrey Stone"), ("Jon Stone", "John Stone"), ("Amy", "Jeffrey"), (None, "Al Roe")], "a string, b string")
+    got = df.select(token_sort_ratio(F.col("a"), F.col("b")).alias("s"), different_people(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [r.d for r in got] == [False, True, False, False, False] and got[0].s == 100
+
+
+def test_fuzzy_pairs_lose_none(spark):
+    rng = random.Random(9)
+    first, last = "kathrine catherine katherine john jon johann anna hanna al".split(), "kline cline klein smith smyth smithe roe row wu".split()
+    names = {f"{rng.choice(first)} {rng.choice(last)}" + rng.choice(["", " jr", "s", "-x"]) for _ in range(150)} | {"roe anna", "Anna  Roe", "a", "b", "aa", "katherine kline", "catherine cline"}
+    rows = [(n,) for n in names] + [("anna roe",), (None,), ("",), ("  ",)]
+    key = lambda n: " ".join(sorted(n.lower().split()))
+    all_names = sorted(names | {"anna roe"})
+    want = {(a, b) for a in all_names for b in all_names if a < b and brute_indel(key(a), key(b)) >= 85}
+    got = fuzzy_pairs(spark.createDataFrame(rows, "name string"), "name").collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 50
+    assert all(r.score == pytest.approx(brute_indel(key(r.a), key(r.b))) for r in got)
+
+
+def test_long_threads(spark):
+    """A chain of 500 mails is one thread; a cycle has none; a missing parent is the root."""
+    from foliant.operators.rows import thread_depth
+
+    links = [(k, k - 1 if k else None) for k in range(500)] + [(1000, 1001), (1001, 1002), (1002, 1001), (2000, 7777), (2001, 2000)]
+    out = {r.id: (r.root, r.depth) for r in thread_depth(spark.createDataFrame(links, "id long, up long"), "id", "up").collect()}
+    assert out == {**{k: (0, k) for k in range(500)}, 2000: (7777, 1), 2001: (7777, 2)}
+
+
+def test_order_statistics(spark):
+    from foliant.operators.rows import order_statistics
+
+    rng = random.Random(4)
+    groups = {"a": [rng.lognormvariate(0, 9) for _ in range(700)], "b": [1.5] * 40 + [-1e300, 1e300, 1e-300], "c": [float(rng.randrange(5)) for _ in range(99)], "d": [2.0]}
+    rows = [(g, x) for g, xs in groups.items() for x in xs] + [("a", None), ("e", None)]
+    out = {r.g: r for r in order_statistics(spark.createDataFrame(rows, "g string, x double"), "g", "x", {"mid": F.floor(F.col("n") / 2), "p95": F.floor((F.col("n") - 1) * 0.95), "top": F.col("n") - 1}).collect()}
+    assert out.keys() == groups.keys()
+    for g, xs in groups.items():
+        xs, n = sorted(xs), len(xs)
+        assert (out[g].n, out[g].mid, out[g].p95, out[g].top) == (n, xs[n // 2], xs[int((n - 1) * 0.95)], xs[-1])
 
 
 def test_chunks(spark):

@@ -51,3 +51,21 @@ def test_same_rows(spark, oracle, name):
 @pytest.mark.parametrize("name", ["ocr_correction", "fuzzy_matches", "document_chunks", "graph_betweenness", "graph_communities", "late_interaction", "graded_relevance"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_fuzzy_matches(spark):
+    """All pairs of part names by brute force, with the guard in plain Python."""
+    from test_operators import brute_indel
+
+    def apart(a, b):
+        p, q = a.lower().split(), b.lower().split()
+        rest = [[w for w in x if w not in y] for x, y in ((p, q), (q, p))]
+        if len(p) < 2 or len(q) < 2 or not set(p) & set(q) or not all(rest):
+            return False
+        x, y = (max(w, key=len) for w in rest)
+        return min(len(x), len(y)) >= 3 and brute_indel(x, y) < 60
+
+    names = sorted({r.p_name for r in spark.read.parquet(f"{SF}/part.parquet").collect()})
+    key = lambda n: " ".join(sorted(n.lower().split()))
+    want = {(a, b) for a in names for b in names if a < b and brute_indel(key(a), key(b)) >= 85 and not apart(a, b)}
+    assert {(r.a, r.b) for r in QUERIES["fuzzy_matches"](spark, SF).collect()} == want and want
