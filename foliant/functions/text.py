@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Boilerplate patterns.
@@ -79,20 +79,20 @@ def coherence(text: Column) -> Column:
     return F.when(n == 0, 0.1).otherwise(0.6 * count + 0.4 * length)
 
 
-def density(text: Column, entities: Column) -> Column:
-    chars = reduce(lambda a, b: a + b, (F.aggregate(F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.lit(0), lambda a, s: a + F.length(s)) for p in BOILERPLATE))
-    lines = F.filter(F.split(strip(text), "\n"), lambda s: s.rlike(r"\S"))
+def density(text: Column, stripped: Column, entities: Column) -> Column:
+    # Characters of a pattern are those that go when its matches are taken out.
+    chars = reduce(lambda a, b: a + b, (F.length(text) - F.length(F.regexp_replace(text, p, "")) for p in BOILERPLATE))
+    lines = F.filter(F.split(stripped, "\n"), lambda s: s.rlike(r"\S"))
     tables = F.size(F.filter(lines, lambda s: s.rlike(r"^\s*\|"))) / F.greatest(F.size(lines), F.lit(1))
-    base = (1.0 - F.least(chars / F.length(strip(text)), F.lit(1.0))) * F.when(tables > 0.8, 0.6).otherwise(1.0)
+    base = (1.0 - F.least(F.try_divide(chars, F.length(stripped)), F.lit(1.0))) * F.when(tables > 0.8, 0.6).otherwise(1.0)
     bonus = F.when(entities > 0, F.least(base + F.least(entities / 3.0, F.lit(1.0)) * 0.2, F.lit(1.0))).otherwise(base)
     return F.greatest(bonus, F.lit(0.0))
 
 
-def completeness(text: Column) -> Column:
-    t = strip(text)
-    last = strip(F.element_at(F.split(t, "\n"), -1))
-    score = 1.0 - F.when(t.rlike(r"[.!?:;)\]\"']\s*$"), 0.0).otherwise(0.3)
-    score = score - F.when(t.rlike(r"^\p{Ll}"), 0.2).otherwise(0.0)
+def completeness(stripped: Column) -> Column:
+    last = strip(F.element_at(F.split(stripped, "\n"), -1))
+    score = 1.0 - F.when(stripped.rlike(r"[.!?:;)\]\"']\s*$"), 0.0).otherwise(0.3)
+    score = score - F.when(stripped.rlike(r"^\p{Ll}"), 0.2).otherwise(0.0)
     return F.greatest(score - F.when(last.startswith("|") & ~last.endswith("|"), 0.3).otherwise(0.0), F.lit(0.0))
 
 
@@ -100,21 +100,32 @@ def length_score(tokens: Column) -> Column:
     return F.when(tokens < 20, 0.1).when(tokens < 50, 0.3).when(tokens < 100, 0.6).when(tokens <= 512, 1.0).when(tokens <= 600, 0.8).otherwise(0.5)
 
 
-def chunk_quality(text: Column, tokens: Column, entities: Column | None = None) -> dict[str, Column]:
-    """The five scores of a chunk, 0 for blank text."""
+def chunk_quality(chunks: DataFrame, text: str, tokens: Column, entities: Column | None = None) -> DataFrame:
+    """chunks with the five scores of each text, 0 for null or blank text: overall, coherence, information_density, completeness, length_score."""
     e = F.lit(0) if entities is None else entities
-    parts = {"coherence": coherence(text), "information_density": density(text, e), "completeness": completeness(text), "length_score": length_score(tokens)}
-    total = 0.30 * parts["coherence"] + 0.35 * parts["information_density"] + 0.20 * parts["completeness"] + 0.15 * parts["length_score"]
-    return {k: F.when(blank(text), 0.0).otherwise(F.round(c, 4)) for k, c in {"overall": total, **parts}.items()}
-
-
-def ocr_corrected(text: Column) -> tuple[Column, Column]:
-    """(corrected text, number of corrections)."""
-    count = F.lit(0)
+    names = ["coherence", "information_density", "completeness", "length_score"]
+    # Each score is a column of its own before it is used again, so that no text is gone through twice.
+    out = chunks.withColumns({"_stripped": strip(F.col(text)), "_tokens": tokens, "_entities": e})
+    scores = [coherence(F.col(text)), density(F.col(text), F.col("_stripped"), F.col("_entities")), completeness(F.col("_stripped")), length_score(F.col("_tokens"))]
+    out = out.withColumns({f"_{n}": x for n, x in zip(names, scores, strict=True)})
+    total = 0.30 * F.col("_coherence") + 0.35 * F.col("_information_density") + 0.20 * F.col("_completeness") + 0.15 * F.col("_length_score")
+    whole = F.col("_stripped") != ""
+    final = {n: F.when(whole, F.round(x, 4)).otherwise(0.0) for n, x in {"overall": total, **{n: F.col(f"_{n}") for n in names}}.items()}
+    return out.withColumns(final).drop("_stripped", "_tokens", "_entities", *(f"_{n}" for n in names))
+
+
+def ocr_corrected(docs: DataFrame, text: str, out: str = "corrected", count: str = "corrections") -> DataFrame:
+    """docs with the corrected text and the number of corrections; null text stays null.
+
+    Corrections follow one another, each over the last one's text, which is a column of its own so that a step is evaluated once. A text in which
+    no pattern occurs passes all steps untouched.
+    """
+    any_ = "|".join(f"(?:{p})" for p, _ in OCR)
+    rows = docs.withColumns({"_faulty": F.coalesce(F.col(text).rlike(any_), F.lit(False)), "_text": F.col(text), "_n": F.lit(0)})
     for pattern, to in OCR:
-        count = count + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, to)
-    return text, count
+        n = F.col("_n") + F.when(F.col("_faulty"), F.regexp_count("_text", F.lit(pattern))).otherwise(0)
+        rows = rows.withColumns({"_text": F.when(F.col("_faulty"), F.regexp_replace("_text", pattern, to)).otherwise(F.col("_text")), "_n": n})
+    return rows.withColumns({out: F.col("_text"), count: F.col("_n")}).drop("_faulty", "_text", "_n")
 
 
 def strip_tags(html: Column, space: str = "") -> Column:
@@ -132,10 +143,40 @@ def content_hash(text: Column) -> Column:
 
 def pii_counts(text: Column) -> dict[str, Column]:
     count = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
-    medical = reduce(lambda a, b: a + b, (F.size(F.split(F.lower(text), k.replace("-", "[-]"))) - 1 for k in MEDICAL)).cast("long")
+    medical = reduce(lambda a, b: a + b, (F.regexp_count(F.lower(text), F.lit(rf"\Q{k}\E")) for k in MEDICAL)).cast("long")
     return {"ssn": count(SSN), "phone": count(PHONE), "email": count(EMAIL), "dob": count(DOB) + count(DOB_ISO), "medical": medical}
 
 
+def occurrences(text: Column, pattern: str) -> Column:
+    """array of struct(start, end) of a pattern's matches, none of which may be empty: what lies between them gives the places."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    sizes = F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("hit")), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.coalesce(F.length(x["hit"]), F.lit(0)).alias("hit")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + x["gap"]
+        span = F.struct(begin.alias("start"), (begin + x["hit"]).alias("end"))
+        return F.struct((begin + x["hit"]).alias("at"), F.when(x["hit"] > 0, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    return F.when(F.size(found) > 0, F.aggregate(sizes, start, step, lambda acc: acc["out"]))
+
+
+def pii_spans(text: Column) -> Column:
+    """array of struct(start, end, category, confidence, text) of personal data in a text, by start, then by category in the order of the patterns.
+
+    Patterns count fully, medical keywords 0.9. Spans of different categories may overlap. Null text gives no spans.
+    """
+    kinds = [("ssn", SSN, text, 1.0), ("phone", PHONE, text, 1.0), ("email", EMAIL, text, 1.0), ("dob", DOB, text, 1.0), ("dob", DOB_ISO, text, 1.0)]
+    kinds += [("medical", rf"\Q{k}\E", F.lower(text), 0.9) for k in MEDICAL]
+
+    def spans(order: int, kind: str, pattern: str, where: Column, confidence: float) -> Column:
+        found = F.coalesce(occurrences(where, pattern), F.array().cast("array<struct<start:int,end:int>>"))
+        return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("category"), F.lit(confidence).alias("confidence")))
+
+    every = F.array_sort(F.concat(*(spans(i, *k) for i, k in enumerate(kinds))))
+    return F.transform(every, lambda s: F.struct(s["start"], s["end"], s["category"], s["confidence"], F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text")))
+
+
 def sanitised(message: Column, most: int = 500) -> Column:
     """An error message without quoted content and personal data, cut to `most` characters."""
     out = message
@@ -177,3 +218,33 @@ def citations(answer: Column) -> Column:
     names = F.regexp_extract_all(answer, F.lit(CITATION), F.lit(1))
     pages = F.regexp_extract_all(answer, F.lit(CITATION), F.lit(2))
     return F.transform(F.arrays_zip(names.alias("f"), pages.alias("p")), lambda x: F.struct(F.trim(x["f"]).alias("filename"), x["p"].cast("int").alias("page")))
+
+
+def matches_either_way(name: Column, names: Column) -> Column:
+    """Does name lie within one of names, or one of them within name?"""
+    return F.exists(names, lambda n: n.contains(name) | name.contains(n))
+
+
+def citation_rates(answer: Column, expected: Column, retrieved: Column, fused: Column) -> dict[str, Column]:
+    """accuracy, hallucination and post_rationalization of an answer's citations; 1, 0 and 0 of an answer without any.
+
+    expected: array of struct(document_id, page_start, page_end); a citation is right if names match either way and its page lies within. retrieved,
+    fused: names of the files that a search found, and that reached the answer; a citation of none of them counts as made up, or as found afterwards.
+    """
+    cited = citations(answer)
+    share = lambda part: F.size(part) / F.size(cited)
+    right = F.filter(cited, lambda c: F.exists(expected, lambda e: (e["document_id"].contains(c["filename"]) | c["filename"].contains(e["document_id"])) & c["page"].between(e["page_start"], e["page_end"])))
+    outside = lambda names: F.filter(cited, lambda c: ~matches_either_way(c["filename"], F.coalesce(names, F.array().cast("array<string>"))))
+    none = F.size(cited) == 0
+    return {"accuracy": F.when(none, 1.0).otherwise(share(right)), "hallucination": F.when(none, 0.0).otherwise(share(outside(retrieved))), "post_rationalization": F.when(none, 0.0).otherwise(share(outside(fused)))}
+
+
+def numbered_citations(answer: Column, sources: Column) -> Column:
+    """The sources, an array, that an answer's marks [1], [2], ... name, in the order of the marks; numbers out of range are passed over."""
+    numbers = F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda n: n.try_cast("int"))
+    return F.transform(F.filter(numbers, lambda n: n.between(1, F.size(sources))), lambda n: F.element_at(sources, n))
+
+
+def with_context(text: Column, prefix: Column) -> Column:
+    """What is embedded of a chunk: its context, if it has one, a blank line, its text."""
+    return F.when(F.coalesce(prefix, F.lit("")) != "", F.concat(prefix, F.lit("\n\n"), text)).otherwise(text)

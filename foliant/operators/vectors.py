@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.rows import fuse_ranks, order_statistics
+from foliant.plans.lineage import cut
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -34,26 +37,52 @@ def ranked(scored: DataFrame, query: Sequence[str], score: str, tie: str, k: int
     return scored.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def dense_top_k(points: DataFrame, queries: DataFrame, k: int, allowed: Column | None = None, vector: str = "vector", key: str = "id", query_key: str = "query_id", query_vector: str = "query_vector", dims: int | None = None) -> DataFrame:
-    """Exact cosine top-k of each query; `allowed` filters points before any score. queries are few: they go to every task."""
+#: Queries that go to every task at once.
+MOST_QUERIES = 10_000
+
+
+def against_all(queries: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], most: int = MOST_QUERIES) -> DataFrame:
+    """work(queries), whose rows belong to one query each, for queries that are joined with all rows of a table.
+
+    They are broadcast if a count shows that there are `most` at most; else they are dealt by hash into blocks of about half of that, which are worked on one
+    after the other, each with its own pass over the table.
+    """
+    n = queries.count()
+    if n <= most:
+        return work(F.broadcast(queries))
+    blocks = -(-2 * n // most)
+    dealt = cut(queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks))), "queries")
+    parts = [cut(work(F.broadcast(dealt.filter(F.col("_block") == b).drop("_block"))), "answers") for b in range(blocks)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def dense_top_k(points: DataFrame, queries: DataFrame, k: int, allowed: Column | None = None, vector: str = "vector", key: str = "id", query_key: str = "query_id", query_vector: str = "query_vector", dims: int | None = None, most: int = MOST_QUERIES) -> DataFrame:
+    """Exact cosine top-k of each query; `allowed` filters points before any score. Queries go to every task, `most` at a time."""
     points = points if allowed is None else points.filter(allowed)
     p, q = (F.col(vector), F.col(query_vector)) if dims is None else (truncated(F.col(vector), dims), truncated(F.col(query_vector), dims))
-    scored = points.join(F.broadcast(queries)).withColumn("score", cosine(p, q))
-    return ranked(scored.select(query_key, key, "score"), [query_key], "score", key, k)
+
+    def work(asked: DataFrame) -> DataFrame:
+        scored = points.join(asked).withColumn("score", cosine(p, q))
+        return ranked(scored.select(query_key, key, "score"), [query_key], "score", key, k)
+
+    return against_all(queries, query_key, work, most)
 
 
 def sparse_top_k(postings: DataFrame, queries: DataFrame, k: int, token: str = "token", weight: str = "weight", key: str = "id", query_key: str = "query_id", query_weight: str = "query_weight") -> DataFrame:
     """Dot products of sparse vectors given as (key, token, weight) rows; only shared tokens meet."""
-    scored = postings.join(queries, token).groupBy(query_key, key).agg(F.sum(F.col(weight) * F.col(query_weight)).alias("score"))
+    scored = postings.join(queries, token).groupBy(query_key, key).agg(F.round(F.sum(F.col(weight) * F.col(query_weight)), 9).alias("score"))
     return ranked(scored, [query_key], "score", key, k)
 
 
 def hybrid_top_k(lists: Sequence[DataFrame], k: int, query_key: str = "query_id", key: str = "id", constant: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of ranked lists (columns query_key, key, rank), then the k best."""
+    """Reciprocal rank fusion of ranked lists (columns query_key, key, rank), then the k best; scores that differ by less than 1e-9 tie."""
     both = lists[0].select(query_key, key, "rank")
     for x in lists[1:]:
         both = both.unionByName(x.select(query_key, key, "rank"))
-    fused = both.groupBy(query_key, key).agg(F.sum(1.0 / (constant + F.col("rank"))).alias("rrf"))
+    fused = fuse_ranks(both, [query_key], key, "rank", constant).withColumn("rrf", F.round("rrf", 9))
     return ranked(fused, [query_key], "rrf", key, k)
 
 
@@ -63,11 +92,6 @@ def max_sim(query: Column, patches: Column) -> Column:
     return F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(query)
 
 
-def visual_blend(text: Column, visual: Column, weight: float = 0.3) -> Column:
-    """Text score blended with a visual one where there is one."""
-    return F.when(visual.isNull(), text).otherwise((1 - weight) * text + weight * visual)
-
-
 # Words that don't count as overlap.
 STOPWORDS = "the a an is was were are be been being have has had do does did will would could should may might shall can to of in for on with at by from as into through during before after above below between and but or not no nor so if then than that this these those it its what which who whom".split()
 
@@ -84,10 +108,9 @@ def relevance(question: Column, context: Column, score: Column, weight: float =
     return F.least(F.greatest((1 - weight) * score + weight * overlap, F.lit(0.0)), F.lit(1.0))
 
 
-def upper_median(values: Column) -> Column:
-    """Aggregate over one group: element n // 2 of the sorted values."""
-    s = F.sort_array(F.collect_list(values))
-    return F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1)
+def upper_medians(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """(key, name): element n // 2 of each group's sorted values; groups are not collected."""
+    return order_statistics(rows, key, value, {name: F.floor(F.col("n") / 2)}).select(key, name)
 
 
 def ranking_metrics(hits: DataFrame, relevant: DataFrame, k: int, query: str = "query_id", item: str = "id", rank: str = "rank") -> DataFrame:

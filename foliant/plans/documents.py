@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import chunk_quality, clean_control, content_hash, ocr_corrected, pii_counts, sanitised, strip_tags, subject_key
+from foliant.functions.text import MEDICAL, chunk_quality, clean_control, content_hash, ocr_corrected, pii_counts, sanitised, strip_tags, subject_key
 from foliant.operators.filters import file_type, question_tier
 from foliant.operators.near_dup import duplicate_clusters, near_duplicates
 from foliant.operators.rows import best_per_cluster, first_by, flag_first, merge_hits
-from foliant.operators.vectors import blended, cosine, dense_top_k, max_sim, ranked, ranking_metrics, relevance, upper_median
+from foliant.operators.vectors import against_all, blended, cosine, dense_top_k, hybrid_top_k, max_sim, ranked, ranking_metrics, relevance, sparse_top_k, upper_medians
 from foliant.registry import load, load_spread, query
 
 STRIP = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
@@ -28,15 +28,16 @@ r AS (SELECT doc_id, s,
   greatest(1.0::DOUBLE - CASE WHEN regexp_matches(s, '[.!?:;)\]"'']\s*$') THEN 0.0 ELSE 0.3 END - CASE WHEN regexp_matches(s, '^\p{{Ll}}') THEN 0.2 ELSE 0.0 END
     - CASE WHEN starts_with(trim(string_split(s, chr(10))[-1]), '|') AND NOT ends_with(trim(string_split(s, chr(10))[-1]), '|') THEN 0.3 ELSE 0.0 END, 0.0)::DOUBLE AS completeness,
   CASE WHEN tokens < 20 THEN 0.1 WHEN tokens < 50 THEN 0.3 WHEN tokens < 100 THEN 0.6 WHEN tokens <= 512 THEN 1.0 WHEN tokens <= 600 THEN 0.8 ELSE 0.5 END::DOUBLE AS length_score FROM q)
-SELECT doc_id, round(coherence, 4) AS coherence, round(information_density, 4) AS information_density, round(completeness, 4) AS completeness, length_score FROM r"""
+SELECT doc_id, round(coherence, 4) AS coherence, round(information_density, 4) AS information_density, round(completeness, 4) AS completeness, length_score,
+  round(0.30 * coherence + 0.35 * information_density + 0.20 * completeness + 0.15 * length_score, 3) AS overall FROM r"""
 
 
 @query("chunk_quality", QUALITY)
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four quality scores of each text, with words as tokens."""
+    """The quality scores of each text, with words as tokens."""
     tokens = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    scores = chunk_quality(F.col("text"), tokens)
-    return load_spread(spark, sf_dir, "documents").select("doc_id", *(scores[k].alias(k) for k in ("coherence", "information_density", "completeness", "length_score")))
+    scores = chunk_quality(load_spread(spark, sf_dir, "documents").select("doc_id", "text"), "text", tokens)
+    return scores.select("doc_id", "coherence", "information_density", "completeness", "length_score", F.round("overall", 3).alias("overall"))
 
 
 @query("corpus_stats", "SELECT count(*) AS documents, coalesce(sum(n_chars), 0)::BIGINT AS chars, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs FROM documents")
@@ -47,8 +48,8 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ocr_correction")
 def ocr_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrected texts and the number of corrections; look-around patterns have no oracle, tests hold it against Python's re."""
-    text, n = ocr_corrected(F.col("text"))
-    return load_spread(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("corrected_sha256"), n.cast("long").alias("corrections"))
+    out = ocr_corrected(load_spread(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return out.select("doc_id", F.sha2("corrected", 256).alias("corrected_sha256"), F.col("corrections").cast("long").alias("corrections"))
 
 
 @query("html_tags_stripped", r"SELECT page_id, sha256(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS text_sha256 FROM pages")
@@ -72,13 +73,14 @@ def new_content_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PII_SQL = r"""SELECT doc_id, len(regexp_extract_all(text, '\b\d{3}-\d{2}-\d{4}\b')) AS ssn, len(regexp_extract_all(text, '\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b')) AS phone,
   len(regexp_extract_all(text, '\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b')) AS email,
-  len(regexp_extract_all(text, '\b(?:0[1-9]|1[0-2])[/\-](?:0[1-9]|[12]\d|3[01])[/\-](?:19|20)\d{2}\b')) + len(regexp_extract_all(text, '\b(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])\b')) AS dob FROM documents"""
+  len(regexp_extract_all(text, '\b(?:0[1-9]|1[0-2])[/\-](?:0[1-9]|[12]\d|3[01])[/\-](?:19|20)\d{2}\b')) + len(regexp_extract_all(text, '\b(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])\b')) AS dob,
+  list_sum(list_transform([{medical}], lambda k: (length(lower(text)) - length(replace(lower(text), k, ''))) // length(k)))::BIGINT AS medical FROM documents""".replace("{medical}", ", ".join(f"'{k}'" for k in MEDICAL))
 
 
 @query("pii_counts", PII_SQL)
 def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = pii_counts(F.col("text"))
-    return load_spread(spark, sf_dir, "documents").select("doc_id", *(counts[k].alias(k) for k in ("ssn", "phone", "email", "dob")))
+    return load_spread(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in counts.items()))
 
 
 @query("sanitised_messages", r"""WITH t AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '"[^"]*"', '[REDACTED]', 'g'), '''[^'']*''', '[REDACTED]', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '[SSN]', 'g'),
@@ -191,11 +193,8 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense_list = dense_top_k(vectors, queries, 20)
     postings = vectors.select("id", F.posexplode("vector").alias("token", "weight")).withColumn("weight", F.col("weight").cast("double")).filter("weight > 0.15")
     asked = postings.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "token", F.col("weight").alias("query_weight"))
-    scored = postings.join(asked, "token").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), 9).alias("score"))
-    sparse_list = ranked(scored, ["query_id"], "score", "id", 20)
-    both = dense_list.select("query_id", "id", "rank").unionByName(sparse_list.select("query_id", "id", "rank"))
-    fused = both.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("rrf"))
-    return ranked(fused, ["query_id"], "rrf", "id", 10).select("query_id", "id", F.round("rrf", 6).alias("rrf"))
+    fused = hybrid_top_k([dense_list, sparse_top_k(postings, asked, 20)], 10)
+    return fused.select("query_id", "id", F.round("rrf", 6).alias("rrf"))
 
 
 @query("retrieval_metrics", f"""WITH d AS (SELECT b.vec_id AS query_id, a.vec_id AS id, b.label = a.label AS hit, row_number() OVER (PARTITION BY b.vec_id ORDER BY {COS} DESC, a.vec_id) AS rank FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
@@ -207,11 +206,20 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = points.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"), F.col("label").alias("query_label"))
     hits = dense_top_k(points, queries.drop("query_label"), 11).filter("id <> query_id")
     hits = ranked(hits.drop("rank"), ["query_id"], "score", "id", 10)
-    relevant = points.join(F.broadcast(queries.select("query_id", "query_label")), F.col("label") == F.col("query_label")).filter("id <> query_id")
+    relevant = points.join(queries.select("query_id", "query_label"), F.col("label") == F.col("query_label")).filter("id <> query_id")
     return ranking_metrics(hits, relevant, 10).select("query_id", *(F.round(c, 6).alias(c) for c in ("mrr", "recall", "precision", "ndcg")))
 
 
-@query("fusion_sweep")
+SWEEP = f"""WITH d AS (SELECT 'dense' AS kind, b.vec_id AS query_id, a.vec_id AS id, row_number() OVER (PARTITION BY b.vec_id ORDER BY {COS} DESC, a.vec_id) AS rank FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0),
+  s AS (SELECT 'short' AS kind, b.vec_id AS query_id, a.vec_id AS id, row_number() OVER (PARTITION BY b.vec_id ORDER BY {COS.replace('embedding::DOUBLE[]', 'embedding[1:8]::DOUBLE[]')} DESC, a.vec_id) AS rank FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0),
+  g AS (SELECT x.i AS dense, y.i AS short FROM range(1, 5) x(i), range(1, 5) y(i)),
+  f AS (SELECT dense, short, query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM (SELECT * FROM d UNION ALL SELECT * FROM s), g WHERE id <> query_id AND rank <= 10 * CASE WHEN kind = 'dense' THEN dense ELSE short END GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY dense, short, query_id ORDER BY rrf DESC, id) AS rank FROM f),
+  m AS (SELECT dense, short, query_id, min(rank) FILTER (a.label = b.label) AS first FROM r JOIN embeddings a ON a.vec_id = id JOIN embeddings b ON b.vec_id = query_id WHERE rank <= 10 GROUP BY 1, 2, 3)
+  SELECT dense::INT AS dense, short::INT AS short, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM m GROUP BY 1, 2"""
+
+
+@query("fusion_sweep", SWEEP)
 def fusion_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean MRR at 10 for prefetch multipliers 1 to 4 of either list; the parameter grid is sixteen rows."""
     vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
@@ -246,23 +254,28 @@ def hyde_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("id", F.round(F.aggregate("m", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
-@query("late_interaction")
+MAX_SIM = "list_sum([list_max([list_cosine_similarity(x::DOUBLE[], y::DOUBLE[]) FOR y IN p.parts]) FOR x IN q.parts]) / 4"
+
+
+@query("late_interaction", f"""WITH v AS (SELECT vec_id AS id, [embedding[i * 16 + 1 : i * 16 + 16] FOR i IN range(4)] AS parts FROM embeddings), s AS (SELECT q.id AS query_id, p.id, round({MAX_SIM}, 9) AS score FROM v p, v q WHERE q.id % 50 = 0)
+  SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""")
 def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MaxSim of four 16-dimensional query vectors against four patch vectors of each point."""
     parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, F.lit(16)))
     v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), parts.alias("patches"))
     q = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("patches").alias("query"))
-    scored = v.join(F.broadcast(q)).withColumn("score", F.round(max_sim(F.col("query"), F.col("patches")), 9))
-    return ranked(scored.select("query_id", "id", "score"), ["query_id"], "score", "id", 5)
+    score = F.round(max_sim(F.col("query"), F.col("patches")), 9)
+    out = against_all(q, "query_id", lambda asked: ranked(v.join(asked).select("query_id", "id", score.alias("score")), ["query_id"], "score", "id", 5))
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("graded_relevance")
 def graded_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each thread's messages graded against its first one, and the gate: is the upper median below 0.5?"""
+    """Each thread's messages graded against its first one, and the gate: is the upper median below 0.5? Tests grade them in plain Python."""
     turns = load(spark, sf_dir, "conversations")
     first = first_by(turns, ["conv_id"], [F.col("turn"), F.col("role"), F.col("text")]).select("conv_id", F.col("text").alias("question"))
     graded = turns.join(first, "conv_id").withColumn("score", relevance(F.col("question"), F.col("text"), F.lit(0.5)))
-    out = graded.groupBy("conv_id").agg(F.round(upper_median(F.col("score")), 6).alias("median"))
+    out = upper_medians(graded, "conv_id", "score", "median").withColumn("median", F.round("median", 6))
     return out.withColumn("second_tier", F.col("median") < 0.5)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.operators.filters import classify_error, in_dates, recency, within
+from foliant.operators.rows import order_statistics
 from foliant.registry import load, query
 
 #: The instant that relative times refer to, explicit so that reruns agree.
@@ -73,15 +74,13 @@ def users_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, list_sort(list(value))[least((count(*) * 0.95)::DOUBLE::DECIMAL(18,6)::BIGINT, count(*) - 1) + 1] AS sla95, list_sort(list(value))[count(*) // 2 + 1] AS upper_median FROM events GROUP BY 1".replace("(count(*) * 0.95)::DOUBLE::DECIMAL(18,6)::BIGINT", "floor(count(*) * 0.95)::BIGINT"))
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Linear percentiles, the element at int(0.95 n) and the upper median.
-
-    Nearest ranks come from a window over each group, which spills; no group is collected.
-    """
-    events = load(spark, sf_dir, "events").select("event_type", "value")
-    linear = events.groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.count("*").alias("n"))
-    numbered = events.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("value")) - 1).join(linear, "event_type")
-    sla = F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)
-    return numbered.groupBy("event_type", "p50", "p95").agg(F.max(F.when(F.col("r") == sla, F.col("value"))).alias("sla95"), F.max(F.when(F.col("r") == F.floor(F.col("n") / 2), F.col("value"))).alias("upper_median"))
+    """Linear percentiles, the element at int(0.95 n) and the upper median, by ranks that histograms find; no group is sorted or collected."""
+    last, n = F.col("n") - 1, F.col("n")
+    places = {"p50": 0.5, "p95": 0.95}
+    ranks = {f"{name}_{end}": f(last * p) for name, p in places.items() for end, f in (("low", F.floor), ("high", F.ceil))}
+    found = order_statistics(load(spark, sf_dir, "events"), "event_type", "value", {**ranks, "sla95": F.least(F.floor(n * 0.95), last), "upper_median": F.floor(n / 2)})
+    linear = [F.round(F.col(f"{name}_low") + (last * p - F.floor(last * p)) * (F.col(f"{name}_high") - F.col(f"{name}_low")), 6).alias(name) for name, p in places.items()]
+    return found.select("event_type", *linear, "sla95", "upper_median")
 
 
 @query("sentiment_baseline", "SELECT user_id, count(*) AS n, round(avg(value), 4) AS mean, round(avg(length(props)), 4) AS mean_length FROM events GROUP BY 1 HAVING count(*) >= 3")
@@ -94,7 +93,7 @@ def anomaly(rows: DataFrame, person: str, dims: list[str], least: int = 3) -> Da
     """rows with `anomaly`: the largest deviation from the person's means, each over max(mean, 0.1), 1 at most; 0 without `least` rows of history."""
     base = rows.groupBy(person).agg(F.count("*").alias("_n"), *(F.avg(d).alias(f"_{d}") for d in dims))
     off = F.array_max(F.array(*(F.abs(F.col(d) - F.col(f"_{d}")) / F.greatest(F.col(f"_{d}"), F.lit(0.1)) for d in dims)))
-    out = rows.join(base, person).withColumn("anomaly", F.when(F.col("_n") >= least, F.least(off, F.lit(1.0))).otherwise(0.0))
+    out = rows.join(base, person).withColumn("anomaly", F.when(F.col("_n") >= least, F.coalesce(F.least(off, F.when(off.isNotNull(), 1.0)), F.lit(0.0))).otherwise(0.0))
     return out.drop("_n", *(f"_{d}" for d in dims))
 
 

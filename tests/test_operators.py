@@ -2,21 +2,22 @@
 
 import io
 import random
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions.names import block_keys, canonical, different_people, first_last, fuzzy_pairs, garbage_name, likeness, normal_name, token_sort_ratio, without_title
-from foliant.functions.text import addresses, chunk_quality, citations, document_date, ocr_corrected, pii_counts, sanitised, subject_key
-from foliant.operators.chunks import line_diff, pack, portable, redacted, sections, still_there, text_blocks
+from foliant.functions.text import DOB, DOB_ISO, EMAIL, MEDICAL, OCR, PHONE, SSN, addresses, chunk_quality, citation_rates, citations, document_date, numbered_citations, ocr_corrected, pii_counts, pii_spans, sanitised, subject_key, with_context
+from foliant.operators.chunks import chunk, line_diff, long_block, pack, portable, redacted, still_there, text_blocks
 from foliant.operators.components import connected_components
 from foliant.operators.filters import file_type, in_dates, question_tier, visible
 from foliant.operators.graphs import betweenness, page_rank, shortest_paths, split_oversized, two_tiers
 from foliant.operators.mail import assign_threads, communication_pairs
 from foliant.operators.near_dup import duplicate_clusters, near_duplicates, version_groups, version_label
 from foliant.operators.rows import best_per_cluster, page_numbers
-from foliant.operators.vectors import ranking_metrics
+from foliant.operators.vectors import dense_top_k, ranking_metrics
 from foliant.sources.readers import changed_files, csv_table, expand_zips, import_documents, parse_eml, parser_of, read_dat, read_edrm, read_email_corpus, read_ocr_corpus, read_opticon, resume, rtf_text
 from foliant.sources.sinks import court_package, privilege_log, write_csv, write_edrm
 from foliant.streaming.jobs import job_states, keep_counts, stream
@@ -43,9 +44,21 @@ def test_subjects_and_tiers(spark):
 
 
 def test_ocr(spark):
-    text, n = ocr_corrected(F.col("s"))
-    df = spark.createDataFrame([("The ﬁrst 1O2 and 4l5, docu-\n ment  Plaintitf",), ("clean text",)], "s string")
-    assert [tuple(r) for r in df.select(text, n).collect()] == [("The first 102 and 415, document Plaintiff", 6), ("clean text", 0)]
+    df = spark.createDataFrame([("The ﬁrst 1O2 and 4l5, docu-\n ment  Plaintitf",), ("clean text",), (None,)], "s string")
+    assert [tuple(r) for r in ocr_corrected(df, "s").select("corrected", "corrections").collect()] == [("The first 102 and 415, document Plaintiff", 6), ("clean text", 0), (None, 0)]
+
+
+def test_ocr_equals_re(spark):
+    rng = random.Random(3)
+    bits = ["ﬁ", "ﬂ", "ﬃ", "l", "1", "0", "O", "S", "5", "-\n", " \n ", "  ", "\t", " ", "Attomey", "Exhibii", "ab", "l2", "Judgrnent"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(25))) for _ in range(400)]
+    got = ocr_corrected(spark.createDataFrame([(t,) for t in texts], "s string").repartition(1), "s").collect()
+    for r in got:
+        text, n = r.s, 0
+        for pattern, to in OCR:
+            text, k = re.subn(pattern, to.replace("$1", r"\1").replace("$2", r"\2"), text, flags=re.ASCII)
+            n += k
+        assert (r.corrected, r.corrections) == (text, n)
 
 
 def test_pii_and_sanitising(spark):
@@ -53,6 +66,10 @@ def test_pii_and_sanitising(spark):
     counts = pii_counts(F.col("s"))
     row = spark.createDataFrame([(t,)], "s string").select(*(c.alias(k) for k, c in counts.items())).first()
     assert (row.ssn, row.email, row.dob, row.medical) == (1, 1, 2, 2) and row.phone >= 1
+    spans = one(spark, pii_spans(F.col("s")), s=t)
+    want = sorted((m.start(), i, m.end(), kind, m[0]) for i, (kind, p, low) in enumerate([("ssn", SSN, 0), ("phone", PHONE, 0), ("email", EMAIL, 0), ("dob", DOB, 0), ("dob", DOB_ISO, 0), *(("medical", re.escape(k), 1) for k in MEDICAL)]) for m in re.finditer(p, t.lower() if low else t, re.ASCII))
+    assert [(x.start, x.end, x.category, x.text) for x in spans] == [(a, b, k, x) for a, _, b, k, x in want] and all(x.confidence == (0.9 if x.category == "medical" else 1.0) for x in spans)
+    assert one(spark, pii_spans(F.col("s")), s="nothing here") == one(spark, pii_spans(F.col("s")), s=None) == []
     assert one(spark, sanitised(F.col("s")), s="bad \"secret\" at 'x' by a@b.org") == "bad [REDACTED] at [REDACTED] by [EMAIL]"
 
 
@@ -66,11 +83,25 @@ def test_addresses_dates_citations(spark):
     assert [(c.filename, c.page) for c in got] == [("a.pdf", 3), ("b.pdf", 12)]
 
 
+def test_citation_rates(spark):
+    rows = [
+        ("[Source: a.pdf, page 3] [Source: b.pdf, page 9]", [("in/a.pdf", 1, 4), ("b", 1, 8)], ["a.pdf"], ["x/b.pdf", "a"]),
+        ("none", [("a", 1, 2)], ["a"], []),
+        ("[Source: c, page 1]", [], [], None),
+    ]
+    df = spark.createDataFrame(rows, "s string, expected array<struct<document_id:string,page_start:int,page_end:int>>, retrieved array<string>, fused array<string>")
+    rates = citation_rates(*(F.col(c) for c in df.columns))
+    assert [tuple(r) for r in df.select(*(rates[k] for k in ("accuracy", "hallucination", "post_rationalization"))).collect()] == [(0.5, 0.5, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 1.0)]
+    df = spark.createDataFrame([("as [2] and [1], [9] [0] [99999999999]", ["x", "y"]), ("no marks", ["x"])], "s string, sources array<string>")
+    assert [r[0] for r in df.select(numbered_citations(F.col("s"), F.col("sources"))).collect()] == [["y", "x"], []]
+    assert one(spark, with_context(F.col("s"), F.lit("about")), s="x") == "about\n\nx" and one(spark, with_context(F.col("s"), F.lit(None)), s="x") == "x"
+
+
 def test_quality_order(spark):
     prose = "The court heard the motion on Monday. Counsel argued for an hour. The judge asked many questions. A ruling will follow. All parties agreed to wait."
     plate = "CONFIDENTIAL Page 1 of 9 DO NOT DISTRIBUTE"
-    scores = chunk_quality(F.col("s"), F.lit(120))
-    got = strings(spark, scores["overall"], [prose, plate, "", "| a | b |\n| c | d |"])
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([prose, plate, "", "| a | b |\n| c | d |"])], "i int, s string")
+    got = [r.overall for r in chunk_quality(rows, "s", F.lit(120)).orderBy("i").collect()]
     assert got[0] > got[3] > got[2] == 0 and got[0] > got[1] and all(0 <= x <= 1 for x in got)
 
 
@@ -151,12 +182,55 @@ def test_chunks(spark):
     assert "".join(portable(long)) == long
     cut = pack("A sentence of six small words. " * 100, 50, 10)
     assert all(p.endswith(".") for p in cut)
-    assert [k for k, _ in sections("Hi\n\nOn Monday A wrote:\n> old", True)] == ["body", "quoted_reply"]
+
+
+def greedy(text, most, overlap):
+    """Chunks by trying block after block on the joined text."""
+    size = lambda x: len(portable(x))
+    out, now = [], []
+    for block in text_blocks(text):
+        if size(block) > most:
+            out += ["\n\n".join(now)] * bool(now) + list(long_block(block, most))
+            now = []
+        elif now and size("\n\n".join([*now, block])) > most:
+            out.append("\n\n".join(now))
+            now = ["".join(portable(out[-1])[-overlap:]), block] if overlap else [block]
+        else:
+            now.append(block)
+    return out + ["\n\n".join(now)] * bool(now)
+
+
+def test_pack_is_greedy():
+    rng = random.Random(21)
+    for _ in range(300):
+        text = "\n\n".join(" ".join("w" * rng.randint(1, 3) + rng.choice(["", ".", "."]) for _ in range(rng.randint(1, rng.choice([4, 12, 60])))) for _ in range(rng.randrange(14)))
+        most, overlap = rng.randint(5, 40), rng.randrange(6)
+        assert pack(text, most, overlap) == greedy(text, most, overlap)
+
+
+def test_chunk_sections(spark):
+    rows = [(1, "Hi\n\nOn Monday A wrote:\n> old", "email"), (2, "Hi\n> quoted", "note"), (3, "> only a reply", "email"), (4, None, "email"), (5, " \n ", "note"), (6, "x\ny -----Original Message-----", "email")]
+    out = chunk(spark.createDataFrame(rows, "doc_id long, text string, kind string"), kind=F.col("kind")).orderBy("doc_id", "chunk_index").collect()
+    assert [(r.doc_id, r.chunk_index, r.section, r.text) for r in out] == [(1, 0, "body", "Hi"), (1, 1, "quoted_reply", "On Monday A wrote:\n> old"), (2, 0, "body", "Hi\n> quoted"), (3, 0, "quoted_reply", "> only a reply"), (6, 0, "body", "x\ny -----Original Message-----")]
+
+
+def test_redaction_merges_spans(spark):
+    df = spark.createDataFrame([("0123456789", [(6, 8), (0, 2), (1, 4), (4, 5), (9, 9)]), ("abc", []), ("abc", None), (None, [(0, 1)])], "t string, spans array<struct<start:int,end:int>>")
+    assert [r[0] for r in df.select(redacted(F.col("t"), F.col("spans"), F.lit("#"))).collect()] == ["#5#89", "abc", "abc", None]
+
+
+def test_query_blocks(spark):
+    """More queries than may be broadcast at once give what one broadcast gives."""
+    rng = random.Random(8)
+    points = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(120)], "id long, vector array<double>")
+    queries = points.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    one, many = (sorted(map(tuple, dense_top_k(points, queries, 3, most=m).collect())) for m in (1000, 50))
+    assert one == many and len(one) == 360
 
 
 def test_redaction_and_diff(spark):
     df = spark.createDataFrame([("a secret b", [(2, 8)], ["secret"])], "t string, spans array<struct<start:int,end:int>>, gone array<string>")
-    out = df.withColumn("r", redacted("t", "spans", F.lit("[X]"))).withColumn("bad", still_there(F.col("r"), F.col("gone")))
+    out = df.withColumn("r", redacted(F.col("t"), F.col("spans"), F.lit("[X]"))).withColumn("bad", still_there(F.col("r"), F.col("gone")))
     assert tuple(out.select("r", "bad").first()) == ("a [X] b", False)
     df = spark.createDataFrame([("a\nb\nc", "a\nx\nc\nd")], "a string, b string")
     assert [r.op for r in df.select(line_diff("a", "b")).first()[0]] == ["equal", "replace", "equal", "insert"]
