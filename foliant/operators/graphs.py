@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.operators.components import connected_components
 from foliant.plans.lineage import cut
 
 
+# Types of neighbours that say something; relations that may have dates.
+NEIGHBOUR_TYPES = ["person", "organization", "location", "monetary_amount"]
+TEMPORAL = ["MANAGES", "HAS_ROLE", "MEMBER_OF", "BOARD_MEMBER", "REPORTS_TO"]
+
+
 def both_ways(edges: DataFrame, *keep: str) -> DataFrame:
     extra = [F.col(c) for c in keep]
     return edges.select("src", "dst", *extra).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *extra))
@@ -52,18 +57,23 @@ def page_rank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> Data
     return rank
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, most_hops: int = 5) -> DataFrame:
-    """(a, b, hops, path) of the pairs (a, b) that a path of at most most_hops undirected edges joins; of paths as short the least one.
+def shortest_paths(edges: DataFrame, pairs: DataFrame, most_hops: int = 5, relations: Sequence[str] | None = None) -> DataFrame:
+    """(a, b, hops, path, names) of the pairs (a, b) that a path of at most most_hops undirected edges joins; of paths as short the least one.
 
-    A breadth-first loop of joins: a pair's frontier holds each node once, with its least path, and nodes seen before leave it.
+    edges: src, dst and, if they have any, relation; relations leaves the others out. names: the relations along the path, the least where two
+    nodes have several. A breadth-first loop of joins: a pair's frontier holds each node once, with its least path, and nodes seen before leave it.
     """
-    steps = both_ways(edges).distinct()
-    front = pairs.select("a", "b").distinct().withColumns({"node": F.col("a"), "path": F.array("a")})
+    if "relation" not in edges.columns:
+        edges = edges.withColumn("relation", F.lit(None).cast("string"))
+    if relations is not None:
+        edges = edges.filter(F.col("relation").isin(*relations))
+    steps = both_ways(edges, "relation").groupBy("src", "dst").agg(F.min("relation").alias("relation"))
+    front = pairs.select("a", "b").distinct().withColumns({"node": F.col("a"), "path": F.array("a"), "names": F.array().cast("array<string>")})
     seen, found = front.select("a", "b", "node"), front.filter("a = b").withColumn("hops", F.lit(0))
     open_ = front.filter("a <> b")
     for hop in range(1, most_hops + 1):
-        nexts = open_.join(steps, open_["node"] == steps["src"]).select("a", "b", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        nexts = nexts.groupBy("a", "b", "node").agg(F.min("path").alias("path")).join(seen, ["a", "b", "node"], "left_anti")
+        nexts = open_.join(steps, open_["node"] == steps["src"]).select("a", "b", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("names", F.array("relation")).alias("names"))
+        nexts = nexts.groupBy("a", "b", "node").agg(F.min(F.struct("path", "names")).alias("best")).select("a", "b", "node", "best.path", "best.names").join(seen, ["a", "b", "node"], "left_anti")
         nexts = cut(nexts, "front")
         if nexts.isEmpty():
             break
@@ -71,28 +81,30 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most_hops: int = 5) -> Da
         found = found.unionByName(hit.withColumn("hops", F.lit(hop)))
         open_ = nexts.join(hit.select("a", "b"), ["a", "b"], "left_anti")
         seen = seen.unionByName(nexts.select("a", "b", "node"))
-    return found.select("a", "b", "hops", "path")
+    return found.select("a", "b", "hops", "path", "names")
 
 
 def reporting_chain(edges: DataFrame, start: DataFrame, at: str, most: int = 10) -> DataFrame:
-    """(start, manager, depth): REPORTS_TO edges (src, dst, since, until) upwards, all valid at a date (open ends are null), without cycles."""
-    valid = edges.filter((F.col("since").isNull() | (F.col("since") <= at)) & (F.col("until").isNull() | (F.col("until") >= at)))
-    front = start.select(F.col("node").alias("start"), F.col("node").alias("at"), F.array("node").alias("path"))
-    found = None
+    """(start, manager, depth): REPORTS_TO edges (src, dst, since, until) upwards, all valid at a date (open ends are null), the shortest way to each manager.
+
+    A round goes on from managers that are new to a start, so cycles end. Restrict nodes to a matter by passing its edges alone.
+    """
+    valid = cut(edges.filter((F.col("since").isNull() | (F.col("since") <= at)) & (F.col("until").isNull() | (F.col("until") >= at))).select("src", "dst").distinct(), "valid")
+    front = start.select(F.col("node").alias("start"), F.col("node").alias("manager"), F.lit(0).alias("depth"))
+    found = front
     for depth in range(1, most + 1):
-        nexts = front.join(valid, front["at"] == valid["src"]).filter(~F.array_contains("path", F.col("dst")))
-        front = cut(nexts.select("start", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")).dropDuplicates(["start", "at"]), "chain")
-        if front.isEmpty() and found is not None:
+        nexts = front.join(valid, front["manager"] == valid["src"]).select("start", F.col("dst").alias("manager"), F.lit(depth).alias("depth")).distinct()
+        front = cut(nexts.join(found.select("start", "manager"), ["start", "manager"], "left_anti"), "chain")
+        if front.isEmpty():
             break
-        here = front.select("start", F.col("at").alias("manager"), F.lit(depth).alias("depth"))
-        found = here if found is None else found.unionByName(here)
-    return found.groupBy("start", "manager").agg(F.min("depth").alias("depth"))
+        found = found.unionByName(front)
+    return found.filter("depth > 0")
 
 
 def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, community): synchronous label propagation by edge weight; ties go to the smallest label, which makes reruns agree.
 
-    A deterministic stand-in for modularity communities; labels are node ids, so only the partition has a meaning.
+    A cheap stand-in for modularity_communities(); labels are node ids, so only the partition has a meaning.
     """
     out = cut(both_ways(edges.filter("src <> dst"), "weight").groupBy("src", "dst").agg(F.sum(F.coalesce("weight", F.lit(1.0))).alias("w")), "weights")
     label = out.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct()
@@ -104,97 +116,172 @@ def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return label
 
 
-def two_tiers(communities: DataFrame, least: int = 3) -> DataFrame:
-    """communities (id, members array) with level and parent_id: those under `least` members share one level-1 parent, which unions them."""
-    small = F.size("members") < least
-    rows = communities.select("id", "members", F.lit(0).alias("level"), F.when(small, F.lit("small")).alias("parent_id"))
-    parent = communities.filter(small).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("members")).filter(F.size("members") > 0)
-    return rows.unionByName(parent.select(F.lit("small").alias("id"), "members", F.lit(1).alias("level"), F.lit(None).cast("string").alias("parent_id")))
+def modularity_communities(edges: DataFrame, levels: int = 3, rounds: int = 8) -> DataFrame:
+    """(node, community) by moves that raise the modularity of the undirected graph (src, dst, weight): Louvain's scheme as joins and aggregations.
+
+    In a round each node of one half, which a hash of node and round picks, goes to the neighbouring community of most gain, the smallest of equal ones;
+    moving halves in turn keeps neighbours from trading places for ever. After a level communities become nodes of the next one. Deterministic; the
+    communities are named by one of their nodes. A hub's neighbours stay rows, summed on the map side.
+    """
+    ends = cut(both_ways(edges.filter("src <> dst"), "weight").groupBy("src", "dst").agg(F.sum(F.coalesce("weight", F.lit(1.0))).alias("w")), "weights")
+    place = ends.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct()
+    twice = ends.agg(F.sum("w")).first()[0] or 1.0
+    links = ends
+    for level in range(levels):
+        weight = cut(links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "degrees")
+        now = weight.select("node", "k", F.col("node").alias("community"))
+        for r in range(rounds):
+            now = cut(now, "places")
+            total = now.groupBy("community").agg(F.sum("k").alias("total"))
+            other = now.select(F.col("node").alias("dst"), "community")
+            pulls = links.filter("src <> dst").join(other, "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("pull"))
+            # A node's own community is a choice as well, with a pull of 0 if no neighbour is left in it.
+            stay = now.select("node", "community", F.lit(0.0).alias("pull"))
+            choices = pulls.unionByName(stay).groupBy("node", "community").agg(F.sum("pull").alias("pull")).join(total, "community").join(now.select("node", "k", F.col("community").alias("own")), "node")
+            rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
+            gain = F.round(F.col("pull") - F.col("k") * rest / twice, 9)
+            best = choices.withColumn("gain", gain).groupBy("node", "k", "own").agg(F.max(F.struct("gain", (F.col("community") == F.col("own")).alias("stays"))).alias("top"), F.collect_list(F.struct("gain", "community")).alias("all"))
+            best = best.withColumn("to", F.array_min(F.transform(F.filter("all", lambda c: c["gain"] == F.col("top.gain")), lambda c: c["community"])))
+            turn = F.pmod(F.xxhash64("node", F.lit(level * rounds + r)), F.lit(2)) == 0
+            moved = cut(best.select("node", "k", F.when(turn & ~F.col("top.stays"), F.col("to")).otherwise(F.col("own")).alias("community"), (~F.col("top.stays")).alias("open")), "moves")
+            now = moved.drop("open")
+            if moved.filter("open").isEmpty():
+                break
+        found = now.select("node", "community")
+        place = cut(place.join(found.select(F.col("node").alias("community"), F.col("community").alias("next")), "community").select("node", F.col("next").alias("community")), "communities")
+        a, b = (found.select(F.col("node").alias(end), F.col("community").alias(end[0])) for end in ("src", "dst"))
+        smaller = cut(links.join(a, "src").join(b, "dst").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("w").alias("w")), "contracted")
+        if smaller.select("src").distinct().count() == weight.count():
+            break
+        links = smaller
+    return place
 
 
-def betweenness(edges: DataFrame, most_nodes: int = 20_000) -> DataFrame:
-    """(node, betweenness) of the undirected graph, by components: one task accumulates the shortest paths from each source of its share.
+def two_tiers(members: DataFrame, least: int = 3) -> DataFrame:
+    """(id, member, level, parent_id) of (id, member): those of under `least` members share the parent `small`, whose level-1 rows hold each of their members once."""
+    sizes = members.distinct().groupBy("id").agg(F.count("*").alias("n"))
+    rows = members.distinct().join(sizes, "id").select("id", "member", F.lit(0).alias("level"), F.when(F.col("n") < least, F.lit("small")).alias("parent_id"))
+    small = rows.filter("parent_id = 'small'").select(F.lit("small").alias("id"), "member").distinct()
+    return rows.unionByName(small.select("id", "member", F.lit(1).alias("level"), F.lit(None).cast("string").alias("parent_id")))
 
-    Sources are dealt over tasks and each task holds its component's edges, so a component above most_nodes raises an error.
+
+def betweenness(edges: DataFrame, block_rows: int = 20_000_000) -> DataFrame:
+    """(node, betweenness) of the undirected graph, exact: shortest paths counted level by level from blocks of sources, then shared out backwards.
+
+    A level is one join of (source, node) rows with the edges and one aggregation, so no component is held in a task. Sources are taken in blocks
+    whose (source, node) rows stay near block_rows; the work is that of any exact betweenness, nodes times edges.
     """
-    links = both_ways(edges.filter("src <> dst")).distinct()
-    parts = connected_components(edges, "src", "dst")
-    if not parts.groupBy("component").count().filter(F.col("count") > most_nodes).isEmpty():
-        raise ValueError(f"a component has over {most_nodes} nodes")
-    lists = links.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("to")).join(parts.withColumnRenamed("node", "src"), "src")
-    shares = lists.select("component").distinct().withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(7))))
-
-    def spread(key: tuple, graph: pd.DataFrame) -> pd.DataFrame:
-        to = {s: list(t) for s, t in zip(graph["src"], graph["to"], strict=True)}
-        total = dict.fromkeys(to, 0.0)
-        for source in sorted(to)[key[1] :: 8]:
-            order, before, count, dist, queue = [], {v: [] for v in to}, dict.fromkeys(to, 0), {source: 0}, deque([source])
-            count[source] = 1
-            while queue:
-                v = queue.popleft()
-                order.append(v)
-                for w in to[v]:
-                    if w not in dist:
-                        dist[w] = dist[v] + 1
-                        queue.append(w)
-                    if dist[w] == dist[v] + 1:
-                        count[w] += count[v]
-                        before[w].append(v)
-            part = dict.fromkeys(to, 0.0)
-            for w in reversed(order):
-                for v in before[w]:
-                    part[v] += count[v] / count[w] * (1 + part[w])
-                if w != source:
-                    total[w] += part[w]
-        return pd.DataFrame({"node": list(total), "part": [x / 2 for x in total.values()]})
-
-    kind = edges.schema["src"].dataType.simpleString()
-    return lists.join(shares, "component").groupBy("component", "share").applyInPandas(spread, f"node {kind}, part double").groupBy("node").agg(F.sum("part").alias("betweenness"))
+    links = cut(both_ways(edges.filter("src <> dst")).distinct(), "links")
+    nodes = cut(links.select(F.col("src").alias("node")).distinct(), "nodes")
+    n = nodes.count()
+    blocks = max(1, -(-n * n // block_rows))
+    sums = nodes.select("node", F.lit(0.0).alias("part"))
+    for block in range(blocks):
+        mine = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == block)
+        levels = [cut(mine.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")), "level")]
+        seen = levels[0].select("source", "node")
+        while True:
+            ahead = levels[-1].join(links, levels[-1]["node"] == links["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+            found = cut(ahead.join(seen, ["source", "node"], "left_anti"), "level")
+            if found.isEmpty():
+                break
+            levels.append(found)
+            # A neighbour lies a level further, in the same one, or in the one before.
+            seen = levels[-1].select("source", "node").unionByName(levels[-2].select("source", "node"))
+        later = levels[-1].withColumn("part", F.lit(0.0))
+        for level in reversed(levels[1:-1]):
+            sums = sums.unionByName(later.select("node", "part"))
+            after = later.select("source", F.col("node").alias("dst"), F.col("paths").alias("more"), F.col("part").alias("beyond"))
+            back = level.join(links, level["node"] == links["src"]).join(after, ["source", "dst"], "left")
+            share = F.sum(F.coalesce(F.col("paths") / F.col("more") * (1 + F.col("beyond")), F.lit(0.0)))
+            later = cut(back.groupBy("source", "node", "paths").agg(share.alias("part")), "back")
+        if len(levels) > 1:
+            sums = sums.unionByName(later.select("node", "part"))
+        sums = cut(sums.groupBy("node").agg(F.sum("part").alias("part")), "sums")
+    return sums.select("node", (F.col("part") / 2).alias("betweenness"))
 
 
 def split_oversized(matches: DataFrame, most: int = 50) -> DataFrame:
-    """(a, b, score) without the weakest edges that keep components over `most` nodes together, removed one at a time as needed.
+    """(a, b, score) without the weakest edges of components over `most` nodes, removed one at a time until none is left.
 
-    Components that are small enough pass; each of the others is worked on in one task of its own, which is bounded by its edges.
+    An edge stays just if the edges that are not weaker, itself included, join `most` nodes at most around it. Components that are small enough pass; the edges
+    of each larger one are united in one task, strongest first, in one pass.
     """
     parts = connected_components(matches, "a", "b")
     sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
     placed = matches.join(parts.withColumnRenamed("node", "a"), "a").join(sizes, "component")
 
     def trim(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges = sorted(zip(pdf["score"], pdf["a"], pdf["b"], strict=True))
-        while True:
-            root: dict = {}
-
-            def find(x: object) -> object:
-                while root.setdefault(x, x) != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for _, a, b in edges:
-                root[find(a)] = find(b)
-            count: dict = {}
-            for x in list(root):
-                count[find(x)] = count.get(find(x), 0) + 1
-            large = {r for r, n in count.items() if n > most}
-            if not large:
-                break
-            gone = set()
-            kept = []
-            for e in edges:
-                r = find(e[1])
-                if r in large and r not in gone:
-                    gone.add(r)
-                else:
-                    kept.append(e)
-            edges = kept
-        return pd.DataFrame([(a, b, s) for s, a, b in edges], columns=["a", "b", "score"])
+        pdf = pdf.sort_values(["score", "a", "b"], ascending=False)
+        root: dict = {}
+        size: dict = {}
+
+        def find(x: object) -> object:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        stays = []
+        for a, b in zip(pdf["a"], pdf["b"], strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                root[x] = y
+                size[y] = size.get(x, 1) + size.get(y, 1)
+            stays.append(size.get(y, 1) <= most)
+        return pdf.loc[stays, ["a", "b", "score"]]
 
     schema = matches.select("a", "b", "score").schema
     return placed.filter(F.col("n") <= most).select("a", "b", "score").unionByName(placed.filter(F.col("n") > most).select("component", "a", "b", "score").groupBy("component").applyInPandas(trim, schema))
 
 
+def plain_neighbours(edges: DataFrame, nodes: DataFrame, start: DataFrame) -> DataFrame:
+    """(name, other, relation): neighbours of the named start nodes, either way, that are no noise: of four types, five letters or more, and not the node itself.
+
+    edges: src, dst, relation (names). nodes: name, type. Each (name, other, relation) once.
+    """
+    near = both_ways(edges, "relation").join(start.select(F.col("name").alias("src")).distinct(), "src", "left_semi")
+    known = nodes.filter(F.col("type").isin(*NEIGHBOUR_TYPES) & (F.length("name") >= 5)).select(F.col("name").alias("dst")).distinct()
+    return near.filter("src <> dst").join(known, "dst", "left_semi").select(F.col("src").alias("name"), F.col("dst").alias("other"), "relation").distinct()
+
+
+def entity_connections(questions: DataFrame, edges: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, name, other, relation): connections of the entities whose names stand in a question, as whole words and in any case.
+
+    Runs of up to three words of a question meet names by an equi-join, so no question is compared with all names.
+    """
+    parts = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}#]+"), lambda w: w != "")
+    words = questions.select(key, parts.alias("w"))
+
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
+
+    spans = F.flatten(F.array(runs(1), runs(2), runs(3)))
+    said = words.filter(F.size("w") > 0).select(key, F.explode(F.array_distinct(spans)).alias("said"))
+    named = nodes.select("name", F.lower("name").alias("said")).distinct()
+    found = said.join(named, "said").select(key, "name").distinct()
+    return found.join(plain_neighbours(edges, nodes, found), "name").select(key, "name", "other", "relation").distinct()
+
+
+def temporal_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """edges (src, dst, relation, since, until) after the new ones were merged in: of the allowed relations only, a new one's dates replace those of its like; the latest
+    `since` holds if new ones repeat an edge."""
+    keys = ["src", "dst", "relation"]
+    once = new.filter(F.col("relation").isin(*TEMPORAL)).groupBy(*keys).agg(F.max(F.struct("since", "until")).alias("d")).select(*keys, "d.since", "d.until")
+    return edges.select(*keys, "since", "until").join(once.select(*keys), keys, "left_anti").unionByName(once)
+
+
+def edited(nodes: DataFrame, edges: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes (name, type) and edges (src, dst, relation) after changes (name, new_name, new_type, gone), one a name at most: renamed and retyped where given, else kept;
+    deleted nodes take their edges with them, renamed ones keep theirs."""
+    c = changes.select("name", "new_name", "new_type", F.coalesce("gone", F.lit(False)).alias("gone"))
+    out = nodes.join(c, "name", "left").filter("gone IS NULL OR NOT gone").select(F.coalesce("new_name", "name").alias("name"), F.coalesce("new_type", "type").alias("type"))
+    moved = edges
+    for end in ("src", "dst"):
+        moved = moved.join(c.select(F.col("name").alias(end), "new_name", "gone"), end, "left").filter("gone IS NULL OR NOT gone").withColumn(end, F.coalesce("new_name", end)).drop("new_name", "gone")
+    return out, moved.select("src", "dst", "relation")
+
+
 def merged_nodes(nodes: DataFrame, edges: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (name, mention_count, ...) and edges (src, dst, weight) after names were mapped (alias -> canonical): counts and weights added up, loops gone."""
     m = mapping.select("alias", "canonical")
@@ -206,10 +293,6 @@ def merged_nodes(nodes: DataFrame, edges: DataFrame, mapping: DataFrame) -> tupl
     return out, moved.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def scoped(nodes: DataFrame, matter: object, col: str = "matter_id") -> DataFrame:
-    return nodes.filter(F.col(col).isNull() | (F.col(col) == F.lit(matter)))
-
-
 def repaired_scope(nodes: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
     """nodes (id, matter_id): a missing matter from any linked document, the least."""
     found = links.join(docs, "doc_id").groupBy("id").agg(F.min("matter_id").alias("m"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.names import block_keys, canonical, different_people, first_last, folded, fuzzy_pairs, garbage_category, garbage_name, normal_name, without_title
 from foliant.operators.components import connected_components
-from foliant.operators.graphs import betweenness, co_occurrence, degree, label_communities, merged_nodes, neighbours, page_rank, reporting_chain, shortest_paths, two_tiers
+from foliant.operators.graphs import betweenness, co_occurrence, degree, merged_nodes, modularity_communities, neighbours, page_rank, reporting_chain, shortest_paths, two_tiers
 from foliant.plans.commerce import PAIRS, pairs
 from foliant.registry import load, query
 
@@ -34,6 +34,16 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.join(F.broadcast(edges.agg(F.avg("weight").alias("mean")))).filter("weight > mean").drop("mean")
 
 
+#: Customers and suppliers that meet in two orders or more: a graph that grows with the tables.
+MARKET = "e AS MATERIALIZED (SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst, count(DISTINCT o_orderkey)::DOUBLE AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), g AS MATERIALIZED (SELECT * FROM e WHERE weight >= 2), b AS MATERIALIZED (SELECT src, dst, weight FROM g UNION ALL SELECT dst, src, weight FROM g)"
+
+
+def commerce_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("c"), "o_custkey").alias("src"))
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+    return lines.join(orders, "l_orderkey").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")).filter("weight >= 2")
+
+
 RECURSIVE = "WITH RECURSIVE {tree}, w AS (SELECT id, parent, name, 0 AS depth FROM t WHERE parent IS NULL UNION ALL SELECT t.id, t.parent, t.name, depth + 1 FROM t JOIN w ON t.parent = w.id WHERE depth < 5) "
 
 
@@ -52,43 +62,42 @@ def folder_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("WITH RECURSIVE w AS (SELECT id, parent, 0 AS depth FROM {t} UNION ALL SELECT w.id, t.parent, w.depth + 1 FROM w JOIN {t} t ON t.id = w.parent) SELECT id, max(depth) AS depth FROM w GROUP BY id", t=nodes)
 
 
-@query("graph_stats", f"WITH {EDGES}, {BOTH} SELECT 'nodes' AS what, count(DISTINCT src) AS n FROM b UNION ALL SELECT 'edges', count(*) FROM g")
+@query("graph_stats", f"WITH {MARKET} SELECT 'nodes' AS what, count(DISTINCT src) AS n FROM b UNION ALL SELECT 'edges', count(*) FROM g")
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = trade(spark, sf_dir)
+    edges = commerce_graph(spark, sf_dir)
     ends = edges.select("src").union(edges.select("dst"))
     return ends.agg(F.lit("nodes").alias("what"), F.countDistinct("src").alias("n")).union(edges.agg(F.lit("edges").alias("what"), F.count("*").alias("n")))
 
 
-@query("graph_degree", f"WITH {EDGES}, {BOTH} SELECT src AS node, count(*) AS degree FROM b GROUP BY 1")
+@query("graph_degree", f"WITH {MARKET} SELECT src AS node, count(*) AS degree FROM b GROUP BY 1")
 def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return degree(trade(spark, sf_dir))
+    return degree(commerce_graph(spark, sf_dir))
 
 
-@query("graph_neighbours", f"WITH {EDGES}, {BOTH} SELECT src, dst, weight, rank FROM (SELECT src, dst, weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM b) WHERE rank <= 3")
+@query("graph_neighbours", f"WITH {MARKET} SELECT src, dst, weight, rank FROM (SELECT src, dst, weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM b WHERE src LIKE 's%') WHERE rank <= 3")
 def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"))
-    return neighbours(trade(spark, sf_dir), nation, 3).withColumn("rank", F.col("rank").cast("long"))
+    suppliers = load(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("src"))
+    return neighbours(commerce_graph(spark, sf_dir), suppliers, 3).withColumn("rank", F.col("rank").cast("long"))
 
 
 def rank_sql(rounds: int) -> str:
-    out = [f"WITH {EDGES}, {BOTH}, l AS (SELECT DISTINCT src, dst FROM b), d AS (SELECT src, count(*) AS n FROM l GROUP BY 1), r0 AS (SELECT src AS node, 1.0::DOUBLE AS rank FROM d)"]
+    out = [f"WITH {MARKET}, d AS MATERIALIZED (SELECT src, count(*) AS n FROM b GROUP BY 1), l AS MATERIALIZED (SELECT b.src, b.dst, n FROM b JOIN d USING (src)), r0 AS (SELECT src AS node, 1.0::DOUBLE AS rank FROM d)"]
     for k in range(rounds):
-        out.append(f"r{k + 1} AS (SELECT l.dst AS node, 0.15 + 0.85 * sum(rank / n) AS rank FROM l JOIN d USING (src) JOIN r{k} ON node = l.src GROUP BY 1)")
+        out.append(f"r{k + 1} AS MATERIALIZED (SELECT l.dst AS node, 0.15 + 0.85 * sum(rank / n) AS rank FROM l JOIN r{k} ON node = l.src GROUP BY 1)")
     return ", ".join(out) + f" SELECT node, round(rank, 6) AS rank FROM r{rounds}"
 
 
 @query("graph_page_rank", rank_sql(20))
 def graph_page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_rank(trade(spark, sf_dir)).select("node", F.round("rank", 6).alias("rank"))
+    return page_rank(commerce_graph(spark, sf_dir)).select("node", F.round("rank", 6).alias("rank"))
 
 
-@query("graph_shortest_paths", f"""WITH RECURSIVE {EDGES}, {BOTH}, w AS (SELECT min(src) AS a, min(src) AS node, 0 AS hops FROM g UNION SELECT w.a, b.dst, hops + 1 FROM w JOIN b ON b.src = w.node WHERE hops < 5) SELECT a, node AS b, min(hops) AS hops FROM w WHERE node <> a GROUP BY 1, 2""")
+@query("graph_shortest_paths", f"""WITH RECURSIVE {MARKET}, w AS (SELECT src AS a, src AS node, 0 AS hops FROM b WHERE src LIKE 's%0' UNION SELECT w.a, b.dst, hops + 1 FROM w JOIN b ON b.src = w.node WHERE hops < 4) SELECT a, node AS b, min(hops) AS hops FROM w WHERE node LIKE 's%' AND node <> a GROUP BY 1, 2""")
 def graph_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hops from the first node to every other one, five at most."""
-    edges = trade(spark, sf_dir)
-    start = edges.agg(F.min("src").alias("a"))
-    goals = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("b")).join(F.broadcast(start)).filter("a <> b")
-    return shortest_paths(edges, goals).select("a", "b", "hops")
+    """Hops from each tenth supplier to every other one, four at most: the queries are a stated set of starts."""
+    names = load(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("b"))
+    goals = names.join(F.broadcast(names.filter("b LIKE 's%0'").withColumnRenamed("b", "a"))).filter("a <> b")
+    return shortest_paths(commerce_graph(spark, sf_dir), goals, 4).select("a", "b", "hops")
 
 
 @query("graph_betweenness")
@@ -98,9 +107,9 @@ def graph_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("graph_communities")
 def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label communities in two tiers; those under three members share a parent."""
-    found = label_communities(trade(spark, sf_dir)).groupBy("community").agg(F.array_sort(F.collect_list("node")).alias("members"))
-    return two_tiers(found.select(F.col("community").cast("string").alias("id"), "members"))
+    """Modularity communities of customers and suppliers in two tiers; those under three members share a parent. Tests hold the modularity against brute force."""
+    found = modularity_communities(commerce_graph(spark, sf_dir))
+    return two_tiers(found.select(F.col("community").alias("id"), F.col("node").alias("member")))
 
 
 @query("graph_components", """WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey || ' ' || p_brand AS b FROM lineitem JOIN part ON p_partkey = l_partkey), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
@@ -129,15 +138,35 @@ def reporting_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting_chain(edges, edges.select(F.col("src").alias("node")).distinct(), "1998-01-01")
 
 
-@query("merged_entities", "WITH n AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN p_brand ELSE p_brand || ' ' || p_partkey % 3 END AS name FROM part) SELECT regexp_replace(name, ' [0-9]$', '') AS name, count(*) AS mention_count FROM n GROUP BY 1")
+ALIASED = "CASE WHEN p_partkey % 4 = 0 THEN p_brand ELSE p_brand || ' ' || p_partkey % 3 END"
+
+
+def aliased() -> tuple[Column, Column]:
+    """A part's brand, written in one of four ways, and the brand that an alias table gives for it."""
+    k = F.col("p_partkey")
+    return F.when(k % 4 == 0, F.col("p_brand")).otherwise(F.concat_ws(" ", "p_brand", (k % 3).cast("string"))), F.regexp_replace("name", " [0-9]$", "")
+
+
+@query("merged_entities", f"WITH n AS (SELECT {ALIASED} AS name FROM part) SELECT regexp_replace(name, ' [0-9]$', '') AS name, count(*) AS mention_count, list_sort(list_filter(list(DISTINCT name), lambda x: regexp_matches(x, ' [0-9]$'))) AS aliases FROM n GROUP BY 1")
 def merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that an alias table maps to their canonical ones, counts added up."""
-    k = F.col("p_partkey")
-    name = F.when(k % 4 == 0, F.col("p_brand")).otherwise(F.concat_ws(" ", "p_brand", (k % 3).cast("string")))
-    nodes = load(spark, sf_dir, "part").select(name.alias("name")).groupBy("name").agg(F.count("*").alias("mention_count"))
-    mapping = nodes.filter(F.col("name").rlike(" [0-9]$")).select(F.col("name").alias("alias"), F.regexp_replace("name", " [0-9]$", "").alias("canonical"))
-    edges = spark.createDataFrame([], "src string, dst string, weight double")
-    return merged_nodes(nodes, edges, mapping)[0].select("name", "mention_count")
+    return merged(spark, sf_dir)[0].select("name", "mention_count", "aliases")
+
+
+@query("merged_edges", f"""WITH n AS (SELECT DISTINCT l_orderkey, {ALIASED} AS name FROM lineitem JOIN part ON p_partkey = l_partkey),
+  e AS (SELECT regexp_replace(x.name, ' [0-9]$', '') AS src, regexp_replace(y.name, ' [0-9]$', '') AS dst FROM n x JOIN n y ON x.l_orderkey = y.l_orderkey AND x.name < y.name) SELECT src, dst, count(*)::DOUBLE AS weight FROM e WHERE src <> dst GROUP BY 1, 2""")
+def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the merged names: moved to the canonical ones, weights added up, loops gone."""
+    return merged(spark, sf_dir)[1]
+
+
+def merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    name, canonical_name = aliased()
+    part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), name.alias("name"))
+    nodes = part.groupBy("name").agg(F.count("*").alias("mention_count"))
+    mapping = nodes.filter(F.col("name").rlike(" [0-9]$")).select(F.col("name").alias("alias"), canonical_name.alias("canonical"))
+    met = co_occurrence(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(part, "l_partkey"), "name", "l_orderkey")
+    return merged_nodes(nodes, met.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("weight").cast("double").alias("weight")), mapping)
 
 
 @query("mention_counts", "SELECT p_brand AS name, p_type AS type, count(*) AS mention_count, min(p_partkey) AS first_seen, max(p_partkey) AS last_seen FROM part GROUP BY 1, 2")

@@ -13,7 +13,7 @@ from foliant.functions.text import DOB, DOB_ISO, EMAIL, MEDICAL, OCR, PHONE, SSN
 from foliant.operators.chunks import chunk, line_diff, long_block, pack, portable, redacted, still_there, text_blocks
 from foliant.operators.components import connected_components
 from foliant.operators.filters import file_type, in_dates, question_tier, visible
-from foliant.operators.graphs import betweenness, page_rank, shortest_paths, split_oversized, two_tiers
+from foliant.operators.graphs import betweenness, edited, entity_connections, modularity_communities, page_rank, shortest_paths, split_oversized, two_tiers
 from foliant.operators.mail import assign_threads, communication_pairs
 from foliant.operators.near_dup import duplicate_clusters, near_duplicates, version_groups, version_label
 from foliant.operators.rows import best_per_cluster, page_numbers
@@ -278,12 +278,71 @@ def test_components_and_paths(spark):
 
 def test_split_and_tiers(spark):
     chain = [(k, k + 1, 90.0 + k % 7) for k in range(60)]
+    def brute(edges, most):
+        while True:
+            near = {}
+            for _, a, b in edges:
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+            seen, large = set(), []
+            for v in near:
+                if v not in seen:
+                    part, todo = {v}, [v]
+                    while todo:
+                        todo += [w for w in near[todo.pop()] if w not in part and not part.add(w)]
+                    seen |= part
+                    large += [part] * (len(part) > most)
+            if not large:
+                return set(edges)
+            for part in large:
+                edges.remove(min(e for e in edges if e[1] in part))
+
     left = split_oversized(spark.createDataFrame(chain, "a int, b int, score double"), most=50).collect()
-    assert 0 < 60 - len(left) and min(r.score for r in left) >= 90
-    sizes = [r["count"] for r in connected_components(spark.createDataFrame(left), "a", "b").groupBy("component").count().collect()]
-    assert max(sizes) <= 50
-    rows = two_tiers(spark.createDataFrame([("a", ["x", "y", "z"]), ("b", ["p"]), ("c", ["q"])], "id string, members array<string>")).collect()
-    assert {(r.id, r.level, r.parent_id) for r in rows} == {("a", 0, None), ("b", 0, "small"), ("c", 0, "small"), ("small", 1, None)}
+    assert {(r.score, r.a, r.b) for r in left} == brute([(s, a, b) for a, b, s in chain], 50) and len(left) < 60
+    rng = random.Random(7)
+    web = list({(a, b): (a, b, float(rng.randrange(9))) for a, b in ((rng.randrange(40), rng.randrange(40, 80)) for _ in range(90))}.values())
+    left = split_oversized(spark.createDataFrame(web, "a int, b int, score double"), most=12).collect()
+    assert {(r.score, r.a, r.b) for r in left} == brute([(s, a, b) for a, b, s in web], 12)
+    rows = two_tiers(spark.createDataFrame([("a", x) for x in "xyz"] + [("b", "p"), ("c", "q"), ("c", "p")], "id string, member string")).collect()
+    assert {(r.id, r.member, r.level, r.parent_id) for r in rows} == {("a", x, 0, None) for x in "xyz"} | {("b", "p", 0, "small"), ("c", "q", 0, "small"), ("c", "p", 0, "small"), ("small", "p", 1, None), ("small", "q", 1, None)}
+
+
+def modularity(edges, place):
+    from collections import Counter
+
+    total, inside, degree = 0.0, Counter(), Counter()
+    for a, b, w in edges:
+        total += w
+        inside[place[a]] += w * (place[a] == place[b])
+        degree[place[a]] += w
+        degree[place[b]] += w
+    return sum(inside[c] / total - (degree[c] / 2 / total) ** 2 for c in degree)
+
+
+def test_modularity_communities(spark):
+    """Four dense groups with few edges between them are found; no single move of a node raises the modularity."""
+    rng = random.Random(5)
+    group = {v: v // 12 for v in range(48)}
+    edges = [(a, b, 1.0) for a in group for b in group if a < b and rng.random() < (0.6 if group[a] == group[b] else 0.02)]
+    place = {r.node: r.community for r in modularity_communities(spark.createDataFrame(edges, "src long, dst long, weight double")).collect()}
+    assert len({(group[v], c) for v, c in place.items()}) == len(set(place.values())) == 4
+    best = modularity(edges, place)
+    assert all(modularity(edges, place | {v: c}) <= best + 1e-9 for v in place for c in set(place.values()))
+
+
+def test_graph_edits(spark):
+    nodes = spark.createDataFrame([("Ann Roe", "person"), ("Acme", "organization"), ("Springfield", "location"), ("Bo", "person"), ("1/2/2020", "date")], "name string, type string")
+    edges = spark.createDataFrame([("Ann Roe", "Springfield", "IN"), ("Acme", "Ann Roe", "PAYS"), ("Ann Roe", "Bo", "KNOWS"), ("Ann Roe", "1/2/2020", "BORN"), ("Ann Roe", "Ann Roe", "IS")], "src string, dst string, relation string")
+    asked = spark.createDataFrame([(1, "Did ann roe pay?"), (2, "nobody"), (3, "Springfield or Acme")], "q int, text string")
+    got = {tuple(r) for r in entity_connections(asked, edges, nodes, "q", "text").collect()}
+    assert got == {(1, "Ann Roe", "Springfield", "IN"), (3, "Springfield", "Ann Roe", "IN"), (3, "Acme", "Ann Roe", "PAYS")}
+    changes = spark.createDataFrame([("Ann Roe", "Ann B. Roe", None, None), ("Bo", None, "organization", False), ("Acme", None, None, True)], "name string, new_name string, new_type string, gone boolean")
+    n, e = edited(nodes, edges, changes)
+    assert {tuple(r) for r in n.collect()} == {("Ann B. Roe", "person"), ("Springfield", "location"), ("Bo", "organization"), ("1/2/2020", "date")}
+    assert {tuple(r) for r in e.collect()} == {("Ann B. Roe", "Springfield", "IN"), ("Ann B. Roe", "Bo", "KNOWS"), ("Ann B. Roe", "1/2/2020", "BORN"), ("Ann B. Roe", "Ann B. Roe", "IS")}
+    paths = shortest_paths(edges, spark.createDataFrame([("Acme", "Springfield")], "a string, b string")).first()
+    assert (paths.path, paths.names) == (["Acme", "Ann Roe", "Springfield"], ["PAYS", "IN"])
+    assert shortest_paths(edges, spark.createDataFrame([("Acme", "Springfield")], "a string, b string"), relations=["IN"]).count() == 0
 
 
 def test_threads(spark):

@@ -165,3 +165,16 @@ def test_betweenness(spark):
             total[w] += part[w] * (w != s) / 2
     out = {r.node: r.betweenness for r in QUERIES["graph_betweenness"](spark, SF).collect()}
     assert out.keys() == total.keys() and all(abs(out[v] - total[v]) < 1e-5 for v in total)
+
+
+def test_communities(spark):
+    """Modularity of the communities of customers and suppliers: far above one community, and no worse than any of some moves."""
+    from test_operators import modularity
+
+    from foliant.plans.relations import commerce_graph
+
+    edges = [tuple(r) for r in commerce_graph(spark, SF).collect()]
+    out = QUERIES["graph_communities"](spark, SF).collect()
+    place = {r.member: r.id for r in out if r.level == 0}
+    assert len(place) == sum(r.level == 0 for r in out) == len({x for e in edges for x in e[:2]})
+    assert modularity(edges, place) > max(0.05, modularity(edges, dict.fromkeys(place, 0)))
