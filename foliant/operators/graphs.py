@@ -250,15 +250,18 @@ def entity_connections(questions: DataFrame, edges: DataFrame, nodes: DataFrame,
 
     Runs of up to three words of a question meet names by an equi-join, so no question is compared with all names.
     """
-    parts = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}#]+"), lambda w: w != "")
-    words = questions.select(key, parts.alias("w"))
+
+    def spoken(c: str) -> Column:
+        return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+    words = questions.select(key, spoken(text).alias("w"))
 
     def runs(n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
 
     spans = F.flatten(F.array(runs(1), runs(2), runs(3)))
     said = words.filter(F.size("w") > 0).select(key, F.explode(F.array_distinct(spans)).alias("said"))
-    named = nodes.select("name", F.lower("name").alias("said")).distinct()
+    named = nodes.select("name", F.array_join(spoken("name"), " ").alias("said")).distinct()
     found = said.join(named, "said").select(key, "name").distinct()
     return found.join(plain_neighbours(edges, nodes, found), "name").select(key, "name", "other", "relation").distinct()
 

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from foliant.plans import commerce, documents, evaluation, intake, monitoring, relations  # noqa: F401
+from foliant.plans import casework, commerce, documents, evaluation, intake, monitoring, relations  # noqa: F401
 from foliant.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -178,3 +178,63 @@ def test_communities(spark):
     place = {r.member: r.id for r in out if r.level == 0}
     assert len(place) == sum(r.level == 0 for r in out) == len({x for e in edges for x in e[:2]})
     assert modularity(edges, place) > max(0.05, modularity(edges, dict.fromkeys(place, 0)))
+
+
+def personal(text):
+    from foliant.functions.text import DOB, DOB_ISO, EMAIL, MEDICAL, PHONE, SSN
+
+    kinds = [("ssn", SSN), ("phone", PHONE), ("email", EMAIL), ("dob", DOB), ("dob", DOB_ISO), *(("medical", re.escape(k)) for k in MEDICAL)]
+    return sorted((m.start(), i, m.end(), kind) for i, (kind, p) in enumerate(kinds) for m in re.finditer(p, text.lower() if kind == "medical" else text))
+
+
+def test_pii_spans(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {(r.doc_id, r.start, r.end, r.category, r.confidence) for r in QUERIES["pii_spans"](spark, SF).collect()}
+    assert got == {(i, a, b, k, 0.9 if k == "medical" else 1.0) for i, t in docs.items() for a, _, b, k in personal(t)} and got
+
+
+def test_redacted_documents(spark):
+    import hashlib
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in QUERIES["redacted_documents"](spark, SF).collect():
+        text, spans = docs[r.doc_id], personal(docs[r.doc_id])
+        merged = []
+        for a, _, b, _ in spans:
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        clean = text
+        for a, b in reversed(merged):
+            clean = clean[:a] + "[REDACTED]" + clean[b:]
+        assert (r.spans, r.redacted_hash) == (len(spans), hashlib.sha256(clean.encode()).hexdigest()[:16])
+        assert r.left == any(text[a:b] in clean for a, _, b, _ in spans)
+
+
+def test_entity_resolution(spark):
+    from collections import Counter
+
+    from test_operators import brute_indel
+
+    rows_ = spark.read.parquet(f"{SF}/part.parquet").collect()
+    count = Counter(("person", r.p_name.title() if r.p_partkey % 2 == 0 else r.p_name) for r in rows_) + Counter(("date", r.p_brand.upper() if r.p_partkey % 2 == 0 else r.p_brand) for r in rows_)
+    names = sorted(count)
+    key = lambda n: " ".join(sorted(n.lower().split()))
+    root = {n: n for n in names}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in names:
+        for b in names:
+            if a < b and a[0] == b[0] and (a[1].lower() == b[1].lower() or a[0] == "person" and brute_indel(key(a[1]), key(b[1])) >= 90):
+                root[find(b)] = find(a)
+    want = Counter()
+    for n in names:
+        want[n[0], frozenset(m[1] for m in names if find(m) == find(n))] += count[n]
+    assert max(len(g) for _, g in want) <= 50
+    got = QUERIES["entity_resolution"](spark, SF).collect()
+    assert {(r.kind, frozenset([r.canonical, *r.aliases])): r.mention_count for r in got} == dict(want)
