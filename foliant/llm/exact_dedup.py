@@ -10,12 +10,12 @@ from foliant.llm.common import BROADCAST_IDS, cut, fold_case, restrict
 KEY = ["sha", "bytes", "check"]
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", normalise: Column | None = None, runs: int = 64, fan_in: int = 8) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", normalise: Column | None = None, runs: int = 64, fan_in: int = 2) -> DataFrame:
     """Groups of equal texts, found by a tree merge of sorted digest runs.
 
     Every row goes to one of `runs` runs by a hash of its id. A run holds one entry for each digest: the id that it keeps
-    so far and the rows seen; it is reduced on the map side first, then sorted. Rounds then merge `fan_in` runs into one
-    (binomial for 2), until one run is left. Entries merge only if SHA-256, byte length and a second, independent hash agree at every
+    so far and the rows seen; it is reduced on the map side first, then sorted. In binomial rounds two runs (`fan_in`) then become one: they meet in
+    one partition, where their sorted entries are merged, until one run is left. Entries merge only if SHA-256, byte length and a second, independent hash agree at every
     level. The verdicts go down the same tree, so a group that holds a third of all rows is spread over `runs` keys.
 
     keep: "min" or "max", the id of the row that stays. normalise: what is compared, the text with A-Z lower-cased by default.

@@ -15,14 +15,14 @@ from foliant.llm.words import mixed, windows, words
 from foliant.operators.components import connected_components
 
 #: Bytes of text, and tokens, that a Python worker holds at once.
-CHUNK, BLOCK = 1 << 20, 1 << 20
+CHUNK, BLOCK = 1 << 19, 1 << 20
 #: Pairs of hashes whose minima a document is grouped by.
 SLOTS = 2
 #: Tokens below it are a quarter of all.
 QUARTER = np.uint64(1 << 62)
 #: A token that occurs LOCAL times in a window of WINDOW_TOKENS tokens is reported; one with reports of FREQUENT comes late in the order.
 #: Any order is right; this one keeps common tokens out of prefixes. At most ORDERED tokens, the most frequent, are ordered so (8 MB each).
-WINDOW_TOKENS, LOCAL, FREQUENT, ORDERED = 1 << 21, 2, 8, 1_000_000
+WINDOW_TOKENS, LOCAL, FREQUENT, ORDERED = 1 << 20, 2, 8, 1_000_000
 
 
 def need(n: np.ndarray | int) -> np.ndarray | int:
@@ -367,7 +367,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     4. Pairs of groups that are left are opened if the whole token union of a block of sets reaches the bound of the query's set.
     5. Connected components of all links.
 
-    Texts are read three times and never shuffled, but where too many to broadcast their ids are read for links (restrict()).
+    Texts are tokenised seven times, which costs less than to store their tokens, and never shuffled, but where too many to broadcast their ids are
+    read for links (attach()). Equality and overlap are those of 64-bit hashes of words: texts made to collide could be taken for each other.
     Returns id_col, n_shingles (long), set_id (smallest id with the same set; null for empty sets) and component_id, a row for each input row.
     Rows that repeat an id are one node. Null ids get a null component and link with nothing. An empty table gives an empty result.
     """

@@ -7,11 +7,12 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import cut, give_back, restrict, shared_dir, small_batches, spans, text_bytes
+from foliant.llm.common import BROADCAST_IDS, cut, give_back, restrict, shared_dir, small_batches, spans, text_bytes
 
 ENTRY = T.StructType([T.StructField("version", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 #: Bytes of text that are handed to the tokenizer at once.
@@ -44,18 +45,20 @@ def load(tokenizer_file: str) -> object:
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The cache's entries; none before the first append. Two runs that encoded the same text left two equal entries."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    try:
+        return spark.read.schema(ENTRY).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], ENTRY)
-    return spark.read.schema(ENTRY).parquet(path)
 
 
 def count_tokens(docs: DataFrame, tokenizer_file: str, cache_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens of each whole text, from the cache where it has them, else encoded once for each distinct text and appended to it.
 
     A text's content digest is SHA-256 of the text that the tokenizer would get (null: empty); the cache key is that digest and
-    tokenizer_version(). cache_path: a Parquet folder that all executors share; by default a new one, so that nothing is found.
+    tokenizer_version(). cache_path: a Parquet folder that all executors share; by default a new one in the shared folder, so that nothing is found and
+    whoever clears that folder clears it.
 
     Of each missing digest one row is encoded, that of the smallest row key; digests are grouped before any text moves, so a text that
     a third of all rows share is encoded once. Rows that another row stands for are taken out by an anti join, broadcast only
@@ -78,7 +81,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, cache_path: str | None =
     others = rows.join(missing.filter("n > 1").select("digest", "first"), "digest").filter("id <> first").select("id", "digest")
     found = rows.join(cache, "digest", "left_semi").select("id", "digest")
     texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), digest.alias("digest"))
-    todo = restrict(texts, cut(others.unionByName(found).distinct(), "others"), ["id", "digest"], "left_anti")
+    todo = restrict(texts, cut(others.unionByName(found).distinct(), "others"), ["id", "digest"], "left_anti", BROADCAST_IDS // 4)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = load(tokenizer_file)
