@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +73,39 @@ def dense_top_k(points: DataFrame, queries: DataFrame, k: int, allowed: Column |
     return against_all(queries, query_key, work, most)
 
 
+def similar_pairs(points: DataFrame, kind: str, threshold: float, key: str = "id", vector: str = "vector", block: int = 4096) -> DataFrame:
+    """(a, b, score), a < b: pairs of one kind whose cosine reaches the threshold; exact.
+
+    Vectors of a kind are dealt into blocks of about `block`; a task compares two blocks at a time by matrix products and only pairs that reach the threshold leave it.
+    A kind of n vectors is read n / block times and takes n * n products, which no exact join of dense vectors avoids. Null vectors and kinds have no pairs.
+    """
+    rows = points.select(F.col(kind).alias("kind"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("kind IS NOT NULL AND v IS NOT NULL")
+    blocks = rows.groupBy("kind").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "kind").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # A block meets itself and every other one: the pair of blocks is named by the lower number first.
+    met = dealt.select("kind", "id", "v", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("kind", "id", "v", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = pdf["own"] == pdf["low"]
+        sides = [pdf[low], pdf[low if pdf["low"].iloc[0] == pdf["high"].iloc[0] else ~low]]
+        unit = []
+        for side in sides:
+            m = np.array(side["v"].tolist(), float).reshape(len(side), -1)
+            size = np.linalg.norm(m, axis=1, keepdims=True)
+            unit.append(np.divide(m, size, out=np.zeros_like(m), where=size > 0))
+        if not len(sides[0]) or not len(sides[1]):
+            return pd.DataFrame({"a": pdf["id"].iloc[:0], "b": pdf["id"].iloc[:0], "score": np.zeros(0)})
+        score = unit[0] @ unit[1].T
+        i, j = np.nonzero(score >= threshold)
+        x, y = sides[0]["id"].to_numpy()[i], sides[1]["id"].to_numpy()[j]
+        keep = x != y if sides[0] is not sides[1] and pdf["low"].iloc[0] != pdf["high"].iloc[0] else x < y
+        return pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep], "score": score[i, j][keep]})
+
+    id_type = points.schema[key].dataType.simpleString()
+    return met.groupBy("kind", "low", "high").applyInPandas(compare, f"a {id_type}, b {id_type}, score double")
+
+
 def sparse_top_k(postings: DataFrame, queries: DataFrame, k: int, token: str = "token", weight: str = "weight", key: str = "id", query_key: str = "query_id", query_weight: str = "query_weight") -> DataFrame:
     """Dot products of sparse vectors given as (key, token, weight) rows; only shared tokens meet."""
     scored = postings.join(queries, token).groupBy(query_key, key).agg(F.round(F.sum(F.col(weight) * F.col(query_weight)), 9).alias("score"))

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import MEDICAL, chunk_quality, clean_control, content_hash, ocr_corrected, pii_counts, sanitised, strip_tags, subject_key
+from foliant.operators import vectors
 from foliant.operators.filters import file_type, question_tier
 from foliant.operators.near_dup import duplicate_clusters, near_duplicates
 from foliant.operators.rows import best_per_cluster, first_by, flag_first, merge_hits
-from foliant.operators.vectors import against_all, blended, cosine, dense_top_k, hybrid_top_k, max_sim, ranked, ranking_metrics, relevance, sparse_top_k, upper_medians
+from foliant.operators.vectors import against_all, blended, dense_top_k, hybrid_top_k, max_sim, ranked, ranking_metrics, relevance, sparse_top_k, upper_medians
 from foliant.registry import load, load_spread, query
 
 STRIP = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
@@ -239,11 +240,9 @@ def fusion_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("similar_pairs", f"SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {COS} >= 0.4")
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threshold similarity join within a type (0.4 here, where vectors are random); types stand for blocks and AQE splits a skewed one."""
-    v = load(spark, sf_dir, "embeddings")
-    a = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("va"))
-    b = v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
-    return a.join(b, "label").filter("a < b").withColumn("score", cosine(F.col("va"), F.col("vb"))).filter("score >= 0.4").select("a", "b", F.round("score", 6).alias("score"))
+    """Threshold similarity join within a type (0.4 here, where vectors are random)."""
+    found = vectors.similar_pairs(load(spark, sf_dir, "embeddings"), "label", 0.4, "vec_id", "embedding")
+    return found.select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query("hyde_blend", "SELECT a.vec_id AS id, round(list_sum([(0.5 * x[1]::DOUBLE + 0.5 * x[2]::DOUBLE) FOR x IN list_zip(a.embedding, b.embedding)]), 4) AS total FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 50")

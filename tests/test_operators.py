@@ -17,7 +17,7 @@ from foliant.operators.graphs import betweenness, edited, entity_connections, mo
 from foliant.operators.mail import assign_threads, communication_pairs
 from foliant.operators.near_dup import duplicate_clusters, near_duplicates, version_groups, version_label
 from foliant.operators.rows import best_per_cluster, page_numbers
-from foliant.operators.vectors import dense_top_k, ranking_metrics
+from foliant.operators.vectors import dense_top_k, ranking_metrics, similar_pairs
 from foliant.sources.readers import changed_files, csv_table, expand_zips, import_documents, parse_eml, parser_of, read_dat, read_edrm, read_email_corpus, read_ocr_corpus, read_opticon, resume, rtf_text
 from foliant.sources.sinks import court_package, privilege_log, write_csv, write_edrm
 from foliant.streaming.jobs import job_states, keep_counts, stream
@@ -228,6 +228,16 @@ def test_query_blocks(spark):
     assert one == many and len(one) == 360
 
 
+def test_similar_pairs(spark):
+    rng = random.Random(6)
+    rows = [(i, i % 2, [rng.gauss(0, 1) for _ in range(3)]) for i in range(90)] + [(90, 0, [0.0] * 3), (91, 0, None), (92, None, [1.0] * 3)]
+    cos = lambda x, y: sum(a * b for a, b in zip(x, y)) / ((sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5 or 1)
+    want = {(a, b) for a, k, x in rows for b, m, y in rows if a < b and k == m and x and y and k is not None and cos(x, y) >= 0.6}
+    for block in (4096, 10):
+        got = similar_pairs(spark.createDataFrame(rows, "id long, kind int, vector array<double>"), "kind", 0.6, block=block).collect()
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
 def test_redaction_and_diff(spark):
     df = spark.createDataFrame([("a secret b", [(2, 8)], ["secret"])], "t string, spans array<struct<start:int,end:int>>, gone array<string>")
     out = df.withColumn("r", redacted(F.col("t"), F.col("spans"), F.lit("[X]"))).withColumn("bad", still_there(F.col("r"), F.col("gone")))
