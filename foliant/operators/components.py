@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliant.plans.lineage import cut
 
 
-def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node that links reach.
 
     Each round points every node's larger neighbours, then its smaller ones, at the least of them, with two aggregations and two joins;
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     e, before = cut(e, "edges"), None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -29,7 +29,5 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"no fixed point in {most_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

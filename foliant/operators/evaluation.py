@@ -7,11 +7,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Retrieval depths by question type (text, graph), judge weights, quality gates.
+from foliant.operators.rows import first_by
+from foliant.plans.lineage import cut
+
+# Retrieval depths by question type (text, graph), judge weights, quality gates, warnings of an estimate.
 DEPTHS = {"factual": (15, 8), "analytical": (30, 15), "comparative": (35, 20), "timeline": (25, 12), "procedural": (20, 10), "exploratory": (40, 20)}
 JUDGE = {"relevance": 0.20, "completeness": 0.15, "accuracy": 0.25, "citation_support": 0.25, "conciseness": 0.15}
 GATES = {"faithfulness": (">=", 0.95), "citation_accuracy": (">=", 0.90), "hallucination_rate": ("<", 0.05), "post_rationalization_rate": ("<", 0.10)}
-NUMERALS = [(10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")]
+WARNINGS = ["Large import: consider batching in groups of 500", "Import exceeds 10 GB: ensure sufficient storage"]
 
 
 def hot_score(pressure: Column, opportunity: Column, rationalization: Column, intent: Column, concealment: Column, signals: list[Column]) -> Column:
@@ -21,7 +24,7 @@ def hot_score(pressure: Column, opportunity: Column, rationalization: Column, in
 
 def import_estimate(files: Column, size: Column) -> dict[str, Column]:
     pages = F.greatest(files * 5, F.floor(size / (50 * 1024)))
-    warnings = F.filter(F.array(F.when(files > 1000, "Large import: consider batching in groups of 500"), F.when(size > 10 * 1024**3, "Import exceeds 10 GB: ensure sufficient storage")), lambda w: w.isNotNull())
+    warnings = F.filter(F.array(F.when(files > 1000, WARNINGS[0]), F.when(size > 10 * 1024**3, WARNINGS[1])), lambda w: w.isNotNull())
     return {"pages": pages.cast("long"), "chunks": (pages * 3).cast("long"), "minutes": F.round(files * 0.5, 1), "storage_mb": F.round(size / (1024 * 1024) * 1.2, 1), "warnings": warnings}
 
 
@@ -85,15 +88,29 @@ def expanded(questions: DataFrame, terms: DataFrame, key: str, text: str, scope:
     return out.withColumn(text, F.when(F.col("note").isNull(), F.col(text)).otherwise(F.concat(F.col(text), F.lit("\n\n[Case context: "), F.col("note"), F.lit("]")))).drop("note")
 
 
+def grams(text: Column, n: int) -> Column:
+    """The distinct runs of n characters of a text; none of a shorter one."""
+    return F.array_distinct(F.transform(F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(text, i, F.lit(n))))
+
+
 def grounded(names: DataFrame, entities: DataFrame) -> DataFrame:
     """(name, grounded, closest): is there an entity of that name; if not, the least entity that contains it.
 
-    Only names without an exact match reach the substring join, each once.
+    Only names without an exact match are looked for, each once: of its runs of three characters (of all its characters, if it has fewer) the one that the fewest
+    entities hold meets the entities that hold it, and is compared as a substring there. A name without characters is in the least entity of all.
     """
-    exact = names.select("name").distinct().join(entities.select("name").distinct().withColumn("hit", F.lit(True)), "name", "left")
-    open_ = exact.filter("hit IS NULL").select("name")
-    near = open_.join(entities.select(F.col("name").alias("other")).distinct(), F.col("other").contains(F.col("name"))).groupBy("name").agg(F.min("other").alias("closest"))
-    return exact.join(near, "name", "left").select("name", F.coalesce("hit", F.lit(False)).alias("grounded"), "closest")
+    known = cut(entities.select(F.col("name").alias("other")).distinct(), "entities")
+    exact = names.select("name").distinct().join(known.select(F.col("other").alias("name"), F.lit(True).alias("hit")), "name", "left")
+    open_ = cut(exact.filter("hit IS NULL AND name IS NOT NULL").select("name"), "open")
+    size = F.least(F.length("name"), F.lit(3))
+    asked = open_.filter("name <> ''").select("name", F.explode(F.when(size == 3, grams(F.col("name"), 3)).otherwise(F.array("name"))).alias("gram"))
+    index = known.select("other", F.explode(F.array_union(F.array_union(grams(F.col("other"), 1), grams(F.col("other"), 2)), grams(F.col("other"), 3))).alias("gram"))
+    index = index.join(asked.select("gram").distinct(), "gram", "left_semi")
+    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, "gram", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best")).select("name", "best.gram")
+    near = rarest.join(index, "gram").filter(F.col("other").contains(F.col("name"))).groupBy("name").agg(F.min("other").alias("closest"))
+    empty = open_.filter("name = ''").join(known.agg(F.min("other").alias("closest")))
+    return exact.join(near.unionByName(empty), "name", "left").select("name", F.coalesce("hit", F.lit(False)).alias("grounded"), "closest")
 
 
 def topics(docs: DataFrame, key: str, text: str, k: int, least: int = 5, terms: int = 10, seed: int = 1, features: int = 1 << 14) -> tuple[DataFrame, DataFrame]:
@@ -111,7 +128,8 @@ def topics(docs: DataFrame, key: str, text: str, k: int, least: int = 5, terms:
     sizes = found.groupBy("topic").agg(F.count("*").alias("size"))
     found = found.join(sizes, "topic").withColumn("topic", F.when(F.col("size") >= least, F.col("topic")).otherwise(-1))
     each = found.filter("topic >= 0").select("topic", F.explode("words").alias("word")).groupBy("topic", "word").agg(F.count("*").alias("n"))
-    weight = F.struct((F.col("n") / F.col("all")).alias("share"), F.col("n"), F.col("word"))
-    frequent = each.join(each.groupBy("word").agg(F.sum("n").alias("all")), "word").filter("n >= 3")
-    best = frequent.groupBy("topic").agg(F.transform(F.slice(F.sort_array(F.collect_list(weight), False), 1, terms), lambda t: t["word"]).alias("terms"))
+    frequent = each.join(each.groupBy("word").agg(F.sum("n").alias("all")), "word").filter("n >= 3").withColumn("share", F.col("n") / F.col("all"))
+    top = first_by(frequent, ["topic"], [F.desc("share"), F.desc("n"), F.desc("word")], terms)
+    weight = F.struct("share", "n", "word")
+    best = top.groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(weight), False), lambda t: t["word"]).alias("terms"))
     return found.select(key, "topic"), sizes.filter(F.col("size") >= least).join(best, "topic", "left")

@@ -69,10 +69,6 @@ def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
-def page_with_total(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> tuple[DataFrame, int]:
-    return page(df, order, offset, limit), df.count()
-
-
 def in_dates(at: Column, start: str | None, end: str | None) -> Column:
     """Inclusive range that leaves out nulls; an end at midnight means the whole day."""
     parts = [at.isNotNull()]

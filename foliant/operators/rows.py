@@ -38,14 +38,20 @@ def fuse_ranks(ranked: DataFrame, query: Sequence[str], item: str, rank: str, k:
 
 
 def page_numbers(items: DataFrame, scope: Sequence[str], order: Sequence[Column], pages: str, prefix: str, start: int = 1, width: int = 6) -> DataFrame:
-    """Running page numbers: each item's begin and end, zero-padded and never cut off.
+    """Running page numbers within a scope (a production set): each item's begin and end, zero-padded and never cut off.
 
-    The running sum is over one scope (a production set) at a time.
+    Items are dealt by ranges of their order and each range adds up its own pages; only the sums of the ranges run over a whole scope, so a set of any
+    size is spread over tasks. End `order` with a unique column.
     """
-    w = Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(pages).over(w) + start - 1
+    placed = cut(items.repartitionByRange(*scope, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = placed.groupBy(*scope, "_range").agg(F.sum(pages).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*scope).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")
+    here = Window.partitionBy(*scope, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = placed.withColumn("_own", F.sum(pages).over(here)).join(sums.withColumn("_before", before).drop("_sum"), [*scope, "_range"])
+    end = F.col("_own") + F.col("_before") + start - 1
     pad = lambda n: F.concat(F.lit(prefix), F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), F.lit(width)), F.lit("0")))
-    return items.withColumns({"begin_no": end - F.col(pages) + 1, "end_no": end}).withColumns({"bates_begin": pad(F.col("begin_no")), "bates_end": pad(F.col("end_no"))})
+    out = numbered.withColumns({"begin_no": end - F.col(pages) + 1, "end_no": end}).drop("_range", "_own", "_before")
+    return out.withColumns({"bates_begin": pad(F.col("begin_no")), "bates_end": pad(F.col("end_no"))})
 
 
 def upsert_counts(old: DataFrame, new: DataFrame, keys: Sequence[str], count: str, earliest: str, latest: str) -> DataFrame:

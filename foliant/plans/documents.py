@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import MEDICAL, chunk_quality, clean_control, content_hash, ocr_corrected, pii_counts, sanitised, strip_tags, subject_key
 from foliant.operators import vectors
-from foliant.operators.filters import file_type, question_tier
+from foliant.operators.filters import file_type, question_tier, visually_complex
 from foliant.operators.near_dup import duplicate_clusters, near_duplicates
 from foliant.operators.rows import best_per_cluster, first_by, flag_first, merge_hits
 from foliant.operators.vectors import against_all, blended, dense_top_k, hybrid_top_k, max_sim, ranked, ranking_metrics, relevance, sparse_top_k, upper_medians
@@ -306,12 +306,16 @@ def invalid_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.exceptAll(asked.join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")).distinct()
 
 
-@query("quality_monitor", "SELECT source, round(avg(CASE WHEN quality IS NULL THEN 0 ELSE least(greatest(quality, 0), 1) END), 4) AS relevance, round(coalesce(sum(quality) / nullif(count(quality), 0)::DOUBLE, 1.0), 4) AS faithfulness FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+@query("quality_monitor", """WITH j AS (SELECT source, quality, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS words FROM documents LEFT JOIN labels USING (doc_id))
+  SELECT source, round(avg(CASE WHEN quality IS NULL THEN 0 ELSE least(greatest(quality, 0), 1) END), 4) AS relevance, round(coalesce(sum(quality) / nullif(count(quality), 0)::DOUBLE, 1.0), 4) AS faithfulness, round(count(quality) * 100.0::DOUBLE / greatest(sum(words), 1), 4) AS claims_per_100 FROM j GROUP BY 1""")
 def quality_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = load(spark, sf_dir, "documents").select("doc_id", "source").join(load(spark, sf_dir, "labels"), "doc_id", "left")
+    """Mean clamped score, share of verified claims (1 without any) and claims in 100 words, by source; labels stand for claims."""
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    joined = load(spark, sf_dir, "documents").select("doc_id", "source", words.alias("words")).join(load(spark, sf_dir, "labels"), "doc_id", "left")
     clamped = F.least(F.greatest(F.coalesce("quality", F.lit(0)), F.lit(0)), F.lit(1))
     verified: Column = F.coalesce(F.try_divide(F.sum("quality"), F.count("quality")), F.lit(1.0))
-    return joined.groupBy("source").agg(F.round(F.avg(clamped), 4).alias("relevance"), F.round(verified, 4).alias("faithfulness"))
+    density = F.count("quality") * 100.0 / F.greatest(F.sum("words"), F.lit(1))
+    return joined.groupBy("source").agg(F.round(F.avg(clamped), 4).alias("relevance"), F.round(verified, 4).alias("faithfulness"), F.round(density, 4).alias("claims_per_100"))
 
 
 @query("capped_sets", "SELECT source, list_sort(list(DISTINCT lang))[1:2] AS langs FROM documents GROUP BY 1")
@@ -322,3 +326,10 @@ def capped_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("source").agg(F.array_sort(F.collect_list("lang")).alias("langs"))
 
 
+
+
+@query("visually_complex", "SELECT page_id, regexp_matches(lower(url), '\\.(pptx|xlsx)$') OR contains(html, '<table') OR length(trim(html)) < 100 AS visual FROM pages")
+def complex_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents are worth a look as images: slides and sheets, those with tables, those of little text."""
+    pages = load(spark, sf_dir, "pages")
+    return pages.select("page_id", visually_complex(F.col("html"), F.col("url"), F.col("html").contains("<table")).alias("visual"))

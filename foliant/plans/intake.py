@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliant.operators.chunks import chunk
 from foliant.operators.mail import assign_threads
 from foliant.registry import load, load_spread, query
-from foliant.streaming.jobs import hourly, once, run_all, stream
+from foliant.streaming.jobs import hourly, once, run_all, session_counts, sliding_counts, stream
 
 
 @query("document_chunks")
@@ -43,3 +43,24 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     out = run_all(once(stream(spark, path, spark.read.parquet(path).schema), ["event_id"]), "once")
     return out.agg(F.count("*").alias("n"))
+
+
+#: A window has been given out when the watermark, ten minutes behind the last event, has reached its end.
+CLOSED = '<= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE'
+
+
+@query("stream_sessions", f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n FROM s GROUP BY user_id, sid HAVING max(ts) + INTERVAL 30 MINUTE {CLOSED}""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of the events table read as a stream, those that the watermark has closed."""
+    path = f"{sf_dir}/events.parquet"
+    out = run_all(session_counts(stream(spark, path, spark.read.parquet(path).schema), "user_id"), "sessions")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("started"), F.col("end").cast("timestamp_ntz").alias("ended"), "n")
+
+
+@query("stream_sliding", f"""WITH w AS (SELECT event_type, time_bucket(INTERVAL 10 MINUTE, ts) - i * INTERVAL 10 MINUTE AS start FROM events, range(6) r(i)) SELECT event_type, start, count(*) AS n FROM w WHERE start + INTERVAL 1 HOUR {CLOSED} GROUP BY 1, 2""")
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by type in windows of an hour that slide by ten minutes, of the events table read as a stream."""
+    path = f"{sf_dir}/events.parquet"
+    out = run_all(sliding_counts(stream(spark, path, spark.read.parquet(path).schema), "event_type"), "sliding")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.operators.filters import classify_error, in_dates, recency, within
+from foliant.operators.filters import capped_limit, classify_error, cut_text, in_dates, recency, within
 from foliant.operators.rows import order_statistics
 from foliant.registry import load, query
 
@@ -34,18 +34,23 @@ def hourly_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(n_if(kind == "purchase").alias("completed"), n_if(kind == "error").alias("failed"))
 
 
-@query("throughput", f"SELECT coalesce(event_type, 'ingestion') AS task, count(*) AS n, round(count(*) / greatest((epoch(TIMESTAMP '{AS_OF}') - epoch(min(ts))) / 60.0, 1.0), 6) AS per_minute, round(avg(value), 4) AS mean_seconds FROM events GROUP BY 1")
+RATE = f"count(*) AS n, round(count(*) / greatest((epoch(TIMESTAMP '{AS_OF}') - epoch(min(ts))) / 60.0, 1.0), 6) AS per_minute, round(avg(value), 4) AS mean_seconds FROM events"
+
+
+@query("throughput", f"SELECT coalesce(event_type, 'ingestion') AS task, {RATE} GROUP BY 1 UNION ALL SELECT 'all', {RATE}")
 def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = load(spark, sf_dir, "events")
+    """Jobs by task and over all, with their rate since the first one."""
+    events = load(spark, sf_dir, "events").withColumn("task", F.coalesce("event_type", F.lit("ingestion")))
     minutes = F.greatest((F.unix_micros(F.lit(AS_OF).cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 60e6, F.lit(1.0))
-    return events.groupBy(F.coalesce("event_type", F.lit("ingestion")).alias("task")).agg(F.count("*").alias("n"), F.round(F.count("*") / minutes, 6).alias("per_minute"), F.round(F.avg("value"), 4).alias("mean_seconds"))
+    out = events.rollup("task").agg(F.count("*").alias("n"), F.round(F.count("*") / minutes, 6).alias("per_minute"), F.round(F.avg("value"), 4).alias("mean_seconds"))
+    return out.withColumn("task", F.coalesce("task", F.lit("all")))
 
 
 @query("top_errors", "SELECT left(props, 200) AS error, event_type AS category, count(*) AS n, max(ts) AS last_seen FROM events GROUP BY 1, 2 ORDER BY n DESC, error, category LIMIT 10")
 def top_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top ten error texts: the limit is the report."""
-    grouped = load(spark, sf_dir, "events").groupBy(F.left("props", F.lit(200)).alias("error"), F.col("event_type").alias("category"))
-    return grouped.agg(F.count("*").alias("n"), F.max("ts").alias("last_seen")).orderBy(F.desc("n"), "error", "category").limit(10)
+    grouped = load(spark, sf_dir, "events").groupBy(cut_text(F.col("props"), 200).alias("error"), F.col("event_type").alias("category"))
+    return grouped.agg(F.count("*").alias("n"), F.max("ts").alias("last_seen")).orderBy(F.desc("n"), "error", "category").limit(capped_limit(10, 50))
 
 
 @query(
@@ -83,9 +88,22 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_type", *linear, "sla95", "upper_median")
 
 
-@query("sentiment_baseline", "SELECT user_id, count(*) AS n, round(avg(value), 4) AS mean, round(avg(length(props)), 4) AS mean_length FROM events GROUP BY 1 HAVING count(*) >= 3")
+KINDS = ("view", "click", "purchase", "signup", "error")
+DIMS_SQL = "value, " + ", ".join(f"(event_type = '{k}')::INT::DOUBLE AS is_{k}" for k in KINDS) + ", (hour(ts) / 24.0)::DOUBLE AS day_part, length(props)::DOUBLE AS size"
+DIMS = ["value", *(f"is_{k}" for k in KINDS), "day_part", "size"]
+
+
+def dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with seven scores and a length, as messages have them."""
+    e = load(spark, sf_dir, "events")
+    marks = [(F.col("event_type") == k).cast("int").cast("double").alias(f"is_{k}") for k in KINDS]
+    return e.select("event_id", "user_id", "value", *marks, (F.hour("ts") / 24).alias("day_part"), F.length("props").cast("double").alias("size"))
+
+
+@query("sentiment_baseline", f"WITH d AS (SELECT user_id, {DIMS_SQL} FROM events) SELECT user_id, count(*) AS n, {', '.join(f'round(avg({d}), 4) AS mean_{d}' for d in DIMS)} FROM d GROUP BY 1 HAVING count(*) >= 3")
 def sentiment_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = load(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.avg(F.length("props")), 4).alias("mean_length"))
+    """A person's means over seven scores and the length, where there are three messages or more."""
+    base = dimensions(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), *(F.round(F.avg(d), 4).alias(f"mean_{d}") for d in DIMS))
     return base.filter("n >= 3")
 
 
@@ -97,10 +115,12 @@ def anomaly(rows: DataFrame, person: str, dims: list[str], least: int = 3) -> Da
     return out.drop("_n", *(f"_{d}" for d in dims))
 
 
-@query("anomaly_scores", "WITH b AS (SELECT user_id, count(*) AS n, avg(value) AS m, avg(length(props)) AS l FROM events GROUP BY 1) SELECT event_id, round(CASE WHEN n >= 3 THEN least(greatest(abs(value - m) / greatest(m, 0.1), abs(length(props) - l) / greatest(l, 0.1)), 1.0) ELSE 0 END, 6) AS anomaly FROM events JOIN b USING (user_id)")
+OFF = ", ".join(f"abs({d} - m_{d}) / greatest(m_{d}, 0.1)" for d in DIMS)
+
+
+@query("anomaly_scores", f"WITH d AS (SELECT event_id, user_id, {DIMS_SQL} FROM events), b AS (SELECT user_id, count(*) AS n, {', '.join(f'avg({d}) AS m_{d}' for d in DIMS)} FROM d GROUP BY 1) SELECT event_id, round(CASE WHEN n >= 3 THEN least(greatest({OFF}), 1.0) ELSE 0 END, 6) AS anomaly FROM d JOIN b USING (user_id)")
 def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "events").select("event_id", "user_id", "value", F.length("props").alias("size"))
-    return anomaly(rows, "user_id", ["value", "size"]).select("event_id", F.round("anomaly", 6).alias("anomaly"))
+    return anomaly(dimensions(spark, sf_dir), "user_id", DIMS).select("event_id", F.round("anomaly", 6).alias("anomaly"))
 
 
 @query("token_cost", f"WITH p(event_type, price) AS (VALUES ('view', 0.15), ('click', 0.6), ('purchase', 3.0), ('signup', 15.0), ('error', 0.0)) SELECT event_type AS tier, round(sum(value), 4) AS tokens, round(sum(value) * min(price) / 1000000, 4) AS cost FROM events JOIN p USING (event_type) WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY GROUP BY 1")

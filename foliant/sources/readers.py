@@ -66,18 +66,19 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dat(spark: SparkSession, path: str) -> DataFrame:
-    """Concordance DAT: a header line, fields divided by U+0014, each in U+00FE; short rows get '' for what they lack.
+    """Concordance DAT: (doc_id, fields) of each line; a header line in each file, fields divided by U+0014, each in U+00FE; short rows get '' for what they lack.
 
-    The header is one line of the first partition; rows are parsed where they are read.
+    Files may have different headers. A file's header is the first line of its first block; headers, one a file, meet the lines by the file's name.
     """
-    lines = spark.read.text(path).select(F.regexp_replace("value", f"[\ufeff{DAT_QUOTE}]", "").alias("line")).filter("trim(line) <> ''")
-    header = [h.strip() for h in lines.first()["line"].split(DAT_FIELD)]
-    cells = F.split("line", DAT_FIELD)
-    rows = lines.filter(F.col("line") != F.lit(DAT_FIELD.join(header)))
-    value = lambda i: F.trim(F.coalesce(F.try_element_at(cells, F.lit(i + 1)), F.lit("")))
-    fields = F.map_from_arrays(F.array(*(F.lit(h) for h in header)), F.array(*(value(i) for i in range(len(header)))))
-    key = next((h for h in DAT_IDS if h in header), header[0])
-    return rows.select(value(header.index(key)).alias("doc_id"), fields.alias("fields")).filter("doc_id <> ''")
+    bare = F.regexp_replace("value", "^\ufeff", "")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), bare.alias("line"), F.monotonically_increasing_id().alias("at")).filter("trim(line) <> ''")
+    cells = F.transform(F.split("line", DAT_FIELD), lambda c: F.trim(F.regexp_replace(c, f"^\\s*{DAT_QUOTE}|{DAT_QUOTE}\\s*$", "")))
+    heads = lines.filter("block = 0").groupBy("file").agg(F.min_by("line", "at").alias("line"), F.min("at").alias("first")).select("file", "first", cells.alias("names"))
+    rows = lines.select("file", "at", cells.alias("cells")).join(heads, "file").filter("at <> first OR first IS NULL")
+    value = F.transform("names", lambda n, i: F.coalesce(F.get("cells", i), F.lit("")))
+    ids = F.filter(F.transform(F.array(*(F.lit(k) for k in DAT_IDS)), lambda k: F.array_position("names", k).cast("int")), lambda i: i > 0)
+    key = F.coalesce(F.try_element_at("values", F.coalesce(F.get(ids, F.lit(0)), F.lit(1))), F.lit(""))
+    return rows.withColumn("values", value).select(key.alias("doc_id"), F.map_from_arrays("names", "values").alias("fields")).filter("doc_id <> ''")
 
 
 def read_opticon(spark: SparkSession, path: str) -> DataFrame:
@@ -92,12 +93,15 @@ def read_edrm(spark: SparkSession, path: str) -> DataFrame:
     pairs = T.ArrayType(T.StructType([T.StructField("_TagName", T.StringType()), T.StructField("_TagValue", T.StringType())]))
     file = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("_FileName", "_FilePath", "_FileType")]))
     schema = T.StructType([T.StructField("_DocID", T.StringType()), T.StructField("_MimeType", T.StringType()), T.StructField("Files", T.StructType([T.StructField("File", file)])), T.StructField("Tags", T.StructType([T.StructField("Tag", pairs)]))])
-    rows = spark.read.format("xml").option("rowTag", "Document").option("ignoreNamespace", "true").schema(schema).load(path)
+    xml = spark.read.format("xml").option("rowTag", "Document").option("ignoreNamespace", "true")
+    # Attributes of any name are wanted: their names are read from the files first.
+    more = [f.name for f in xml.load(path).schema if f.name.startswith("_") and f.name not in ("_DocID", "_MimeType", "_corrupt_record")]
+    rows = xml.schema(T.StructType([*schema, *(T.StructField(c, T.StringType()) for c in more)])).load(path)
     entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
     tags = F.transform(F.coalesce("Tags.Tag", F.array()), lambda t: entry(t["_TagName"], t["_TagValue"]))
     prefix = lambda i: F.when(i == 0, "").otherwise(F.concat(F.lit("File_"), i.cast("string"), F.lit("_")))
     of = F.flatten(F.transform(F.coalesce("Files.File", F.array()), lambda f, i: F.array(*(entry(F.concat(prefix(i), F.lit(c)), f[f"_{c}"]) for c in ("FileName", "FilePath", "FileType")))))
-    own = F.array(entry(F.lit("MimeType"), F.col("_MimeType")))
+    own = F.array(*(entry(F.lit(c[1:]), F.col(c)) for c in ("_MimeType", *more)))
     found = F.filter(F.concat(own, of, tags), lambda e: e["value"].isNotNull())
     last = F.filter(found, lambda e, i: ~F.exists(F.slice(found, i + 2, F.greatest(F.size(found) - i - 1, F.lit(0))), lambda x: x["key"] == e["key"]))
     return rows.filter("_DocID IS NOT NULL").select(F.col("_DocID").alias("doc_id"), F.map_from_entries(last).alias("fields"))

@@ -77,19 +77,35 @@ def job_states(events: DataFrame, late: str = LATE) -> DataFrame:
     return watched.applyInPandasWithState(follow_job, JOB_OUT, JOB_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Batches after which counters are merged into a base.
+COMPACT = 50
+
+
 def keep_counts(events: DataFrame, keys: list[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Counters with first and last times by key, upserted batch by batch: each batch writes the next numbered state, so that a batch that
-    is run again after a failure reads the state before it and writes the same."""
+    """Counters with first and last times by key, upserted batch by batch; read_counts() gives their state.
+
+    A batch writes its own numbered delta only, so one that is run again after a failure writes the same; each COMPACT batches all deltas are merged into a new
+    base. Deltas and bases that a later base holds are not read again and may be deleted.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.select(*keys, F.lit(1).cast("long").alias("n"), F.col("ts").alias("earliest"), F.col("ts").alias("latest"))
-        old = spark.read.schema(new.schema).parquet(f"{path}/{number - 1}") if number else new.limit(0)
-        upsert_counts(old, new, keys, "n", "earliest", "latest").write.mode("overwrite").parquet(f"{path}/{number}")
+        new = batch.groupBy(*keys).agg(F.count("*").alias("n"), F.min("ts").alias("earliest"), F.max("ts").alias("latest"))
+        new.write.mode("overwrite").parquet(f"{path}/kind=delta/number={number}")
+        if number % COMPACT == COMPACT - 1:
+            read_counts(batch.sparkSession, keys, path).write.mode("overwrite").parquet(f"{path}/kind=base/number={number}")
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_counts(spark: SparkSession, keys: list[str], path: str) -> DataFrame:
+    """(keys, n, earliest, latest): the last base with the deltas after it."""
+    rows = spark.read.parquet(path)
+    last = rows.filter("kind = 'base'").agg(F.max("number")).first()[0]
+    last = -1 if last is None else last
+    deltas, base = rows.filter((F.col("kind") == "delta") & (F.col("number") > last)), rows.filter((F.col("kind") == "base") & (F.col("number") == last))
+    return upsert_counts(base, deltas, keys, "n", "earliest", "latest")
+
+
 def run_all(out: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that a stream has now, through a Parquet sink, as a table (mode append), for batch use and tests."""
     import uuid

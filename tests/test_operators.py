@@ -12,6 +12,7 @@ from foliant.functions.names import block_keys, canonical, different_people, fir
 from foliant.functions.text import DOB, DOB_ISO, EMAIL, MEDICAL, OCR, PHONE, SSN, addresses, chunk_quality, citation_rates, citations, document_date, numbered_citations, ocr_corrected, pii_counts, pii_spans, sanitised, subject_key, with_context
 from foliant.operators.chunks import chunk, line_diff, long_block, pack, portable, redacted, still_there, text_blocks
 from foliant.operators.components import connected_components
+from foliant.operators.evaluation import grounded
 from foliant.operators.filters import file_type, in_dates, question_tier, visible
 from foliant.operators.graphs import betweenness, edited, entity_connections, modularity_communities, page_rank, shortest_paths, split_oversized, two_tiers
 from foliant.operators.mail import assign_threads, communication_pairs
@@ -19,8 +20,8 @@ from foliant.operators.near_dup import duplicate_clusters, near_duplicates, vers
 from foliant.operators.rows import best_per_cluster, page_numbers
 from foliant.operators.vectors import dense_top_k, ranking_metrics, similar_pairs
 from foliant.sources.readers import changed_files, csv_table, expand_zips, import_documents, parse_eml, parser_of, read_dat, read_edrm, read_email_corpus, read_ocr_corpus, read_opticon, resume, rtf_text
-from foliant.sources.sinks import court_package, privilege_log, write_csv, write_edrm
-from foliant.streaming.jobs import job_states, keep_counts, stream
+from foliant.sources.sinks import append_audit, court_package, privilege_log, write_csv, write_edrm, write_points
+from foliant.streaming.jobs import job_states, keep_counts, read_counts, stream
 
 
 def one(spark, column, **values):
@@ -385,6 +386,26 @@ def test_rows(spark):
     assert got == [True, False, False, True]
 
 
+def test_page_numbers_over_ranges(spark):
+    rng = random.Random(2)
+    rows = [(k, "big" if k % 10 else "small", rng.randint(1, 9)) for k in range(2000)]
+    out = page_numbers(spark.createDataFrame(rows, "id int, scope string, pages int"), ["scope"], [F.desc("id")], "pages", "P").collect()
+    at = {"big": 0, "small": 0}
+    got = {r.id: (r.begin_no, r.end_no) for r in out}
+    for k, scope, pages in sorted(rows, reverse=True):
+        assert got[k] == (at[scope] + 1, at[scope] + pages)
+        at[scope] += pages
+    assert len(got) == len(out) == 2000
+
+
+def test_grounded(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(7)))
+    names, others = {word() for _ in range(200)}, {word() for _ in range(60)}
+    got = {r.name: (r.grounded, r.closest) for r in grounded(spark.createDataFrame([(n,) for n in names] + [(None,)], "name string"), spark.createDataFrame([(n,) for n in others], "name string")).collect()}
+    assert got == {None: (False, None), **{n: (n in others, None if n in others else min((o for o in others if n in o), default=None)) for n in names}}
+
+
 def test_ranking_metrics(spark):
     hits = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "x", 1), (2, "c", 2), (3, "y", 1)], "query_id int, id string, rank int")
     relevant = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "z")], "query_id int, id string")
@@ -398,6 +419,12 @@ def test_readers(spark, tmp_path):
     dat.write_text("þDOCIDþ\x14þTITLEþ\x14þDATEþ\nþD1þ\x14þOneþ\x14þ2020þ\nþD2þ\x14þTwoþ\n", encoding="utf-8")
     got = {r.doc_id: r.fields for r in read_dat(spark, str(dat)).collect()}
     assert got == {"D1": {"DOCID": "D1", "TITLE": "One", "DATE": "2020"}, "D2": {"DOCID": "D2", "TITLE": "Two", "DATE": ""}}
+    (tmp_path / "dats").mkdir()
+    (tmp_path / "dats" / "1.dat").write_text("\ufeffþDOCIDþ\x14þTITLEþ\nþD1þ\x14þa þ bþ\n", encoding="utf-8")
+    (tmp_path / "dats" / "2.dat").write_text("þAUTHORþ\x14þDOCIDþ\nþAnnþ\x14þD2þ\nþBoþ\n", encoding="utf-8")
+    assert {r.doc_id: r.fields for r in read_dat(spark, str(tmp_path / "dats")).collect()} == {"D1": {"DOCID": "D1", "TITLE": "a þ b"}, "D2": {"AUTHOR": "Ann", "DOCID": "D2"}}
+    (tmp_path / "x.xml").write_text('<R><Document DocID="7" MimeType="m" Custodian="Ann"><Tags><Tag TagName="T" TagValue="v"/></Tags></Document></R>')
+    assert read_edrm(spark, str(tmp_path / "x.xml")).first().fields == {"MimeType": "m", "Custodian": "Ann", "T": "v"}
     opt = tmp_path / "a.opt"
     opt.write_text("P1,V,img1.tif,Y,,2\n,V,x,,,\nP2,V,img2.tif\n")
     assert [(r.page_id, r.page_count) for r in read_opticon(spark, str(opt)).orderBy("page_id").collect()] == [("P1", "2"), ("P2", "")]
@@ -455,6 +482,11 @@ def test_exports(spark, tmp_path):
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).count() == 2
     court_package(docs.select("doc_id"), log, str(tmp_path / "court"), "2024-01-31")
     assert spark.read.json(str(tmp_path / "court" / "manifest")).first().privileged == 1
+    for k in range(2):
+        append_audit(docs.select("doc_id", F.lit(k).alias("round")), str(tmp_path / "audit"))
+    assert sorted((r.doc_id, r["round"]) for r in spark.read.parquet(str(tmp_path / "audit")).collect()) == [("1", 0), ("1", 1), ("2", 0), ("2", 1)]
+    write_points(docs.select("doc_id", F.array(F.lit(1.0)).alias("vector"), F.concat(F.lit("m"), "doc_id").alias("matter_id")), str(tmp_path / "points"))
+    assert spark.read.parquet(str(tmp_path / "points" / "matter_id=m2")).first().doc_id == "2"
 
 
 def test_streams(spark, tmp_path):
@@ -466,5 +498,10 @@ def test_streams(spark, tmp_path):
     last = {r.job_id: r.status for r in spark.sql("SELECT job_id, max_by(status, tries) AS status FROM jobs GROUP BY 1").collect()}
     assert last[1] == "complete" and last[2] in ("pending", "processing")
     keep_counts(stream(spark, path, events.schema, files=1), ["status"], str(tmp_path / "state"), str(tmp_path / "c2")).awaitTermination()
-    number = max(int(p.name) for p in (tmp_path / "state").iterdir())
-    assert {r.status: r.n for r in spark.read.parquet(str(tmp_path / "state" / str(number))).collect()} == {"processing": 2, "complete": 1, "failed": 1, "pending": 1}
+    assert {r.status: r.n for r in read_counts(spark, ["status"], str(tmp_path / "state")).collect()} == {"processing": 2, "complete": 1, "failed": 1, "pending": 1}
+    # Sixty files in batches of one pass a compaction on their way.
+    for k in range(60):
+        events.filter(f"event_id = {k % 5 + 1}").coalesce(1).write.mode("append").parquet(str(tmp_path / "more"))
+    keep_counts(stream(spark, str(tmp_path / "more"), events.schema, files=1), ["status"], str(tmp_path / "state2"), str(tmp_path / "c3")).awaitTermination()
+    assert (tmp_path / "state2" / "kind=base" / "number=49").exists()
+    assert {r.status: r.n for r in read_counts(spark, ["status"], str(tmp_path / "state2")).collect()} == {"processing": 24, "complete": 12, "failed": 12, "pending": 12}
