@@ -6,6 +6,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,9 @@ from pyspark.sql import types as T
 from foliant.llm.common import give_back, small_batches
 
 SPACE = "▁"
-#: Bytes of units (words) with their ids, and pairs, that a Python worker remembers while it works on a partition; beyond that it starts anew.
-REMEMBERED, PAIRS = 16 << 20, 120_000
-#: Bytes that a remembered unit takes beside its characters.
+#: Bytes of parts (words) with their ids, and pairs, that a Python worker remembers while it works on a partition; beyond that it starts anew.
+REMEMBERED, PAIRS = 32 << 20, 150_000
+#: Bytes that a remembered part takes beside its characters.
 ENTRY = 200
 
 
@@ -52,60 +53,80 @@ class PieceBPE:
             self.found.add_word(p, (len(p), i))
         self.found.make_automaton()
         self.pairs: dict[int, bool] = {}
+        self.split: dict[int, tuple[int, int] | None] = {}
         self.alone: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.held = 0
         self.breaks = "\n" not in "".join(self.id)
         # Marks that no piece has just after a letter: a word's letters and what follows can be encoded apart.
-        self.marks = "".join(c for c in ".,;:!?" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in self.id))
-        self.border = re.compile(rf"(?<=[^\W\d_])(?=[{re.escape(self.marks)}])") if self.marks else re.compile(r"(?!)")
-
-    def merge(self, text: str) -> list[int]:
-        """The definition, for a few pieces' text: merge the neighbours of best score, leftmost first."""
-        parts = list(text)
-        while True:
-            best, at = -float("inf"), -1
-            for k in range(len(parts) - 1):
-                i = self.id.get(parts[k] + parts[k + 1])
-                if i is not None and (at < 0 or self.score[i] > best):
-                    best, at = self.score[i], k
-            if at < 0:
-                return [self.id.get(p, -1) for p in parts]
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        self.marks = "".join(c for c in punctuation if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in self.id))
+        self.border = re.compile(rf"[{re.escape(self.marks)}](?<=[^\W\d_].)" if self.marks else r"(?!)", re.S)
+
+    def halves(self, i: int) -> tuple[int, int] | None:
+        """The two pieces that the last merge of a piece's own text joins; none of a single character, or if its text does not become that piece.
+
+        Neighbours of best score merge, leftmost first: the definition of BPE, which a piece's few characters go through once in a worker.
+        """
+        if i not in self.split:
+            parts, last = list(self.piece[i]), None
+            while len(parts) > 1:
+                pairs = [self.id.get(x + y) for x, y in zip(parts, parts[1:], strict=False)]
+                known = [k for k, p in enumerate(pairs) if p is not None]
+                if not known:
+                    break
+                at = max(known, key=lambda k: (self.score[pairs[k]], -k))
+                last = self.id.get(parts[at], -1), self.id.get(parts[at + 1], -1)
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.split[i] = last if len(parts) == 1 else None
+        return self.split[i]
+
+    def starts(self, i: int) -> bool:
+        """Does a piece's own text become that piece, so that it can follow the start or a character without a piece?"""
+        if (ok := self.alone.get(i)) is None:
+            ok = self.alone[i] = len(self.piece[i]) == 1 or self.halves(i) is not None
+        return ok
 
     def compatible(self, a: int, b: int) -> bool:
-        """Do the texts of a and b, side by side, stay a and b? a < 0: a character without a piece, or the start."""
-        if a < 0:
-            if (ok := self.alone.get(b)) is None:
-                ok = self.alone[b] = self.merge(self.piece[b]) == [b]
-            return ok
-        key = a << 16 | b
-        if (ok := self.pairs.get(key)) is None:
-            if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merge(self.piece[a] + self.piece[b]) == [a, b]
+        """Do the texts of a and b, side by side, stay a and b?
+
+        Seen backwards in time, the pieces at the border are a and b, then the half at the border of the one that was merged later, and so on down to characters.
+        A merge over the border happens just if two of them that lie there together form a piece of better score than the merge that then
+        takes one of them in; of equal scores the left one goes first.
+        """
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        ok = self.pairs[a << 16 | b] = self.starts(b) and self.apart(a, b)
         return ok
 
-    def unit(self, text: str) -> bytes:
-        """Ids of one unit, as 16-bit integers: those of its parts between letters and marks, of which each is encoded once."""
-        parts = self.border.split(text)
-        if len(parts) == 1:
-            return self.part(text)
-        own = {p: self.part(p) for p in set(parts)}
-        return b"".join(map(own.__getitem__, parts))
+    def apart(self, a: int, b: int) -> bool:
+        piece, score, known = self.piece, self.score, self.id
+        limit, right = -float("inf"), False
+        while True:
+            i = known.get(piece[a] + piece[b])
+            if i is not None and (score[i] > limit or right and score[i] == limit):
+                return False
+            x, y = self.halves(a), self.halves(b)
+            if x is None and y is None:
+                return True
+            if y is None or x is not None and score[a] < score[b]:
+                limit, right, a = score[a], False, x[1]
+            else:
+                limit, right, b = score[b], True, y[0]
+            if a < 0 or b < 0:
+                return True
 
     def part(self, text: str) -> bytes:
-        """Ids of a text without a mark just after a letter, as 16-bit integers."""
+        """Ids of a part, as 16-bit integers."""
         n = len(text)
         last, size = [-1] * n, [1] * n
-        pairs = self.pairs
+        pairs, alone = self.pairs, self.alone
         for end, (length, i) in self.found.iter(text):
             if last[end] >= 0:
                 continue  # the one compatible piece was found
-            before = end - length
-            a = last[before] if before >= 0 else -1
-            ok = pairs.get(a << 16 | i) if a >= 0 else None
-            if ok or (ok is None and self.compatible(a, i)):
+            a = last[end - length] if end >= length else -1
+            ok = pairs.get(a << 16 | i) if a >= 0 else alone.get(i)
+            if ok or (ok is None and (self.compatible(a, i) if a >= 0 else self.starts(i))):
                 last[end], size[end] = i, length
         out, at = [], n - 1
         while at >= 0:
@@ -117,29 +138,33 @@ class PieceBPE:
         return array("H", out[::-1]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text, as 16-bit integers. A unit is a word with the spaces before it; no piece reaches over two."""
+        """Ids of a text, as 16-bit integers, part by part: a part is a word with the spaces before it, or what follows its letters from a mark on. No piece reaches
+        over two parts."""
         if not text:
             return b""
         if "  " in text or text[0] == " " or SPACE in text or not self.breaks:
             units = re.findall(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if self.breaks else f"{SPACE}*[^{SPACE}]+|{SPACE}+", SPACE + text.replace(" ", SPACE))
+            parts = self.border.sub(r" \g<0>", " ".join(units)).split(" ")
         else:
-            units = (SPACE + text.replace(" ", f" {SPACE}").replace("\n", " \n ")).split(" ")
-        known = self.known
+            parts = self.border.sub(r" \g<0>", SPACE + text.replace(" ", f" {SPACE}").replace("\n", " \n ")).split(" ")
+        known, before = self.known, self.before
         try:
-            return b"".join(map(known.__getitem__, units))
+            return b"".join(map(known.__getitem__, parts))
         except KeyError:
-            for u in units:
-                if u not in known:
-                    known[u] = self.unit(u)
-                    self.held += ENTRY + 4 * len(u)
-            out = b"".join(map(known.__getitem__, units))
-            if self.held > REMEMBERED:
-                self.forget()
+            for p in parts:
+                if p not in known:
+                    if (ids := before.get(p)) is None:
+                        ids = self.part(p)
+                    known[p] = ids
+                    self.held += ENTRY + 4 * len(p)
+            out = b"".join(map(known.__getitem__, parts))
+            # Two generations: what was not asked for since the last change is forgotten.
+            if 2 * self.held > REMEMBERED:
+                self.known, self.before, self.held = {}, known, 0
             return out
 
     def forget(self) -> None:
-        self.known.clear()
-        self.held = 0
+        self.known, self.before, self.held = {}, {}, 0
 
     def decode(self, ids: list[int]) -> str:
         out = b"".join(map(self.surface.__getitem__, ids))
