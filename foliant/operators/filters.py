@@ -48,13 +48,13 @@ def visible(status: Column, counsel: bool = False) -> Column:
     return F.lit(True) if counsel else status.isNull() | ~status.isin(*RESTRICTED)
 
 
-def select_documents(docs: DataFrame, *, types: Sequence[str] = (), name_like: str | None = None, suffix: str | None = None, least: tuple[str, float] | None = None, scope: tuple[str, object] | None = None, counsel: bool = True, type_col: str = "type", name_col: str = "name", status_col: str | None = None) -> DataFrame:
-    """Conjunctive document filter: types, case-insensitive substring and suffix of the name, a least score, tenant scope, privilege."""
+def select_documents(docs: DataFrame, *, types: Sequence[str] = (), single_type: str | None = None, name_like: str | None = None, suffix: str | None = None, least: tuple[str, float] | None = None, scope: tuple[str, object] | None = None, counsel: bool = True, type_col: str = "type", name_col: str = "name", status_col: str | None = None) -> DataFrame:
+    """Conjunctive document filter: types (a list beats a single one), case-insensitive substring and suffix of the name, a least score, tenant scope, privilege."""
     return docs.filter(
         every(
             [
                 F.col(scope[0]) == F.lit(scope[1]) if scope else None,
-                F.col(type_col).isin(*types) if types else None,
+                F.col(type_col).isin(*types) if types else (F.col(type_col) == single_type if single_type else None),
                 F.col(name_col).ilike(f"%{name_like}%") if name_like else None,
                 F.col(name_col).ilike(f"%{suffix}") if suffix else None,
                 F.col(least[0]) >= least[1] if least else None,

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from foliant.plans import casework, commerce, documents, evaluation, intake, monitoring, relations  # noqa: F401
+from foliant.plans import casework, commerce, documents, evaluation, intake, monitoring, records, relations  # noqa: F401
 from foliant.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -238,3 +238,47 @@ def test_entity_resolution(spark):
     assert max(len(g) for _, g in want) <= 50
     got = QUERIES["entity_resolution"](spark, SF).collect()
     assert {(r.kind, frozenset([r.canonical, *r.aliases])): r.mention_count for r in got} == dict(want)
+
+
+def test_mail_sections(spark):
+    import hashlib
+
+    from test_operators import greedy, portable
+
+    text = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        k = r.conv_id * 1000 + r.turn
+        text[k] = min(text.get(k, r.text), r.text)
+    want = set()
+    for k, t in text.items():
+        reply = "On Monday A wrote:\n> " + t
+        parts = [("body", t.strip()), ("quoted_reply", reply.strip())] if k % 1000 % 2 == 0 else [("body", f"{t}\n\n{reply}")]
+        found = [(label, c) for label, s in parts if s for c in greedy(s, 512, 64)]
+        want |= {(k, n, label, len(portable(c)), hashlib.sha256(c.encode()).hexdigest()) for n, (label, c) in enumerate(found)}
+    assert {tuple(r) for r in QUERIES["mail_sections"](spark, SF).select("doc_id", "chunk_index", "section", "token_count", "text_sha256").collect()} == want
+
+
+def test_document_versions(spark):
+    from test_near_dup import shingles
+
+    docs = {r.doc_id: (r.source, frozenset(shingles(r.text))) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    label = {i: ("v1", "draft", None, "final")[i % 4] for i in docs}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    first = {}
+    for i in sorted(docs):
+        first.setdefault(docs[i], i)
+    for i in docs:
+        for j in docs:
+            if i < j and docs[i][0] == docs[j][0] and first[docs[i]] == i and first[docs[j]] == j and (label[i] or label[j]):
+                if 0.8 <= len(docs[i][1] & docs[j][1]) / len(docs[i][1] | docs[j][1]) <= 0.95:
+                    x, y = sorted((find(i), find(j)))
+                    root[y] = x
+    want = {(i, find(i), label[i], label[i] == "final", 1 + sum(find(j) == find(i) and j < i for j in root)) for i in list(root)}
+    got = {tuple(r) for r in QUERIES["document_versions"](spark, SF).select("id", "version_group", "label", "is_final", "version").collect()}
+    assert got == want
