@@ -58,11 +58,22 @@ def as_documents(df: DataFrame, doc_id: Column, filename: Column, text: Column,
     )
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files; bytes that aren't UTF-8 are read as Latin-1."""
-    raw = files(spark, path, "*.txt")
+# Extensions of files that are text; names that systems leave behind.
+TEXT_EXTENSIONS = ["txt", "csv", "tsv", "md"]
+ARTIFACTS = ["__MACOSX", ".DS_Store", "Thumbs.db", ".gitkeep"]
+
+
+def read_text(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Whole text files below a folder, but for hidden ones, those that systems leave behind, and blank ones; bytes that aren't UTF-8 are read as Latin-1.
+
+    limit: the first files by path only, for a trial.
+    """
+    raw = files(spark, path, f"*.{{{','.join(TEXT_EXTENSIONS + [e.upper() for e in TEXT_EXTENSIONS])}}}")
+    below = F.split(F.substring_index("path", "/", -3), "/")
+    raw = raw.filter(~F.arrays_overlap(below, F.array(*(F.lit(x) for x in ARTIFACTS))) & ~F.element_at(below, -1).startswith("."))
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    return as_documents(raw, F.col("path"), F.element_at(F.split("path", "/"), -1), text, "directory", F.lit("text"))
+    out = as_documents(raw, F.col("path"), F.element_at(F.split("path", "/"), -1), text, "directory", F.lit("text")).filter(F.col("text").rlike(r"\S"))
+    return out if limit is None else out.orderBy("doc_id").limit(limit)
 
 
 def read_dat(spark: SparkSession, path: str) -> DataFrame:
@@ -204,16 +215,41 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path, "*.{csv,tsv}").select("path", "content").mapInPandas(run, "path string, text string, row_count long, column_count long, truncated boolean")
 
 
+# Groups of an RTF file that hold no text of the document.
+RTF_ASIDE = frozenset("fonttbl colortbl stylesheet info pict header footer generator listtable listoverridetable themedata datastore".split())
+RTF_TOKEN = re.compile(r"[{}]|\\'([0-9a-fA-F]{2})|\\([a-zA-Z]+)(-?\d+)? ?|\\([^a-zA-Z])|[^{}\\\r\n]+|[\r\n]")
+RTF_TEXT = {"par": "\n", "line": "\n", "sect": "\n", "tab": "\t", "emdash": "—", "endash": "–", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”", "bullet": "•"}
+
+
 def rtf_text(raw: bytes) -> str:
-    """Text of a simple RTF file: groups of destinations and control words go, paragraphs become lines."""
-    text = raw.decode("latin-1")
-    text = re.sub(r"\{\\(?:\*|fonttbl|colortbl|stylesheet|info|pict)(?:[^{}]|\{[^{}]*\})*\}", "", text)
-    text = re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: bytes([int(m[1], 16)]).decode("cp1252", "replace"), text)
-    text = re.sub(r"\\u(-?\d+)\??", lambda m: chr(int(m[1]) % 65536), text)
-    text = re.sub(r"\\(?:par|line)\b ?", "\n", text)
-    text = re.sub(r"\\tab\b ?", "\t", text)
-    text = re.sub(r"\\[a-zA-Z]+-?\d* ?", "", text)
-    return re.sub(r"\\([{}\\])|[{}]", lambda m: m[1] or "", text).strip()
+    """Text of an RTF file: groups nested to any depth, those of tables and pictures left out; paragraphs become lines."""
+    out, skip = [], [False]
+    spare = 0
+    for m in RTF_TOKEN.finditer(raw.decode("latin-1")):
+        token, word, symbol = m[0], m[2], m[4]
+        if token == "{":
+            skip.append(skip[-1])
+        elif token == "}":
+            skip[-1:] = [] if len(skip) > 1 else [False]
+        elif symbol == "*" or word in RTF_ASIDE:
+            skip[-1] = True
+        elif skip[-1] or token in "\r\n":
+            continue
+        elif m[1]:
+            out.append("" if spare else bytes([int(m[1], 16)]).decode("cp1252", "replace"))
+            spare = max(0, spare - 1)
+        elif word == "u" and m[3]:
+            # The character that older readers show instead comes next.
+            out.append(chr(int(m[3]) % 65536))
+            spare = 1
+        elif word:
+            out.append(RTF_TEXT.get(word, ""))
+        elif symbol:
+            out.append({"~": "\u00a0", "_": "-", "-": ""}.get(symbol, symbol))
+        else:
+            out.append(token[spare:])
+            spare = 0
+    return "".join(out).strip()
 
 
 def read_rtf(spark: SparkSession, path: str) -> DataFrame:

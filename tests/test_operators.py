@@ -19,7 +19,7 @@ from foliant.operators.mail import assign_threads, communication_pairs
 from foliant.operators.near_dup import duplicate_clusters, near_duplicates, version_groups, version_label
 from foliant.operators.rows import best_per_cluster, page_numbers
 from foliant.operators.vectors import dense_top_k, ranking_metrics, similar_pairs
-from foliant.sources.readers import changed_files, csv_table, expand_zips, import_documents, parse_eml, parser_of, read_dat, read_edrm, read_email_corpus, read_ocr_corpus, read_opticon, resume, rtf_text
+from foliant.sources.readers import changed_files, csv_table, expand_zips, import_documents, parse_eml, parser_of, read_dat, read_edrm, read_email_corpus, read_ocr_corpus, read_opticon, read_text, resume, rtf_text
 from foliant.sources.sinks import append_audit, court_package, privilege_log, write_csv, write_edrm, write_points
 from foliant.streaming.jobs import job_states, keep_counts, read_counts, stream
 
@@ -107,7 +107,7 @@ def test_quality_order(spark):
 
 
 def test_names(spark):
-    assert strings(spark, normal_name(F.col("s")), ["Feld- mann\nX", "a  b"]) == ["Feldmann X", "a b"]
+    assert strings(spark, normal_name(F.col("s")), ["Feld- mann\nX", "a  b", "MÃ¼ller &amp; Co", "â€œDéjÃ\u00a0â€\u009d", "naïve Ã", "Ã©ä¸\u00ad", "â€œxâ€\u009d"]) == ["Feldmann X", "a b", "Müller & Co", "â€œDéjÃ\u00a0â€\u009d", "naïve Ã", "é中", "“x”"]
     assert strings(spark, garbage_name(F.col("s")), ["it", "12", "2024", "www.x.org", "#tag", "Jane Roe", "one-two-three-four", "PAwEr", "ABcDE"]) == [True, True, False, True, True, False, True, False, True]
     assert strings(spark, without_title(F.col("s")), ["Mr. Smith", "judge Roe", "Dr. ", "Sirius"]) == ["Smith", "Roe", "Dr. ", "Sirius"]
     assert strings(spark, first_last(F.col("s")), ["Doe, Jane", "10 Main, X", "Jane"]) == ["Jane Doe", "10 Main, X", "Jane"]
@@ -432,6 +432,11 @@ def test_readers(spark, tmp_path):
     (tmp_path / "t" / "x.txt").write_text("héllo")
     (tmp_path / "t" / "y.txt").write_bytes(b"caf\xe9")
     assert sorted(r.text for r in import_documents(spark, "directory", str(tmp_path / "t")).collect()) == ["café", "héllo"]
+    for name in ("t/.hidden.txt", "t/__MACOSX/z.txt", "t/blank.md", "t/Thumbs.db", "t/deep/a.CSV"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("  \n" if "blank" in name else "a,b")
+    assert sorted(r.filename for r in import_documents(spark, "directory", str(tmp_path / "t")).collect()) == ["a.CSV", "x.txt", "y.txt"]
+    assert [r.filename for r in read_text(spark, str(tmp_path / "t"), limit=2).collect()] == ["a.CSV", "x.txt"]
     with pytest.raises(ValueError):
         import_documents(spark, "none", "x")
     docs = spark.createDataFrame([("D1", "a.pdf", "p/a.pdf", "application/pdf", "hot")], "doc_id string, filename string, path string, mime_type string, Issue string")
@@ -463,6 +468,7 @@ def test_parsers(spark, tmp_path):
     text, rows, columns, more = csv_table(b"a,b\n1,2\n3\n")
     assert (rows, columns, more) == (2, 2, False) and text.splitlines()[-1] == "| 3 |  |"
     assert rtf_text(rb"{\rtf1{\fonttbl{\f0 Arial;}}\b Caf\'e9\b0\par Two}") == "Café\nTwo"
+    assert rtf_text(rb"{\rtf1{\stylesheet{\s1{\f0{\b x}}}}{\*\gen{a{b{c}}}}{\b One {\i two {\ul three}}}\par\u233?\u8364\'80 \{x\}\tab y}") == "One two three\né€ {x}\ty"
     assert strings(spark, parser_of(F.col("s")), ["a.EML", "b.doc", "c.xyz"]) == ["eml", "unsupported", None]
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
