@@ -140,10 +140,11 @@ def modularity_communities(edges: DataFrame, levels: int = 3, rounds: int = 8) -
             choices = pulls.unionByName(stay).groupBy("node", "community").agg(F.sum("pull").alias("pull")).join(total, "community").join(now.select("node", "k", F.col("community").alias("own")), "node")
             rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
             gain = F.round(F.col("pull") - F.col("k") * rest / twice, 9)
-            best = choices.withColumn("gain", gain).groupBy("node", "k", "own").agg(F.max(F.struct("gain", (F.col("community") == F.col("own")).alias("stays"))).alias("top"), F.collect_list(F.struct("gain", "community")).alias("all"))
-            best = best.withColumn("to", F.array_min(F.transform(F.filter("all", lambda c: c["gain"] == F.col("top.gain")), lambda c: c["community"])))
+            choices = cut(choices.select("node", "k", "own", "community", gain.alias("gain")), "choices")
+            top = choices.groupBy("node").agg(F.max("gain").alias("top"))
+            best = choices.join(top, "node").filter("gain = top").groupBy("node", "k", "own").agg(F.min("community").alias("to"), F.bool_or(F.col("community") == F.col("own")).alias("stays"))
             turn = F.pmod(F.xxhash64("node", F.lit(level * rounds + r)), F.lit(2)) == 0
-            moved = cut(best.select("node", "k", F.when(turn & ~F.col("top.stays"), F.col("to")).otherwise(F.col("own")).alias("community"), (~F.col("top.stays")).alias("open")), "moves")
+            moved = cut(best.select("node", "k", F.when(turn & ~F.col("stays"), F.col("to")).otherwise(F.col("own")).alias("community"), (~F.col("stays")).alias("open")), "moves")
             now = moved.drop("open")
             if moved.filter("open").isEmpty():
                 break
