@@ -192,8 +192,9 @@ def reduce_union(frames: list[DataFrame]) -> DataFrame:
 
 
 def pages(rows: DataFrame) -> int:
-    """Calls of about BLOCK tokens that rows with a column n need, for evenly dealt keys."""
-    return max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // BLOCK) * 2)
+    """Calls of about BLOCK tokens that rows with a column n need, for evenly dealt keys; two for each core at least, so that few rows don't meet in one task."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(2 * cores, -(-(rows.agg(F.sum("n")).first()[0] or 0) // BLOCK) * 2)
 
 
 def page(*columns: str, count: int) -> F.Column:
