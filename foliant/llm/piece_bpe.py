@@ -17,7 +17,7 @@ from foliant.llm.common import give_back, small_batches
 
 SPACE = "▁"
 #: Bytes of parts (words) with their ids, and pairs, that a Python worker remembers while it works on a partition; beyond that it starts anew.
-REMEMBERED, PAIRS = 32 << 20, 150_000
+REMEMBERED, PAIRS = 64 << 20, 250_000
 #: Bytes that a remembered part takes beside its characters.
 ENTRY = 200
 
@@ -45,6 +45,7 @@ class PieceBPE:
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece holds a space after other characters; words could not be encoded one by one")
         self.score = [p.score for p in proto.pieces]
+        self.length = [len(p.piece) for p in proto.pieces]
         self.byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         surface = {1: lambda p: p.piece.replace(SPACE, " ").encode(), 2: lambda p: proto.trainer_spec.unk_surface.encode(), 6: lambda p: bytes([int(p.piece[1:-1], 16)])}
         self.surface = [surface.get(p.type, lambda p: b"")(p) for p in proto.pieces]
@@ -119,22 +120,24 @@ class PieceBPE:
     def part(self, text: str) -> bytes:
         """Ids of a part, as 16-bit integers."""
         n = len(text)
-        last, size = [-1] * n, [1] * n
-        pairs, alone = self.pairs, self.alone
+        last = [-1] * n
+        pairs, alone, length_of = self.pairs, self.alone, self.length
         for end, (length, i) in self.found.iter(text):
             if last[end] >= 0:
                 continue  # the one compatible piece was found
-            a = last[end - length] if end >= length else -1
-            ok = pairs.get(a << 16 | i) if a >= 0 else alone.get(i)
-            if ok or (ok is None and (self.compatible(a, i) if a >= 0 else self.starts(i))):
-                last[end], size[end] = i, length
+            if end < length or (a := last[end - length]) < 0:
+                if alone.get(i) or i not in alone and self.starts(i):
+                    last[end] = i
+            elif (ok := pairs.get(a << 16 | i)) or ok is None and self.compatible(a, i):
+                last[end] = i
         out, at = [], n - 1
         while at >= 0:
-            if last[at] >= 0:
-                out.append(last[at])
+            if (i := last[at]) >= 0:
+                out.append(i)
+                at -= length_of[i]
             else:
                 out += [self.byte[b] for b in reversed(text[at].encode())]
-            at -= size[at]
+                at -= 1
         return array("H", out[::-1]).tobytes()
 
     def encode(self, text: str) -> bytes:
