@@ -109,7 +109,7 @@ def thread_depth(messages: DataFrame, key: str, parent: str) -> DataFrame:
     return state.filter("closed").select("id", F.col("to").alias("root"), "depth")
 
 
-def order_statistics(rows: DataFrame, group: str, value: str, ranks: Mapping[str, Column], bins: int = 4096, most_rounds: int = 60) -> DataFrame:
+def order_statistics(rows: DataFrame, group: str, value: str, ranks: Mapping[str, Column], bins: int = 1 << 16, most_rounds: int = 60) -> DataFrame:
     """(group, n, a column for each rank): the values at the given ranks, from 0, of each group's sorted non-null doubles; ranks are functions of n.
 
     No group is sorted or gathered: each round counts `bins` equal bins of the range that is left for a rank and goes on with the one that holds it, until
