@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 from foliant.llm.common import give_back, small_batches
 
 SPACE = "▁"
-#: Bytes of parts (words) with their ids, and pairs, that a Python worker remembers while it works on a partition; beyond that it starts anew.
-REMEMBERED, PAIRS = 64 << 20, 250_000
+#: Bytes of parts (words) with their ids that a Python worker remembers while it works on a partition, if a caller sets no bound; what was not asked for of late is
+#: forgotten. Half as many bytes go to compatible pairs, of about 128 each.
+REMEMBERED = 16 << 20
 #: Bytes that a remembered part takes beside its characters.
 ENTRY = 200
 
@@ -58,7 +59,7 @@ class PieceBPE:
         self.alone: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.remembered = 0, REMEMBERED
         self.breaks = "\n" not in "".join(self.id)
         # Marks that no piece has just after a letter: a word's letters and what follows can be encoded apart.
         self.marks = "".join(c for c in punctuation if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in self.id))
@@ -95,7 +96,7 @@ class PieceBPE:
         A merge over the border happens just if two of them that lie there together form a piece of better score than the merge that then
         takes one of them in; of equal scores the left one goes first.
         """
-        if len(self.pairs) > PAIRS:
+        if len(self.pairs) > self.remembered >> 8:
             self.pairs.clear()
         ok = self.pairs[a << 16 | b] = self.starts(b) and self.apart(a, b)
         return ok
@@ -162,7 +163,7 @@ class PieceBPE:
                     self.held += ENTRY + 4 * len(p)
             out = b"".join(map(known.__getitem__, parts))
             # Two generations: what was not asked for since the last change is forgotten.
-            if 2 * self.held > REMEMBERED:
+            if 2 * self.held > self.remembered:
                 self.known, self.before, self.held = {}, known, 0
             return out
 
@@ -185,9 +186,10 @@ def model(model_file: str) -> PieceBPE:
     return MODELS[model_file]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], model_file: str, text_col: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[str]]]:
+def encoded(batches: Iterator[pa.RecordBatch], model_file: str, text_col: str, remembered: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[str]]]:
     """Each batch with the ids and the decoded text of its rows."""
     bpe = model(model_file)
+    bpe.remembered = remembered
     for batch in give_back(batches):
         texts = batch.column(text_col)
         for i in range(0, max(1, len(texts)), 512):
@@ -198,17 +200,17 @@ def encoded(batches: Iterator[pa.RecordBatch], model_file: str, text_col: str) -
     bpe.pairs.clear()
 
 
-def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", remembered: int = REMEMBERED) -> DataFrame:
     """All columns of docs with the ids of the whole text, without begin or end ids, and their decoded text.
 
     Null and empty text give no ids and empty decoded text. Rows stay in their partitions and nothing is shuffled; a row's size is
-    bounded by its own text. Columns named ids_col or decoded_col are replaced. An empty table gives an empty result.
+    bounded by its own text. remembered: bytes that a worker may hold of parts it met; more of them save time. Columns named ids_col or decoded_col are replaced. An empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c not in (ids_col, decoded_col)]
     schema = docs.select(*kept).schema.add(ids_col, T.ArrayType(T.IntegerType())).add(decoded_col, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids, texts in encoded(batches, model_file, text_col):
+        for part, ids, texts in encoded(batches, model_file, text_col, remembered):
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, flat), pa.array(texts, pa.string())], [*kept, ids_col, decoded_col])
@@ -216,14 +218,14 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: st
     return small_batches(docs.select(*kept)).mapInArrow(run, schema)
 
 
-def encode_digests(docs: DataFrame, model_file: str, keys: list[str], text_col: str = "text") -> DataFrame:
-    """The outputs of encode() as digests, taken in the same tasks: keys, n_tokens, ids_sha256, decoded_sha256."""
+def encode_digests(docs: DataFrame, model_file: str, keys: list[str], text_col: str = "text", remembered: int = 4 * REMEMBERED) -> DataFrame:
+    """The outputs of encode() as digests, taken in the same tasks: keys, n_tokens, ids_sha256, decoded_sha256. A job of its own may remember more."""
     number: list[bytes] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not number:
             number.extend(str(i).encode() for i in range(1 << 16))
-        for part, ids, texts in encoded(batches, model_file, text_col):
+        for part, ids, texts in encoded(batches, model_file, text_col, remembered):
             ids_sha = [hashlib.sha256(b",".join(map(number.__getitem__, x.tolist()))).hexdigest() for x in ids]
             text_sha = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
             counts = pa.array([len(x) for x in ids], pa.int64())
