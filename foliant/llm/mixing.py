@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,13 @@ from foliant.llm.common import WORD, cut
 
 #: Bins of each of two refinements of a selection, which tell 2**24 positions of the seeded hash apart.
 BINS = 4096
+#: A row of the plan for each membership pattern.
+PLAN = pa.schema(
+    [
+        ("_sources", pa.list_(pa.string())), ("whole", pa.int32()), ("rest", pa.int64()), ("targets", pa.list_(pa.struct([("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64())]))),
+        ("routed", pa.list_(pa.struct([("source", pa.string()), ("words", pa.int64())]))),
+    ]
+)
 #: Rounds that fill what is left of a target with ever smaller documents.
 ROUNDS = 3
 
@@ -117,9 +125,10 @@ def plan_mix(rows: DataFrame, weights: dict | None, budget: int | None, repeats:
     for k, r in enumerate(patterns):
         parts = [(names[s], f) for s in range(len(names)) if (f := flow.get((k, s), 0))]
         whole, rest = divmod(sum(f for _, f in parts), r.words) if r.words else (0, 0)
-        plan.append((list(r["_sources"]), whole, rest, [(s, own[index[s]], float(target[index[s]])) for s in r["_sources"]], parts))
-    schema = "_sources array<string>, whole int, rest long, targets array<struct<source:string,source_size:long,target:double>>, routed array<struct<source:string,words:long>>"
-    cuts = rows.sparkSession.createDataFrame(plan, schema)
+        targets = [{"source": s, "source_size": own[index[s]], "target": float(target[index[s]])} for s in r["_sources"]]
+        plan.append({"_sources": list(r["_sources"]), "whole": whole, "rest": rest, "targets": targets, "routed": [{"source": s, "words": f} for s, f in parts]})
+    # An Arrow table becomes a DataFrame without a Python worker on the executors.
+    cuts = rows.sparkSession.createDataFrame(pa.Table.from_pylist(plan, PLAN))
     taken, rest = F.lit(False), cuts.filter("rest > 0").select("_sources", "rest")
     for k in range(ROUNDS):
         # What a round leaves over is less than the next document; the next round fills it with smaller ones.
