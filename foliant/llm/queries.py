@@ -1,19 +1,21 @@
-"""The registered queries op1_ to op10_ and the SQL of those that SQL can express."""
+"""The registered queries op1_ to op13_ and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import table
+from foliant.llm import sql
+from foliant.llm.common import WORD, table
 from foliant.llm.exact_dedup import exact_dedup
 from foliant.llm.html_text import extract
 from foliant.llm.language_id import held_out, predict, train
 from foliant.llm.license_scan import license_scan
 from foliant.llm.mixing import mix, word_count
 from foliant.llm.ngram_join import ngram_components
+from foliant.llm.periodic_runs import periodic_runs
 from foliant.llm.piece_bpe import encode_digests
 from foliant.llm.quality import quality
 from foliant.llm.sharding import shard
@@ -85,6 +87,42 @@ def op10_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def made_periodic(text: Column, doc_id: Column) -> Column:
+    """The text whose words repeat from some word on, for the tenth of all ids that op11's contract names; other texts as they are."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def one(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        root = F.slice(words, a + 1, p)
+        tail = F.slice(F.flatten(F.array_repeat(root, F.ceil((n - a) / p).cast("int"))), 1, n - a)
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, 1, a), tail), " ")).otherwise(F.lit(""))
+
+    # The words are bound to a lambda's variable, so that they are cut out once.
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"))
+    return F.when(h % 10 == 0, F.transform(F.array(words), one)[0]).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op11: maximal runs of words, the longest of each document, and digests of all runs and of the text without repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", made_periodic(F.col("text"), F.col("doc_id")).alias("text"))
+    out = periodic_runs(docs, ["doc_id"])
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return out.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.less")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(-1000 * F.col("best.less") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py."""
     import corpus_pipeline
@@ -103,10 +141,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
     "op10_ring_sharding": op10_ring_sharding,
+    "op11_periodic_runs": op11_periodic_runs,
     "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {
+    "op11_periodic_runs": sql.PERIODIC_RUNS,
     "op6_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
