@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import sql
-from foliant.llm.common import WORD, table
+from foliant.llm.common import WORD, cut, table
 from foliant.llm.exact_dedup import exact_dedup
 from foliant.llm.html_text import extract
 from foliant.llm.language_id import held_out, predict, train
@@ -17,6 +17,7 @@ from foliant.llm.mixing import mix, word_count
 from foliant.llm.ngram_join import ngram_components
 from foliant.llm.periodic_runs import periodic_runs
 from foliant.llm.piece_bpe import encode_digests
+from foliant.llm.prefix_trie import ordered_turns, prefix_trie, regrown
 from foliant.llm.quality import quality
 from foliant.llm.sharding import shard
 from foliant.llm.token_cache import count_tokens
@@ -123,6 +124,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op13: the trie of all conversations, of which the first turns come from the conversation that starts their twenty."""
+    conv = F.col("conv")
+    turns = cut(ordered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "ordered")
+    return prefix_trie(regrown(turns, conv - conv % 20, F.crc32(conv.cast("string")) % 4)).drop("node")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py."""
     import corpus_pipeline
@@ -142,11 +150,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_ring_sharding": op10_ring_sharding,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {
     "op11_periodic_runs": sql.PERIODIC_RUNS,
+    "op13_prefix_trie": sql.PREFIX_TRIE,
     "op6_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)

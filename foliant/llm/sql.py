@@ -32,3 +32,24 @@ PERIODIC_RUNS = f"""
         sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(line, '')) AS collapsed_sha256
     FROM documents LEFT JOIN found USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+PREFIX_TRIE = f"""
+    WITH c AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+               FROM conversations WHERE conv_id IS NOT NULL),
+    ids AS (SELECT conv_id, {crc32("conv_id")} % 4 AS h FROM c GROUP BY conv_id),
+    turns AS (SELECT i.conv_id, 0 AS part, c.pos, c.role, c.text FROM ids AS i JOIN c ON c.conv_id = i.conv_id - i.conv_id % 20 AND c.pos <= i.h
+              UNION ALL SELECT i.conv_id, 1, c.pos, c.role, c.text FROM ids AS i JOIN c ON c.conv_id = i.conv_id AND c.pos > i.h),
+    listed AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY part, pos) AS s FROM turns GROUP BY conv_id),
+    seqs AS (SELECT conv_id, coalesce(s, []) AS s FROM ids LEFT JOIN listed USING (conv_id)),
+    prefixes AS (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM seqs),
+    named AS (SELECT conv_id, d, len(s) AS n, to_json(s[1:d]) AS node, CASE WHEN d > 0 THEN to_json(s[1:d - 1]) END AS parent,
+                  CASE WHEN d > 0 THEN len({WORDS.format("s[d].text")}) ELSE 0 END AS words FROM prefixes),
+    nodes AS (SELECT node, d, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+                  coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '') AS ends FROM named GROUP BY node, d),
+    children AS (SELECT parent, count(*) AS n FROM nodes GROUP BY parent),
+    whole AS (SELECT n.*, coalesce(c.n, 0) AS n_children, p.conv_id AS parent_conv_id
+              FROM nodes AS n LEFT JOIN children AS c ON c.parent = n.node LEFT JOIN nodes AS p ON p.node = n.parent),
+    above AS (SELECT DISTINCT w.node AS below, a.node FROM whole AS w JOIN named AS x ON x.node = w.node AND x.conv_id = w.conv_id JOIN named AS a ON a.conv_id = w.conv_id AND a.d <= w.d),
+    sums AS (SELECT a.node, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens FROM above AS a JOIN whole AS w ON w.node = a.below GROUP BY a.node)
+    SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256 FROM whole JOIN sums USING (node)
+"""
