@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import sql
+from foliant.llm.byte_repeats import byte_repeats
 from foliant.llm.common import WORD, cut, table
 from foliant.llm.exact_dedup import exact_dedup
 from foliant.llm.html_text import extract
@@ -124,6 +125,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op12: documents without the bytes of 400-byte strings that start in two places or more."""
+    out = byte_repeats(table(spark, sf_dir, "documents"), length=400)
+    taken = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda n, s: n + s["ends"] - s["starts"])
+    return out.select("doc_id", "n_bytes", taken.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op13: the trie of all conversations, of which the first turns come from the conversation that starts their twenty."""
     conv = F.col("conv")
@@ -150,12 +158,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_ring_sharding": op10_ring_sharding,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_byte_repeats": op12_byte_repeats,
     "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {
     "op11_periodic_runs": sql.PERIODIC_RUNS,
+    "op12_byte_repeats": sql.BYTE_REPEATS,
     "op13_prefix_trie": sql.PREFIX_TRIE,
     "op6_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),

@@ -53,3 +53,20 @@ PREFIX_TRIE = f"""
     sums AS (SELECT a.node, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens FROM above AS a JOIN whole AS w ON w.node = a.below GROUP BY a.node)
     SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256 FROM whole JOIN sums USING (node)
 """
+
+BYTE_REPEATS = """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS (SELECT doc_id, unnest(range(length(h) // 2 - 399)) AS i, h FROM d WHERE length(h) >= 800),
+    c AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 800)) AS code FROM w),
+    many AS (SELECT code FROM c GROUP BY code HAVING count(*) > 1),
+    hit AS (SELECT doc_id, i FROM c SEMI JOIN many USING (code)),
+    step AS (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM hit),
+    numbered AS (SELECT *, sum((p IS NULL OR i > p + 400)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM step),
+    spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY ALL),
+    gone AS (SELECT doc_id, count(*) AS n, sum(b - a)::BIGINT AS removed, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM spans GROUP BY doc_id)
+    SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(n, 0) AS n_spans,
+        sha256(unhex(CASE WHEN n IS NULL THEN h ELSE list_reduce(list_prepend('', list_transform(range(n + 1),
+            lambda k: substr(h, 2 * (CASE WHEN k = 0 THEN 0 ELSE ends[k] END) + 1, 2 * ((CASE WHEN k = n THEN length(h) // 2 ELSE starts[k + 1] END) - (CASE WHEN k = 0 THEN 0 ELSE ends[k] END))))),
+            lambda x, y: x || y) END)) AS kept_sha256
+    FROM d LEFT JOIN gone USING (doc_id)
+"""
