@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import BROADCAST_IDS, cut, give_back, restrict, small_batches, text_bytes
+from foliant.llm.common import BROADCAST_IDS, cut, give_back, small_batches, text_bytes
 from foliant.llm.words import mixed, powers
 
 #: Bytes of text whose buckets a Python worker computes at once, whatever the texts' lengths.
@@ -187,16 +187,14 @@ def settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """(found, open): nodes of rows whose bytes occur elsewhere, as (k1, k2, a, b), and nodes to be split, as (k1, k2, p, a, b).
 
     A core's bucket of one is final: none of the node's windows repeats, nor do others need it. Where all bytes of a node repeat, all of its windows do; the
-    first of such equal nodes stays open, for nodes that share a part of it.
+    first of such equal nodes stays open, for nodes that share a part of it. Joins by identifiers shuffle at every size, and AQE splits their hot keys.
     """
     rows = cut(rows, name)
     several = cut(rows.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), f"{name}-cores")
-    rows = cut(restrict(rows, several, ["core"]), f"{name}-kept")
+    rows = cut(rows.join(several, "core", "left_semi"), f"{name}-kept")
     place = F.struct("k1", "k2", "p", "a")
     same = cut(rows.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), f"{name}-same")
-    # Rows are joined with those of one key: a broadcast up to a count, else a shuffle whose hot keys AQE splits.
-    few = same.count() <= BROADCAST_IDS // 4
-    told = rows.join(F.broadcast(same) if few else same, ["core", "whole"], "left")
+    told = rows.join(same, ["core", "whole"], "left")
     found = told.filter(F.col("first").isNotNull()).select("k1", "k2", "a", "b")
     return found, told.filter(F.col("first").isNull() | (F.col("first") == place)).select("k1", "k2", "p", "a", "b")
 
@@ -264,7 +262,7 @@ def byte_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans.append(found)
     ones = cut(node_rows(opened(docs, left, copies), single, shape).select("k1", "k2", "a", "b", "core", "whole"), "windows")
     several = cut(ones.groupBy("core", "whole").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "windows-cores")
-    spans.append(restrict(ones, several, ["core", "whole"], most=BROADCAST_IDS // 2).select("k1", "k2", "a", "b"))
+    spans.append(ones.join(several, ["core", "whole"], "left_semi").select("k1", "k2", "a", "b"))
     every = spans[0].unionByName(spans[1]).unionByName(spans[2]).select("k1", "k2", F.col("a").alias("start"), (F.col("b") + length).alias("end"))
     lists = merged(every.join(copies.select("k1", "k2"), ["k1", "k2"], "left_anti"))
     lists = cut(lists.unionByName(copies.select("k1", "k2", F.array(F.lit(0)).alias("starts"), F.array("size").alias("ends"))), "removed")
