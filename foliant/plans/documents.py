@@ -137,7 +137,7 @@ def url_file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("near_duplicate_clusters")
 def near_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near duplicates within each source, clustered; no pair of 0.80 or more is lost, tests hold it against brute force."""
+    """Near duplicates within each source as classes, with the best of each document's links; no class misses a pair of 0.80 or more, tests hold it against brute force."""
     matches = near_duplicates(load_spread(spark, sf_dir, "documents"), "doc_id", "text", ["source"])
     return duplicate_clusters(matches.drop("source"))
 

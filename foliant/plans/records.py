@@ -10,7 +10,7 @@ from foliant.functions.text import addresses, document_date
 from foliant.operators.casework import best_above
 from foliant.operators.chunks import chunk
 from foliant.operators.filters import in_dates, page, select_documents, token_valid, within
-from foliant.operators.near_dup import near_duplicates, version_groups
+from foliant.operators.near_dup import version_groups
 from foliant.operators.rows import insert_new, overlay, upsert_counts
 from foliant.operators.vectors import visual_blend
 from foliant.registry import load, load_spread, query
@@ -48,11 +48,9 @@ def mail_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("document_versions")
 def document_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions among near duplicates of a source, by file names that say so; tests find them by brute force."""
-    docs = load_spread(spark, sf_dir, "documents")
-    matches = near_duplicates(docs, "doc_id", "text", ["source"])
     mark = F.element_at(F.array(*(F.lit(x) for x in ("_v1", "_draft", "", " FINAL"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    names = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("file"), mark, F.lit(".doc")).alias("name"), F.col("doc_id").alias("arrived"))
-    return version_groups(matches, names)
+    docs = load_spread(spark, sf_dir, "documents").select("doc_id", "text", "source", F.concat(F.lit("file"), mark, F.lit(".doc")).alias("name"))
+    return version_groups(docs, "doc_id", "text", "name", "doc_id", ["source"])
 
 
 NAMES = "CASE p_partkey % 9 WHEN 0 THEN 'it' WHEN 1 THEN (p_partkey % 1500)::VARCHAR WHEN 2 THEN 'www.' || p_name WHEN 3 THEN '#' || p_name WHEN 4 THEN p_name || chr(10) || p_name WHEN 5 THEN repeat(p_name, 9) WHEN 6 THEN 'PAwER ' || p_name WHEN 7 THEN replace(p_name, ' ', '-') || '-a-b' ELSE p_name END"

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+from foliant.operators import near_dup
 from foliant.plans.documents import near_duplicate_clusters
 
 
@@ -12,27 +13,26 @@ def shingles(text):
 
 
 def brute(rows):
+    """The class of each text that has a partner, all similarities to partners, and how many pairs are close to the threshold."""
     sets = {i: (s, frozenset(shingles(t))) for i, t, s in rows}
-    root, best, close = {i: i for i in sets}, defaultdict(float), 0
+    root, scores, close = {i: i for i in sets}, defaultdict(set), 0
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    least = {}
-    for i in sorted(sets):
-        least.setdefault(sets[i], i)
     for i in sets:
         for j in sets:
             if i < j and sets[i][0] == sets[j][0]:
                 score = len(sets[i][1] & sets[j][1]) / len(sets[i][1] | sets[j][1])
-                if score >= 0.8 and (score == 1 or (least[sets[i]] == i and least[sets[j]] == j)):
+                if score >= 0.8:
                     close += score < 0.83
-                    best[i], best[j] = max(best[i], score), max(best[j], score)
+                    scores[i].add(round(score, 9))
+                    scores[j].add(round(score, 9))
                     x, y = sorted((find(i), find(j)))
                     root[y] = x
-    return {i: (find(i), round(best[i], 9)) for i in best}, close
+    return {i: find(i) for i in scores}, scores, close
 
 
 def test_close_pairs(spark, tmp_path):
@@ -48,7 +48,46 @@ def test_close_pairs(spark, tmp_path):
             rows.append((k, t, f"s{base % 5}"))
     rows += [(9001, rows[0][1], "s0"), (9002, rows[1][1].upper(), "s0"), (9003, "", "s0"), (9004, None, "s0"), (9005, "abc", "s1"), (9006, rows[0][1], "s3")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    want, close = brute(rows)
+    want, scores, close = brute(rows)
     assert close > 100
-    got = {r.id: (r.cluster, round(r.score, 9)) for r in near_duplicate_clusters(spark, str(tmp_path)).collect()}
-    assert got == want
+    got = near_duplicate_clusters(spark, str(tmp_path)).collect()
+    assert {r.id: r.cluster for r in got} == want
+    assert all(round(r.score, 9) in scores[r.id] for r in got)
+
+
+def template(n, size, rng):
+    """n texts of one template, each with a few places changed, so that chains of links join them all."""
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(size))
+    out = []
+    for _ in range(n):
+        edits = list(base)
+        for at in rng.sample(range(size), rng.randrange(1, 5)):
+            edits[at] = rng.choice("0123456789")
+        out.append("".join(edits))
+    return out
+
+
+def test_templates_give_stars(spark, monkeypatch):
+    """Near copies of one template come as about one link each, also where they are dealt into many blocks; two templates stay apart."""
+    rng = random.Random(4)
+    texts = template(400, 600, rng) + template(60, 600, rng)
+    rows = [(k, t, "m") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "id long, text string, matter string")
+    want, _, _ = brute(rows)
+    assert len(set(want.values())) == 2
+    for block in (near_dup.BLOCK, 30_000):
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        links = near_dup.near_duplicates(docs, "id", "text", ["matter"])
+        assert len(texts) - 2 <= links.count() <= 4 * len(texts)
+        assert {r.id: r.cluster for r in near_dup.duplicate_clusters(links).collect()} == want
+
+
+def test_scopes_and_nulls(spark):
+    """Null scopes are a scope; clashing names, null ids, repeated rows and string ids."""
+    rng = random.Random(5)
+    a, b = template(2, 900, rng)
+    rows = [("x", a, None, 1, 2), ("y", b, None, 1, 2), ("y", b, None, 1, 2), ("z", a, "m", 1, 2), (None, a, None, 1, 2), ("w", None, "m", 1, 2), ("v", "", "m", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc string, body string, s string, u int, n int")
+    got = {(r.s, r.a, r.b) for r in near_dup.near_duplicates(docs, "doc", "body", ["s"]).collect()}
+    assert got == {(None, "x", "y"), ("m", "v", "w")}
+    assert near_dup.near_duplicates(docs.filter("n > 5"), "doc", "body", ["s"]).collect() == []

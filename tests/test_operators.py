@@ -256,9 +256,10 @@ def test_near_duplicates(spark):
     assert pairs[1, 2] == 1.0 and 0.8 <= pairs[1, 3] < 1 and not any(4 in p or 5 in p for p in pairs)
     clusters = {r.id: r.cluster for r in duplicate_clusters(found).collect()}
     assert clusters[1] == clusters[2] == clusters[3] == 1
-    names = spark.createDataFrame([(1, "x_v1.doc", 1), (3, "x_v2.doc", 2)], "id long, name string, arrived int")
-    got = version_groups(spark.createDataFrame([(1, 3, 0.9)], "a long, b long, score double"), names)
-    assert [(r.id, r.label, r.version) for r in got.orderBy("version").collect()] == [(1, "v1", 1), (3, "v2", 2)]
+    far = base.replace(base[100:106], "zzzzzz").replace(base[300:306], "yyyyyy")
+    named = [(1, base, "m", "x_v1.doc", 1), (2, base, "m", "x.doc", 5), (3, far, "m", "x_v2.doc", 2), (4, far[:-1], "m", "copy.doc", 3), (5, base, "n", "x_v3.doc", 4)]
+    got = version_groups(spark.createDataFrame(named, "id long, text string, scope string, name string, at int"), "id", "text", "name", "at", ["scope"])
+    assert [(r.id, r.version_group, r.label, r.version) for r in got.orderBy("version").collect()] == [(1, 1, "v1", 1), (3, 1, "v2", 2), (4, 1, None, 3), (2, 1, None, 4)]
 
 
 def test_components_and_paths(spark):
