@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,35 +204,66 @@ def betweenness(edges: DataFrame, block_rows: int = 20_000_000) -> DataFrame:
 def split_oversized(matches: DataFrame, most: int = 50) -> DataFrame:
     """(a, b, score) without the weakest edges of components over `most` nodes, removed one at a time until none is left.
 
-    An edge stays just if the edges that are not weaker, itself included, join `most` nodes at most around it. Components that are small enough pass; the edges
-    of each larger one are united in one task, strongest first, in one pass.
+    Edges are ordered by (score, a, b). One stays just if the edges that are not weaker, itself included, join `most` nodes at most around it: single linkage,
+    cut where a part first passes `most`. So each node of a larger component gets the edge at which its part does, in rounds of a maximum spanning forest:
+
+    * Every open part points along its strongest edge; pointers form trees, and lead by ever stronger edges to two parts that point at each other.
+    * A tree's parts join its root in the order of their edges, as long as no edge to another tree is stronger. The part that passes `most`
+      closes the root at its edge; it, and all that come later or point to a closed part, close at their own.
+
+    At most `most` + 1 parts of a tree are ranked, the others close at once, so no group is larger. A part that is joined is never looked at again.
     """
     parts = connected_components(matches, "a", "b")
     sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
-    placed = matches.join(parts.withColumnRenamed("node", "a"), "a").join(sizes, "component")
-
-    def trim(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "a", "b"], ascending=False)
-        root: dict = {}
-        size: dict = {}
-
-        def find(x: object) -> object:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        stays = []
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            x, y = find(a), find(b)
-            if x != y:
-                root[x] = y
-                size[y] = size.get(x, 1) + size.get(y, 1)
-            stays.append(size.get(y, 1) <= most)
-        return pdf.loc[stays, ["a", "b", "score"]]
-
-    schema = matches.select("a", "b", "score").schema
-    return placed.filter(F.col("n") <= most).select("a", "b", "score").unionByName(placed.filter(F.col("n") > most).select("component", "a", "b", "score").groupBy("component").applyInPandas(trim, schema))
+    placed = cut(matches.join(parts.withColumnRenamed("node", "a"), "a").join(sizes, "component").select("a", "b", "score", F.col("n") > most), "components").toDF("a", "b", "score", "large")
+    small, large = placed.filter("NOT large").drop("large"), placed.filter("large").drop("large")
+    if large.isEmpty():
+        return small
+    edges = large.select(F.struct("score", "a", "b").alias("key"), F.col("a").alias("x"), F.col("b").alias("y"))
+    place = edges.select(F.col("x").alias("node")).union(edges.select("y")).distinct().select("node", F.col("node").alias("part"))
+    state = place.select("part", F.lit(1).cast("long").alias("size"), F.lit(None).cast(edges.schema["key"].dataType).alias("limit"))
+    cross, state, place = cut(edges.filter("x <> y"), "cross"), cut(state, "parts"), cut(place, "places")
+    while True:
+        closed = state.select("part", F.col("limit").isNotNull().alias("closed"))
+        ways = both_ways(cross.withColumnsRenamed({"x": "src", "y": "dst"}), "key").withColumnsRenamed({"src": "p", "dst": "q"})
+        ways = ways.join(closed.withColumnsRenamed({"part": "p", "closed": "p_closed"}), "p").filter("NOT p_closed").join(closed.withColumnsRenamed({"part": "q", "closed": "q_closed"}), "q")
+        ways = cut(ways.select("p", "q", "key", "q_closed"), "ways")
+        if ways.isEmpty():
+            break
+        best = cut(ways.groupBy("p").agg(F.max(F.struct("key", "q", "q_closed")).alias("e")).select("p", "e.*"), "best")
+        trees = connected_components(best.filter("NOT q_closed"), "p", "q").withColumnsRenamed({"node": "p", "component": "tree"})
+        best = cut(best.join(trees, "p", "left").withColumn("tree", F.coalesce("tree", "p")).join(state.select(F.col("part").alias("p"), "size"), "p"), "trees")
+        label = best.select("p", "tree")
+        other = ways.join(label, "p").join(label.withColumnsRenamed({"p": "q", "tree": "to"}), "q", "left").filter("to IS NULL OR to <> tree")
+        tree = best.groupBy("tree").agg(F.bool_or("q_closed").alias("lost")).join(other.groupBy("tree").agg(F.max("key").alias("out")), "tree", "left")
+        order = Window.partitionBy("tree").orderBy(F.desc("key"), "p")
+        ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most + 1)
+        # Both parts of the root have one edge, which a range takes in at once.
+        ranked = ranked.withColumn("sum", F.sum("size").over(Window.partitionBy("tree").orderBy(F.desc("key")).rangeBetween(Window.unboundedPreceding, 0)))
+        ranked = cut(ranked.select("p", "tree", "key", "size", "sum"), "ranked")
+        passing = ranked.filter(F.col("sum") > most).groupBy("tree").agg(F.max("key").alias("pass"))
+        told = best.select("p", "tree", "key", "size").join(ranked.select("p", "sum"), "p", "left").join(tree, "tree").join(passing, "tree", "left")
+        fits = ~F.col("lost") & (F.coalesce("sum", F.lit(most + 1)) <= most)
+        told = told.withColumn("joins", fits & (F.col("out").isNull() | (F.col("key") > F.col("out")))).withColumn("fits", fits)
+        roots = told.filter("joins").groupBy("tree").agg(
+            F.min("p").alias("root"), F.sum("size").alias("whole"), F.first(F.when(F.col("out").isNull() | (F.col("pass") > F.col("out")), F.col("pass"))).alias("root_limit")
+        )
+        moved = told.join(roots, "tree", "left").select(
+            F.col("p").alias("part"),
+            F.when(F.col("joins"), F.col("root")).otherwise(F.col("p")).alias("to"),
+            F.when(F.col("joins"), F.col("whole")).otherwise(F.col("size")).alias("size"),
+            F.when(F.col("joins"), F.col("root_limit")).when(~F.col("fits"), F.col("key")).alias("limit"),
+        )
+        moved = cut(moved, "moved")
+        rest = state.join(moved.select("part"), "part", "left_anti")
+        state = cut(rest.unionByName(moved.select(F.col("to").alias("part"), "size", "limit").distinct()), "parts")
+        place = cut(place.join(moved.select("part", "to"), "part", "left").select("node", F.coalesce("to", "part").alias("part")), "places")
+        for end in "xy":
+            cross = cross.join(moved.select(F.col("part").alias(end), "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        cross = cut(cross.filter("x <> y").groupBy("x", "y").agg(F.max("key").alias("key")), "cross")
+    limits = place.join(state, "part").select(F.col("node").alias("a"), "limit")
+    stays = large.join(limits, "a").filter(F.col("limit").isNull() | (F.struct("score", "a", "b") > F.col("limit")))
+    return small.unionByName(stays.select("a", "b", "score"))
 
 
 def plain_neighbours(edges: DataFrame, nodes: DataFrame, start: DataFrame) -> DataFrame:
