@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from foliant.operators.components import connected_components
@@ -56,31 +57,34 @@ def page_rank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> Data
     return rank
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, most_hops: int = 5, relations: Sequence[str] | None = None) -> DataFrame:
-    """(a, b, hops, path, names) of the pairs (a, b) that a path of at most most_hops undirected edges joins; of paths as short the least one.
+def paths_from(edges: DataFrame, starts: DataFrame, most_hops: int = 5, relations: Sequence[str] | None = None) -> DataFrame:
+    """(a, b, hops, path, names) from each start (column a) to every node b that a path of at most most_hops undirected edges reaches, itself with 0; of paths as
+    short the least one.
 
     edges: src, dst and, if they have any, relation; relations leaves the others out. names: the relations along the path, the least where two
-    nodes have several. A breadth-first loop of joins: a pair's frontier holds each node once, with its least path, and nodes seen before leave it.
+    nodes have several. A breadth-first loop of joins: a start's frontier holds each node once, with its least path, and only nodes that are new go on.
     """
     if "relation" not in edges.columns:
         edges = edges.withColumn("relation", F.lit(None).cast("string"))
     if relations is not None:
         edges = edges.filter(F.col("relation").isin(*relations))
     steps = both_ways(edges, "relation").groupBy("src", "dst").agg(F.min("relation").alias("relation"))
-    front = pairs.select("a", "b").distinct().withColumns({"node": F.col("a"), "path": F.array("a"), "names": F.array().cast("array<string>")})
-    seen, found = front.select("a", "b", "node"), front.filter("a = b").withColumn("hops", F.lit(0))
-    open_ = front.filter("a <> b")
+    front = starts.select("a").distinct().withColumns({"b": F.col("a"), "hops": F.lit(0), "path": F.array("a"), "names": F.array().cast("array<string>")})
+    found = front
     for hop in range(1, most_hops + 1):
-        nexts = open_.join(steps, open_["node"] == steps["src"]).select("a", "b", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("names", F.array("relation")).alias("names"))
-        nexts = nexts.groupBy("a", "b", "node").agg(F.min(F.struct("path", "names")).alias("best")).select("a", "b", "node", "best.path", "best.names").join(seen, ["a", "b", "node"], "left_anti")
-        nexts = cut(nexts, "front")
-        if nexts.isEmpty():
+        nexts = front.join(steps, front["b"] == steps["src"]).select("a", F.col("dst").alias("b"), F.struct(F.concat("path", F.array("dst")).alias("path"), F.concat("names", F.array("relation")).alias("names")).alias("best"))
+        nexts = nexts.groupBy("a", "b").agg(F.min("best").alias("best")).join(found.select("a", "b"), ["a", "b"], "left_anti")
+        front = cut(nexts.select("a", "b", F.lit(hop).alias("hops"), "best.path", "best.names"), "front")
+        if front.isEmpty():
             break
-        hit = nexts.filter("node = b")
-        found = found.unionByName(hit.withColumn("hops", F.lit(hop)))
-        open_ = nexts.join(hit.select("a", "b"), ["a", "b"], "left_anti")
-        seen = seen.unionByName(nexts.select("a", "b", "node"))
-    return found.select("a", "b", "hops", "path", "names")
+        found = found.unionByName(front)
+    return found
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, most_hops: int = 5, relations: Sequence[str] | None = None) -> DataFrame:
+    """(a, b, hops, path, names) of paths_from() for the pairs (a, b) that such a path joins. Each start is walked from once, whatever the number of its goals."""
+    wanted = pairs.select("a", "b").distinct()
+    return paths_from(edges, wanted, most_hops, relations).join(wanted, ["a", "b"], "left_semi")
 
 
 def reporting_chain(edges: DataFrame, start: DataFrame, at: str, most: int = 10) -> DataFrame:
@@ -118,42 +122,50 @@ def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
 def modularity_communities(edges: DataFrame, levels: int = 3, rounds: int = 8) -> DataFrame:
     """(node, community) by moves that raise the modularity of the undirected graph (src, dst, weight): Louvain's scheme as joins and aggregations.
 
-    In a round each node of one half, which a hash of node and round picks, goes to the neighbouring community of most gain, the smallest of equal ones;
-    moving halves in turn keeps neighbours from trading places for ever. After a level communities become nodes of the next one. Deterministic; the
-    communities are named by one of their nodes. A hub's neighbours stay rows, summed on the map side.
+    In a round each open node of one half, which a hash of node and round picks, goes to the neighbouring community of most gain, its own or else the smallest of
+    equal ones; moving halves in turn keeps neighbours from trading places for ever. All nodes are open at first; one that was looked at is open again
+    only if a neighbour moves, so later rounds read the links of few nodes. A round is one job. After a level communities become nodes of the next one.
+    Deterministic; the communities are named by one of their nodes. A hub's neighbours stay rows, summed on the map side.
     """
     ends = cut(both_ways(edges.filter("src <> dst"), "weight").groupBy("src", "dst").agg(F.sum(F.coalesce("weight", F.lit(1.0))).alias("w")), "weights")
     place = ends.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct()
     twice = ends.agg(F.sum("w")).first()[0] or 1.0
     links = ends
     for level in range(levels):
-        weight = cut(links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "degrees")
-        now = weight.select("node", "k", F.col("node").alias("community"))
+        start = links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
+        now = cut(start.select("node", "k", F.col("node").alias("community"), F.lit(True).alias("open"), F.lit(False).alias("moved")), "places")
+        between = links.filter("src <> dst")
         for r in range(rounds):
-            now = cut(now, "places")
-            total = now.groupBy("community").agg(F.sum("k").alias("total"))
-            other = now.select(F.col("node").alias("dst"), "community")
-            pulls = links.filter("src <> dst").join(other, "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("pull"))
+            if r:
+                touched = between.join(now.filter("moved").select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), F.lit(True).alias("touched")).distinct()
+                looked = now.join(touched, "node", "left").withColumn("open", F.col("open") | F.col("touched").isNotNull())
+            else:
+                looked = now
+            turn = F.pmod(F.xxhash64("node", F.lit(level * rounds + r)), F.lit(2)) == 0
+            looked = looked.select("node", "k", F.col("community").alias("own"), (F.col("open") & turn).alias("asks"), (F.col("open") & ~turn).alias("waits"))
+            asks = looked.filter("asks").select("node", "k", "own")
+            near = now.select(F.col("node").alias("dst"), "community")
+            pulls = between.join(near, "dst").join(asks.select(F.col("node").alias("src")), "src", "left_semi").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("pull"))
             # A node's own community is a choice as well, with a pull of 0 if no neighbour is left in it.
-            stay = now.select("node", "community", F.lit(0.0).alias("pull"))
-            choices = pulls.unionByName(stay).groupBy("node", "community").agg(F.sum("pull").alias("pull")).join(total, "community").join(now.select("node", "k", F.col("community").alias("own")), "node")
+            stay = asks.select("node", F.col("own").alias("community"), F.lit(0.0).alias("pull"))
+            choices = pulls.unionByName(stay).groupBy("node", "community").agg(F.sum("pull").alias("pull"))
+            total = now.groupBy("community").agg(F.sum("k").alias("total"))
+            choices = choices.join(total, "community").join(asks, "node")
             rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
             gain = F.round(F.col("pull") - F.col("k") * rest / twice, 9)
-            choices = cut(choices.select("node", "k", "own", "community", gain.alias("gain")), "choices")
-            top = choices.groupBy("node").agg(F.max("gain").alias("top"))
-            best = choices.join(top, "node").filter("gain = top").groupBy("node", "k", "own").agg(F.min("community").alias("to"), F.bool_or(F.col("community") == F.col("own")).alias("stays"))
-            turn = F.pmod(F.xxhash64("node", F.lit(level * rounds + r)), F.lit(2)) == 0
-            moved = cut(best.select("node", "k", F.when(turn & ~F.col("stays"), F.col("to")).otherwise(F.col("own")).alias("community"), (~F.col("stays")).alias("open")), "moves")
-            now = moved.drop("open")
-            if moved.filter("open").isEmpty():
+            best = choices.groupBy("node").agg(F.min(F.struct((-gain).alias("loss"), (F.col("community") != F.col("own")).alias("away"), "community"))["community"].alias("to"))
+            seen = Observation()
+            moved = F.coalesce(F.col("to") != F.col("own"), F.lit(False))
+            after = looked.join(best, "node", "left").select("node", "k", F.coalesce("to", "own").alias("community"), F.col("waits").alias("open"), moved.alias("moved"))
+            now = cut(after.observe(seen, F.count_if(F.col("moved") | F.col("open")).alias("n")), "places")
+            if not seen.get["n"]:
                 break
         found = now.select("node", "community")
         place = cut(place.join(found.select(F.col("node").alias("community"), F.col("community").alias("next")), "community").select("node", F.col("next").alias("community")), "communities")
-        a, b = (found.select(F.col("node").alias(end), F.col("community").alias(end[0])) for end in ("src", "dst"))
-        smaller = cut(links.join(a, "src").join(b, "dst").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("w").alias("w")), "contracted")
-        if smaller.select("src").distinct().count() == weight.count():
+        if found.filter("node <> community").isEmpty():
             break
-        links = smaller
+        a, b = (found.select(F.col("node").alias(end), F.col("community").alias(end[0])) for end in ("src", "dst"))
+        links = cut(links.join(a, "src").join(b, "dst").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("w").alias("w")), "contracted")
     return place
 
 
@@ -165,19 +177,28 @@ def two_tiers(members: DataFrame, least: int = 3) -> DataFrame:
     return rows.unionByName(small.select("id", "member", F.lit(1).alias("level"), F.lit(None).cast("string").alias("parent_id")))
 
 
-def betweenness(edges: DataFrame, block_rows: int = 20_000_000) -> DataFrame:
-    """(node, betweenness) of the undirected graph, exact: shortest paths counted level by level from blocks of sources, then shared out backwards.
+def betweenness(edges: DataFrame, pivots: int | None = None, seed: int = 1, miss: float = 0.05, block_rows: int = 20_000_000) -> DataFrame:
+    """(node, betweenness, bound) of the undirected graph: shortest paths counted level by level from blocks of sources, then shared out backwards.
+
+    A level is one join of the frontier's (source, node) rows with the edges and one aggregation, so no component is held in a task. Sources are taken in
+    blocks whose (source, node) rows stay near block_rows. Without pivots, or with as many as there are nodes, all nodes are sources, the result is exact
+    and bound is 0; the work is nodes times edges then.
 
-    A level is one join of (source, node) rows with the edges and one aggregation, so no component is held in a task. Sources are taken in blocks
-    whose (source, node) rows stay near block_rows; the work is that of any exact betweenness, nodes times edges.
+    pivots: so many sources, the first by a hash with the seed, stand for all; their parts are scaled up. With a probability of 1 - miss, over seeds, no
+    node's exact value is further than its bound from the estimate (the empirical Bernstein bound for all nodes at once: it shrinks with the
+    spread of a node's parts, and with the root of the pivots).
     """
     links = cut(both_ways(edges.filter("src <> dst")).distinct(), "links")
     nodes = cut(links.select(F.col("src").alias("node")).distinct(), "nodes")
     n = nodes.count()
-    blocks = max(1, -(-n * n // block_rows))
-    sums = nodes.select("node", F.lit(0.0).alias("part"))
+    sources, count = nodes, n
+    if pivots is not None and pivots < n:
+        sources, count = cut(nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(pivots), "pivots"), pivots
+    blocks = max(1, -(-count * n // block_rows))
+    sums = nodes.select("node", F.lit(0.0).alias("part"), F.lit(0.0).alias("square"))
+    parts = [F.col("part"), (F.col("part") * F.col("part")).alias("square")]
     for block in range(blocks):
-        mine = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == block)
+        mine = sources.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == block)
         levels = [cut(mine.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")), "level")]
         seen = levels[0].select("source", "node")
         while True:
@@ -190,15 +211,21 @@ def betweenness(edges: DataFrame, block_rows: int = 20_000_000) -> DataFrame:
             seen = levels[-1].select("source", "node").unionByName(levels[-2].select("source", "node"))
         later = levels[-1].withColumn("part", F.lit(0.0))
         for level in reversed(levels[1:-1]):
-            sums = sums.unionByName(later.select("node", "part"))
+            sums = sums.unionByName(later.select("node", *parts))
             after = later.select("source", F.col("node").alias("dst"), F.col("paths").alias("more"), F.col("part").alias("beyond"))
             back = level.join(links, level["node"] == links["src"]).join(after, ["source", "dst"], "left")
             share = F.sum(F.coalesce(F.col("paths") / F.col("more") * (1 + F.col("beyond")), F.lit(0.0)))
             later = cut(back.groupBy("source", "node", "paths").agg(share.alias("part")), "back")
         if len(levels) > 1:
-            sums = sums.unionByName(later.select("node", "part"))
-        sums = cut(sums.groupBy("node").agg(F.sum("part").alias("part")), "sums")
-    return sums.select("node", (F.col("part") / 2).alias("betweenness"))
+            sums = sums.unionByName(later.select("node", *parts))
+        sums = cut(sums.groupBy("node").agg(F.sum("part").alias("part"), F.sum("square").alias("square")), "sums")
+    value = (F.col("part") * (n / (2 * count)) if n else F.col("part")).alias("betweenness")
+    if count == n:
+        return sums.select("node", value, F.lit(0.0).alias("bound"))
+    log = math.log(3 * n / miss)
+    spread = F.greatest((F.col("square") - F.col("part") * F.col("part") / count) / max(1, count - 1), F.lit(0.0))
+    bound = n / 2 * (F.sqrt(2 * spread * log / count) + 3 * (n - 2) * log / count)
+    return sums.select("node", value, F.least(bound, F.lit((n - 1) * (n - 2) / 2.0)).alias("bound"))
 
 
 def split_oversized(matches: DataFrame, most: int = 50) -> DataFrame:

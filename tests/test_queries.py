@@ -137,17 +137,15 @@ def test_line_differences(spark):
     assert {r.doc_id: r.opcodes for r in QUERIES["line_differences"](spark, SF).collect()} == want
 
 
-def test_betweenness(spark):
-    """Brandes' algorithm over the graph that another query gives."""
+def brandes(edges):
+    """Exact betweenness, and each source's part for each node."""
     from collections import defaultdict, deque
 
-    from foliant.plans.relations import trade
-
     near = defaultdict(set)
-    for r in trade(spark, SF).collect():
-        near[r.src].add(r.dst)
-        near[r.dst].add(r.src)
-    total = dict.fromkeys(near, 0.0)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    total, parts = dict.fromkeys(near, 0.0), {}
     for s in near:
         dist, count, order, queue = {s: 0}, defaultdict(float, {s: 1.0}), [], deque([s])
         while queue:
@@ -163,8 +161,38 @@ def test_betweenness(spark):
         for w in reversed(order):
             part[w] = sum(count[w] / count[x] * (1 + part[x]) for x in near[w] if dist[x] == dist[w] + 1)
             total[w] += part[w] * (w != s) / 2
-    out = {r.node: r.betweenness for r in QUERIES["graph_betweenness"](spark, SF).collect()}
-    assert out.keys() == total.keys() and all(abs(out[v] - total[v]) < 1e-5 for v in total)
+        parts[s] = part
+    return total, parts
+
+
+def test_betweenness(spark):
+    """Brandes' algorithm over the graph that another query gives: all of its nodes are sources there."""
+    from foliant.plans.relations import commerce_graph
+
+    total, _ = brandes([(r.src, r.dst) for r in commerce_graph(spark, SF).collect()])
+    out = {r.node: (r.betweenness, r.bound) for r in QUERIES["graph_betweenness"](spark, SF).collect()}
+    assert out.keys() == total.keys() and all(abs(out[v][0] - total[v]) < 1e-3 and out[v][1] == 0 for v in total)
+
+
+def test_betweenness_pivots(spark):
+    """Estimates are the pivots' parts scaled up; no exact value is further away than its bound."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from foliant.operators.graphs import betweenness
+
+    rng = random.Random(8)
+    edges = sorted({(min(p), max(p)) for p in (rng.sample(range(120), 2) for _ in range(260))})
+    total, parts = brandes(edges)
+    graph = spark.createDataFrame(edges, "src long, dst long")
+    nodes = spark.createDataFrame([(v,) for v in total], "node long")
+    chosen = [r.node for r in nodes.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(60).collect()]
+    got = {r.node: (r.betweenness, r.bound) for r in betweenness(graph, pivots=60, seed=3).collect()}
+    assert got.keys() == total.keys()
+    for v, (value, bound) in got.items():
+        assert value == pytest.approx(sum(parts[s][v] for s in chosen if s != v) * len(total) / 60 / 2, rel=1e-9, abs=1e-9)
+        assert 0 < bound and abs(value - total[v]) <= bound
 
 
 def test_communities(spark):
