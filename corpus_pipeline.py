@@ -6,7 +6,7 @@ the last, which returns ids. run() writes each stage's rows as Parquet in the sh
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import cut, table
@@ -17,34 +17,41 @@ from foliant.llm.ngram_join import drop_near_copies
 from foliant.llm.piece_bpe import encode
 
 
-#: Labelled rows from which a limit is taken: fewer do not show how low a clean document's score can be.
-ENOUGH = 1_000
+#: Scores are counted in so many bins, so that a quantile of them is exact to a bin and doesn't depend on the order of rows.
+BINS = 1 << 16
+
+
+def limits(own: DataFrame) -> dict[str, float]:
+    """For each language, the score under which a document predicted as it goes, from (label, lang_pred, score) of the labelled rows.
+
+    Half of the 0.001 quantile of the scores of its n rows that are predicted right, less 1 / sqrt(n), 0 at least: the fewer rows show how low a clean
+    document's score can be, the further the limit stays below what they show, for any n alike. One row for each language reaches the driver.
+    """
+    bins = own.filter("label = lang_pred").groupBy("label", F.floor(F.col("score") * BINS).alias("bin")).agg(F.count("*").alias("c"))
+    by = Window.partitionBy("label")
+    counted = bins.select("label", "bin", F.sum("c").over(by).alias("n"), F.sum("c").over(by.orderBy("bin")).alias("upto"))
+    low = counted.filter(1000 * F.col("upto") > F.col("n")).groupBy("label").agg(F.min("bin").alias("bin"), F.first("n").alias("n"))
+    return {r.label: max(0.0, r.bin / BINS / 2 - r.n**-0.5) for r in low.collect()}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that labelled documents show; those without a letter, or without text, go.
+    """Documents in one of the languages that labelled documents show; those without a letter, or without text, go, as do those that score under limits().
 
-    By the model go those of score 0, and those whose score is under half of the 0.001 quantile that the rows labelled with the predicted
-    language have themselves. The first needs ENOUGH labelled rows in all, the second ENOUGH of that language. Where no row has a language,
-    only those without a letter go. Null text goes. Repeated rows are judged alike and all stay or go; rows whose scores tie with the limit stay. An
-    empty table gives an empty result. Columns of any name pass through.
+    Where no row has a language, only those without a letter go. Null text goes. Repeated rows are judged alike and all stay or go; rows whose scores tie
+    with the limit stay. An empty table gives an empty result. Columns of any name pass through. Each text is predicted once.
     """
     profiles = train(docs)
     if not profiles.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    # The row's own columns travel as one, so that none can clash with the prediction's.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("lang").alias("label"), "text")
-    own = predict(rows.filter("label IS NOT NULL AND text IS NOT NULL").select("label", "text"), profiles)
-    right = F.when(F.col("label") == F.col("lang_pred"), F.col("score"))
-    scores = own.filter("lang_pred <> 'und'").groupBy("label").agg(F.count("*").alias("n"), F.percentile_approx(right, 0.001, 10_000).alias("q")).collect()
-    found = predict(rows.select("row", "text"), profiles).filter(F.col("lang_pred") != "und")
-    if sum(r.n for r in scores) >= ENOUGH:
-        found = found.filter("score > 0")
-        limits = {r.label: r.q / 2 for r in scores if r.n >= ENOUGH and r.q is not None}
-        if limits:
-            limit = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))[F.col("lang_pred")]
-            found = found.filter(F.col("score") >= F.coalesce(limit, F.lit(0.0)))
-    return found.select("row.*")
+    # Under other names, so that no column clashes with the prediction's.
+    held = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    found = predict(docs.select(*(F.col(c).alias(h) for c, h in held.items())), profiles, held["text"]).filter("lang_pred <> 'und'")
+    found = cut(found, "predicted")
+    lowest = {k: v for k, v in limits(found.select(F.col(held["lang"]).alias("label"), "lang_pred", "score")).items() if v > 0}
+    if lowest:
+        limit = F.create_map(*(F.lit(x) for pair in lowest.items() for x in pair))[F.col("lang_pred")]
+        found = found.filter(F.col("score") >= F.coalesce(limit, F.lit(0.0)))
+    return found.select(*(F.col(h).alias(c) for c, h in held.items()))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -93,7 +100,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents. Each stage's rows are written to the shared folder, so a lost executor costs one stage at most."""
+    """All stages over the table documents. Each stage's rows are written to the shared folder, so a lost executor costs one stage at most.
+
+    Null, empty and very long texts, ties, repeated rows and extra columns are treated as each stage says; an empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), name.split(" ")[0].lower())
