@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.names import canonical, different_people, fuzzy_pairs
-from foliant.operators.components import connected_components
+from foliant.operators.components import connected_components, merged_components
 from foliant.operators.filters import RESTRICTED, visible
 from foliant.operators.graphs import split_oversized
 from foliant.operators.rows import overlay
+from foliant.plans.lineage import cut
 
 # Parameters that a question may override, with their type and range.
 OVERRIDES = {
@@ -108,26 +109,26 @@ def merge_groups(matches: DataFrame, kind: str, most: int = 50) -> DataFrame:
     return rows.join(chosen, "component").select(F.col("kind").alias(kind), "name", "canonical")
 
 
+def confident_matches(rows: DataFrame, exact_kinds: Sequence[str], least: float) -> DataFrame:
+    """(kind, a, b, score) of rows (kind, name): names of a kind that differ in case and spaces alone, and in kinds that aren't exact those of `least` or more but different people."""
+    key = F.regexp_replace(F.lower(F.trim("name")), r"\s+", " ")
+    same = rows.select("kind", "name", key.alias("key"))
+    first = same.groupBy("kind", "key").agg(F.min("name").alias("a"))
+    matches = same.join(first, ["kind", "key"]).filter("name <> a").select("kind", "a", F.col("name").alias("b"), F.lit(100.0).alias("score"))
+    found = fuzzy_pairs(rows.filter(~F.col("kind").isin(*exact_kinds)), "name", least, "kind")
+    matches = matches.unionByName(found.filter((F.col("kind") != "person") | ~different_people(F.col("a"), F.col("b"))))
+    return matches.groupBy("kind", "a", "b").agg(F.max("score").alias("score"))
+
+
 def resolved_entities(entities: DataFrame, exact_kinds: Sequence[str], confident: float = 90, least: float = 85, most: int = 50) -> tuple[DataFrame, DataFrame]:
     """(resolved, uncertain) of entities (kind, name, mention_count).
 
     Names that differ in case and spaces alone match with 100 in every kind; in kinds that aren't exact, fuzzy matches of `least` or more count unless they
     are different people. Those of `confident` or more are merged; the rest is uncertain (kind, a, b, score), for a person to decide.
-    resolved: kind, canonical, aliases (sorted), mention_count, one row for each group and for each name that joined none. Kinds are resolved one by one
-    where they are fuzzy, as names of different kinds never match; they are few.
+    resolved: kind, canonical, aliases (sorted), mention_count, one row for each group and for each name that joined none. All kinds are resolved at once.
     """
     rows = entities.groupBy("kind", "name").agg(F.sum("mention_count").alias("mention_count")).filter("kind IS NOT NULL AND name IS NOT NULL")
-    key = F.regexp_replace(F.lower(F.trim("name")), r"\s+", " ")
-    same = rows.select("kind", "name", key.alias("key"))
-    first = same.groupBy("kind", "key").agg(F.min("name").alias("a"))
-    matches = same.join(first, ["kind", "key"]).filter("name <> a").select("kind", "a", F.col("name").alias("b"), F.lit(100.0).alias("score"))
-    kinds = [r.kind for r in rows.filter(~F.col("kind").isin(*exact_kinds)).select("kind").distinct().collect()]
-    for kind in sorted(kinds):
-        found = fuzzy_pairs(rows.filter(F.col("kind") == kind), "name", least)
-        if kind == "person":
-            found = found.filter(~different_people(F.col("a"), F.col("b")))
-        matches = matches.unionByName(found.select(F.lit(kind).alias("kind"), "a", "b", "score"))
-    matches = matches.groupBy("kind", "a", "b").agg(F.max("score").alias("score"))
+    matches = confident_matches(rows, exact_kinds, least)
     groups = merge_groups(matches.filter(F.col("score") >= confident), "kind", most)
     placed = rows.join(groups, ["kind", "name"], "left").withColumn("canonical", F.coalesce("canonical", "name"))
     alias = F.array_sort(F.collect_set(F.when(F.col("name") != F.col("canonical"), F.col("name"))))
@@ -135,6 +136,28 @@ def resolved_entities(entities: DataFrame, exact_kinds: Sequence[str], confident
     return resolved, matches.filter(F.col("score") < confident)
 
 
+def resolved_batch(stars: DataFrame, known: DataFrame, batch: DataFrame, exact_kinds: Sequence[str], confident: float = 90) -> tuple[DataFrame, DataFrame]:
+    """(stars, resolved) after a batch of entities (kind, name, mention_count) came to those known, which have the same columns.
+
+    stars: (node, component) of earlier batches, node being the JSON of kind and name; empty at first. Names of the batch are matched with each other and
+    with all known names, as resolved_entities() does; the stars then take in the new matches alone (merged_components()), so groups of
+    earlier batches are not solved anew. resolved: kind, canonical, aliases, mention_count over all entities so far. Groups are not
+    split by their size here.
+    """
+    rows = known.unionByName(batch).filter("kind IS NOT NULL AND name IS NOT NULL").groupBy("kind", "name").agg(F.sum("mention_count").alias("mention_count"))
+    fresh = batch.select("kind", "name").distinct()
+    matches = confident_matches(rows, exact_kinds, confident)
+    new = [matches.join(fresh.withColumnRenamed("name", end), ["kind", end], "left_semi") for end in "ab"]
+    node = lambda end: F.to_json(F.struct("kind", F.col(end).alias("name")))
+    links = new[0].unionByName(new[1]).distinct().select(node("a").alias("a"), node("b").alias("b"))
+    stars = cut(merged_components(stars, links, "a", "b"), "stars")
+    placed = rows.withColumn("node", node("name")).join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    chosen = placed.groupBy("component").agg(canonical(F.col("name")).alias("canonical"))
+    named = placed.join(chosen, "component")
+    alias = F.array_sort(F.collect_set(F.when(F.col("name") != F.col("canonical"), F.col("name"))))
+    return stars, named.groupBy("component", "kind", "canonical").agg(alias.alias("aliases"), F.sum("mention_count").alias("mention_count")).drop("component")
+
+
 def metadata_totals(imports: DataFrame, sums: Sequence[str], eta: str, status: str = "status") -> DataFrame:
     """One row: queue sums and the longest time left over the imports that are processing."""
     return imports.filter(F.col(status) == "processing").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums), F.max(eta).alias(eta))

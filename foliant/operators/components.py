@@ -31,3 +31,23 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         before = now
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def merged_components(stars: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """stars (node, component) after a batch of new edges: equal to connected_components() over all edges so far.
+
+    Only the batch is walked: its ends are replaced by their components, whose links are solved by themselves, and nodes of components that were joined
+    take the least component's name. The work of a round grows with the batch, that of the last join with the stars. Edges with a null end, loops
+    and repeated edges change nothing but for adding the node of none.
+    """
+    ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
+    ends = cut(ends, "batch")
+    known = stars.select("node", "component")
+    placed = ends
+    for end in "uv":
+        placed = placed.join(known.withColumnsRenamed({"node": end, "component": f"{end}_at"}), end, "left").withColumn(f"{end}_at", F.coalesce(f"{end}_at", end))
+    joined = connected_components(placed.select(F.col("u_at").alias("x"), F.col("v_at").alias("y")), "x", "y")
+    moved = cut(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "moved")
+    fresh = ends.select(F.col("u").alias("node")).union(ends.select("v")).distinct().join(known.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
+    out = known.unionByName(fresh).join(moved, "component", "left")
+    return out.select("node", F.coalesce("to", "component").alias("component"))

@@ -113,23 +113,44 @@ def grounded(names: DataFrame, entities: DataFrame) -> DataFrame:
     return exact.join(near.unionByName(empty), "name", "left").select("name", F.coalesce("hit", F.lit(False)).alias("grounded"), "closest")
 
 
-def topics(docs: DataFrame, key: str, text: str, k: int, least: int = 5, terms: int = 10, seed: int = 1, features: int = 1 << 14) -> tuple[DataFrame, DataFrame]:
-    """(key, topic) and (topic, size, terms): k-means over hashed TF-IDF; topics under `least` documents are outliers (-1) and leave the second table.
-
-    An approximation of a neural topic model; terms are a topic's most frequent words against all topics.
+def topics(docs: DataFrame, key: str, text: str, k: int, least: int = 5, terms: int = 10, seed: int = 1, features: int = 1 << 16, rare: int = 2, common: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(key, topic) and (topic, size, terms) of at most k topics: spherical k-means over TF-IDF vectors.
+
+    Words are runs of letters, three or more, in lower case; those of fewer than `rare` texts or more than `common` of all say nothing of a topic and are
+    passed over. A text's vector has the inverse document frequency of each of its words, in hashed places, and unit length; seeds are drawn far apart
+    (k-means||), and a text goes to the centre of the largest cosine. Texts without such a word, and those of topics under `least` texts, are outliers
+    (-1), which the second table leaves out. terms: the words of most class-based TF-IDF, the share of a topic's words that a word is times
+    log(1 + mean words of a topic / the word's count in all topics); ties go to the first word.
     """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import IDF, HashingTF
-
-    words = docs.select(key, F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) > 2).alias("words"))
-    counted = HashingTF(inputCol="words", outputCol="tf", numFeatures=features).transform(words)
-    weighed = IDF(inputCol="tf", outputCol="features").fit(counted).transform(counted)
-    found = KMeans(k=k, seed=seed, maxIter=10).fit(weighed).transform(weighed).select(key, "words", F.col("prediction").alias("topic"))
-    sizes = found.groupBy("topic").agg(F.count("*").alias("size"))
-    found = found.join(sizes, "topic").withColumn("topic", F.when(F.col("size") >= least, F.col("topic")).otherwise(-1))
-    each = found.filter("topic >= 0").select("topic", F.explode("words").alias("word")).groupBy("topic", "word").agg(F.count("*").alias("n"))
-    frequent = each.join(each.groupBy("word").agg(F.sum("n").alias("all")), "word").filter("n >= 3").withColumn("share", F.col("n") / F.col("all"))
-    top = first_by(frequent, ["topic"], [F.desc("share"), F.desc("n"), F.desc("word")], terms)
-    weight = F.struct("share", "n", "word")
-    best = top.groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(weight), False), lambda t: t["word"]).alias("terms"))
-    return found.select(key, "topic"), sizes.filter(F.col("size") >= least).join(best, "topic", "left")
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer, VectorAssembler
+
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) > 2)
+    said = cut(docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), words.alias("words")), "words")
+    total = said.count()
+    each = said.select("row", F.explode("words").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
+    seen = each.groupBy("word").agg(F.count("*").alias("df")).filter((F.col("df") >= rare) & (F.col("df") <= common * total))
+    each = cut(each.join(seen.select("word"), "word", "left_semi"), "said")
+    rows = each.groupBy("row").agg(F.array_sort(F.collect_list("word")).alias("words"))
+    rows = cut(rows.repartition("row").sortWithinPartitions("row"), "rows")
+    if rows.isEmpty():
+        placed = said.select("row", "key", F.lit(-1).alias("topic"))
+    else:
+        counted = HashingTF(inputCol="words", outputCol="tf", numFeatures=features, binary=True).transform(rows)
+        weighed = IDF(inputCol="tf", outputCol="idf").fit(counted).transform(counted)
+        # A small constant keeps a vector whose words all share places with words of all texts from being zero.
+        whole = VectorAssembler(inputCols=["idf", "one"], outputCol="raw").transform(weighed.withColumn("one", F.lit(1e-6)))
+        vectors = Normalizer(inputCol="raw", outputCol="features").transform(whole).select("row", "features")
+        model = KMeans(k=k, seed=seed, maxIter=30, distanceMeasure="cosine").fit(vectors)
+        placed = said.select("row", "key").join(model.transform(vectors).select("row", F.col("prediction").alias("topic")), "row", "left")
+    placed = cut(placed, "placed")
+    sizes = placed.filter("topic >= 0").groupBy("topic").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
+    found = cut(placed.join(F.broadcast(sizes.select("topic", F.lit(True).alias("large"))), "topic", "left").select("row", "key", F.when(F.col("large"), F.col("topic")).otherwise(-1).alias("topic")), "topics")
+    classes = cut(each.join(found.filter("topic >= 0").select("row", "topic"), "row").groupBy("topic", "word").agg(F.sum("n").alias("n")), "classes")
+    by_word, by_topic = classes.groupBy("word").agg(F.sum("n").alias("all")), classes.groupBy("topic").agg(F.sum("n").alias("whole"))
+    mean = by_topic.agg(F.avg("whole").alias("mean"))
+    scored = classes.join(by_word, "word").join(F.broadcast(by_topic), "topic").join(F.broadcast(mean))
+    scored = scored.withColumn("weight", F.round(F.col("n") / F.col("whole") * F.log1p(F.col("mean") / F.col("all")), 12))
+    top = first_by(scored, ["topic"], [F.desc("weight"), F.col("word")], terms)
+    best = top.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("less"), "word"))), lambda t: t["word"]).alias("terms"))
+    return found.select(F.col("key").alias(key), "topic"), sizes.join(best, "topic", "left")

@@ -61,8 +61,8 @@ def upsert_counts(old: DataFrame, new: DataFrame, keys: Sequence[str], count: st
 
 
 def insert_new(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of new whose key old doesn't have, one for each key (nulls in keys are equal)."""
-    once = new.dropDuplicates(list(keys)).alias("n")
+    """Rows of new whose key old doesn't have, one for each key, the least by its other columns (nulls in keys are equal)."""
+    once = first_by(new, keys, [F.col(c) for c in new.columns if c not in keys] or [F.lit(1)]).alias("n")
     seen = old.select(*keys).distinct().alias("o")
     same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
     on = same[0]
@@ -113,7 +113,8 @@ def order_statistics(rows: DataFrame, group: str, value: str, ranks: Mapping[str
     """(group, n, a column for each rank): the values at the given ranks, from 0, of each group's sorted non-null doubles; ranks are functions of n.
 
     No group is sorted or gathered: each round counts `bins` equal bins of the range that is left for a rank and goes on with the one that holds it, until
-    its values are equal. A round is one aggregation by group and bin over the rows still in question. `group` must not be null.
+    its values are equal. A round is one aggregation by group and bin over the rows still in question; where there
+    are many groups, their ranges meet the rows by a shuffle. `group` must not be null.
     """
     data = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
     total = cut(data.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "totals")
@@ -126,7 +127,7 @@ def order_statistics(rows: DataFrame, group: str, value: str, ranks: Mapping[str
         seek = seek.filter("lo < hi")
         if seek.isEmpty():
             break
-        inside = data.join(F.broadcast(seek), "g").filter("v BETWEEN lo AND hi")
+        inside = data.join(seek, "g").filter("v BETWEEN lo AND hi")
         spot = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
         counts = inside.groupBy("g", "name", "rank", spot.alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         before = F.sum("c").over(Window.partitionBy("g", "name").orderBy("bin")) - F.col("c")

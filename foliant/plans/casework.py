@@ -14,8 +14,9 @@ from foliant.operators.casework import (
 from foliant.operators.chunks import redacted, still_there
 from foliant.operators.graphs import edited, entity_connections, plain_neighbours, temporal_edges
 from foliant.operators.mail import assign_threads, communication_pairs
+from foliant.operators.mentions import chunk_graph, names_found
 from foliant.operators.rows import first_by, insert_new, with_counts
-from foliant.registry import load, query
+from foliant.registry import load, load_spread, query
 
 #: People, companies and places with what joins them, from the order tables; names are those of the tables.
 NODES = """nodes AS (SELECT c_name AS name, 'person' AS type FROM customer UNION ALL SELECT s_name, 'organization' FROM supplier UNION ALL SELECT n_name, 'location' FROM nation UNION ALL SELECT r_name, 'region' FROM region)"""
@@ -130,6 +131,27 @@ def mention_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("name", "type", F.col("l_orderkey").alias("doc")).agg(F.min("l_linenumber").alias("page"), F.count("*").alias("mentions"))
 
 
+SAID = "n AS (SELECT DISTINCT lower(regexp_extract(text, '[A-Za-z]{6,}')) AS name FROM conversations WHERE regexp_extract(text, '[A-Za-z]{6,}') <> ''), m AS (SELECT doc_id, name FROM documents JOIN n ON contains(lower(text), name))"
+
+
+def spoken_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first long word of each message, as names that extraction found."""
+    name = F.regexp_extract("text", "[A-Za-z]{6,}", 0)
+    return load(spark, sf_dir, "conversations").filter(name != "").select(F.lower(name).alias("name")).distinct()
+
+
+@query("chunk_mentions", f"WITH {SAID} SELECT doc_id, name FROM m")
+def chunk_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXTRACTED_FROM edges: names to the texts that contain them."""
+    return names_found(load_spread(spark, sf_dir, "documents"), spoken_names(spark, sf_dir), "doc_id", "text", "name").drop("mentions")
+
+
+@query("chunk_pairs", f"WITH {SAID} SELECT a.name AS a, b.name AS b, count(*) AS weight FROM m AS a JOIN m AS b ON a.doc_id = b.doc_id AND a.name < b.name GROUP BY 1, 2")
+def chunk_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CO_OCCURS edges of the names that share texts."""
+    return chunk_graph(load_spread(spark, sf_dir, "documents"), spoken_names(spark, sf_dir), "doc_id", "text", "name")[1]
+
+
 @query("replaced_claims", "SELECT o_custkey, o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' UNION ALL SELECT o_custkey, o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01')")
 def replaced_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of a case replaced as a whole by later ones."""

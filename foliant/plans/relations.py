@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.names import block_keys, canonical, different_people, first_last, folded, fuzzy_pairs, garbage_category, garbage_name, normal_name, without_title
-from foliant.operators.components import connected_components
+from foliant.operators.components import connected_components, merged_components
 from foliant.operators.graphs import betweenness, co_occurrence, degree, merged_nodes, modularity_communities, neighbours, page_rank, paths_from, reporting_chain, two_tiers
 from foliant.operators.rows import thread_depth
 from foliant.plans.commerce import PAIRS, pairs
+from foliant.plans.lineage import cut
 from foliant.registry import load, query
 
 TREE = """t AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation
@@ -104,14 +105,30 @@ def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_tiers(found.select(F.col("community").alias("id"), F.col("node").alias("member")))
 
 
-@query("graph_components", """WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey || ' ' || p_brand AS b FROM lineitem JOIN part ON p_partkey = l_partkey), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-  w AS (SELECT a AS node, a AS seen FROM l UNION SELECT w.node, l.b FROM w JOIN l ON l.a = w.seen) SELECT node, min(seen) AS component FROM w GROUP BY 1""")
+BRANDS = """WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey || ' ' || p_brand AS b FROM lineitem JOIN part ON p_partkey = l_partkey), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  w AS (SELECT a AS node, a AS seen FROM l UNION SELECT w.node, l.b FROM w JOIN l ON l.a = w.seen) SELECT node, min(seen) AS component FROM w GROUP BY 1"""
+
+
+@query("graph_components", BRANDS)
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and their suppliers' brand desks (a supplier has one for each brand) as a graph, which falls apart at least by brands."""
+    return connected_components(desks(spark, sf_dir), "a", "b")
+
+
+@query("components_by_batch", BRANDS)
+def components_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same graph, its edges coming in three batches by their first shipment, each merged into the stars of those before."""
+    edges = cut(desks(spark, sf_dir), "desks")
+    stars = spark.createDataFrame([], "node string, component string")
+    for low, high in ((0, 1994), (1994, 1996), (1996, 9999)):
+        stars = cut(merged_components(stars, edges.filter(F.col("year").between(low, high - 1)), "a", "b"), "stars")
+    return stars
+
+
+def desks(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    lines = load(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct().join(part, "l_partkey")
-    edges = lines.select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey", F.lit(" "), "p_brand").alias("b"))
-    return connected_components(edges, "a", "b")
+    lines = load(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.coalesce(F.year(F.min("l_shipdate")), F.lit(0)).alias("year")).join(part, "l_partkey")
+    return lines.select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey", F.lit(" "), "p_brand").alias("b"), "year")
 
 
 @query("co_purchase", "SELECT a, b, count(*) AS weight FROM (SELECT DISTINCT l_orderkey, l_suppkey AS a FROM lineitem) x JOIN (SELECT DISTINCT l_orderkey, l_suppkey AS b FROM lineitem) y USING (l_orderkey) WHERE a < b GROUP BY 1, 2")
