@@ -9,6 +9,7 @@ from foliant.functions.names import STOPWORDS, garbage_name, normal_name
 from foliant.functions.text import addresses, document_date
 from foliant.operators.casework import best_above
 from foliant.operators.chunks import chunk
+from foliant.operators.datasets import annotated, annotation_page, granted, tag_counts, tagged, with_edges
 from foliant.operators.filters import in_dates, page, select_documents, token_valid, within
 from foliant.operators.near_dup import version_groups
 from foliant.operators.rows import insert_new, overlay, upsert_counts
@@ -199,3 +200,56 @@ def audit_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = select_documents(events, types=["click", "error"], name_like="K", least=("value", 1), type_col="event_type", name_col="props")
     found = found.filter((F.col("user_id") >= 5) & in_dates(F.col("ts").cast("timestamp"), "2024-01-03", "2024-01-31"))
     return page(found, [F.desc("ts"), F.col("event_id")], 10, 50).select("event_id")
+
+
+@query("dataset_tags", """WITH old AS (SELECT DISTINCT l_partkey AS doc, l_shipmode AS tag FROM (SELECT l_partkey, CASE WHEN l_quantity > 25 THEN 'large' ELSE 'small' END AS l_shipmode FROM lineitem)),
+  stay AS (SELECT doc, tag FROM old WHERE NOT (tag = 'small' AND doc % 3 = 0)), added AS (SELECT DISTINCT l_partkey AS doc, CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE 'large' END AS tag FROM lineitem),
+  t AS (SELECT doc, tag FROM stay UNION SELECT doc, tag FROM added) SELECT tag, count(DISTINCT doc) AS documents FROM t JOIN part ON p_partkey = doc GROUP BY tag""")
+def dataset_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of parts after some were removed and others added, counted over all parts."""
+    lines = load(spark, sf_dir, "lineitem")
+    old = lines.select(F.col("l_partkey").alias("doc"), F.when(F.col("l_quantity") > 25, "large").otherwise("small").alias("tag")).distinct()
+    added = lines.select(F.col("l_partkey").alias("doc"), F.when(F.col("l_returnflag") == "R", " returned ").otherwise("large").alias("tag"))
+    now = tagged(old, added, old.filter("tag = 'small' AND doc % 3 = 0"))
+    return tag_counts(now, load(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc")))
+
+
+@query("dataset_grants", """WITH g AS (SELECT o_custkey AS dataset, o_orderkey % 7 AS u, o_orderpriority AS role, o_orderdate AS moment FROM orders),
+  r AS (SELECT DISTINCT o_custkey AS dataset, o_orderkey % 7 AS u FROM orders WHERE o_orderstatus = 'P')
+  SELECT dataset, u AS user, role FROM (SELECT *, row_number() OVER (PARTITION BY dataset, u ORDER BY moment DESC, role) AS k FROM g) AS x WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM r WHERE r.dataset = x.dataset AND r.u = x.u)""")
+def dataset_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grants of customers' datasets: early ones, later ones over them, and those revoked."""
+    orders = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("dataset"), (F.col("o_orderkey") % 7).alias("user"), F.col("o_orderpriority").alias("role"), F.col("o_orderdate").alias("at"), "o_orderstatus")
+    early = F.col("at") < F.lit("1996-01-01").cast("timestamp_ntz")
+    return granted(orders.filter(early), orders.filter(~early), orders.filter("o_orderstatus = 'P'")).select("dataset", "user", "role")
+
+
+@query("annotations", """WITH n AS (SELECT event_id AS id, user_id AS u, event_type AS content FROM events WHERE event_id % 3 > 0),
+  c AS (SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN -1 ELSE user_id END AS u, 'edited' AS content, event_id % 7 = 0 AS gone FROM events WHERE event_id % 2 = 0)
+  SELECT n.id, n.u AS user, CASE WHEN c.u = n.u THEN c.content ELSE n.content END AS content FROM n LEFT JOIN c ON c.id = n.id WHERE NOT coalesce(c.u = n.u AND c.gone, false)
+  UNION ALL SELECT c.id, c.u, c.content FROM c WHERE NOT gone AND c.id NOT IN (SELECT id FROM n)""")
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes after edits, deletions and new ones; another user's notes stay as they are."""
+    e = load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("user"), F.col("event_type").alias("content"), F.col("ts").alias("at"))
+    by = F.when(F.col("id") % 5 == 0, F.lit(-1)).otherwise(F.col("user"))
+    changes = e.filter("id % 2 = 0").select("id", by.cast("long").alias("user"), F.lit("edited").alias("content"), (F.col("at") + F.expr("INTERVAL 1 DAY")).alias("at"), (F.col("id") % 7 == 0).alias("gone"))
+    return annotated(e.filter("id % 3 > 0"), changes).select("id", "user", "content")
+
+
+@query("annotation_page", "SELECT event_id AS id, ts AS noted FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 20 OFFSET 40")
+def third_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of one kind's notes, newest first: the limit is the page."""
+    e = load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("user"), F.col("event_type").alias("kind"), F.col("ts").alias("at"))
+    return annotation_page(e, {"kind": "click", "user": None}, "at", "id", 40, 20).select("id", F.col("at").alias("noted"))
+
+
+@query("edited_edges", """WITH e AS (SELECT DISTINCT o_custkey AS src, l_suppkey AS dst, 'BUYS' AS relation FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+  c AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst, 'SELLS' AS relation FROM lineitem UNION SELECT o_custkey, o_orderkey, 'BUYS' FROM orders), n AS (SELECT s_suppkey AS name FROM supplier UNION SELECT c_custkey FROM customer)
+  SELECT src, dst, relation FROM e WHERE src % 4 > 0 UNION SELECT src, dst, relation FROM c WHERE src IN (SELECT name FROM n) AND dst IN (SELECT name FROM n)""")
+def edited_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges created between nodes that exist and deleted from others."""
+    orders, lines = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
+    edges = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("BUYS").alias("relation")).distinct()
+    created = lines.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("SELLS").alias("relation")).union(orders.select("o_custkey", "o_orderkey", F.lit("BUYS")))
+    nodes = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name")).union(load(spark, sf_dir, "customer").select("c_custkey"))
+    return with_edges(edges, nodes, created, edges.filter("src % 4 = 0"))

@@ -8,7 +8,7 @@ import email.policy
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.functions.text import clean_control, content_hash, strip_tags
+from foliant.operators.rows import first_by
 
 # Parsers by file extension.
 ROUTES = {
@@ -118,19 +119,31 @@ def read_edrm(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("_DocID IS NOT NULL").select(F.col("_DocID").alias("doc_id"), F.map_from_entries(last).alias("fields"))
 
 
-def read_ocr_corpus(df: DataFrame, least: int = 50) -> DataFrame:
-    """An OCR corpus (filename, text): image rows and short texts go; numbers of the file name's form PREFIX-digits become metadata."""
+def read_ocr_corpus(df: DataFrame, least: int = 50, releases: Mapping[str, str] | None = None) -> DataFrame:
+    """An OCR corpus (filename, text): image rows and short texts go; numbers of the file name's form PREFIX-digits become metadata.
+
+    releases: what release a prefix stands for; a prefix that isn't there names its own. A null file name is read as empty.
+    """
     missing = {"filename", "text"} - set(df.columns)
     if missing:
         raise ValueError(f"columns {sorted(missing)} are missing")
+    df = df.withColumn("filename", F.coalesce(F.col("filename").cast("string"), F.lit("")))
     rows = df.filter(~F.col("filename").startswith("IMAGES/")).withColumn("clean", clean_control(F.coalesce("text", F.lit("")))).filter(F.length("clean") >= least)
     leaf = F.when(F.col("filename").contains("/"), F.regexp_replace("filename", "^[^/]*/", "")).otherwise(F.col("filename"))
     prefix, number = F.regexp_extract(leaf, r"^([A-Z_]+?)[-_]?(\d+)", 1), F.regexp_extract(leaf, r"^([A-Z_]+?)[-_]?(\d+)", 2)
+    release = prefix
+    for known, name in (releases or {}).items():
+        release = F.when(prefix == known, F.lit(name)).otherwise(release)
     plain = F.create_map(F.lit("original_path"), F.col("filename"))
-    bates = F.create_map(F.lit("original_path"), F.col("filename"), F.lit("bates_prefix"), prefix, F.lit("bates_number"), number)
+    bates = F.create_map(F.lit("original_path"), F.col("filename"), F.lit("bates_prefix"), prefix, F.lit("bates_number"), number, F.lit("release_source"), release)
     return as_documents(rows, F.col("filename"), leaf, F.col("clean"), "ocr_corpus", F.lit("document"), F.when(prefix == "", plain).otherwise(bates))
 
 
+def read_ocr_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The OCR corpus as CSV files with a header; texts in quotes may run over lines, quotes in them are doubled."""
+    return read_ocr_corpus(spark.read.option("header", "true").option("multiLine", "true").option("quote", '"').option("escape", '"').csv(path))
+
+
 MESSAGES = "array<struct<sender:string,recipients:array<string>,timestamp:string,subject:string,body:string>>"
 
 
@@ -295,7 +308,7 @@ def resume(docs: DataFrame, done: DataFrame, scope: list[str]) -> DataFrame:
     """Documents with text whose (scope, content_hash) isn't done yet, each content once in a scope."""
     keys = [*scope, "content_hash"]
     new = docs.filter(F.trim(F.coalesce("text", F.lit(""))) != "").join(done.select(*keys).distinct(), keys, "left_anti")
-    return new.dropDuplicates(keys)
+    return first_by(new, keys, [F.col(c) for c in ("doc_id", "filename", "source", "doc_type", "text") if c in new.columns] or [F.lit(1)])
 
 
 ADAPTERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -304,12 +317,42 @@ ADAPTERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "edrm_xml": read_edrm,
     "eml": read_eml,
     "opticon": read_opticon,
+    "ocr_csv": read_ocr_csv,
     "ocr_parquet": lambda spark, path: read_ocr_corpus(spark.read.parquet(path)),
     "email_parquet": lambda spark, path: read_email_corpus(spark.read.parquet(path)),
 }
 
 
 def import_documents(spark: SparkSession, adapter: str, path: str) -> DataFrame:
+    """What an adapter reads, in its own columns."""
     if adapter not in ADAPTERS:
         raise ValueError(f"no adapter {adapter!r}; there are {sorted(ADAPTERS)}")
     return ADAPTERS[adapter](spark, path)
+
+
+# Fields of load files that hold a text or a file's name.
+TEXT_FIELDS = ["EXTRACTED_TEXT", "ExtractedText", "TEXT", "Text", "text"]
+NAME_FIELDS = ["FILENAME", "FileName", "Filename", "filename"]
+
+
+def common_documents(spark: SparkSession, adapter: str, path: str) -> DataFrame:
+    """import_documents() of any adapter as DOCUMENT rows: doc_id, filename, text, content_hash, source, doc_type, metadata.
+
+    Load files give the fields that hold a text and a file's name, and all others as metadata; mail gives subjects as names and headers as metadata;
+    Opticon rows have no text. Other columns go into metadata as strings, nulls left out.
+    """
+    df = import_documents(spark, adapter, path)
+    if set(DOCUMENT.names) <= set(df.columns):
+        return df.select(*DOCUMENT.names)
+    columns = set(df.columns)
+    of_fields = lambda names: F.coalesce(*(F.try_element_at("fields", F.lit(n)) for n in names))
+    key = next(c for c in ("doc_id", "page_id", "path") if c in columns)
+    if "fields" in columns:
+        return as_documents(df, F.col(key), F.coalesce(of_fields(NAME_FIELDS), F.col(key)), of_fields(TEXT_FIELDS), adapter, F.lit("document"), F.col("fields"))
+    text = next((F.col(c) for c in ("text", "body") if c in columns), F.lit(None).cast("string"))
+    name = F.col("subject") if "subject" in columns else F.element_at(F.split(F.col("path"), r"[/\\]"), -1) if "path" in columns else F.col(key)
+    rest = [c for c in df.columns if c not in (key, "text", "body", "content_hash")]
+    as_string = lambda c: F.to_json(c) if isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(c).cast("string")
+    entries = F.array(*(F.struct(F.lit(c).alias("key"), as_string(c).alias("value")) for c in rest))
+    metadata = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    return as_documents(df, F.col(key), name, text, adapter, F.lit("email" if "subject" in columns else "document"), metadata)
