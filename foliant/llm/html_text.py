@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 from math import e as E
 from math import log
@@ -35,11 +35,18 @@ CLOSES = {
 # words of the second kind go with either.
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
-    "disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion reactions "
+    "disqus feedback footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion reactions "
     "related recommended replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-NEUTRAL = frozenset("area bar block bottom box button buttons col container footer-links form global group header holder icons inner item items left level links list main menu module outer page panel right row section site slot text thread title top unit wrap wrapper".split())
+NEUTRAL = frozenset("area bar block bottom box button buttons col container footer-links form global group header holder icons inner item items left level links list main menu module outer page panel reader readers right row section site slot text thread title top unit user users wrap wrapper".split())
 OWN = frozenset("article articles blog body content entry post posts story".split())
+#: Of these, words that mark an article element: readers' comments are articles within the article.
+REMARKS = frozenset("comment comments disqus feedback reactions replies reply respond".split())
+#: Names that a paragraph or box of the article may bear as well: within an article element they mark nothing.
+EDITORIAL = frozenset("alert notice notices".split())
+IN_ARTICLE = HINTS - EDITORIAL
+#: A line of a page's foot that no element marks as such.
+RIGHTS = re.compile(r"^\s*©|\ball rights reserved\b", re.I)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|textarea|title|template|noscript|iframe|svg|select|button)\b[^>]*>.*?(?:</\1\s*>|$)"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|$)|<[a-zA-Z][^>]*$",
@@ -50,7 +57,7 @@ GONE = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|sty
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-def hinted(attributes: str) -> bool:
+def hinted(attributes: str, hints: frozenset[str]) -> bool:
     """Is the element named as something other than the article? Each token of class, id and role is looked at whole: all its words must be known."""
     marked = own = False
     for m in NAMES.finditer(attributes):
@@ -58,26 +65,56 @@ def hinted(attributes: str) -> bool:
             parts = [w.lower() for w in PART.findall(token) if not w.isdigit()]
             if parts and all(w in OWN or w in NEUTRAL for w in parts) and any(w in OWN for w in parts):
                 own = True
-            elif any(w in HINTS for w in parts) and all(w in HINTS or w in NEUTRAL or w in OWN for w in parts):
+            elif any(w in hints for w in parts) and all(w in HINTS or w in NEUTRAL or w in OWN for w in parts):
                 marked = True
     return marked and not own
 
 
 class Node:
-    __slots__ = ("tag", "hints", "gone", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "hints", "gone", "inside", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None) -> None:
         self.tag, self.parent, self.items = tag, parent, []
         self.hints = self.gone = False
-        if attributes and len(attributes) > 3:
+        #: The outermost article element around the node, itself included.
+        self.inside = parent.inside if parent is not None and parent.inside else self if tag == "article" else None
+        if attributes and len(attributes) > 3 and tag not in ("html", "body", "main"):
             self.gone = bool(GONE.search(attributes))
-            self.hints = tag not in ("html", "body", "main", "article") and hinted(attributes)
+            self.hints = hinted(attributes, REMARKS if tag == "article" else IN_ARTICLE if self.inside else HINTS)
+
+
+class Open:
+    """The open elements, and for each tag where on the stack it is, so that the nearest one is found without a walk."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack = [root]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def nearest(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these tags, 0 if there is none."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=0)
+
+    def close(self, place: int) -> None:
+        """Ends the element at a place and all within it."""
+        while len(self.stack) > place:
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
 
 
 def parse(html: str) -> Node:
     """A tree of elements and texts, with the end tags that HTML lets authors leave out."""
     root = Node("html", "", None)
-    stack, at = [root], 0
+    open_, at = Open(root), 0
+    stack = open_.stack
     for m in TOKEN.finditer(html):
         if m.start() > at:
             stack[-1].items.append(html[at : m.start()])
@@ -87,29 +124,24 @@ def parse(html: str) -> Node:
             continue
         tag = name.lower()
         if m[2] or m[5]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("td", "th", "table", "article", "body") and tag not in BLOCK:
-                    break
+            k = open_.nearest((tag,))
+            if k and (tag in BLOCK or k >= open_.nearest(("td", "th", "table", "article", "body"))):
+                open_.close(k)
             continue
-        if tag in ("html", "body") and any(x.tag == tag for x in stack[1:]):
+        if tag in ("html", "body") and open_.nearest((tag,)):
             continue
         if ends := CLOSES.get(tag):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends[0]:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ends[1] or stack[k].tag in BLOCK and ends[0] == ("p",):
-                    break
+            k = open_.nearest(ends[0])
+            barrier = open_.blocks[-1] if ends[0] == ("p",) and open_.blocks else 0
+            if k and k >= max(barrier, open_.nearest(ends[1])):
+                open_.close(k)
         if tag in HIDDEN and tag not in ("head", "object", "audio", "video", "canvas", "math", "datalist"):
             continue
         attributes = m[4] if m[3] else m[7]
         node = Node(tag, attributes, stack[-1])
         stack[-1].items.append(node)
         if tag not in VOID and not attributes.endswith("/") or tag in BLOCK and tag not in VOID:
-            stack.append(node)
+            open_.push(node)
     if at < len(html):
         stack[-1].items.append(html[at:])
     return root
@@ -223,15 +255,32 @@ def set_apart(nodes: list[Node], body: Node) -> set[int]:
     return apart
 
 
+def others(nodes: list[Node], region: Node, apart: set[int]) -> list[Node]:
+    """The page's outermost articles in their order: region, and those that are no teaser of another page."""
+    linked = {id(n.inside) for n in nodes if n.tag in HEADINGS and n.chars and n.link_chars * 2 >= n.chars and n.inside}
+    outermost = (n for n in nodes if n.tag == "article" and not n.parent.inside)
+    return [n for n in outermost if n is region or id(n) not in apart and id(n) not in linked and n.link_chars * 4 < n.chars]
+
+
+def stays(n: Node, threshold: float, loose: bool) -> bool:
+    """Does a node beside the core's path belong to the article? loose: nothing but the body is around it."""
+    if n.tag in HEADINGS or n.density >= threshold and n.link_chars * 2 < n.chars:
+        return True
+    if n.link_chars or not loose:
+        return not n.link_chars
+    return any(x.tag in LEAVES for x in in_order(n)) and not any(RIGHTS.search(line) for line in blocks([n], set()))
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the article joined by a blank line; empty for null, for pages without text, and where all is boilerplate.
 
     Every node of the body gets a composite text density and the sum of its children's. The node of the largest sum is the core, or the element that
     holds the blocks around it; nodes named as something else (HINTS) come into question only if no other has text. The least density
     on the core's path to the body is the threshold. The core is taken whole. Of what lies beside its path stay, up to the article element
-    around it or else the body, headings, nodes that reach the threshold with less than half of their text in links and, within an article element,
-    nodes without links, however short. From all that is taken go frames under the threshold with half of their text in links or more, and nodes
-    named as something else.
+    around it, else the main element, else the body: headings, nodes that reach the threshold with less than half of their text in links, and nodes
+    without links, however short (right under a body only those that hold an element of text, such as a paragraph, and no line of rights). Other
+    articles of the page stay whole, but for those that lead to another page: with a heading for a link, or a quarter of the text in links. From all
+    that is taken go frames under the threshold with half of their text in links or more, and nodes named as something else.
     """
     if not html:
         return ""
@@ -254,19 +303,20 @@ def main_text(html: str | None) -> str:
     threshold = min(n.density for n in path)
     on_path = {id(n) for n in path}
     apart |= {id(n) for n in nodes if n.tag in BLOCK and n.tag not in LEAVES and id(n) not in on_path and n.density < threshold and 0 < n.chars <= n.link_chars * 2}
-    region = enclosing(core, "article") or body
+    region = core.inside or enclosing(core, "main") or body
     roots: list = []
-    todo: list = [region]
-    while todo:
-        n = todo.pop()
-        if type(n) is str:
-            roots.append(n)
-        elif n is core:
-            roots.append(n)
-        elif id(n) in on_path:
-            todo += [None, *reversed(n.items), None]
-        elif n is None or id(n) not in apart and (n.tag in HEADINGS or n.density >= threshold and n.link_chars * 2 < n.chars or region is not body and not n.link_chars):
-            roots.append(n)
+    for part in others(nodes, region, apart) if region.tag == "article" else [region]:
+        # None ends a block, so that roots of different elements are not read as one.
+        roots.append(None)
+        todo: list = [part]
+        while todo:
+            n = todo.pop()
+            if n is None or type(n) is str or n is core or part is not region:
+                roots.append(n)
+            elif id(n) in on_path:
+                todo += [None, *reversed(n.items), None]
+            elif id(n) not in apart and stays(n, threshold, region is body):
+                roots.append(n)
     return "\n\n".join(blocks(roots, apart))
 
 

@@ -35,6 +35,13 @@ PAGES = {
     "all bold": (page(f"<article><p><b>{LONG}</b><br>{MORE}</p><p>End.</p></article>"), [f"{LONG} {MORE}", "End."]),
     "all is a menu": (page(f"<nav>{MENU}</nav>"), []),
     "bare text": (f"{LONG}\n<br>\n  {MORE}", [f"{LONG} {MORE}"]),
+    "short blocks beside the core": (page(f"<div>{MENU}</div><div><p>A short word before.</p></div><div><p>{LONG}</p><p>{MORE}</p><p>{LONG}</p></div><div><p>And one after.</p></div><div><p>&copy; 2020 us</p></div>"), ["A short word before.", LONG, MORE, LONG, "And one after."]),
+    "editorial names in the article": (page(f'<article><p class="alert">Go now.</p><p>{LONG}</p><div class="notice"><p>Mind the step.</p></div></article>', '<div class="notice"><p>We moved.</p></div>'), ["Go now.", LONG, "Mind the step."]),
+    "comments by name of the article": (page(f'<article><p>{LONG}</p><article class="comment"><p>{MORE} I agree.</p></article><div class="user-feedback"><p>{MORE} Me too.</p></div><div class="feedback"><p>No.</p></div></article>'), [LONG]),
+    "two articles": (page(f"<article><h2>One</h2><p>{LONG}</p><p>{MORE}</p></article><p>between</p><article><h2>Two</h2><p>{MORE}</p></article>"), ["One", LONG, MORE, "Two", MORE]),
+    "two articles, the shorter first": (page(f"<article><p>Short.</p></article><article><p>{LONG}</p><p>{MORE}</p></article><article><h3><a href='/c'>Third</a></h3><p>What it is about</p></article>"), ["Short.", LONG, MORE]),
+    "beside main": (page(f"<div><p>Our slogan</p></div><main><div><p>Intro.</p></div><div><p>{LONG}</p><p>{MORE}</p></div></main>"), ["Intro.", LONG, MORE]),
+    "an end tag of an outer cell": (page(f"<article><i><table><tr><td>one</i> two</td></tr></table></i><p>{LONG}</p></article>"), ["one two", LONG]),
     "references": ("<p>a &lt;b&gt; &amp;amp; &eacute;&#8212;&nbsp;z</p>", ["a <b> &amp; é— z"]),
 }
 
@@ -57,6 +64,16 @@ def test_long_and_broken():
     assert main_text("<div><p>" * 3000 + LONG) == LONG
 
 
+def test_hostile_markup():
+    """Pages on which a walk over the open elements for each tag would take minutes."""
+    import time
+
+    n, start = 40_000, time.process_time()
+    for html in ("<div>" * n + "</i>" * n, "<i><table>" + "<div>" * n + "</i>" * n, "<b>" * n + "x" + "<p>" * n, "<li><b>" * n, "<article class=a><h2><a>x" * n):
+        main_text(html)
+    assert time.process_time() - start < 30
+
+
 def test_clashing_columns(spark):
     rows = [(1, None, PAGES["article element"][0], "x", 5), (2, "u", None, "y", 6), (3, "u", "", None, None)]
     out = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")).orderBy("page_id").collect()
