@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -20,8 +21,6 @@ PLAN = pa.schema(
         ("routed", pa.list_(pa.struct([("source", pa.string()), ("words", pa.int64())]))),
     ]
 )
-#: Rounds that fill what is left of a target with ever smaller documents.
-ROUNDS = 3
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], total: float, most: float) -> list[float]:
@@ -130,13 +129,16 @@ def plan_mix(rows: DataFrame, weights: dict | None, budget: int | None, repeats:
     # An Arrow table becomes a DataFrame without a Python worker on the executors.
     cuts = rows.sparkSession.createDataFrame(pa.Table.from_pylist(plan, PLAN))
     taken, rest = F.lit(False), cuts.filter("rest > 0").select("_sources", "rest")
-    for k in range(ROUNDS):
-        # What a round leaves over is less than the next document; the next round fills it with smaller ones.
+    for k in itertools.count():
+        # What a round leaves over is less than the next document; the next round fills it with smaller ones, until none fits anywhere.
         rest = cut(refine(rows.join(F.broadcast(cuts), "_sources").filter(~taken).select("_sources", "_bin", "_sub", "_size"), rest), "rest")
+        rest = rest.filter("left < most")
+        if rest.isEmpty():
+            break
         cuts = cuts.join(F.broadcast(rest.select("_sources", *(F.col(c).alias(f"{c}{k}") for c in ("most", "end", "sub_end")))), "_sources", "left")
         here = (F.col("_bin") < F.col(f"end{k}")) | ((F.col("_bin") == F.col(f"end{k}")) & (F.col("_sub") <= F.col(f"sub_end{k}")))
         taken = taken | F.coalesce((F.col("_size") <= F.col(f"most{k}")) & here, F.lit(False))
-        rest = rest.select("_sources", F.col("left").alias("rest"))
+        rest = rest.filter("left > 0").select("_sources", F.col("left").alias("rest"))
     return cut(cuts, "plan"), F.col("whole") + taken.cast("int")
 
 
@@ -151,7 +153,8 @@ def mix(docs: DataFrame, sources: Column, size: Column, id_col: str = "doc_id",
     and solves a min-cost flow of words from patterns to sources, in which another repetition costs more than the one before.
     A pattern's flow is whole passes over all its documents plus a part of one more; the documents of that part are those whose
     seeded hash lies below a threshold, found by histograms of BINS bins, so no pattern's rows are sorted or gathered in one task;
-    ROUNDS - 1 further rounds fill what is left with smaller documents. The sum never exceeds the flow.
+    further rounds fill what is left with smaller documents, each at least leaves out another size, until what is left is under the smallest
+    document of the pattern that isn't in the part. The sum never exceeds the flow.
 
     Returns a row for each input row: id_col, sources, size, times (int), taken = times * size (long), `targets` (source, source_size and target
     of each of its sources) and `routed` (words of the row's pattern that go to each source). Rows that repeat an id are all taken alike.

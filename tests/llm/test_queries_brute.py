@@ -46,6 +46,11 @@ def test_op2_targets(spark, docs):
     largest = {s: max(len(words(r.text)) for r in docs if r.source == s) for s in names}
     for s in names:
         assert -largest[s] <= got[s] - min(3 * size[s], weight[s] * high) <= 1
+        # No document that is taken once less than others would still fit.
+        mine = [r for r in out if text[r.doc_id].source == s and r["size"]]
+        least = min(r.taken // r["size"] for r in mine)
+        left = min(3 * size[s], weight[s] * high) - got[s]
+        assert left < 1 or all(r["size"] > left - 1 for r in mine if r.taken // r["size"] == least)
 
 
 def test_op4_counts(spark, docs):
