@@ -73,30 +73,98 @@ def dense_top_k(points: DataFrame, queries: DataFrame, k: int, allowed: Column |
     return against_all(queries, query_key, work, most)
 
 
-def similar_pairs(points: DataFrame, kind: str, threshold: float, key: str = "id", vector: str = "vector", block: int = 4096) -> DataFrame:
+#: Rows that pivots are chosen from. The choice changes how much is compared, never what is found.
+PIVOT_ROWS = 2_000
+#: What rounding may add to an angle.
+SLACK = 1e-6
+
+
+def units(m: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+
+def choose_pivots(rows: DataFrame, n: int, steps: int = 5) -> np.ndarray:
+    """At most n unit vectors: from the PIVOT_ROWS rows of least hash those that lie farthest from each other, moved to the middle of what is nearest to them."""
+    m = units(np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").select("v").limit(PIVOT_ROWS).collect()], float))
+    picked, nearest = [0], m @ m[0]
+    while len(picked) < min(n, len(m)) and nearest.min() < 1 - SLACK:
+        picked.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, m @ m[picked[-1]])
+    pivots = m[picked]
+    for _ in range(steps):
+        own = (m @ pivots.T).argmax(axis=1)
+        sums = np.zeros_like(pivots)
+        np.add.at(sums, own, m)
+        pivots = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, units(sums), pivots)
+    return pivots
+
+
+def meetings(rows: DataFrame, threshold: float, block: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (kind, id, v) in blocks, as (kind, own, id, v, angles), and the pairs of blocks (kind, low, high) that may hold a pair of the threshold.
+
+    A kind of over `block` vectors is dealt by nearest pivot, and a pivot's vectors by hash. An angle to a pivot differs between two vectors by no more
+    than the angle between them; so blocks, of which the least and largest angles to each pivot are known, meet only if for no pivot the ranges lie further
+    apart than the threshold's angle. low_range and high_range are the ranges of the two blocks: for each pivot the least and the largest angle.
+    """
+    sizes = rows.groupBy("kind").agg(F.count("*").alias("n"))
+    reach = float(np.arccos(min(threshold, 1.0))) + SLACK if threshold > 0 else float("inf")
+    at = choose_pivots(rows, pivots) if reach < np.pi and not sizes.filter(F.col("n") > block).isEmpty() else np.zeros((0, 0))
+
+    @F.pandas_udf("array<double>")
+    def angles(v: pd.Series) -> pd.Series:
+        if not len(at) or not len(v):
+            return pd.Series([[]] * len(v))
+        return pd.Series(list(np.arccos(np.clip(units(np.array(v.tolist(), float)) @ at.T, -1, 1))))
+
+    if not len(at):
+        dealt = rows.withColumns({"angles": F.array().cast("array<double>"), "cell": F.lit(0)}).join(sizes, "kind")
+    else:
+        near = F.array_position("angles", F.array_min("angles")).cast("int")
+        dealt = cut(rows.withColumn("angles", angles("v")), "angles").join(sizes, "kind").withColumn("cell", F.when(F.col("n") > block, near).otherwise(0))
+    cells = dealt.groupBy("kind", "cell").agg(F.ceil(F.count("*") / block).alias("parts"))
+    own = F.shiftleft(F.col("cell").cast("long"), 40) + F.pmod(F.xxhash64("id"), F.col("parts"))
+    dealt = dealt.join(cells, ["kind", "cell"]).select("kind", own.alias("own"), "id", "v", "angles")
+    if len(at):
+        dealt = cut(dealt, "blocks")
+    seen = F.array(*(F.array(F.min(F.col("angles")[k]), F.max(F.col("angles")[k])) for k in range(len(at)))).cast("array<array<double>>")
+    boxes = dealt.groupBy("kind", "own").agg(F.count("*").alias("n"), seen.alias("range"))
+    if len(at):
+        boxes = cut(boxes, "ranges")
+    low, high = (boxes.select("kind", F.col("own").alias(c), F.col("range").alias(f"{c}_range")) for c in ("low", "high"))
+    apart = F.lit(False)
+    for k in range(len(at)):
+        a, b = F.col("low_range")[k], F.col("high_range")[k]
+        apart = apart | (a[0] - b[1] > reach) | (b[0] - a[1] > reach)
+    return dealt, low.join(high, "kind").filter((F.col("low") <= F.col("high")) & ~apart)
+
+
+def similar_pairs(points: DataFrame, kind: str, threshold: float, key: str = "id", vector: str = "vector", block: int = 4096, pivots: int = 32) -> DataFrame:
     """(a, b, score), a < b: pairs of one kind whose cosine reaches the threshold; exact.
 
-    Vectors of a kind are dealt into blocks of about `block`; a task compares two blocks at a time by matrix products and only pairs that reach the threshold leave it.
-    A kind of n vectors is read n / block times and takes n * n products, which no exact join of dense vectors avoids. Null vectors and kinds have no pairs.
+    Vectors of a kind are dealt into blocks of about `block` around `pivots`; a task compares two blocks by matrix products and only pairs that reach the
+    threshold leave it. Blocks that are too far apart for the threshold never meet (meetings()), and of those that meet, vectors that are too far from all of
+    the other block stay behind. Where vectors lie in groups, a vector is compared with what is around it; vectors that are alike in no way (random ones) are
+    compared with all of their kind, as any exact join would. Null vectors and kinds have no pairs, vectors of zeros those of a threshold of 0 or less.
     """
     rows = points.select(F.col(kind).alias("kind"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("kind IS NOT NULL AND v IS NOT NULL")
-    blocks = rows.groupBy("kind").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("blocks"))
-    dealt = rows.join(blocks, "kind").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # A block meets itself and every other one: the pair of blocks is named by the lower number first.
-    met = dealt.select("kind", "id", "v", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("kind", "id", "v", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    if threshold > 0:
+        rows = rows.filter(F.exists("v", lambda x: x != 0))
+    dealt, pairs = meetings(rows, threshold, block, pivots)
+    reach = float(np.arccos(min(max(threshold, -1.0), 1.0))) + SLACK
+    first = pairs.select("kind", "low", "high", F.col("low").alias("own"), F.col("high_range").alias("range"))
+    second = pairs.filter("low < high").select("kind", "low", "high", F.col("high").alias("own"), F.col("low_range").alias("range"))
+    # An empty list of angles (no pivots) is near everything.
+    near = F.forall(F.arrays_zip("angles", "range"), lambda x: (x["angles"] >= x["range"][0] - reach) & (x["angles"] <= x["range"][1] + reach))
+    met = dealt.join(first.unionByName(second), ["kind", "own"]).filter(near).select("kind", "id", "v", "own", "low", "high")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         low = pdf["own"] == pdf["low"]
         sides = [pdf[low], pdf[low if pdf["low"].iloc[0] == pdf["high"].iloc[0] else ~low]]
-        unit = []
-        for side in sides:
-            m = np.array(side["v"].tolist(), float).reshape(len(side), -1)
-            size = np.linalg.norm(m, axis=1, keepdims=True)
-            unit.append(np.divide(m, size, out=np.zeros_like(m), where=size > 0))
         if not len(sides[0]) or not len(sides[1]):
             return pd.DataFrame({"a": pdf["id"].iloc[:0], "b": pdf["id"].iloc[:0], "score": np.zeros(0)})
-        score = unit[0] @ unit[1].T
+        left, right = (units(np.array(side["v"].tolist(), float)) for side in sides)
+        score = left @ right.T
         i, j = np.nonzero(score >= threshold)
         x, y = sides[0]["id"].to_numpy()[i], sides[1]["id"].to_numpy()[j]
         keep = x != y if sides[0] is not sides[1] and pdf["low"].iloc[0] != pdf["high"].iloc[0] else x < y

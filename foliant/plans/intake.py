@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from foliant.operators.chunks import chunk
 from foliant.operators.mail import assign_threads
+from foliant.operators.rows import first_by
 from foliant.registry import load, load_spread, query
 from foliant.streaming.jobs import hourly, once, run_all, session_counts, sliding_counts, stream
+from foliant.streaming.stateful import health, rocksdb, sightings
 
 
 @query("document_chunks")
@@ -64,3 +66,26 @@ def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     out = run_all(sliding_counts(stream(spark, path, spark.read.parquet(path).schema), "event_type"), "sliding")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("stream_sightings", "SELECT user_id, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen FROM events WHERE ts IS NOT NULL GROUP BY 1")
+def stream_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often, when first and when last each user was seen, kept as state over the events table read as a stream; the last row of each holds."""
+    path = f"{sf_dir}/events.parquet"
+    with rocksdb(spark):
+        out = run_all(sightings(stream(spark, path, spark.read.parquet(path).schema), "user_id"), "sightings")
+    last = out.groupBy("user_id").agg(F.max_by(F.struct("n", "first_seen", "last_seen"), "n").alias("x"))
+    return last.select("user_id", "x.n", *(F.col(f"x.{c}").cast("timestamp_ntz").alias(c) for c in ("first_seen", "last_seen")))
+
+
+#: An event is a check of the service that its type names; users stand in for outcomes and latencies. Hours stay while their end is less than a week behind the watermark.
+@query("stream_health", """SELECT event_type AS service, count(*) AS n, count(*) FILTER (user_id % 10 <> 0) AS n_ok, sum(user_id % 1000)::BIGINT AS latency_ms, count(DISTINCT date_trunc('hour', ts))::INT AS hours
+FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR > (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE - INTERVAL 7 DAY GROUP BY 1""")
+def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last week of checks of each service, kept as state with timers over the events table read as a stream."""
+    path = f"{sf_dir}/events.parquet"
+    checks = stream(spark, path, spark.read.parquet(path).schema).select(F.col("event_type").alias("service"), F.col("ts").alias("checked_at"), (F.col("user_id") % 10 != 0).alias("ok"), (F.col("user_id") % 1000).cast("long").alias("latency_ms"))
+    with rocksdb(spark):
+        out = run_all(health(checks, days=7), "health")
+    last = first_by(out, ["service"], [F.col("as_of").desc(), F.col("n").desc()])
+    return last.filter("n > 0").select("service", "n", "n_ok", "latency_ms", "hours")

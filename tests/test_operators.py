@@ -5,6 +5,7 @@ import random
 import re
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from foliant.operators.graphs import betweenness, edited, entity_connections, mo
 from foliant.operators.mail import assign_threads, communication_pairs
 from foliant.operators.near_dup import duplicate_clusters, near_duplicates, version_groups, version_label
 from foliant.operators.rows import best_per_cluster, page_numbers
-from foliant.operators.vectors import dense_top_k, ranking_metrics, similar_pairs
+from foliant.operators.vectors import dense_top_k, meetings, ranking_metrics, similar_pairs, units
 from foliant.sources.readers import changed_files, csv_table, expand_zips, import_documents, parse_eml, parser_of, read_dat, read_edrm, read_email_corpus, read_ocr_corpus, read_opticon, read_text, resume, rtf_text
 from foliant.sources.sinks import append_audit, court_package, privilege_log, write_csv, write_edrm, write_points
 from foliant.streaming.jobs import job_states, keep_counts, read_counts, stream
@@ -239,6 +240,24 @@ def test_similar_pairs(spark):
         assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
 
 
+def test_similar_pairs_meet_only_near(spark):
+    """Vectors in groups: blocks of far groups never meet, and the pairs are those of brute force, at a threshold that cuts through the groups as well."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    v = np.concatenate([centres[rng.integers(12, size=500)] + 0.15 * rng.normal(size=(500, 16)), rng.normal(size=(20, 16)), np.zeros((2, 16))])
+    rows = [(i, "x" if i % 9 else "y", x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "id long, kind string, vector array<double>")
+    u = units(v)
+    for threshold in (0.95, 0.98, -0.5):
+        near = u @ u.T >= threshold
+        want = {(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j and (i % 9 == 0) == (j % 9 == 0)}
+        got = similar_pairs(df, "kind", threshold, block=30, pivots=12).collect()
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    dealt, pairs = meetings(df.filter("id < 520").select("kind", "id", F.col("vector").alias("v")), 0.95, 30, 12)
+    blocks = dealt.groupBy("kind").agg(F.countDistinct("own").alias("n")).collect()
+    assert pairs.count() * 2 < sum(r.n * (r.n + 1) // 2 for r in blocks)
+
+
 def test_redaction_and_diff(spark):
     df = spark.createDataFrame([("a secret b", [(2, 8)], ["secret"])], "t string, spans array<struct<start:int,end:int>>, gone array<string>")
     out = df.withColumn("r", redacted(F.col("t"), F.col("spans"), F.lit("[X]"))).withColumn("bad", still_there(F.col("r"), F.col("gone")))
