@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from foliant.operators.rows import fuse_ranks, order_statistics
-from foliant.plans.lineage import cut
+from foliant.plans.lineage import cut, spread
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -61,14 +67,289 @@ def against_all(queries: DataFrame, key: str, work: Callable[[DataFrame], DataFr
     return out
 
 
+#: Scores that a task holds at once.
+CELLS = 4_000_000
+#: What the order of additions may change in a score; what rounding to nine places may.
+ADDED, ROUNDED = 1e-10, 1e-9
+
+
+def rounded(x: np.ndarray, places: int = 9) -> np.ndarray:
+    """Doubles rounded as F.round() does: half up by their decimal digits, which matter only near halves."""
+    scaled = x * 10.0**places
+    out = np.rint(scaled) / 10.0**places
+    for i in np.flatnonzero(np.abs(np.abs(scaled - np.floor(scaled)) - 0.5) < 1e-3):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+    return out
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A column of lists of `width` numbers each as rows of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, added up from the first element on as dot() does."""
+    out = np.zeros(len(a))
+    for x, y in zip(a.T, b.T, strict=True):
+        out += x * y
+    return out
+
+
+def sizes(m: np.ndarray) -> np.ndarray:
+    return np.sqrt(products(m, m))
+
+
+def cosines(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """cosine() of rows, to the last bit."""
+    size = a_size * b_size
+    with np.errstate(all="ignore"):
+        return np.where(size == 0, 0.0, products(a, b) / size)
+
+
+class Cosine:
+    """Scores of blocks of vectors with all queries: rough ones (queries x points) by a matrix product, exact ones of chosen pairs."""
+
+    slack, cells = ADDED, 1
+
+    def __init__(self, queries: pa.Table, width: int) -> None:
+        self.width, self.q = width, matrix(queries.column("vector").combine_chunks(), width)
+        self.q_size = sizes(self.q)
+        self.q_unit = self.units(self.q, self.q_size)
+
+    @staticmethod
+    def units(m: np.ndarray, size: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            return np.where(size[:, None] == 0, 0.0, m / size[:, None])
+
+    def rough(self, block: pa.RecordBatch) -> np.ndarray:
+        self.m = matrix(block.column("vector"), self.width)
+        self.size = sizes(self.m)
+        return self.q_unit @ self.units(self.m, self.size).T
+
+    def exact(self, q: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return cosines(self.m[p], self.size[p], self.q[q], self.q_size[q])
+
+
+class MaxSim:
+    """As Cosine, for lists of vectors: max_sim() to nine places."""
+
+    slack = ADDED + ROUNDED
+
+    def __init__(self, queries: pa.Table, width: int) -> None:
+        self.width = width
+        self.q, self.q_start, self.q_count = self.parts(queries.column("vector").combine_chunks())
+        self.q_size = sizes(self.q)
+        self.q_unit = Cosine.units(self.q, self.q_size)
+        self.cells = max(1, int(self.q_count.max(initial=1)))
+
+    def parts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        count = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        return matrix(column.flatten(), self.width), np.cumsum(count) - count, count
+
+    def rough(self, block: pa.RecordBatch) -> np.ndarray:
+        self.m, self.start, self.count = self.parts(block.column("vector"))
+        self.size = sizes(self.m)
+        unit = Cosine.units(self.m, self.size)
+        # Few query vectors at a time, as there is a score for each pair of vectors.
+        step, out = max(1, CELLS // max(1, len(unit) * self.cells)), []
+        for low in range(0, len(self.q_start), step):
+            high = min(low + step, len(self.q_start))
+            first, last = self.q_start[low], self.q_start[high - 1] + self.q_count[high - 1]
+            best = np.maximum.reduceat(self.q_unit[first:last] @ unit.T, self.start, axis=1)
+            out.append(np.add.reduceat(best, self.q_start[low:high] - first, axis=0) / self.q_count[low:high, None])
+        return np.concatenate(out)
+
+    def exact(self, q: np.ndarray, p: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(q))
+        for i in range(int(self.q_count[q].max(initial=0))):
+            has = self.q_count[q] > i
+            x, best = np.minimum(self.q_start[q] + i, len(self.q) - 1), np.full(len(q), -np.inf)
+            for j in range(int(self.count[p].max(initial=0))):
+                y = np.minimum(self.start[p] + j, len(self.m) - 1)
+                score = cosines(self.q[x], self.q_size[x], self.m[y], self.size[y])
+                best = np.where(self.count[p] > j, np.maximum(best, score), best)
+            total += np.where(has, best, 0.0)
+        return rounded(total / self.q_count[q])
+
+
+class Sparse:
+    """As Cosine, for sparse vectors (lists token and weight): dot products to nine places, minus infinity where no token is shared.
+
+    Tokens that many queries and points of a block have go through a matrix product, the others through lists of their owners.
+    """
+
+    slack, cells = ADDED + ROUNDED, 1
+
+    def __init__(self, queries: pa.Table) -> None:
+        owner, token, self.weight = self.flat(queries.combine_chunks().to_batches()[0] if queries.num_rows else pa.RecordBatch.from_pylist([], queries.schema))
+        self.n, self.tokens = queries.num_rows, pd.Index(pd.unique(token))
+        code = self.tokens.get_indexer(token)
+        order = np.argsort(code, kind="stable")
+        self.owner, self.weight = owner[order], self.weight[order]
+        self.start = np.searchsorted(code[order], np.arange(len(self.tokens) + 1))
+
+    @staticmethod
+    def flat(block: pa.RecordBatch) -> tuple[np.ndarray, pd.Series, np.ndarray]:
+        count = pc.list_value_length(block.column("token")).to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.repeat(np.arange(block.num_rows), count), block.column("token").flatten().to_pandas(), block.column("weight").flatten().to_numpy(zero_copy_only=False).astype(float)
+
+    def rough(self, block: pa.RecordBatch) -> np.ndarray:
+        row, token, weight = self.flat(block)
+        code = self.tokens.get_indexer(token)
+        order = np.argsort(code, kind="stable")
+        order = order[np.searchsorted(code[order], 0) :]
+        row, weight, code = row[order], weight[order], code[order]
+        here, start = np.unique(code, return_index=True)
+        end = np.append(start[1:], len(code))
+        wide = (self.start[here + 1] - self.start[here]) * (end - start) * 64 >= self.n * block.num_rows
+        self.score, shared = np.zeros((self.n, block.num_rows)), np.zeros((self.n, block.num_rows), bool)
+        for low in range(0, int(wide.sum()), 256):
+            some = np.flatnonzero(wide)[low : low + 256]
+            q, p = np.zeros((self.n, len(some))), np.zeros((len(some), block.num_rows))
+            q_has, p_has = np.zeros(q.shape, np.float32), np.zeros(p.shape, np.float32)
+            for x, t in enumerate(some):
+                of, at = slice(self.start[here[t]], self.start[here[t] + 1]), slice(start[t], end[t])
+                q[self.owner[of], x], q_has[self.owner[of], x] = self.weight[of], 1
+                p[x, row[at]], p_has[x, row[at]] = weight[at], 1
+            self.score += q @ p
+            shared |= q_has @ p_has > 0
+        for t in np.flatnonzero(~wide):
+            of, at = slice(self.start[here[t]], self.start[here[t] + 1]), slice(start[t], end[t])
+            cells = np.ix_(self.owner[of], row[at])
+            self.score[cells] += np.outer(self.weight[of], weight[at])
+            shared[cells] = True
+        self.score[~shared] = -np.inf
+        return self.score
+
+    def exact(self, q: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return rounded(self.score[q, p])
+
+
+class Best:
+    """The k best points of each of n queries among those that came by; of equal scores those that came first."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.n, self.k, self.floor = n, k, np.full(n, -np.inf)
+        self.held, self.size = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+
+    def add(self, scorer: Cosine | MaxSim | Sparse, block: pa.RecordBatch, first: int) -> None:
+        """A block whose rows came as numbers first, first + 1, ... Only pairs whose rough score may be among the best get an exact one."""
+        rough = scorer.rough(block)
+        if np.isnan(rough.sum()):
+            # NaN is above all numbers, as in Spark.
+            rough = np.where(np.isnan(rough), np.inf, rough)
+        floor = self.floor - scorer.slack
+        hit = (rough >= floor[:, None]) & (rough > -np.inf)
+        if block.num_rows > self.k and hit.sum() > 2 * self.n * self.k:
+            floor = np.maximum(floor, np.partition(rough, block.num_rows - self.k, axis=1)[:, block.num_rows - self.k] - 2 * scorer.slack)
+            hit &= rough >= floor[:, None]
+        q, p = np.nonzero(hit)
+        for low in range(0, len(q), 1 << 18):
+            some_q, some_p = q[low : low + (1 << 18)], p[low : low + (1 << 18)]
+            score = scorer.exact(some_q, some_p)
+            # What equals the least of k came later than they did.
+            keep = ~(score <= self.floor[some_q])
+            self.held.append((some_q[keep], some_p[keep] + first, score[keep]))
+            self.size += int(keep.sum())
+            if self.size > max(1 << 18, self.n * self.k):
+                self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, at, score = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((at, -np.where(np.isnan(score), np.inf, score), q))
+        q, at, score = q[order], at[order], score[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        last = rank == self.k - 1
+        self.floor[q[last]] = np.where(np.isnan(score[last]), np.inf, score[last])
+        keep = rank < self.k
+        self.held, self.size = [(q[keep], at[keep], score[keep])], 0
+        return self.held[0]
+
+
+def scored_best(points: DataFrame, queries: pa.Table, scorer: Callable[[pa.Table], Cosine | MaxSim | Sparse], k: int, key: str, query_key: str) -> DataFrame:
+    """(query_key, key, score): each task's k best points of each query, ties by key. points: key and the scorer's columns; a task holds its points' keys, the queries and k rows of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, best, keys, n = scorer(queries), Best(queries.num_rows, k), [], 0
+        step = max(1, CELLS // max(1, queries.num_rows * score.cells))
+        for batch in batches:
+            keys.append(batch.column(key))
+            for low in range(0, batch.num_rows, step):
+                best.add(score, batch.slice(low, step), n + low)
+            n += batch.num_rows
+        if not n:
+            return
+        q, at, value = best.settle()
+        ids, asked = pa.chunked_array(keys), queries.column(query_key)
+        for low in range(0, len(q), 1 << 16):
+            part = slice(low, low + (1 << 16))
+            columns = [x.take(pa.array(i[part])).combine_chunks() for x, i in ((asked, q), (ids, at))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(value[part])], [query_key, key, "score"])
+
+    id_type, query_type = points.schema[key].dataType, from_arrow_type(queries.schema.field(query_key).type)
+    out = T.StructType([T.StructField(query_key, query_type), T.StructField(key, id_type), T.StructField("score", T.DoubleType())])
+    # Rows come by key, so of equal scores the first ones stay.
+    return spread(points).sortWithinPartitions(key).mapInArrow(run, out)
+
+
 def dense_top_k(points: DataFrame, queries: DataFrame, k: int, allowed: Column | None = None, vector: str = "vector", key: str = "id", query_key: str = "query_id", query_vector: str = "query_vector", dims: int | None = None, most: int = MOST_QUERIES) -> DataFrame:
-    """Exact cosine top-k of each query; `allowed` filters points before any score. Queries go to every task, `most` at a time."""
+    """Exact cosine top-k of each query; `allowed` filters points before any score. Queries go to every task, `most` at a time.
+
+    A task compares blocks of points with all queries by matrix products and keeps the k best of each; only those meet in a shuffle. A vector that is null or
+    holds nulls has no score and comes last; one of another width than the query's meets it by cosine() itself.
+    """
     points = points if allowed is None else points.filter(allowed)
     p, q = (F.col(vector), F.col(query_vector)) if dims is None else (truncated(F.col(vector), dims), truncated(F.col(query_vector), dims))
+    points = points.select(key, p.cast("array<double>").alias("vector"))
+    whole = F.coalesce(~F.exists("vector", lambda x: x.isNull()), F.lit(False))
+    none = F.lit(None).cast("double").alias("score")
+
+    def first(rows: DataFrame) -> DataFrame:
+        return rows.select(key).orderBy(key).limit(k)
 
     def work(asked: DataFrame) -> DataFrame:
-        scored = points.join(asked).withColumn("score", cosine(p, q))
-        return ranked(scored.select(query_key, key, "score"), [query_key], "score", key, k)
+        asked = asked.select(query_key, q.cast("array<double>").alias("vector")).withColumn("width", F.when(whole, F.size("vector")).otherwise(-1))
+        table = asked.toArrow()
+        parts = []
+        for width in pc.unique(table.column("width")).to_pylist():
+            some = table.filter(pc.equal(table.column("width"), width)).select([query_key, "vector"])
+            mine = asked.filter(F.col("width") == width)
+            if width >= 0:
+                parts.append(scored_best(points.filter(whole & (F.size("vector") == width)), some, lambda t, w=width: Cosine(t, w), k, key, query_key))
+                # Vectors of other widths have no score either, but for those of zeros.
+                others = points.filter(whole & (F.size("vector") != width)).join(F.broadcast(mine.select(query_key, F.col("vector").alias("asked"))))
+                parts.append(others.select(query_key, key, cosine(F.col("vector"), F.col("asked")).alias("score")))
+            unscored = points.filter(~whole) if width >= 0 else points
+            parts.append(mine.select(query_key).join(F.broadcast(first(unscored))).select(query_key, key, none))
+        if not parts:
+            return points.limit(0).join(asked.limit(0)).select(query_key, key, none, F.lit(1).alias("rank"))
+        return ranked(reduce(DataFrame.unionByName, parts), [query_key], "score", key, k)
+
+    return against_all(queries, query_key, work, most)
+
+
+def max_sim_top_k(points: DataFrame, queries: DataFrame, k: int, patches: str = "patches", key: str = "id", query_key: str = "query_id", query: str = "query", most: int = MOST_QUERIES) -> DataFrame:
+    """The k best max_sim() scores of each query, to nine places. Lists of vectors of the usual width are compared in blocks as dense_top_k() does; what holds nulls, other widths or nothing meets by max_sim() itself."""
+    p, q = F.col(patches).cast("array<array<double>>").alias("vector"), F.col(query).cast("array<array<double>>").alias("vector")
+
+    def fits(width: int) -> Column:
+        return F.coalesce((F.size("vector") > 0) & F.forall("vector", lambda x: F.coalesce((F.size(x) == width) & ~F.exists(x, lambda y: y.isNull()), F.lit(False))), F.lit(False))
+
+    def plain(some: DataFrame, asked: DataFrame) -> DataFrame:
+        score = F.round(max_sim(F.col("asked"), F.col("vector")), 9).alias("score")
+        return some.join(F.broadcast(asked.withColumnRenamed("vector", "asked"))).select(query_key, key, score)
+
+    points = points.select(key, p)
+
+    def work(asked: DataFrame) -> DataFrame:
+        asked = asked.select(query_key, q)
+        width = asked.select(F.max(F.size(F.col("vector")[0]))).first()[0] or 0
+        usual = fits(width)
+        parts = [plain(points, asked.filter(~usual)), plain(points.filter(~usual), asked.filter(usual))]
+        table = asked.filter(usual).toArrow()
+        if table.num_rows:
+            parts.append(scored_best(points.filter(usual), table, lambda t: MaxSim(t, width), k, key, query_key))
+        return ranked(reduce(DataFrame.unionByName, parts), [query_key], "score", key, k)
 
     return against_all(queries, query_key, work, most)
 
@@ -174,10 +455,23 @@ def similar_pairs(points: DataFrame, kind: str, threshold: float, key: str = "id
     return met.groupBy("kind", "low", "high").applyInPandas(compare, f"a {id_type}, b {id_type}, score double")
 
 
-def sparse_top_k(postings: DataFrame, queries: DataFrame, k: int, token: str = "token", weight: str = "weight", key: str = "id", query_key: str = "query_id", query_weight: str = "query_weight") -> DataFrame:
-    """Dot products of sparse vectors given as (key, token, weight) rows; only shared tokens meet."""
-    scored = postings.join(queries, token).groupBy(query_key, key).agg(F.round(F.sum(F.col(weight) * F.col(query_weight)), 9).alias("score"))
-    return ranked(scored, [query_key], "score", key, k)
+def sparse_top_k(postings: DataFrame, queries: DataFrame, k: int, token: str = "token", weight: str = "weight", key: str = "id", query_key: str = "query_id", query_weight: str = "query_weight", most: int = MOST_QUERIES) -> DataFrame:
+    """The k best dot products, to nine places, of sparse vectors given as (key, token, weight) rows; only points that share a token with the query. Rows of a null token or weight are passed over.
+
+    Postings meet their vector in one shuffle; vectors are compared with all queries in blocks, so that pairs that share a token never become rows.
+    """
+
+    def vectors(rows: DataFrame, of: str, value: str) -> DataFrame:
+        one = rows.filter(F.col(token).isNotNull() & F.col(value).isNotNull()).groupBy(of, F.col(token).alias("token")).agg(F.sum(F.col(value).cast("double")).alias("weight"))
+        both = F.collect_list(F.struct("token", "weight"))
+        return one.groupBy(of).agg(both.alias("both")).select(of, F.col("both.token").alias("token"), F.col("both.weight").alias("weight"))
+
+    points = vectors(postings, key, weight)
+
+    def work(asked: DataFrame) -> DataFrame:
+        return ranked(scored_best(points, asked.toArrow(), Sparse, k, key, query_key), [query_key], "score", key, k)
+
+    return against_all(vectors(queries, query_key, query_weight), query_key, work, most)
 
 
 def hybrid_top_k(lists: Sequence[DataFrame], k: int, query_key: str = "query_id", key: str = "id", constant: int = 60) -> DataFrame:
@@ -225,7 +519,12 @@ def ranking_metrics(hits: DataFrame, relevant: DataFrame, k: int, query: str = "
     """MRR, recall, precision (divided by k) and binary NDCG at k of each query that has relevant items."""
     marked = relevant.select(query, item).distinct()
     totals = marked.groupBy(query).agg(F.count("*").alias("n_relevant"))
-    found = hits.filter(F.col(rank) <= k).join(marked, [query, item]).groupBy(query).agg(F.min(rank).alias("first"), F.count("*").alias("n"), F.sum(1 / F.log2(F.col(rank) + 1.0)).alias("dcg"))
+    return hit_metrics(hits.join(marked, [query, item]), totals, k, query, rank)
+
+
+def hit_metrics(hits: DataFrame, totals: DataFrame, k: int, query: str = "query_id", rank: str = "rank") -> DataFrame:
+    """ranking_metrics() of relevant hits alone and (query, n_relevant), how many relevant items there are, where those need not be listed."""
+    found = hits.filter(F.col(rank) <= k).groupBy(query).agg(F.min(rank).alias("first"), F.count("*").alias("n"), F.sum(1 / F.log2(F.col(rank) + 1.0)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_relevant", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     n = F.coalesce("n", F.lit(0))
     return totals.join(found, query, "left").select(
