@@ -9,7 +9,7 @@ from foliant.operators.chunks import line_diff
 from foliant.operators.evaluation import depth, expanded, failed_gates, flag_impact, grounded, hot_score, import_estimate, judge_score, reflects, relevant_enough, roman, topics
 from foliant.operators.filters import open_by_default, token_valid
 from foliant.operators.graphs import completed, repaired_scope
-from foliant.operators.vectors import against_all, cosine, ranked
+from foliant.operators.vectors import dense_top_k, ranked
 from foliant.registry import load, query
 
 
@@ -76,8 +76,8 @@ def adaptive_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relevance_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     asked = points.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    score = cosine(F.col("v"), F.col("q")).alias("score")
-    best = against_all(asked, "query_id", lambda some: ranked(points.join(some).filter("id <> query_id").select("query_id", "id", score), ["query_id"], "score", "id", 5))
+    best = dense_top_k(points, asked, 6, vector="v", query_vector="q").filter("id <> query_id")
+    best = ranked(best.drop("rank"), ["query_id"], "score", "id", 5)
     out = relevant_enough(best, "query_id", "score", "rank")
     return out.select("query_id", F.round("mean", 6).alias("mean"), "relevant")
 
