@@ -1,7 +1,7 @@
 """Graph searches whose largest rows are not shuffled or sorted."""
 
 from foliant.operators import graphs
-from foliant.operators.graphs import hops_from, paths_from
+from foliant.operators.graphs import co_occurrence, hops_from, paths_from
 from foliant.plans.casework import entity_retrieval
 from foliant.plans.lineage import cut
 from foliant.plans.relations import graph_shortest_paths
@@ -32,3 +32,10 @@ def test_hops_keep_no_paths(spark, monkeypatch):
     monkeypatch.setattr(graphs, "cut", lambda df, name: kept.append(df.columns) or cut(df, name))
     assert graph_shortest_paths(spark, SF).count()
     assert kept and not any("path" in columns for columns in kept)
+
+
+def test_pairs_are_counted_by_numbers(spark):
+    rows = [("p", "b"), ("p", "a"), ("p", "a"), ("p", None), (None, "a"), (None, "b"), ("q", "a"), ("q", "b"), ("q", "c")]
+    found = co_occurrence(spark.createDataFrame(rows, "place string, item string"), "item", "place")
+    assert "functions=[partial_count(1)]" in plan(found) and "keys=[x#" in plan(found)
+    assert sorted(map(tuple, found.collect())) == [("a", "b", 2), ("a", "c", 1), ("b", "c", 1)]
