@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import edge_blocks
-from foliant.operators.graphs import page_rank
+from foliant.operators.graphs import betweenness, page_rank
 
 
 def random_edges(seed, n, m):
@@ -56,3 +56,25 @@ def test_page_rank_and_empty_graph(spark):
     found = {r["node"]: r["rank"] for r in page_rank(edges, 3).collect()}
     assert found.keys() == rank.keys() and all(abs(found[v] - rank[v]) < 1e-9 for v in rank)
     assert page_rank(edges.filter(F.lit(False)), 2).count() == 0
+
+
+def test_betweenness_in_blocks_of_sources(spark):
+    rows = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("d", "e"), ("e", "f"), ("x", "y"), ("y", "x")]
+    near = neighbours(rows)
+    want = dict.fromkeys(near, 0.0)
+    for s in near:
+        level, paths, order = {s: 0}, {s: 1.0}, [s]
+        for v in order:
+            for o in near[v]:
+                if o not in level:
+                    level[o], paths[o] = level[v] + 1, 0.0
+                    order.append(o)
+                if level[o] == level[v] + 1:
+                    paths[o] += paths[v]
+        part = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            part[v] = sum(paths[v] / paths[o] * (1 + part[o]) for o in near[v] if level[o] == level[v] + 1)
+            if v != s:
+                want[v] += part[v] / 2
+    found = {r["node"]: (r["betweenness"], r["bound"]) for r in betweenness(spark.createDataFrame(rows, "src string, dst string"), block_cells=40).collect()}
+    assert found.keys() == want.keys() and all(abs(found[v][0] - want[v]) < 1e-9 and found[v][1] == 0 for v in want)
