@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators.filters import health, page, select_documents, visible
 from foliant.operators.rows import first_by, insert_new, overlay, page_numbers, purge, upsert_counts, with_counts
+from foliant.plans.lineage import tasks
 from foliant.registry import load, query
 
 PAIRS = """pairs AS (
@@ -92,12 +93,17 @@ def bates_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("many_to_many_join", "SELECT p_brand, o_orderpriority, count(*) AS n, count(DISTINCT o_orderkey) AS orders FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey WHERE p_size >= 10 GROUP BY 1, 2")
 def many_to_many_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and datasets through a junction table, scoped before the join."""
+    """Documents and datasets through a junction table, scoped before the join.
+
+    Junction rows are counted by order and brand and orders by key and priority, so that what is left to join are distinct orders; a task's part is bounded.
+    """
     part = load(spark, sf_dir, "part").filter("p_size >= 10").select("p_partkey", "p_brand")
-    line = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    joined = line.join(part, line["l_partkey"] == part["p_partkey"]).join(orders, line["l_orderkey"] == orders["o_orderkey"])
-    return joined.groupBy("p_brand", "o_orderpriority").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("orders"))
+    line = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
+    n = tasks(line, 500_000)
+    line = line.repartition(n, "p_partkey").join(part, "p_partkey").repartition(n, "o_orderkey").groupBy("o_orderkey", "p_brand").agg(F.count("*").alias("lines"))
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").repartition(n, "o_orderkey").groupBy("o_orderkey", "o_orderpriority").agg(F.count("*").alias("times"))
+    joined = line.join(orders, "o_orderkey")
+    return joined.groupBy("p_brand", "o_orderpriority").agg(F.sum(F.col("lines") * F.col("times")).alias("n"), F.count("*").alias("orders"))
 
 
 @query("left_enrich", "SELECT o_orderkey, o_orderstatus, c_mktsegment, c_acctbal FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 5000) ON o_custkey = c_custkey")
