@@ -1,7 +1,7 @@
 """Graph searches whose largest rows are not shuffled or sorted."""
 
 from foliant.operators import graphs
-from foliant.operators.graphs import co_occurrence, hops_from, paths_from
+from foliant.operators.graphs import co_occurrence, held_links, hops_from, modularity_communities, paths_from
 from foliant.plans.casework import entity_retrieval
 from foliant.plans.lineage import cut
 from foliant.plans.relations import graph_shortest_paths
@@ -39,3 +39,21 @@ def test_pairs_are_counted_by_numbers(spark):
     found = co_occurrence(spark.createDataFrame(rows, "place string, item string"), "item", "place")
     assert "functions=[partial_count(1)]" in plan(found) and "keys=[x#" in plan(found)
     assert sorted(map(tuple, found.collect())) == [("a", "b", 2), ("a", "c", 1), ("b", "c", 1)]
+
+
+def test_links_of_communities_are_numbers_and_stay(spark, monkeypatch):
+    """Names stay in tables of nodes; what a round looks at is joined to links that are dealt by their start already."""
+    kept, held = [], []
+    monkeypatch.setattr(graphs, "cut", lambda df, name: kept.append((name, df)) or cut(df, name))
+    monkeypatch.setattr(graphs, "held_links", lambda links: held.append(links) or held_links(links))
+    edges = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "ab" for i in range(6) for j in range(i)] + [("a0", "b0", 1.0), ("a1", "a1", 5.0), ("a2", None, 1.0), ("b1", "b2", None)]
+    place = {r.node: r.community for r in modularity_communities(spark.createDataFrame(edges, "src string, dst string, weight double")).collect()}
+    assert len(place) == 12 and {(n[0], c[0]) for n, c in place.items()} == {("a", "a"), ("b", "b")} and len(set(place.values())) == 2
+    assert held and all(dict(links.dtypes) == {"src": "bigint", "dst": "bigint", "w": "double"} for links in held)
+    assert all(dict(df.dtypes)["node"] == "bigint" for name, df in kept if name == "places")
+    links = held_links(held[0])
+    joined = links.join(spark.createDataFrame([(1,), (2,)], "src long").hint("merge"), "src", "left_semi")
+    joined.collect()
+    top = plan(joined).split("Final Plan ==")[-1].split("InMemoryRelation")[0]
+    assert top.count("ShuffleQueryStage") <= 1
+    links.unpersist()
