@@ -7,19 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Boilerplate patterns.
-BOILERPLATE = [
-    r"(?i)\bCONFIDENTIAL\b",
-    r"(?i)\bPRIVILEGED AND CONFIDENTIAL\b",
-    r"(?i)Page\s+\d+\s+of\s+\d+",
-    r"\bEXHIBIT\s+[A-Z0-9]+\b",
-    r"(?i)\bTABLE OF CONTENTS\b",
-    r"(?i)\bATTORNEY.CLIENT PRIVILEGE\b",
-    r"(?i)\bWORK PRODUCT\b",
-    r"(?i)\bDO NOT DISTRIBUTE\b",
-    r"(?i)\bFOR INTERNAL USE ONLY\b",
-    r"(?m)^\s*[-_=]{10,}\s*$",
-]
+# Boilerplate patterns, with what all of a pattern's matches hold in lower case.
+BOILERPLATE = {
+    r"(?i)\bCONFIDENTIAL\b": "confidential",
+    r"(?i)\bPRIVILEGED AND CONFIDENTIAL\b": "privileged and confidential",
+    r"(?i)Page\s+\d+\s+of\s+\d+": "page",
+    r"\bEXHIBIT\s+[A-Z0-9]+\b": "exhibit",
+    r"(?i)\bTABLE OF CONTENTS\b": "table of contents",
+    r"(?i)\bATTORNEY.CLIENT PRIVILEGE\b": "client privilege",
+    r"(?i)\bWORK PRODUCT\b": "work product",
+    r"(?i)\bDO NOT DISTRIBUTE\b": "do not distribute",
+    r"(?i)\bFOR INTERNAL USE ONLY\b": "for internal use only",
+    r"(?m)^\s*[-_=]{10,}\s*$": None,
+}
 # OCR corrections in the order in which they apply.
 OCR = [
     ("ﬁ", "fi"),
@@ -70,19 +70,26 @@ def blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(r"\S")
 
 
-def coherence(text: Column) -> Column:
-    parts = F.filter(F.transform(F.split(text, r"[.!?]\s"), strip), lambda s: s != "")
-    n = F.size(parts)
-    mean = F.aggregate(parts, F.lit(0), lambda a, s: a + F.size(words(s))) / F.greatest(n, F.lit(1))
+def sentences(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, r"[.!?]\s"), strip), lambda s: s != "")
+
+
+def coherence(n: Column, total: Column) -> Column:
+    """From the number of sentences and of their words, both columns of their own: each is used several times."""
+    mean = total / F.greatest(n, F.lit(1))
     count = F.when(n >= 5, 1.0).when(n >= 3, 0.8).when(n >= 2, 0.6).otherwise(0.4)
     length = F.when(mean < 3, 0.2).when(mean < 5, 0.4).when(mean <= 50, 1.0).when(mean <= 80, 0.6).otherwise(0.3)
     return F.when(n == 0, 0.1).otherwise(0.6 * count + 0.4 * length)
 
 
-def density(text: Column, stripped: Column, entities: Column) -> Column:
-    # Characters of a pattern are those that go when its matches are taken out.
-    chars = reduce(lambda a, b: a + b, (F.length(text) - F.length(F.regexp_replace(text, p, "")) for p in BOILERPLATE))
-    lines = F.filter(F.split(stripped, "\n"), lambda s: s.rlike(r"\S"))
+def plate(text: Column, lower: Column, pattern: str, part: str | None) -> Column:
+    """Characters of a pattern: those that go when its matches are taken out. A text in lower case without the part that all matches have holds none."""
+    chars = F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    return chars if part is None else F.when(lower.contains(part), chars).otherwise(F.when(text.isNotNull(), 0))
+
+
+def density(text: Column, lower: Column, stripped: Column, lines: Column, entities: Column) -> Column:
+    chars = reduce(lambda a, b: a + b, (plate(text, lower, p, part) for p, part in BOILERPLATE.items()))
     tables = F.size(F.filter(lines, lambda s: s.rlike(r"^\s*\|"))) / F.greatest(F.size(lines), F.lit(1))
     base = (1.0 - F.least(F.try_divide(chars, F.length(stripped)), F.lit(1.0))) * F.when(tables > 0.8, 0.6).otherwise(1.0)
     bonus = F.when(entities > 0, F.least(base + F.least(entities / 3.0, F.lit(1.0)) * 0.2, F.lit(1.0))).otherwise(base)
@@ -105,13 +112,16 @@ def chunk_quality(chunks: DataFrame, text: str, tokens: Column, entities: Column
     e = F.lit(0) if entities is None else entities
     names = ["coherence", "information_density", "completeness", "length_score"]
     # Each score is a column of its own before it is used again, so that no text is gone through twice.
-    out = chunks.withColumns({"_stripped": strip(F.col(text)), "_tokens": tokens, "_entities": e})
-    scores = [coherence(F.col(text)), density(F.col(text), F.col("_stripped"), F.col("_entities")), completeness(F.col("_stripped")), length_score(F.col("_tokens"))]
+    out = chunks.withColumns({"_stripped": strip(F.col(text)), "_lower": F.lower(text), "_parts": sentences(F.col(text)), "_tokens": tokens, "_entities": e})
+    said = F.aggregate("_parts", F.lit(0), lambda a, s: a + F.size(words(s)))
+    lines = F.filter(F.split("_stripped", "\n"), lambda s: s.rlike(r"\S"))
+    out = out.withColumns({"_n": F.size("_parts"), "_said": said, "_lines": lines})
+    scores = [coherence(F.col("_n"), F.col("_said")), density(F.col(text), F.col("_lower"), F.col("_stripped"), F.col("_lines"), F.col("_entities")), completeness(F.col("_stripped")), length_score(F.col("_tokens"))]
     out = out.withColumns({f"_{n}": x for n, x in zip(names, scores, strict=True)})
     total = 0.30 * F.col("_coherence") + 0.35 * F.col("_information_density") + 0.20 * F.col("_completeness") + 0.15 * F.col("_length_score")
     whole = F.col("_stripped") != ""
     final = {n: F.when(whole, F.round(x, 4)).otherwise(0.0) for n, x in {"overall": total, **{n: F.col(f"_{n}") for n in names}}.items()}
-    return out.withColumns(final).drop("_stripped", "_tokens", "_entities", *(f"_{n}" for n in names))
+    return out.withColumns(final).drop("_stripped", "_lower", "_parts", "_n", "_said", "_lines", "_tokens", "_entities", *(f"_{n}" for n in names))
 
 
 def ocr_corrected(docs: DataFrame, text: str, out: str = "corrected", count: str = "corrections") -> DataFrame:

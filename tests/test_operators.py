@@ -531,3 +531,16 @@ def test_streams(spark, tmp_path):
     keep_counts(stream(spark, str(tmp_path / "more"), events.schema, files=1), ["status"], str(tmp_path / "state2"), str(tmp_path / "c3")).awaitTermination()
     assert (tmp_path / "state2" / "kind=base" / "number=49").exists()
     assert {r.status: r.n for r in read_counts(spark, ["status"], str(tmp_path / "state2")).collect()} == {"processing": 24, "complete": 12, "failed": 12, "pending": 12}
+
+
+def test_quality_goes_through_sentences_once(spark):
+    """The sentences of a text, and their words, are made once; texts without a boilerplate pattern's words are not searched for it."""
+    text = "This is CONFIDENTIAL. Page 3 of 12\nPlain words follow here! attorney-client privilege; Exhibit A and EXHIBIT B2.\n----------\nDo not distribute"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, " \n"), (4, "plain")], "id long, text string")
+    out = chunk_quality(docs, "text", F.lit(30))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("[.!?]\\s") == 1
+    rows = {r.id: r for r in out.collect()}
+    plate = len("CONFIDENTIAL" + "Page 3 of 12" + "attorney-client privilege" + "EXHIBIT B2" + "----------" + "Do not distribute")
+    # The line of dashes takes the line breaks that its pattern's white space covers.
+    assert any(abs(rows[1].information_density - round(1 - (plate + k) / len(text), 4)) < 1e-9 for k in (0, 1))
+    assert rows[2].overall == rows[3].overall == 0 and rows[4].information_density == 1
