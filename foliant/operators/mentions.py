@@ -13,6 +13,8 @@ from foliant.plans.lineage import cut
 
 #: Characters of names that one automaton holds (about 100 bytes of memory each in a Python worker).
 NAMES = 2_000_000
+#: Texts whose mentions a task holds before it gives them on; one text at a time is a Python string.
+ROWS = 200
 
 
 def names_found(texts: DataFrame, names: DataFrame, key: str, text: str, name: str, least: int = 2, most: int = NAMES) -> DataFrame:
@@ -43,7 +45,7 @@ def names_found(texts: DataFrame, names: DataFrame, key: str, text: str, name: s
 
 
 def scanned(texts: DataFrame, names: object) -> DataFrame:
-    """(k, said, n) of (k, text) by the automaton of a broadcast list of names; each task builds it once."""
+    """(k, said, n) of (k, text) by the automaton of a broadcast list of names; each task builds it once and gives on what ROWS texts have, however large its batches are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -52,17 +54,19 @@ def scanned(texts: DataFrame, names: object) -> DataFrame:
         for i, name in enumerate(names.value):
             automaton.add_word(name, i)
         automaton.make_automaton()
-        for batch in batches:
+        said = pa.array(names.value, pa.string())
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             rows, which, count = [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
+            for row, text in enumerate(batch.column("text")):
                 here: dict[int, int] = {}
-                for _, i in automaton.iter(text) if text and names.value else ():
+                for _, i in automaton.iter(text.as_py()) if text.is_valid and names.value else ():
                     here[i] = here.get(i, 0) + 1
                 rows += [row] * len(here)
                 which += here.keys()
                 count += here.values()
-            said = pa.array([names.value[i] for i in which], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(rows, pa.int64())), said, pa.array(count, pa.int64())], ["k", "said", "n"])
+            found = [batch.column("k").take(pa.array(rows, pa.int64())), said.take(pa.array(which, pa.int64())), pa.array(count, pa.int64())]
+            yield pa.RecordBatch.from_arrays(found, ["k", "said", "n"])
+            pa.default_memory_pool().release_unused()
 
     return texts.mapInArrow(run, texts.select("k").schema.add("said", "string").add("n", "long"))
 

@@ -5,9 +5,13 @@ import random
 import re
 from collections import Counter, defaultdict
 from pathlib import Path
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
+from pyspark.sql.types import StructType
 
+from foliant.operators import mentions
 from foliant.operators.evaluation import topics
 from foliant.operators.mentions import chunk_graph, names_found
 from foliant.plans.evaluation import topic_clusters
@@ -97,3 +101,22 @@ def test_chunk_graph(spark):
     assert {tuple(r) for r in pairs.collect()} == {("Anna", "Bert", 2), ("Anna", "Carla", 1), ("Bert", "Carla", 1)} and edges.count() == 5
     empty = spark.createDataFrame([], "name string")
     assert names_found(spark.createDataFrame(texts, "id long, text string"), empty, "id", "text", "name").collect() == []
+
+
+def test_mentions_are_given_on_by_few_texts():
+    """A task holds what a bounded number of texts have, however many rows a batch has."""
+
+    class Texts:
+        schema = StructType()
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = mentions.scanned(Texts(), SimpleNamespace(value=["ab", "b"]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1001)), pa.array(["abab" if i % 2 else None for i in range(1001)])], ["k", "text"])
+    out = list(run(iter([batch, batch.slice(0, 0)])))
+    assert len(out) > 1 and all(len(set(b.column("k").to_pylist())) <= mentions.ROWS for b in out)
+    assert [x for b in out for x in zip(*b.to_pydict().values(), strict=True)] == [(i, s, 2) for i in range(1, 1001, 2) for s in ("ab", "b")]
