@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from foliant.plans.lineage import cut
 DEPTHS = {"factual": (15, 8), "analytical": (30, 15), "comparative": (35, 20), "timeline": (25, 12), "procedural": (20, 10), "exploratory": (40, 20)}
 JUDGE = {"relevance": 0.20, "completeness": 0.15, "accuracy": 0.25, "citation_support": 0.25, "conciseness": 0.15}
 GATES = {"faithfulness": (">=", 0.95), "citation_accuracy": (">=", 0.90), "hallucination_rate": ("<", 0.05), "post_rationalization_rate": ("<", 0.10)}
+#: Words that a broadcast may hold.
+TERMS = 500_000
 WARNINGS = ["Large import: consider batching in groups of 500", "Import exceeds 10 GB: ensure sufficient storage"]
 
 
@@ -128,11 +133,10 @@ def topics(docs: DataFrame, key: str, text: str, k: int, least: int = 5, terms:
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) > 2)
     said = cut(docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), words.alias("words")), "words")
     total = said.count()
-    each = said.select("row", F.explode("words").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
-    seen = each.groupBy("word").agg(F.count("*").alias("df")).filter((F.col("df") >= rare) & (F.col("df") <= common * total))
-    each = cut(each.join(seen.select("word"), "word", "left_semi"), "said")
-    rows = each.groupBy("row").agg(F.array_sort(F.collect_list("word")).alias("words"))
-    rows = cut(rows.repartition("row").sortWithinPartitions("row"), "rows")
+    seen = said.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    known = cut(seen.filter((F.col("df") >= rare) & (F.col("df") <= common * total)).select("word"), "known")
+    each = cut(known_words(said.select("row", "words"), known), "said")
+    rows = cut(each.select("row", "words").repartition("row").sortWithinPartitions("row"), "rows")
     if rows.isEmpty():
         placed = said.select("row", "key", F.lit(-1).alias("topic"))
     else:
@@ -146,7 +150,8 @@ def topics(docs: DataFrame, key: str, text: str, k: int, least: int = 5, terms:
     placed = cut(placed, "placed")
     sizes = placed.filter("topic >= 0").groupBy("topic").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
     found = cut(placed.join(F.broadcast(sizes.select("topic", F.lit(True).alias("large"))), "topic", "left").select("row", "key", F.when(F.col("large"), F.col("topic")).otherwise(-1).alias("topic")), "topics")
-    classes = cut(each.join(found.filter("topic >= 0").select("row", "topic"), "row").groupBy("topic", "word").agg(F.sum("n").alias("n")), "classes")
+    said_in = each.join(found.filter("topic >= 0").select("row", "topic"), "row").select("topic", F.explode(F.arrays_zip("words", "counts")).alias("w"))
+    classes = cut(said_in.groupBy("topic", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n")), "classes")
     by_word, by_topic = classes.groupBy("word").agg(F.sum("n").alias("all")), classes.groupBy("topic").agg(F.sum("n").alias("whole"))
     mean = by_topic.agg(F.avg("whole").alias("mean"))
     scored = classes.join(by_word, "word").join(F.broadcast(by_topic), "topic").join(F.broadcast(mean))
@@ -154,3 +159,30 @@ def topics(docs: DataFrame, key: str, text: str, k: int, least: int = 5, terms:
     top = first_by(scored, ["topic"], [F.desc("weight"), F.col("word")], terms)
     best = top.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("less"), "word"))), lambda t: t["word"]).alias("terms"))
     return found.select(F.col("key").alias(key), "topic"), sizes.join(best, "topic", "left")
+
+
+def known_words(said: DataFrame, known: DataFrame, most: int = TERMS) -> DataFrame:
+    """(row, words, counts) of said (row, words): each text's distinct known words in order and how often it has them; texts without any are left out.
+
+    Up to `most` known words reach the tasks as a broadcast, and no word is shuffled; more of them meet the words of the texts in a join.
+    """
+    if known.limit(most + 1).count() > most:
+        each = said.select("row", F.explode("words").alias("word")).join(known, "word", "left_semi").groupBy("row", "word").agg(F.count("*").alias("n"))
+        listed = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias("w"))
+        return listed.select("row", F.col("w.word").alias("words"), F.col("w.n").alias("counts"))
+    terms = said.sparkSession.sparkContext.broadcast(sorted(r[0] for r in known.collect()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value_set, size = pa.array(terms.value, pa.string()), max(1, len(terms.value))
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            column = batch.column("words")
+            place = pc.index_in(column.flatten(), value_set=value_set)
+            row = np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy())
+            there = place.is_valid().to_numpy(zero_copy_only=False)
+            pair, count = np.unique(row[there] * size + place.fill_null(0).to_numpy()[there], return_counts=True)
+            rows, first = np.unique(pair // size, return_index=True)
+            at = pa.array(np.append(first, len(pair)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, values) for values in (value_set.take(pa.array(pair % size)), pa.array(count.astype(np.int64)))]
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(rows)), *lists], ["row", "words", "counts"])
+
+    return said.mapInArrow(run, "row long, words array<string>, counts array<long>")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql.types import StructType
 
 from foliant.operators import mentions
-from foliant.operators.evaluation import topics
+from foliant.operators.evaluation import known_words, topics
 from foliant.operators.mentions import chunk_graph, names_found
 from foliant.plans.evaluation import topic_clusters
 
@@ -120,3 +120,17 @@ def test_mentions_are_given_on_by_few_texts():
     out = list(run(iter([batch, batch.slice(0, 0)])))
     assert len(out) > 1 and all(len(set(b.column("k").to_pylist())) <= mentions.ROWS for b in out)
     assert [x for b in out for x in zip(*b.to_pydict().values(), strict=True)] == [(i, s, 2) for i in range(1, 1001, 2) for s in ("ab", "b")]
+
+
+def test_known_words_are_counted_in_place(spark):
+    """Words that fit a broadcast are counted where their texts are, without a shuffle, just as by the join beyond it."""
+    rng = random.Random(8)
+    texts = [(i, [rng.choice(["éa", "ab", "b", "zz", "aé", "none"]) for _ in range(rng.randrange(9))]) for i in range(2500)]
+    said = spark.createDataFrame(texts, "row long, words array<string>")
+    known = spark.createDataFrame([(w,) for w in ("zz", "ab", "éa", "aé")], "word string")
+    want = {i: sorted(Counter(w for w in ws if w not in ("b", "none")).items()) for i, ws in texts}
+    for most in (4, 3):
+        found = known_words(said, known, most)
+        assert {r.row: list(zip(r.words, r.counts, strict=True)) for r in found.collect()} == {i: w for i, w in want.items() if w}
+        assert ("Exchange" in found._jdf.queryExecution().executedPlan().toString()) == (most == 3)
+    assert known_words(said, known.limit(0)).collect() == []
