@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -199,12 +200,17 @@ def subject_key(subject: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.trim(subject), r"(?i)^((re|fwd?|fw)\s*:\s*)+", "")))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def address(raw: Column) -> Column:
     """struct(name, email) of `"Name" <a@b>` or a bare address; '' where there is none."""
-    angle = F.regexp_extract(raw, r"<([^>]+)>", 1)
     bare = F.regexp_extract(raw, r"([\w.+-]+@[\w.-]+\.\w+)", 1)
     name = F.trim(F.regexp_replace(F.regexp_extract(raw, r'^\s*"?([^"<]*?)"?\s*<', 1), '"', ""))
-    return F.struct(F.when(angle != "", name).otherwise("").alias("name"), F.trim(F.when(angle != "", angle).otherwise(bare)).alias("email"))
+    parts = lambda angle: F.struct(F.when(angle != "", name).otherwise("").alias("name"), F.trim(F.when(angle != "", angle).otherwise(bare)).alias("email"))
+    return bound(F.regexp_extract(raw, r"<([^>]+)>", 1), parts)
 
 
 def addresses(raw: Column) -> Column:
@@ -218,9 +224,14 @@ def document_date(raw: Column, as_of_year: int) -> Column:
     t = F.regexp_replace(t, r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),?\s+", "")
     t = F.regexp_replace(t, r"\s+(?:GMT|UTC)$", " +0000")
     formats = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm:ss", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy", "M/d/yyyy HH:mm", "MMM-d-yyyy"]
-    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.regexp_replace(t, "Z$", "+00:00")))
-    at = F.coalesce(iso, *(F.try_to_timestamp(t, F.lit(f)) for f in formats))
-    return F.when(F.year(at).between(1950, as_of_year + 2), at)
+
+    def read(t: Column) -> Column:
+        iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.regexp_replace(t, "Z$", "+00:00")))
+        # A format that doesn't fit costs an exception, so those with an offset are tried only where one is.
+        offset = t.rlike(r"[+-]\d{4}\s*$")
+        return F.coalesce(iso, *(F.when(offset, F.try_to_timestamp(t, F.lit(f))) if f.endswith("Z") else F.try_to_timestamp(t, F.lit(f)) for f in formats))
+
+    return bound(bound(t, read), lambda at: F.when(F.year(at).between(1950, as_of_year + 2), at))
 
 
 def citations(answer: Column) -> Column:

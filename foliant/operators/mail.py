@@ -49,8 +49,11 @@ def communication_pairs(mails: DataFrame, scope: str, as_of_year: int) -> DataFr
     mails: scope and from_name, from_email, to, cc, bcc (lists divided by commas) and date, as strings. A recount: reruns agree.
     """
     parts = F.flatten(F.array(*(F.transform(F.split(F.coalesce(F.col(k), F.lit("")), r"\s*,\s*"), tagged(k)) for k in ("to", "cc", "bcc"))))
-    rows = mails.filter(F.coalesce("from_email", F.lit("")) != "").select(scope, F.coalesce("from_name", F.lit("")).alias("sender_name"), F.col("from_email").alias("sender_email"), document_date(F.col("date"), as_of_year).alias("at"), F.explode(F.filter(parts, lambda p: p["raw"] != "")).alias("p"))
-    who = address(F.col("p.raw"))
+    # Dates are read before lists are taken apart: once a mail, not once a recipient.
+    rows = mails.filter(F.coalesce("from_email", F.lit("")) != "").select(scope, F.coalesce("from_name", F.lit("")).alias("sender_name"), F.col("from_email").alias("sender_email"), document_date(F.col("date"), as_of_year).alias("at"), parts.alias("parts"))
+    rows = rows.select(scope, "sender_name", "sender_email", "at", F.explode(F.filter("parts", lambda p: p["raw"] != "")).alias("p"))
+    rows = rows.withColumn("who", address(F.col("p.raw")))
+    who = F.col("who")
     rows = rows.select(scope, "sender_name", "sender_email", who["name"].alias("recipient_name"), F.when(who["email"] == "", F.col("p.raw")).otherwise(who["email"]).alias("recipient_email"), F.col("p.kind").alias("relationship_type"), "at")
     keys = [scope, "sender_email", "recipient_email", "relationship_type"]
     return rows.groupBy(*keys).agg(F.max("sender_name").alias("sender_name"), F.max("recipient_name").alias("recipient_name"), F.count("*").alias("message_count"), F.min("at").alias("earliest"), F.max("at").alias("latest"))

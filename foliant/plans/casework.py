@@ -297,10 +297,12 @@ MAILS = """m AS (SELECT o_orderkey AS doc, 'C ' || o_custkey AS from_name, 'c' |
 @query("mail_pairs", f"WITH {MAILS} SELECT from_email AS sender_email, 's' || s || '@y.org' AS recipient_email, kind AS relationship_type, 'S ' || s AS recipient_name, from_name AS sender_name, count(*) AS message_count, min(sent) AS earliest, max(sent) AS latest FROM m JOIN r USING (doc) GROUP BY ALL")
 def mail_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as mails of a customer to suppliers, in lists as headers have them; directed pairs with their counts and dates."""
-    address = F.concat(F.lit('"S '), "l_suppkey", F.lit('" <s'), "l_suppkey", F.lit("@y.org>"))
     kind = F.when(F.col("l_linenumber") % 3 == 1, "to").when(F.col("l_linenumber") % 3 == 2, "cc").otherwise("bcc")
-    rows = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), kind.alias("kind"), address.alias("address")).distinct()
-    heads = rows.groupBy("o_orderkey").agg(*(F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("address")))), ", ").alias(k) for k in ("to", "cc", "bcc")))
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct(kind.alias("kind"), "l_suppkey").alias("r"))
+    heads = rows.groupBy("o_orderkey").agg(F.array_sort(F.collect_set("r")).alias("all"))
+    address = lambda r: F.concat(F.lit('"S '), r["l_suppkey"], F.lit('" <s'), r["l_suppkey"], F.lit("@y.org>"))
+    line = lambda k: F.array_join(F.transform(F.filter("all", lambda r: r["kind"] == k), address), ", ").alias(k)
+    heads = heads.select("o_orderkey", *(line(k) for k in ("to", "cc", "bcc")))
     mails = load(spark, sf_dir, "orders").join(heads, "o_orderkey").select(F.lit(1).alias("matter"), F.concat(F.lit("C "), "o_custkey").alias("from_name"), F.concat(F.lit("c"), "o_custkey", F.lit("@x.org")).alias("from_email"), "to", "cc", "bcc", F.date_format("o_orderdate", "d MMM yyyy HH:mm:ss").alias("date"))
     out = communication_pairs(mails, "matter", 2024)
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("earliest", "latest")}).drop("matter")

@@ -544,3 +544,19 @@ def test_quality_goes_through_sentences_once(spark):
     # The line of dashes takes the line breaks that its pattern's white space covers.
     assert any(abs(rows[1].information_density - round(1 - (plate + k) / len(text), 4)) < 1e-9 for k in (0, 1))
     assert rows[2].overall == rows[3].overall == 0 and rows[4].information_density == 1
+
+
+def test_dates_of_mails_are_read_once_a_mail(spark):
+    """Dates are read below what takes the lists apart; an address and what its parts need are looked for once a recipient."""
+    rows = [(1, "A", "a@x.org", '"B C" <b@x.org>, d@x.org, nobody', "", "b@x.org", "Tue, 5 Mar 2019 10:00:00 +0200"), (1, "", "a@x.org", "b@x.org", None, None, "5 Mar 2018 10:00:00"), (1, "A", None, "b@x.org", None, None, None)]
+    mails = spark.createDataFrame(rows, "m int, from_name string, from_email string, to string, cc string, bcc string, date string")
+    out = communication_pairs(mails, "m", 2024)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("d MMM yyyy HH:mm") and plan.count("<([^>]+)>") == 1
+    found = {(r.recipient_email, r.relationship_type): (r.recipient_name, r.message_count, str(r.earliest), str(r.latest)) for r in out.collect()}
+    assert found == {
+        ("b@x.org", "to"): ("B C", 2, "2018-03-05 10:00:00", "2019-03-05 08:00:00"),
+        ("d@x.org", "to"): ("", 1, "2019-03-05 08:00:00", "2019-03-05 08:00:00"),
+        ("nobody", "to"): ("", 1, "2019-03-05 08:00:00", "2019-03-05 08:00:00"),
+        ("b@x.org", "bcc"): ("", 1, "2019-03-05 08:00:00", "2019-03-05 08:00:00"),
+    }
