@@ -57,3 +57,16 @@ def test_links_of_communities_are_numbers_and_stay(spark, monkeypatch):
     top = plan(joined).split("Final Plan ==")[-1].split("InMemoryRelation")[0]
     assert top.count("ShuffleQueryStage") <= 1
     links.unpersist()
+
+
+def test_starts_share_rows_of_a_frontier(spark, monkeypatch):
+    """130 starts that reach 60 nodes take a row for each node and 64 of them, not one for each pair; all hops are those of the paths."""
+    kept = []
+    monkeypatch.setattr(graphs, "cut", lambda df, name: kept.append((name, out := cut(df, name))) or out)
+    rows = [(f"s{i}", f"c{(i * 7 + j) % 60}") for i in range(130) for j in range(20)] + [("c0", "d"), ("d", "e")]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    starts = spark.createDataFrame([(f"s{i}",) for i in range(130)], "a string")
+    found = sorted(map(tuple, hops_from(edges, starts, 4).collect()))
+    fronts = sum(df.count() for name, df in kept if name == "front")
+    assert found == sorted(map(tuple, paths_from(edges, starts, 4).select("a", "b", "hops").collect()))
+    assert 0 < 5 * fronts < len(found)
