@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from foliant.operators import mentions
 from foliant.operators.evaluation import known_words, topics
+from foliant.operators.graphs import co_occurrence
 from foliant.operators.mentions import chunk_graph, names_found
 from foliant.plans.evaluation import topic_clusters
 
@@ -134,3 +135,24 @@ def test_known_words_are_counted_in_place(spark):
         assert {r.row: list(zip(r.words, r.counts, strict=True)) for r in found.collect()} == {i: w for i, w in want.items() if w}
         assert ("Exchange" in found._jdf.queryExecution().executedPlan().toString()) == (most == 3)
     assert known_words(said, known.limit(0)).collect() == []
+
+
+def test_name_pairs_in_blocks(spark, monkeypatch):
+    """Counts by blocks of names equal a join of mentions, whatever the blocks; pairs of a text are never rows of a shuffle."""
+    monkeypatch.setattr(mentions, "SENT", 7)
+    monkeypatch.setattr(mentions, "CELLS", 9)
+    rng = random.Random(3)
+    words = [a + b + c for a in "ab" for b in "cd" for c in "efghij"] + ["ACE", "ace", "Ünal", "x"]
+    texts = [(i, " ".join(rng.choices(words, k=rng.randrange(12)))) for i in range(60)] + [(3, "ace bdj"), (3, "ace ünal"), (70, None), (None, "ace bdj"), (71, "")]
+    texts, names = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(w,) for w in [*words, None]], "name string")
+    want = sorted(map(tuple, co_occurrence(mentions.names_found(texts, names, "id", "text", "name"), "name", "id").collect()))
+    for options in ({"side": 3}, {"side": 4, "most": 20}, {}):
+        found = mentions.name_pairs(texts, names, "id", "text", "name", **options)
+        assert sorted(map(tuple, found.collect())) == want and len(want) > 200
+    assert mentions.name_pairs(texts, names.filter("name IS NULL"), "id", "text", "name").collect() == []
+
+
+def test_chunk_graph_makes_no_rows_of_pairs(spark):
+    texts = spark.createDataFrame([(1, "anna bert"), (2, "anna bert carla")], "id long, text string")
+    pairs = chunk_graph(texts, spark.createDataFrame([("Anna",), ("Bert",), ("Carla",)], "name string"), "id", "text", "name")[1]
+    assert "HashAggregate" not in pairs._jdf.queryExecution().executedPlan().toString()
