@@ -1,11 +1,12 @@
 """Sums over neighbours by blocks of edges, against plain loops."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import edge_blocks
-from foliant.operators.graphs import betweenness, page_rank
+from foliant.operators import edge_blocks, graphs
+from foliant.operators.graphs import betweenness, block_parts, page_rank
 
 
 def random_edges(seed, n, m):
@@ -78,3 +79,27 @@ def test_betweenness_in_blocks_of_sources(spark):
                 want[v] += part[v] / 2
     found = {r["node"]: (r["betweenness"], r["bound"]) for r in betweenness(spark.createDataFrame(rows, "src string, dst string"), block_cells=40).collect()}
     assert found.keys() == want.keys() and all(abs(found[v][0] - want[v]) < 1e-9 and found[v][1] == 0 for v in want)
+
+
+def test_pages_grow_with_rows_from_blocks(spark, monkeypatch):
+    """A hub gets a row from each block, so a page's rows are bounded by those that come in, not by the nodes."""
+    seen = []
+    monkeypatch.setattr(graphs, "graph_of", lambda edges: seen.append(edge_blocks.graph_of(edges, size=8)) or seen[-1])
+    monkeypatch.setattr(graphs, "block_parts", lambda graph, sources, width, pages: seen.append((width, pages)) or block_parts(graph, sources, width, pages))
+    rows = [(f"h{i}", f"n{j}") for i in range(4) for j in range(20)]
+    found = betweenness(spark.createDataFrame(rows, "src string, dst string"), pivots=6, block_cells=120)
+    assert found.count() == 24
+    sent = seen[0].nodes.select(F.sum(F.size("at"))).first()[0]
+    assert seen[0].count > 4 and sent > 2 * 24
+    assert all(sent * width / pages <= 30 for width, pages in seen[1:])
+
+
+def test_packed_rows_are_not_copied():
+    rows = np.arange(12.0).reshape(4, 3)
+    column = pa.chunked_array([edge_blocks.packed(rows)[1:], pa.array([None], pa.binary()), edge_blocks.packed(rows[:1])])
+    value, at = edge_blocks.unpacked(column, 3)
+    assert [value[i].tolist() for i in at[[0, 1, 2, 4]]] == [*rows[1:].tolist(), rows[0].tolist()]
+    one = pa.chunked_array([edge_blocks.packed(rows)[1:]])
+    value, at = edge_blocks.unpacked(one, 3)
+    assert value.tolist() == rows[1:].tolist() and not value.flags.owndata and at.tolist() == [0, 1, 2]
+    assert edge_blocks.unpacked(pa.chunked_array([], pa.binary()), 3)[0].shape == (0, 3)
